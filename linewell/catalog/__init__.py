@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quotes", "fields", "evaluation")
+MODULES = ("quotes", "fields", "evaluation", "models")
 
 
 def _collect(attr: str) -> dict:
