@@ -61,7 +61,7 @@ def team_ratings(spark, sf):
 
 
 def ewma_ratings(spark, sf):
-    return recurrences.points_ewma(b.table(spark, sf, "games")).select("league", "game_id", "team", *_r("pf", "pa"))
+    return recurrences.points_ewma(b.table(spark, sf, "games")).select("league", "game_id", "team", *[F.round(F.col(n) + 1e-9, 6).alias(n) for n in ("pf", "pa")])
 
 
 def qb_decayed_sums(spark, sf):
@@ -183,9 +183,9 @@ def price_sides(spark, sf):
     m = _model(spark, sf)
     g = m.predict(_features(spark, sf).filter("result is not null"))
     q = feed.consensus_quotes(g).withColumns({"ref_mu": F.lit(None).cast("double"), "ref_p": F.lit(None).cast("double")})
-    cond, inv = pricing.outcome_udfs(m)
-    d = pricing.with_market(q.join(g.select(*pricing.PREDICTION), "game_id"), m, cond)
-    d = pricing.market_probability(pricing.add_probability(d, m, cond, "p"), cond, inv)
+    shapes = pricing.outcome_udfs(m)
+    d = pricing.with_probability(pricing.with_market(q.join(g.select(*pricing.PREDICTION), "game_id"), m, shapes), m)
+    d = pricing.with_scenarios(d, m, shapes)
     return d.select("game_id", "market", "side", *_r("p_win", "p_push", "market_prob"))
 
 
@@ -313,7 +313,7 @@ _DR = "top AS (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY abs(po
 _PT = "regexp_replace(CAST(point AS VARCHAR), '\\.0$', '')"
 
 ORACLES = {
-    "ewma_ratings": _recursive(b.oracle(["games"], "SELECT league, game_id, team, round(pf, 6) AS pf, round(pa, 6) AS pa FROM ew", _EWMA)),
+    "ewma_ratings": _recursive(b.oracle(["games"], "SELECT league, game_id, team, round(pf + 1e-9, 6) AS pf, round(pa + 1e-9, 6) AS pa FROM ew", _EWMA)),
     "qb_decayed_sums": b.oracle(["games", "plays"], """SELECT a.league, a.game_id, a.qb_id, round(sum(b.n * pow(0.97, a.no - b.no)), 6) AS n_decayed, round(sum(b.n * b.epa * pow(0.97, a.no - b.no)), 6) AS s_decayed
 FROM qs a JOIN qs b ON b.league = a.league AND b.qb_id = a.qb_id AND b.no <= a.no GROUP BY 1, 2, 3""", _QB),
     "feature_extremes": b.oracle(["games"], """SELECT game_id, CASE WHEN location = 'Neutral' THEN 0.0 ELSE 1.0 END AS f_hfa, least(greatest(coalesce(home_rest, 7) - coalesce(away_rest, 7), -7), 7) AS f_rest, coalesce(div_game, 0.0) AS f_div,

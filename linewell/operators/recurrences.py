@@ -4,10 +4,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linewell.functions.joins import materialise
 
-def affine_scan(d: DataFrame, keys: list[str], block: str, order: list[str], scale: Column, shift: Column,
-                start: Column | float, out: str, before: str | None = None) -> DataFrame:
-    """Adds ``out``, the state after each row of x <- scale * x + shift, and optionally the state before it.
+
+def affine_scan(d: DataFrame, keys: list[str], block: str, order: list[str], scale: Column,
+                shifts: dict[str, Column], start: float = 0.0) -> DataFrame:
+    """Adds, per entry of ``shifts``, the state after each row of x <- scale * x + shift.
 
     Rows of a key are cut into consecutive blocks (``block`` must not contradict ``order``). A block is
     itself an affine map, so blocks are solved independently and then chained by the same formula:
@@ -15,22 +17,19 @@ def affine_scan(d: DataFrame, keys: list[str], block: str, order: list[str], sca
     ``scale`` must be positive.
     """
     inner = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumns({"_la": F.log(scale), "_b": shift})
+    d = d.withColumns({"_la": F.log(scale), **{f"_b_{n}": c for n, c in shifts.items()}})
     d = d.withColumn("_p", F.exp(F.sum("_la").over(inner)))
-    d = d.withColumn("_l", F.col("_p") * F.sum(F.col("_b") / F.col("_p")).over(inner))
+    d = d.withColumns({f"_l_{n}": F.col("_p") * F.sum(F.col(f"_b_{n}") / F.col("_p")).over(inner) for n in shifts})
     last = F.struct(*order)
-    ends = d.groupBy(*keys, block).agg(F.max_by("_p", last).alias("bp"), F.max_by("_l", last).alias("bl"))
-    chain = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("_q", F.exp(F.coalesce(F.sum(F.log("bp")).over(chain), F.lit(0.0))))
-    x0 = start if isinstance(start, Column) else F.lit(float(start))
-    upto = F.exp(F.sum(F.log("bp")).over(Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, 0)))
-    ends = ends.withColumn("_r", F.col("bl") / upto)
-    ends = ends.withColumn("_x", F.col("_q") * (x0 + F.coalesce(F.sum("_r").over(chain), F.lit(0.0)))).select(*keys, block, "_x")
+    ends = d.groupBy(*keys, block).agg(F.max_by(F.struct("_p", *[f"_l_{n}" for n in shifts]), last).alias("e")).select(*keys, block, "e.*")
+    chain = Window.partitionBy(*keys).orderBy(block)
+    before = chain.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_upto", F.exp(F.sum(F.log("_p")).over(chain.rowsBetween(Window.unboundedPreceding, 0))))
+    ends = ends.withColumns({"_q": F.col("_upto") / F.col("_p"), **{f"_r_{n}": F.col(f"_l_{n}") / F.col("_upto") for n in shifts}})
+    ends = ends.select(*keys, block, *[(F.col("_q") * (F.lit(float(start)) + F.coalesce(F.sum(f"_r_{n}").over(before), F.lit(0.0)))).alias(f"_x_{n}") for n in shifts])
     d = d.join(ends, [*keys, block])
-    d = d.withColumn(out, F.col("_p") * F.col("_x") + F.col("_l"))
-    if before:
-        d = d.withColumn(before, (F.col(out) - F.col("_b")) / F.exp("_la"))
-    return d.drop("_la", "_b", "_p", "_l", "_x")
+    d = d.withColumns({n: F.col("_p") * F.col(f"_x_{n}") + F.col(f"_l_{n}") for n in shifts})
+    return d.drop("_la", "_p", *[f"_{t}_{n}" for t in "blx" for n in shifts])
 
 
 def points_ewma(games: DataFrame, weight: float = 0.10, league_weight: float = 0.01, carry: float = 0.60, start: float = 22.0) -> DataFrame:
@@ -39,28 +38,29 @@ def points_ewma(games: DataFrame, weight: float = 0.10, league_weight: float = 0
     The league mean is itself a smoothed series over the league's games; a team's first game starts
     from the league value of that moment.  Output: one row per (game, team) with the state after it.
     """
-    played = games.filter(F.col("result").isNotNull())
-    lg = affine_scan(played, ["league"], "season", ["gameday", "game_id"], F.lit(1 - league_weight),
-                     league_weight * (F.col("home_score") + F.col("away_score")) / 2, start, "lg_after", "lg_before")
     c = F.col
+    played = games.filter(c("result").isNotNull()).select("league", "season", "gameday", "game_id", "home_team", "away_team", "home_score", "away_score")
+    step = league_weight * (c("home_score") + c("away_score")) / 2
+    lg = affine_scan(played, ["league"], "season", ["gameday", "game_id"], F.lit(1 - league_weight), {"after": step}, start)
+    lg = materialise(lg.withColumn("lg_before", (c("after") - step) / (1 - league_weight)), "league-mean")
     rows = lg.select("league", "season", "gameday", "game_id", "lg_before", F.inline(F.array(
         F.struct(c("home_team").alias("team"), c("home_score").alias("pf_obs"), c("away_score").alias("pa_obs")),
         F.struct(c("away_team").alias("team"), c("away_score").alias("pf_obs"), c("home_score").alias("pa_obs")))))
-    w = Window.partitionBy("league", "team").orderBy("gameday", "game_id")
-    prev = F.lag("season").over(w)
-    # at a team's first game the state is the league value (scale ~ 0 is avoided by folding it into the shift)
-    rows = rows.withColumn("_first", F.row_number().over(w) == 1).withColumn("_new", F.coalesce(prev != c("season"), F.lit(False)))
+    # a team's first game ever, and its first game of each season
+    begin = rows.groupBy("league", "team", "season").agg(F.min(F.struct("gameday", "game_id")).alias("_open"))
+    begin = begin.withColumn("_debut", F.min("season").over(Window.partitionBy("league", "team")) == c("season"))
+    rows = rows.join(begin, ["league", "team", "season"])
+    opens = (c("gameday") == c("_open.gameday")) & (c("game_id") == c("_open.game_id"))
+    first, new = opens & c("_debut"), opens & ~c("_debut")
     keep = 1 - weight
-    scale = F.when(c("_new"), keep * carry).otherwise(keep)
-    pull = F.when(c("_first"), keep * c("lg_before")).when(c("_new"), keep * (1 - carry) * c("lg_before")).otherwise(0.0)
-    for name in ("pf", "pa"):
-        rows = affine_scan(rows, ["league", "team"], "season", ["gameday", "game_id"], scale, pull + weight * c(f"{name}_obs"), 0.0, name)
-    return rows.select("league", "season", "game_id", "team", "pf", "pa")
+    scale = F.when(new, keep * carry).otherwise(keep)
+    pull = F.when(first, keep * c("lg_before")).when(new, keep * (1 - carry) * c("lg_before")).otherwise(0.0)
+    out = affine_scan(rows, ["league", "team"], "season", ["gameday", "game_id"], scale, {n: pull + weight * c(f"{n}_obs") for n in ("pf", "pa")})
+    return out.select("league", "season", "game_id", "team", "pf", "pa")
 
 
 def decayed_passer_sums(passer_games: DataFrame, decay: float = 0.97) -> DataFrame:
-    """Decayed dropbacks N and decayed value S of each passer after each game (qb_id, season, week, game_id, dropbacks, epa)."""
-    d = passer_games.filter(F.col("epa").isNotNull())
-    order = ["week", "game_id"]
-    d = affine_scan(d, ["league", "qb_id"], "season", order, F.lit(decay), F.col("dropbacks").cast("double"), 0.0, "n_decayed")
-    return affine_scan(d, ["league", "qb_id"], "season", order, F.lit(decay), F.col("dropbacks") * F.col("epa"), 0.0, "s_decayed")
+    """Decayed dropbacks and decayed value of each passer after each game (league, qb_id, season, week, game_id, dropbacks, epa)."""
+    n = F.col("dropbacks").cast("double")
+    return affine_scan(passer_games.filter(F.col("epa").isNotNull()), ["league", "qb_id"], "season", ["week", "game_id"], F.lit(decay),
+                       {"n_decayed": n, "s_decayed": n * F.col("epa")})

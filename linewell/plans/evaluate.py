@@ -21,7 +21,7 @@ ODDS_PAIRS = (("home_spread_odds", "away_spread_odds"), ("over_odds", "under_odd
 def walk_forward_predictions(model: FittedModel, games: DataFrame) -> DataFrame:
     """Played games of every test season with model, market and baseline probabilities."""
     c = F.col
-    cond_push, _ = pricing.outcome_udfs(model)
+    shapes = pricing.outcome_udfs(model)
     p = model.predict(games.filter(c("result").isNotNull()))
     a, b = (season_map({s: f.ratings[i] for s, f in model.fits.items()}) for i in (0, 1))
     p = p.withColumns({"p_ratings_only": stats.sigmoid(a + b * c("model_margin")), "p_home_rate": model.lookup("home_rate"),
@@ -30,7 +30,7 @@ def walk_forward_predictions(model: FittedModel, games: DataFrame) -> DataFrame:
                    F.struct(F.lit("spread").alias("market"), F.lit("home").alias("side"), (0.0 - c("spread_line")).alias("point")),
                    F.struct(F.lit("total").alias("market"), F.lit("over").alias("side"), c("total_line").alias("point")))
     d = p.select(*pricing.PREDICTION, F.inline(rows)).withColumns({"ref_mu": F.lit(None).cast("double"), "ref_p": F.lit(None).cast("double")})
-    d = pricing.add_probability(pricing.with_market(d, model, cond_push), model, cond_push, "p")
+    d = pricing.with_probability(pricing.with_market(d, model, shapes), model)
 
     def pick(market, col):
         return F.max(F.when((c("market") == market) & ((c("market") == "ml") | c("point").isNotNull()), col))

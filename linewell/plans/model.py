@@ -43,9 +43,13 @@ def gram_by_season(games: DataFrame, cols: list[str], target: str, first_season:
     complete = F.col(target).isNotNull() & (F.col("season") > first_season)
     for c in cols:
         complete = complete & F.col(c).isNotNull()
-    y, x = F.col(target), [F.col(c) for c in cols]
-    terms = [F.lit(1.0), y, *x, *[a * y for a in x], *[x[i] * x[j] for i in range(len(x)) for j in range(i, len(x))]]
-    sums = games.groupBy("season").agg(*[F.coalesce(F.sum(F.when(complete, t)), F.lit(0.0)).alias(f"s{i}") for i, t in enumerate(terms)])
+    # rows outside the fit become zeros first, so the sums below are plain products
+    zero = F.lit(0.0)
+    d = games.select("season", F.when(complete, 1.0).otherwise(zero).alias("one"), F.when(complete, F.col(target)).otherwise(zero).alias("y"),
+                     *[F.when(complete, F.col(c).cast("double")).otherwise(zero).alias(f"x{i}") for i, c in enumerate(cols)])
+    y, x = F.col("y"), [F.col(f"x{i}") for i in range(len(cols))]
+    terms = [F.col("one"), y, *x, *[a * y for a in x], *[x[i] * x[j] for i in range(len(x)) for j in range(i, len(x))]]
+    sums = d.groupBy("season").agg(*[F.sum(t).alias(f"s{i}") for i, t in enumerate(terms)])
     return sums.select("season", F.posexplode(F.array(*[f"s{i}" for i in range(len(terms))])).alias("i", "v"))
 
 

@@ -18,45 +18,85 @@ from linewell.plans.model import FittedModel, season_map
 
 TIMED_SOURCES = ("odds_api", "manual")      # fixed values
 KEY_SPREADS = (2.5, 3.5, 6.5, 7.5)
-COND = T.StructType([T.StructField("cond", T.DoubleType()), T.StructField("push", T.DoubleType())])
+SHIFTS = {"worse10": -1.0, "worse05": -0.5, "better05": 0.5}     # points towards the bet
 
 
-def outcome_udfs(model: FittedModel):
-    """(cond_push, implied_mean) UDFs holding the seasons' outcome distributions (a few kB per season)."""
+def _struct(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+
+
+@dataclass
+class OutcomeShapes:
+    """UDFs over the seasons' outcome distributions (a few kB per season travel with the function).
+
+    Every evaluation a priced row needs is made in one call, so rows cross to Python twice in total.
+    """
+    implied_mean: Callable      # season, is_total, line, p -> mean
+    at_line: Callable           # season, is_total, fair, at, ref_line, ref_mu -> t, push, r, live
+    scenarios: Callable         # season, is_total, fair, at, ref_line, ref_mu, p_mkt, toward -> shifted, plain and market values
+
+
+def outcome_udfs(model: FittedModel) -> OutcomeShapes:
     dists = {s: tuple(np.asarray(x, float) for x in v) for s, v in model.dists().items()}
 
-    def parts(season: np.ndarray, is_total: np.ndarray):
-        for s in np.unique(season):
-            d = dists.get(int(s))
-            if d is None:
-                continue
+    def groups(season: pd.Series, is_total: pd.Series):
+        s_, t_ = season.to_numpy(), is_total.to_numpy(bool)
+        for s in np.unique(s_):
             for flag in (False, True):
-                m = (season == s) & (is_total == flag)
-                if m.any():
-                    yield m, (d[2], d[3], stats.TOTAL_LO) if flag else (d[0], d[1], stats.MARGIN_LO), flag
-
-    @F.pandas_udf(COND)
-    def cond_push(season: pd.Series, is_total: pd.Series, plain: pd.Series, mu: pd.Series, line: pd.Series) -> pd.DataFrame:
-        out = np.full((2, len(mu)), np.nan)
-        mu_, line_, flat = mu.to_numpy(float), line.to_numpy(float), plain.to_numpy(bool)
-        for m, (sd, w, lo), _ in parts(season.to_numpy(), is_total.to_numpy(bool)):
-            for shape in (False, True):
-                k = m & (flat == shape) & ~np.isnan(mu_) & ~np.isnan(line_)
-                if k.any():
-                    ww = np.broadcast_to(np.ones_like(w) if shape else w, (k.sum(), len(w)))
-                    out[:, k] = stats.np_over_push(mu_[k], np.full(k.sum(), sd), ww, line_[k], lo)
-        return pd.DataFrame({"cond": out[0], "push": out[1]})
+                m = np.flatnonzero((s_ == s) & (t_ == flag))
+                if int(s) in dists and len(m):
+                    d = dists[int(s)]
+                    yield m, flag, ((d[2], d[3], stats.TOTAL_LO) if flag else (d[0], d[1], stats.MARGIN_LO))
+
+    def over(mu, line, shape, plain=False):
+        sd, w, lo = shape
+        cond, push = np.full(len(mu), np.nan), np.full(len(mu), np.nan)
+        k = ~np.isnan(mu) & ~np.isnan(line)
+        if k.any():
+            ww = np.broadcast_to(np.ones_like(w) if plain else w, (int(k.sum()), len(w)))
+            cond[k], push[k] = stats.np_over_push(mu[k], np.full(int(k.sum()), sd), ww, line[k], lo)
+        return cond, push
+
+    def invert(line, p, shape, flag):
+        w = np.empty(len(line), object)
+        w[:] = [shape[1]] * len(line)
+        return stats.np_implied_mean(line, p, np.full(len(line), float(shape[0])), w, np.full(len(line), flag))
 
     @F.pandas_udf(T.DoubleType())
     def implied_mean(season: pd.Series, is_total: pd.Series, line: pd.Series, p: pd.Series) -> pd.Series:
         out = np.full(len(line), np.nan)
-        line_, p_ = line.to_numpy(float), p.to_numpy(float)
-        for m, (sd, w, _), flag in parts(season.to_numpy(), is_total.to_numpy(bool)):
-            ws = np.empty(m.sum(), object)
-            ws[:] = [w] * int(m.sum())
-            out[m] = stats.np_implied_mean(line_[m], p_[m], np.full(m.sum(), sd), ws, np.full(m.sum(), flag))
+        for m, flag, shape in groups(season, is_total):
+            out[m] = invert(line.to_numpy(float)[m], p.to_numpy(float)[m], shape, flag)
         return pd.Series(out)
-    return cond_push, implied_mean
+
+    @F.pandas_udf(_struct("t", "push", "r", "live"))
+    def at_line(season: pd.Series, is_total: pd.Series, fair: pd.Series, at: pd.Series, ref_line: pd.Series, ref_mu: pd.Series) -> pd.DataFrame:
+        out = np.full((4, len(fair)), np.nan)
+        cols = [x.to_numpy(float) for x in (fair, at, ref_line, ref_mu)]
+        for m, _, shape in groups(season, is_total):
+            f, t, ref, mu = (c[m] for c in cols)
+            out[0, m], out[1, m] = over(f, t, shape)
+            out[2, m] = over(f, ref, shape)[0]
+            out[3, m] = over(mu, ref, shape)[0]
+        return pd.DataFrame(dict(zip(("t", "push", "r", "live"), out)))
+
+    names = [f"{n}_{x}" for n in SHIFTS for x in ("t", "push")] + ["plain_t", "plain_push", "plain_r", "market"]
+
+    @F.pandas_udf(_struct(*names))
+    def scenarios(season: pd.Series, is_total: pd.Series, fair: pd.Series, at: pd.Series, ref_line: pd.Series, ref_mu: pd.Series,
+                  p_mkt: pd.Series, toward: pd.Series) -> pd.DataFrame:
+        out = {n: np.full(len(fair), np.nan) for n in names}
+        cols = [x.to_numpy(float) for x in (fair, at, ref_line, ref_mu, p_mkt, toward)]
+        for m, flag, shape in groups(season, is_total):
+            f, t, ref, mu, p, d = (c[m] for c in cols)
+            for n, by in SHIFTS.items():
+                out[f"{n}_t"][m], out[f"{n}_push"][m] = over(f + d * by, t, shape)
+            out["plain_t"][m], out["plain_push"][m] = over(f, t, shape, plain=True)
+            out["plain_r"][m] = over(f, ref, shape, plain=True)[0]
+            own = np.where(np.isnan(mu), invert(np.where(np.isnan(mu), ref, np.nan), p, shape, flag), mu)
+            out["market"][m] = over(own, t, shape)[0]
+        return pd.DataFrame(out)
+    return OutcomeShapes(implied_mean, at_line, scenarios)
 
 
 @dataclass
@@ -73,8 +113,12 @@ def side_view() -> SideView:
     return SideView(c("market"), c("side").isin("home", "over"), at)
 
 
-def with_market(rows: DataFrame, model: FittedModel, cond_push) -> DataFrame:
-    """Adds per row: ``fair``, ``ref_line``, ``edge`` and ``p_mkt`` (market probability at ``ref_line``).
+def _known(x: Column) -> Column:
+    return F.nanvl(x, F.lit(None).cast("double"))
+
+
+def with_market(rows: DataFrame, model: FittedModel, shapes: OutcomeShapes) -> DataFrame:
+    """Adds ``fair``, ``ref_line``, ``edge``, ``p_mkt`` (market probability at ``ref_line``) and the outcome values ``o``.
 
     rows: quotes joined to their game's prediction, with ``ref_mu`` / ``ref_p`` of the live reference (null = none).
     """
@@ -82,15 +126,14 @@ def with_market(rows: DataFrame, model: FittedModel, cond_push) -> DataFrame:
     total, ml = c("market") == "total", c("market") == "ml"
     line = F.when(total, c("total_line")).otherwise(c("spread_line"))
     d = rows.withColumns({
-        "is_total": total, "fair": F.when(total, c("fair_total")).otherwise(c("fair_margin")), "ref_line": line,
+        "is_total": total, "fair": F.when(total, c("fair_total")).otherwise(c("fair_margin")), "ref_line": line, "at": side_view().at,
         "edge": F.coalesce(F.when(total, c("blend_total") - c("total_line")).otherwise(c("blend_margin") - c("spread_line")), F.lit(0.0)),
         "_cons": F.when(total, prices.no_vig_or_default(c("over_odds"), c("under_odds")))
                   .when(ml, F.when(c("home_moneyline").isNotNull() & c("away_moneyline").isNotNull(), prices.no_vig_or_default(c("home_moneyline"), c("away_moneyline"))))
                   .otherwise(prices.no_vig_or_default(c("home_spread_odds"), c("away_spread_odds")))})
-    d = d.withColumn("_live", cond_push("season", "is_total", F.lit(False), F.when(~ml, c("ref_mu")), "ref_line")["cond"])
-    at_line = F.coalesce(F.nanvl(c("_live"), F.lit(None).cast("double")), c("_cons"))
-    p = F.when(ml, F.coalesce("ref_p", "_cons")).otherwise(F.when(line.isNotNull(), at_line))
-    return d.withColumn("p_mkt", p).drop("_live", "_cons")
+    d = d.withColumn("o", shapes.at_line("season", "is_total", F.when(~ml, c("fair")), "at", "ref_line", F.when(~ml, c("ref_mu"))))
+    p = F.when(ml, F.coalesce("ref_p", "_cons")).otherwise(F.when(line.isNotNull(), F.coalesce(_known(c("o.live")), c("_cons"))))
+    return d.withColumn("p_mkt", p).drop("_cons")
 
 
 def _base(model: FittedModel, mult: float) -> Column:
@@ -100,51 +143,59 @@ def _base(model: FittedModel, mult: float) -> Column:
     return stats.sigmoid(cal(0) + cal(1) * stats.logit(F.col("p_mkt")) + cal(2) * F.col("edge") * mult)
 
 
-def _win(model: FittedModel, margin: Column) -> Column:
-    a = _season(model, lambda f: f.ml[0])
-    b = _season(model, lambda f: f.ml[1])
-    return stats.sigmoid(a + b * margin)
-
-
 def _season(model: FittedModel, get: Callable) -> Column:
     return season_map({s: get(f) for s, f in model.fits.items()})
 
 
-def add_probability(d: DataFrame, model: FittedModel, cond_push, name: str, shift: Column | float = 0.0, mult: float = 1.0, plain: bool = False) -> DataFrame:
-    """Adds ``{name}_win`` and ``{name}_push``: the side's probabilities in one scenario.
+def _win(model: FittedModel, margin: Column) -> Column:
+    return stats.sigmoid(_season(model, lambda f: f.ml[0]) + _season(model, lambda f: f.ml[1]) * margin)
+
+
+def side_probability(model: FittedModel, t: Column, push: Column, r: Column, shift: Column, mult: float = 1.0) -> tuple[Column, Column]:
+    """(P(win), P(push)) of a side from outcome values at its line (t, push) and at the reference line (r).
 
-    ``shift`` moves the true outcome towards home / over, ``mult`` scales the model's weight, ``plain``
-    drops the key-number shape.
+    ``shift`` moves the true margin towards home for moneylines (other markets carry it in ``t``);
+    ``mult`` scales the model's weight.
     """
     v = side_view()
-    sh = shift if isinstance(shift, Column) else F.lit(float(shift))
-    flat = F.lit(plain)
-    d = d.withColumns({"_t": cond_push("season", "is_total", flat, F.when(v.market != "ml", F.col("fair") + sh), v.at),
-                       "_r": cond_push("season", "is_total", flat, F.when(v.market != "ml", F.col("fair")), "ref_line")})
-    moved = _win(model, F.col("fair_margin") + sh)
+    moved = _win(model, F.col("fair_margin") + shift)
     p_ml = F.when(F.col("p_mkt").isNotNull(), _base(model, mult) + moved - _win(model, F.col("fair_margin"))).otherwise(moved)
-    at = F.col("_t.cond")
-    p_pt = F.when(F.col("ref_line").isNotNull(), _base(model, mult) + at - F.col("_r.cond")).otherwise(at)
+    p_pt = F.when(F.col("ref_line").isNotNull(), _base(model, mult) + t - r).otherwise(t)
     p = stats.clip(F.when(v.market == "ml", p_ml).otherwise(p_pt), 0.001, 0.999)
-    side = F.when(v.home_or_over, p).otherwise(1 - p)
-    push = F.when(v.market == "ml", 0.0).otherwise(F.col("_t.push"))
-    return d.withColumns({f"{name}_win": side * (1 - push), f"{name}_push": push}).drop("_t", "_r")
+    none = F.when(v.market == "ml", 0.0).otherwise(push)
+    return F.when(v.home_or_over, p).otherwise(1 - p) * (1 - none), none
 
 
-def market_probability(d: DataFrame, cond_push, implied_mean) -> DataFrame:
-    """Adds ``market_prob``: the market's own probability of exactly this bet, conditional on no push."""
-    v = side_view()
-    live = F.when(v.market != "ml", F.col("ref_mu"))
-    d = d.withColumn("_im", implied_mean("season", "is_total", F.when((v.market != "ml") & live.isNull(), F.col("ref_line")), "p_mkt"))
-    d = d.withColumn("_c", cond_push("season", "is_total", F.lit(False), F.coalesce(live, F.nanvl("_im", F.lit(None).cast("double"))), v.at)["cond"])
-    p = F.when(v.market == "ml", F.col("p_mkt")).otherwise(F.nanvl("_c", F.lit(None).cast("double")))
-    return d.withColumn("market_prob", F.when(v.home_or_over, p).otherwise(1 - p)).drop("_im", "_c")
+def with_probability(d: DataFrame, model: FittedModel) -> DataFrame:
+    """Adds ``p_win`` and ``p_push``."""
+    o = F.col("o")
+    win, push = side_probability(model, o["t"], o["push"], o["r"], F.lit(0.0))
+    return d.withColumns({"p_win": win, "p_push": push})
+
+
+def with_scenarios(d: DataFrame, model: FittedModel, shapes: OutcomeShapes) -> DataFrame:
+    """Adds the six sensitivities ``ev_*`` (if a price is present) and ``market_prob``.
+
+    market_prob is the market's own probability of exactly this bet, conditional on no push.
+    """
+    c, v = F.col, side_view()
+    point = F.when(v.market != "ml", c("fair"))
+    toward = F.when(v.home_or_over, 1.0).otherwise(-1.0)
+    d = d.withColumn("s", shapes.scenarios("season", "is_total", point, "at", "ref_line", F.when(v.market != "ml", c("ref_mu")), "p_mkt", toward))
+    s, o = c("s"), c("o")
+    out = {}
+    for n, by in SHIFTS.items():
+        out[n] = side_probability(model, s[f"{n}_t"], s[f"{n}_push"], o["r"], toward * by)
+    out["market_only"] = side_probability(model, o["t"], o["push"], o["r"], F.lit(0.0), 0.0)
+    out["double_weight"] = side_probability(model, o["t"], o["push"], o["r"], F.lit(0.0), 2.0)
+    out["plain"] = side_probability(model, s["plain_t"], s["plain_push"], s["plain_r"], F.lit(0.0))
+    p = F.when(v.market == "ml", c("p_mkt")).otherwise(_known(s["market"]))
+    return d.withColumns({**{f"ev_{n}": prices.expected_value(w, q, c("price")) for n, (w, q) in out.items()},
+                          "market_prob": F.when(v.home_or_over, p).otherwise(1 - p)})
 
 
 PREDICTION = ["game_id", "season", "spread_line", "total_line", "home_spread_odds", "away_spread_odds", "over_odds", "under_odds", "home_moneyline",
               "away_moneyline", "model_margin", "model_total", "blend_margin", "blend_total", "fair_margin", "fair_total"]
-SCENARIOS = (("worse10", -1.0, 1.0, False), ("worse05", -0.5, 1.0, False), ("better05", 0.5, 1.0, False),
-             ("market_only", 0.0, 0.0, False), ("double_weight", 0.0, 2.0, False), ("plain", 0.0, 1.0, True))
 
 
 def decide(model: FittedModel, preds: DataFrame, quotes: DataFrame, contexts: DataFrame, settings, refs: DataFrame | None = None) -> DataFrame:
@@ -155,7 +206,7 @@ def decide(model: FittedModel, preds: DataFrame, quotes: DataFrame, contexts: Da
     refs: leave-one-book-out references with mu; None replays history at the schedule's prices.
     """
     c = F.col
-    cond_push, implied_mean = outcome_udfs(model)
+    shapes = outcome_udfs(model)
     q = quotes.filter(c("price").isNotNull() & ((c("market") == "ml") | c("point").isNotNull()))
     side = ["game_id", "market", "side"]
     if refs is not None:        # live mode: untimed prices only where a side has no live quote
@@ -172,16 +223,11 @@ def decide(model: FittedModel, preds: DataFrame, quotes: DataFrame, contexts: Da
     else:
         q = q.withColumns({"ref_mu": F.lit(None).cast("double"), "ref_p": F.lit(None).cast("double"), "ref_n_books": F.lit(None).cast("bigint"),
                            "ref_books": F.lit(None).cast("string"), "ref_oldest": F.lit(None).cast("timestamp")})
-    d = with_market(q.join(preds.select(*PREDICTION), "game_id"), model, cond_push)
-    d = add_probability(d, model, cond_push, "p")
+    d = with_probability(with_market(q.join(preds.select(*PREDICTION), "game_id"), model, shapes), model)
     d = d.withColumn("ev", prices.expected_value(c("p_win"), c("p_push"), c("price")))
     best = Window.partitionBy(*side).orderBy(F.desc("ev"), "ord", "book")
     d = d.withColumn("_rn", F.row_number().over(best)).filter("_rn = 1").drop("_rn")
-    toward = F.when(side_view().home_or_over, 1.0).otherwise(-1.0)
-    for name, shift, mult, plain in SCENARIOS:
-        d = add_probability(d, model, cond_push, name, toward * shift, mult, plain)
-        d = d.withColumn(f"ev_{name}", prices.expected_value(c(f"{name}_win"), c(f"{name}_push"), c("price"))).drop(f"{name}_win", f"{name}_push")
-    d = market_probability(d, cond_push, implied_mean).join(seen, side).join(contexts, "game_id", "left")
+    d = with_scenarios(d, model, shapes).drop("o", "s").join(seen, side).join(contexts, "game_id", "left")
     return finish_decisions(d, settings)
 
 
@@ -247,7 +293,7 @@ def gap_contexts(preds: DataFrame, settings) -> DataFrame:
 
 def slate_references(valid: DataFrame, games: DataFrame, model: FittedModel, settings) -> DataFrame:
     """Leave-one-book-out references with implied means from the season's own outcome distribution."""
-    _, implied_mean = outcome_udfs(model)
+    implied_mean = outcome_udfs(model).implied_mean
     pairs = quote_pairs(valid).join(games.select("game_id", "season"), "game_id")
     pairs = pairs.withColumn("mu", implied_mean("season", F.col("market") == "total", "line", "p")).drop("season")
     return references.build_references(pairs, settings.min_reference_books, quoted=valid)
