@@ -184,8 +184,8 @@ def price_sides(spark, sf):
     g = m.predict(_features(spark, sf).filter("result is not null"))
     q = feed.consensus_quotes(g).withColumns({"ref_mu": F.lit(None).cast("double"), "ref_p": F.lit(None).cast("double")})
     shapes = pricing.outcome_udfs(m)
-    d = pricing.with_probability(pricing.with_market(q.join(g.select(*pricing.PREDICTION), "game_id"), m, shapes), m)
-    d = pricing.with_scenarios(d, m, shapes)
+    d = pricing.with_probability(pricing.with_market(q.join(g.select(*pricing.PREDICTION), "game_id"), m, shapes))
+    d = pricing.with_scenarios(d, shapes)
     return d.select("game_id", "market", "side", *_r("p_win", "p_push", "market_prob"))
 
 

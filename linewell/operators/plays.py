@@ -10,10 +10,8 @@ KEYS = ["game_id", "season", "week"]
 
 
 def current_code(team: Column) -> Column:
-    out = team
-    for old, new in RELOCATED.items():
-        out = F.when(team == old, new).otherwise(out)
-    return out
+    codes = F.create_map(*[F.lit(x) for kv in RELOCATED.items() for x in kv])
+    return F.coalesce(F.try_element_at(codes, team), team)
 
 
 def scrimmage(plays: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from linewell.functions import prices, stats
 from linewell.functions.joins import materialise
 from linewell.operators import metrics
 from linewell.plans import pricing
-from linewell.plans.model import FeatureSet, FittedModel, fit_walk_forward, season_map
+from linewell.plans.model import FeatureSet, FittedModel, fit_walk_forward
 from linewell.plans.ratings import MARGIN_FEATURES, TOTAL_FEATURES
 from linewell.sources.feed import consensus_quotes
 
@@ -22,15 +22,14 @@ def walk_forward_predictions(model: FittedModel, games: DataFrame) -> DataFrame:
     """Played games of every test season with model, market and baseline probabilities."""
     c = F.col
     shapes = pricing.outcome_udfs(model)
-    p = model.predict(games.filter(c("result").isNotNull()))
-    a, b = (season_map({s: f.ratings[i] for s, f in model.fits.items()}) for i in (0, 1))
-    p = p.withColumns({"p_ratings_only": stats.sigmoid(a + b * c("model_margin")), "p_home_rate": model.lookup("home_rate"),
-                       "p_market": prices.no_vig(c("home_moneyline"), c("away_moneyline"))})
+    p = model.attach(model.predict(games.filter(c("result").isNotNull())))
+    p = model.detach(p.withColumns({"p_ratings_only": stats.sigmoid(c("m_ratings_a") + c("m_ratings_b") * c("model_margin")), "p_home_rate": c("m_home_rate"),
+                                    "p_market": prices.no_vig(c("home_moneyline"), c("away_moneyline"))}))
     rows = F.array(F.struct(F.lit("ml").alias("market"), F.lit("home").alias("side"), F.lit(None).cast("double").alias("point")),
                    F.struct(F.lit("spread").alias("market"), F.lit("home").alias("side"), (0.0 - c("spread_line")).alias("point")),
                    F.struct(F.lit("total").alias("market"), F.lit("over").alias("side"), c("total_line").alias("point")))
     d = p.select(*pricing.PREDICTION, F.inline(rows)).withColumns({"ref_mu": F.lit(None).cast("double"), "ref_p": F.lit(None).cast("double")})
-    d = pricing.with_probability(pricing.with_market(d, model, shapes), model)
+    d = pricing.with_probability(pricing.with_market(d, model, shapes))
 
     def pick(market, col):
         return F.max(F.when((c("market") == market) & ((c("market") == "ml") | c("point").isNotNull()), col))

@@ -53,6 +53,33 @@ def gram_by_season(games: DataFrame, cols: list[str], target: str, first_season:
     return sums.select("season", F.posexplode(F.array(*[f"s{i}" for i in range(len(terms))])).alias("i", "v"))
 
 
+def gram_partials(games: DataFrame, fs: FeatureSet, first_season: int) -> DataFrame:
+    """As :func:`gram_by_season` for all four regressions in one pass: (season, model, i, v).
+
+    Each Arrow batch adds X'X per season and model; only those sums are shuffled. Entry -1 marks
+    seasons with data.
+    """
+    specs = fs.models()
+    need = list(dict.fromkeys(["season", "result", "total", *[c for cols, _ in specs.values() for c in cols]]))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for season, rows in b.groupby("season"):
+                for model, (cols, target) in specs.items():
+                    x, y = rows[cols].to_numpy(float), rows[target].to_numpy(float)
+                    ok = ~(np.isnan(x).any(axis=1) | np.isnan(y)) & (season > first_season)
+                    x, y = x[ok], y[ok]
+                    v = np.concatenate([[float(len(y)), y.sum()], x.sum(axis=0), y @ x, (x.T @ x)[np.triu_indices(len(cols))]])
+                    out.append(pd.DataFrame({"season": np.int32(season), "model": model, "i": np.arange(len(v), dtype=np.int32), "v": v}))
+            if out:
+                yield pd.concat(out)
+    d = games.select(*need).mapInPandas(partial, "season int, model string, i int, v double")
+    s = d.groupBy("season", "model", "i").agg(F.sum("v").alias("v"))
+    own = F.when(F.col("i") == 0, F.array(F.struct(F.col("i"), F.col("v")), F.struct(F.lit(-1).alias("i"), F.signum("v").alias("v"))))
+    return s.select("season", "model", F.inline(F.coalesce(own, F.array(F.struct("i", "v")))))
+
+
 def accumulate(per_season: DataFrame, keys: list[str]) -> DataFrame:
     """Sums over strictly earlier seasons (walk-forward split); one row per season and key."""
     w = Window.partitionBy(*keys).orderBy("season").rowsBetween(Window.unboundedPreceding, -1)
@@ -79,39 +106,27 @@ def fit_cores(games: DataFrame, fs: FeatureSet = FeatureSet(), lam: float = LAMB
 
     Output: season, model, n, n_seasons, intercept, coefs. Rows without training data are absent.
     """
-    first = F.col("_first")
-    one = games.agg(F.min(F.when(F.col("result").isNotNull(), F.col("season"))).alias("_first"))
-    g = games.join(F.broadcast(one), F.lit(True))           # one-row side
-    out = None
-    for model, (cols, target) in fs.models().items():
-        d = len(cols)
-        s = gram_by_season(g, cols, target, first)
-        s = s.unionByName(s.filter("i = 0").select("season", F.lit(-1).alias("i"), F.signum("v").alias("v")))      # i = -1: seasons with data
-        acc = accumulate(s, ["i"]).groupBy("season").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"))
-        acc = acc.select("season", F.transform("s", lambda x: x["v"]).alias("s")).filter(F.col("s")[1] > 0)
-
-        def solve(batches: Iterator[pd.DataFrame], d=d, model=model) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                rows = []
-                for season, s in zip(b["season"], b["s"]):
-                    v = np.asarray(s, float)
-                    beta, icpt = solve_ridge(v[1], v[2], v[3:], d, lam)
-                    rows.append((int(season), model, v[1], int(v[0]), icpt, beta.tolist()))
-                yield pd.DataFrame(rows, columns=["season", "model", "n", "n_seasons", "intercept", "coefs"])
-        part = acc.mapInPandas(solve, "season int, model string, n double, n_seasons int, intercept double, coefs array<double>")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def score_with(coefs: dict[int, tuple[float, list[float]]], cols: list[str], season: Column) -> Column:
-    """Linear score with each season's coefficients, as one codegen expression (null where no coefficients)."""
-    if not coefs:
-        return F.lit(None).cast("double")
-    table = F.create_map(*[x for s, (b0, b) in sorted(coefs.items()) for x in (F.lit(int(s)), F.array(F.lit(float(b0)), *[F.lit(float(v)) for v in b]))])
-    w = F.try_element_at(table, season)
-    out = w[0]
+    acc = accumulate(gram_partials(games, fs, first_played(games)), ["model", "i"])
+    acc = acc.groupBy("season", "model").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"))        # at most 66 entries
+    acc = acc.select("season", "model", F.transform("s", lambda x: x["v"]).alias("s")).filter(F.col("s")[1] > 0)
+    sizes = {m: len(cols) for m, (cols, _) in fs.models().items()}
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for season, model, s in zip(b["season"], b["model"], b["s"]):
+                v = np.asarray(s, float)
+                beta, icpt = solve_ridge(v[1], v[2], v[3:], sizes[model], lam)
+                rows.append((int(season), model, v[1], int(v[0]), icpt, beta.tolist()))
+            yield pd.DataFrame(rows, columns=["season", "model", "n", "n_seasons", "intercept", "coefs"])
+    return acc.mapInPandas(solve, "season int, model string, n double, n_seasons int, intercept double, coefs array<double>")
+
+
+def score_with(weights: Column, cols: list[str]) -> Column:
+    """Linear score from a weights column (intercept first)."""
+    out = weights[0]
     for i, c in enumerate(cols):
-        out = out + w[i + 1] * F.col(c)
+        out = out + weights[i + 1] * F.col(c)
     return out
 
 
@@ -138,35 +153,46 @@ class FittedModel:
     coefs: dict
     fits: dict[int, SeasonFit]
 
-    def raw(self, games: DataFrame) -> DataFrame:
-        """Adds the four raw predictions with the coefficients of the game's own season."""
-        return games.withColumns({m: score_with(self.coefs.get(m, {}), cols, F.col("season")) for m, (cols, _) in self.features.models().items()})
+    def attach(self, d: DataFrame) -> DataFrame:
+        """Joins the calibration of the row's season as ``m_*`` columns (seasons without one drop out).
+
+        The table has one row per calendar season, so broadcasting it is safe at any data volume.
+        """
+        cols = ("m_k_spread", "m_k_total", "m_ml_a", "m_ml_b", "m_ratings_a", "m_ratings_b", "m_home_rate")
+        schema = "season int, " + ", ".join(f"{c} double" for c in cols) + ", m_cal_spread array<double>, m_cal_total array<double>, m_cal_ml array<double>"
+        rows = [(s, *map(float, (f.k_spread, f.k_total, *f.ml, *f.ratings, f.home_rate)), *[[float(x) for x in f.cal[m]] for m in ("spread", "total", "ml")])
+                for s, f in sorted(self.fits.items())]
+        return d.join(F.broadcast(d.sparkSession.createDataFrame(rows, schema)), "season")
 
-    def lookup(self, name: str, season: Column | None = None) -> Column:
-        """A per-season scalar of the fits as a literal map lookup."""
-        vals = {s: getattr(f, name) for s, f in self.fits.items()}
-        return season_map(vals, season)
+    @staticmethod
+    def detach(d: DataFrame) -> DataFrame:
+        return d.drop(*[c for c in d.columns if c.startswith("m_")])
 
-    def cal(self, market: str, i: int) -> Column:
-        return season_map({s: f.cal[market][i] for s, f in self.fits.items()})
+    def raw(self, games: DataFrame) -> DataFrame:
+        """Adds the four raw predictions with the coefficients of the game's own season (null without any)."""
+        models = self.features.models()
+        seasons = sorted({s for t in self.coefs.values() for s in t})
+        rows = [(s, *[[float(v) for v in (t[s][0], *t[s][1])] if s in t else None for t in (self.coefs.get(m, {}) for m in models)]) for s in seasons]
+        table = games.sparkSession.createDataFrame(rows, "season int, " + ", ".join(f"w_{m} array<double>" for m in models))
+        d = games.join(F.broadcast(table), "season", "left")        # one row per season
+        return d.withColumns({m: score_with(F.col(f"w_{m}"), cols) for m, (cols, _) in models.items()}).drop(*[f"w_{m}" for m in models])
 
     def predict(self, games: DataFrame) -> DataFrame:
         """Raw predictions plus fair lines: the market line moved by the share of the disagreement that held up."""
-        d = self.raw(games).filter(F.col("season").isin(*self.fits)) if self.fits else self.raw(games).filter(F.lit(False))
+        d = self.attach(self.raw(games))
         sl, tl = F.col("spread_line"), F.col("total_line")
-        return d.withColumns({
-            "fair_margin": F.when(sl.isNotNull(), sl + self.lookup("k_spread") * (F.col("blend_margin") - sl)).otherwise(F.col("model_margin")),
-            "fair_total": F.when(tl.isNotNull(), tl + self.lookup("k_total") * (F.col("blend_total") - tl)).otherwise(F.col("model_total"))})
+        return self.detach(d.withColumns({
+            "fair_margin": F.when(sl.isNotNull(), sl + F.col("m_k_spread") * (F.col("blend_margin") - sl)).otherwise(F.col("model_margin")),
+            "fair_total": F.when(tl.isNotNull(), tl + F.col("m_k_total") * (F.col("blend_total") - tl)).otherwise(F.col("model_total"))}))
 
     def dists(self) -> dict[int, tuple]:
         return {s: (f.sd_margin, f.margin_weights, f.sd_total, f.total_weights) for s, f in self.fits.items()}
 
 
-def season_map(vals: dict[int, float], season: Column | None = None) -> Column:
-    if not vals:
-        return F.lit(None).cast("double")
+def season_map(vals: dict[int, float], season: Column) -> Column:
+    """A per-season constant as a literal lookup."""
     table = F.create_map(*[x for s, v in sorted(vals.items()) for x in (F.lit(int(s)), F.lit(float(v)))])
-    return F.try_element_at(table, F.col("season") if season is None else season)
+    return F.try_element_at(table, season)
 
 
 # ---------------------------------------------------------------- shrink slopes
@@ -210,71 +236,88 @@ def fan_out(rows: DataFrame, folds: list[int]) -> DataFrame:
     return rows.withColumn("fold", F.explode(later))
 
 
-def fit_logistics(rows: DataFrame, ridge: dict[str, tuple[float, float, float]], penalised: set[str],
+LOGIT_ROW = ["season", "target", "a", "b", "x2", "y", "feats"]
+
+
+def fit_logistics(rows: DataFrame, folds: list[int], k_of: dict[int, float], coefs: dict[int, tuple[float, list[float]]],
+                  ridge: dict[str, tuple[float, float, float]], penalised: set[str],
                   steps: int = NEWTON_STEPS, tol: float = 1e-12) -> dict[tuple[int, str], np.ndarray]:
-    """Newton fits of many small logistic regressions at once (rows: fold, target, x1, x2, y).
+    """Newton fits of all (fold, target) logistic regressions at once; a fold uses rows of earlier seasons.
 
-    Each step is one distributed aggregation of gradients and Hessians (six sums and three per fit,
-    combined on the map side); the 3 x 3 solves happen on the driver.  A fit starts from zero and stops
-    when no coefficient moves any more.
+    rows: season, target, a, b, x2, y, feats; x1 = a + k(fold) * b, or the fold's own linear score of
+    ``feats``. Each step is one distributed pass: batches add gradients and Hessians of every fold, and
+    only those sums (nine numbers per fit) are combined; the 3 x 3 solves happen on the driver. A fit
+    starts from zero and stops when no coefficient moves any more.
     """
     beta: dict[tuple[int, str], np.ndarray] = {}
+    names = ["g0", "g1", "g2", "h00", "h01", "h02", "h11", "h12", "h22"]
+    schema = "fold int, target string, " + ", ".join(f"{n} double" for n in names)
     for _ in range(steps):
-        if beta:
-            table = F.create_map(*[x for (f, t), b in sorted(beta.items()) for x in (F.lit(f"{f}|{t}"), F.array(*[F.lit(float(v)) for v in b]))])
-            w = F.try_element_at(table, F.concat_ws("|", F.col("fold").cast("string"), "target"))
-            z = w[0] + w[1] * F.col("x1") + w[2] * F.col("x2")
-        else:
-            z = F.lit(0.0)
-        x = [F.lit(1.0), F.col("x1"), F.col("x2")]
-        d = rows.withColumn("_p", stats.sigmoid(z))
-        r, v = F.col("y") - F.col("_p"), F.col("_p") * (1 - F.col("_p"))
-        grad = [F.sum(a * r).alias(f"g{i}") for i, a in enumerate(x)]
-        hess = [F.sum(v * x[i] * x[j]).alias(f"h{i}{j}") for i in range(3) for j in range(i, 3)]
+        now = dict(beta)
+
+        def sums(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for target, d in batch.groupby("target"):
+                    season, y, x2 = d["season"].to_numpy(), d["y"].to_numpy(float), d["x2"].to_numpy(float)
+                    feats = np.stack(d["feats"]) if target == "ratings" else None
+                    for f in folds:
+                        m = season < f
+                        if not m.any():
+                            continue
+                        if feats is not None:
+                            x1 = coefs[f][0] + feats[m] @ np.asarray(coefs[f][1])
+                        else:
+                            x1 = d["a"].to_numpy(float)[m] + k_of[f] * d["b"].to_numpy(float)[m]
+                        x = np.column_stack([np.ones(len(x1)), x1, x2[m]])
+                        p = 1 / (1 + np.exp(-(x @ now.get((f, target), np.zeros(3)))))
+                        h = x.T @ (x * (p * (1 - p))[:, None])
+                        out.append((f, target, *(x.T @ (y[m] - p)), *h[np.triu_indices(3)]))
+                yield pd.DataFrame(out, columns=["fold", "target", *names])
+        total = rows.select(*LOGIT_ROW).mapInPandas(sums, schema).groupBy("fold", "target").agg(*[F.sum(n).alias(n) for n in names])
         moved = 0.0
-        for s in d.groupBy("fold", "target").agg(*grad, *hess).collect():      # folds x targets rows
+        for s in total.collect():      # folds x targets rows
             key = (s["fold"], s["target"])
-            old = beta.get(key, np.zeros(3))
-            pen = np.diag(ridge[s["target"]])
-            g = np.array([s["g0"], s["g1"], s["g2"]]) - (pen @ old if s["target"] in penalised else 0.0)
-            h = np.array([[s[f"h{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)]) + pen
-            new = old + np.linalg.solve(h, g)
-            moved = max(moved, float(np.max(np.abs(new - old))))
-            beta[key] = new
+            old, pen = beta.get(key, np.zeros(3)), np.diag(ridge[s["target"]])
+            h = np.zeros((3, 3))
+            h[np.triu_indices(3)] = [s[n] for n in names[3:]]
+            h = h + np.triu(h, 1).T + pen
+            g = np.array([s[n] for n in names[:3]]) - (pen @ old if s["target"] in penalised else 0.0)
+            beta[key] = old + np.linalg.solve(h, g)
+            moved = max(moved, float(np.max(np.abs(beta[key] - old))))
         if not beta or moved < tol:
             break
     return beta
 
 
-def calibration_rows(oof: DataFrame, fits: dict[int, SeasonFit]) -> DataFrame:
-    """(fold, target, x1, x2, y) of the market-anchored and fallback calibrations."""
-    d = fan_out(oof, sorted(fits))
+def calibration_rows(oof: DataFrame) -> DataFrame:
+    """Rows of the market-anchored calibrations and of the fallback win probability ('fair')."""
     c = F.col
-    ks = season_map({s: f.k_spread for s, f in fits.items()}, c("fold"))
     edge, tedge = c("blend_margin") - c("spread_line"), c("blend_total") - c("total_line")
 
-    def row(target, x1, x2, y, keep):
-        return F.struct(F.lit(target).alias("target"), x1.alias("x1"), x2.alias("x2"), F.when(y, 1.0).otherwise(0.0).alias("y"),
-                        F.coalesce(keep & x1.isNotNull() & x2.isNotNull(), F.lit(False)).alias("keep"))
+    def row(target, a, b, x2, y, keep):
+        return F.struct(F.lit(target).alias("target"), a.alias("a"), b.alias("b"), x2.alias("x2"), F.when(y, 1.0).otherwise(0.0).alias("y"),
+                        F.coalesce(keep & a.isNotNull() & b.isNotNull() & x2.isNotNull(), F.lit(False)).alias("keep"))
 
-    def vig(a, b):
-        return stats.logit(prices.no_vig_or_default(c(a), c(b)))
+    def vig(first, second):
+        return stats.logit(prices.no_vig_or_default(c(first), c(second)))
+    zero = F.lit(0.0)
     ml_ok = (c("result") != 0) & c("home_moneyline").isNotNull() & c("away_moneyline").isNotNull()
     rows = F.array(
-        row("fair", c("spread_line") + ks * edge, F.lit(0.0), c("result") > 0, (c("result") != 0) & edge.isNotNull()),
-        row("spread", vig("home_spread_odds", "away_spread_odds"), edge, c("result") > c("spread_line"), c("result") != c("spread_line")),
-        row("total", vig("over_odds", "under_odds"), tedge, c("total") > c("total_line"), c("total") != c("total_line")),
-        row("ml", vig("home_moneyline", "away_moneyline"), edge, c("result") > 0, ml_ok))
-    return d.select("fold", F.inline(rows)).filter("keep").drop("keep")
+        row("fair", c("spread_line"), edge, zero, c("result") > 0, c("result") != 0),
+        row("spread", vig("home_spread_odds", "away_spread_odds"), zero, edge, c("result") > c("spread_line"), c("result") != c("spread_line")),
+        row("total", vig("over_odds", "under_odds"), zero, tedge, c("total") > c("total_line"), c("total") != c("total_line")),
+        row("ml", vig("home_moneyline", "away_moneyline"), zero, edge, c("result") > 0, ml_ok))
+    none = F.lit(None).cast("array<double>")
+    return oof.select("season", F.inline(rows)).filter("keep").drop("keep").withColumn("feats", none).select(*LOGIT_ROW)
 
 
-def baseline_rows(train: DataFrame, model: FittedModel, folds: list[int]) -> DataFrame:
-    """Training rows of each fold with that fold's own pure margin prediction (ratings-only baseline)."""
-    d = fan_out(train.filter("result <> 0"), folds)
-    cols = model.features.models()["model_margin"][0]
-    x = score_with(model.coefs.get("model_margin", {}), cols, F.col("fold"))
-    return d.select("fold", F.lit("ratings").alias("target"), x.alias("x1"), F.lit(0.0).alias("x2"),
-                    F.when(F.col("result") > 0, 1.0).otherwise(0.0).alias("y")).filter("x1 is not null")
+def baseline_rows(train: DataFrame, cols: list[str]) -> DataFrame:
+    """Training rows of the ratings-only baseline (scored with each fold's own coefficients)."""
+    zero = F.lit(0.0)
+    d = train.filter("result <> 0").dropna(subset=cols)
+    return d.select("season", F.lit("ratings").alias("target"), zero.alias("a"), zero.alias("b"), zero.alias("x2"),
+                    F.when(F.col("result") > 0, 1.0).otherwise(0.0).alias("y"), F.array(*cols).alias("feats"))
 
 
 # ---------------------------------------------------------------- key numbers
@@ -349,15 +392,18 @@ def fit_walk_forward(games: DataFrame, fs: FeatureSet = FeatureSet(), lam: float
             continue
         (ks, sm), (kt, st) = shrink(*np.sum(past["spread"], axis=0)), shrink(*np.sum(past["total"], axis=0))
         model.fits[s] = SeasonFit(ks, kt, sm, st)
-    rows = calibration_rows(oof, model.fits)
+    rows = calibration_rows(oof)
     light, steep = (1e-6, 1e-6, 1e-6), (1e-6, 1.0, 1.0)
     ridge = {"fair": light, "ratings": light, "spread": steep, "total": steep, "ml": steep}
     if baselines:
-        train = games.filter(F.col("result").isNotNull() & (F.col("season") > _first_played(games)))
-        rows = rows.unionByName(baseline_rows(train, model, sorted(model.fits)))
-        for r in fan_out(train.filter("result <> 0"), sorted(model.fits)).groupBy("fold").agg(F.avg((F.col("result") > 0).cast("double")).alias("p")).collect():
-            model.fits[r["fold"]].home_rate = r["p"]
-    for (s, target), b in fit_logistics(rows, ridge, {"spread", "total", "ml"}).items():
+        train = games.filter(F.col("result").isNotNull() & (F.col("season") > first_played(games)))
+        rows = rows.unionByName(baseline_rows(train, list(fs.margin)))
+        home = train.filter("result <> 0").groupBy("season").agg(F.sum((F.col("result") > 0).cast("double")).alias("w"), F.count("*").alias("n")).collect()
+        for s, f in model.fits.items():
+            f.home_rate = sum(r["w"] for r in home if r["season"] < s) / sum(r["n"] for r in home if r["season"] < s)
+    rows = materialise(rows, "calibration")
+    k_of = {s: f.k_spread for s, f in model.fits.items()}
+    for (s, target), b in fit_logistics(rows, sorted(model.fits), k_of, coefs["model_margin"], ridge, {"spread", "total", "ml"}).items():
         f = model.fits[s]
         if target in ("fair", "ratings"):
             setattr(f, "ml" if target == "fair" else "ratings", (float(b[0]), float(b[1])))
@@ -368,5 +414,5 @@ def fit_walk_forward(games: DataFrame, fs: FeatureSet = FeatureSet(), lam: float
     return model
 
 
-def _first_played(games: DataFrame) -> int:
+def first_played(games: DataFrame) -> int:
     return games.agg(F.min(F.when(F.col("result").isNotNull(), F.col("season")))).first()[0]

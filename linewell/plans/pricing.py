@@ -14,7 +14,7 @@ from linewell.functions import prices, stats
 from linewell.functions.joins import materialise
 from linewell.operators import references
 from linewell.operators.quotes import expired_quotes, quote_pairs
-from linewell.plans.model import FittedModel, season_map
+from linewell.plans.model import FittedModel
 
 TIMED_SOURCES = ("odds_api", "manual")      # fixed values
 KEY_SPREADS = (2.5, 3.5, 6.5, 7.5)
@@ -125,8 +125,9 @@ def with_market(rows: DataFrame, model: FittedModel, shapes: OutcomeShapes) -> D
     c = F.col
     total, ml = c("market") == "total", c("market") == "ml"
     line = F.when(total, c("total_line")).otherwise(c("spread_line"))
-    d = rows.withColumns({
+    d = model.attach(rows).withColumns({
         "is_total": total, "fair": F.when(total, c("fair_total")).otherwise(c("fair_margin")), "ref_line": line, "at": side_view().at,
+        "cal": F.when(ml, c("m_cal_ml")).when(total, c("m_cal_total")).otherwise(c("m_cal_spread")),
         "edge": F.coalesce(F.when(total, c("blend_total") - c("total_line")).otherwise(c("blend_margin") - c("spread_line")), F.lit(0.0)),
         "_cons": F.when(total, prices.no_vig_or_default(c("over_odds"), c("under_odds")))
                   .when(ml, F.when(c("home_moneyline").isNotNull() & c("away_moneyline").isNotNull(), prices.no_vig_or_default(c("home_moneyline"), c("away_moneyline"))))
@@ -136,44 +137,39 @@ def with_market(rows: DataFrame, model: FittedModel, shapes: OutcomeShapes) -> D
     return d.withColumn("p_mkt", p).drop("_cons")
 
 
-def _base(model: FittedModel, mult: float) -> Column:
+def _base(mult: float) -> Column:
     """Market-anchored probability of home / over at the reference line."""
-    def cal(i):
-        return (F.when(F.col("market") == "ml", model.cal("ml", i)).when(F.col("market") == "total", model.cal("total", i)).otherwise(model.cal("spread", i)))
-    return stats.sigmoid(cal(0) + cal(1) * stats.logit(F.col("p_mkt")) + cal(2) * F.col("edge") * mult)
+    cal = F.col("cal")
+    return stats.sigmoid(cal[0] + cal[1] * stats.logit(F.col("p_mkt")) + cal[2] * F.col("edge") * mult)
 
 
-def _season(model: FittedModel, get: Callable) -> Column:
-    return season_map({s: get(f) for s, f in model.fits.items()})
+def _win(margin: Column) -> Column:
+    return stats.sigmoid(F.col("m_ml_a") + F.col("m_ml_b") * margin)
 
 
-def _win(model: FittedModel, margin: Column) -> Column:
-    return stats.sigmoid(_season(model, lambda f: f.ml[0]) + _season(model, lambda f: f.ml[1]) * margin)
-
-
-def side_probability(model: FittedModel, t: Column, push: Column, r: Column, shift: Column, mult: float = 1.0) -> tuple[Column, Column]:
+def side_probability(t: Column, push: Column, r: Column, shift: Column, mult: float = 1.0) -> tuple[Column, Column]:
     """(P(win), P(push)) of a side from outcome values at its line (t, push) and at the reference line (r).
 
     ``shift`` moves the true margin towards home for moneylines (other markets carry it in ``t``);
     ``mult`` scales the model's weight.
     """
     v = side_view()
-    moved = _win(model, F.col("fair_margin") + shift)
-    p_ml = F.when(F.col("p_mkt").isNotNull(), _base(model, mult) + moved - _win(model, F.col("fair_margin"))).otherwise(moved)
-    p_pt = F.when(F.col("ref_line").isNotNull(), _base(model, mult) + t - r).otherwise(t)
+    moved = _win(F.col("fair_margin") + shift)
+    p_ml = F.when(F.col("p_mkt").isNotNull(), _base(mult) + moved - _win(F.col("fair_margin"))).otherwise(moved)
+    p_pt = F.when(F.col("ref_line").isNotNull(), _base(mult) + t - r).otherwise(t)
     p = stats.clip(F.when(v.market == "ml", p_ml).otherwise(p_pt), 0.001, 0.999)
     none = F.when(v.market == "ml", 0.0).otherwise(push)
     return F.when(v.home_or_over, p).otherwise(1 - p) * (1 - none), none
 
 
-def with_probability(d: DataFrame, model: FittedModel) -> DataFrame:
+def with_probability(d: DataFrame) -> DataFrame:
     """Adds ``p_win`` and ``p_push``."""
     o = F.col("o")
-    win, push = side_probability(model, o["t"], o["push"], o["r"], F.lit(0.0))
+    win, push = side_probability(o["t"], o["push"], o["r"], F.lit(0.0))
     return d.withColumns({"p_win": win, "p_push": push})
 
 
-def with_scenarios(d: DataFrame, model: FittedModel, shapes: OutcomeShapes) -> DataFrame:
+def with_scenarios(d: DataFrame, shapes: OutcomeShapes) -> DataFrame:
     """Adds the six sensitivities ``ev_*`` (if a price is present) and ``market_prob``.
 
     market_prob is the market's own probability of exactly this bet, conditional on no push.
@@ -185,10 +181,10 @@ def with_scenarios(d: DataFrame, model: FittedModel, shapes: OutcomeShapes) -> D
     s, o = c("s"), c("o")
     out = {}
     for n, by in SHIFTS.items():
-        out[n] = side_probability(model, s[f"{n}_t"], s[f"{n}_push"], o["r"], toward * by)
-    out["market_only"] = side_probability(model, o["t"], o["push"], o["r"], F.lit(0.0), 0.0)
-    out["double_weight"] = side_probability(model, o["t"], o["push"], o["r"], F.lit(0.0), 2.0)
-    out["plain"] = side_probability(model, s["plain_t"], s["plain_push"], s["plain_r"], F.lit(0.0))
+        out[n] = side_probability(s[f"{n}_t"], s[f"{n}_push"], o["r"], toward * by)
+    out["market_only"] = side_probability(o["t"], o["push"], o["r"], F.lit(0.0), 0.0)
+    out["double_weight"] = side_probability(o["t"], o["push"], o["r"], F.lit(0.0), 2.0)
+    out["plain"] = side_probability(s["plain_t"], s["plain_push"], s["plain_r"], F.lit(0.0))
     p = F.when(v.market == "ml", c("p_mkt")).otherwise(_known(s["market"]))
     return d.withColumns({**{f"ev_{n}": prices.expected_value(w, q, c("price")) for n, (w, q) in out.items()},
                           "market_prob": F.when(v.home_or_over, p).otherwise(1 - p)})
@@ -223,11 +219,11 @@ def decide(model: FittedModel, preds: DataFrame, quotes: DataFrame, contexts: Da
     else:
         q = q.withColumns({"ref_mu": F.lit(None).cast("double"), "ref_p": F.lit(None).cast("double"), "ref_n_books": F.lit(None).cast("bigint"),
                            "ref_books": F.lit(None).cast("string"), "ref_oldest": F.lit(None).cast("timestamp")})
-    d = with_probability(with_market(q.join(preds.select(*PREDICTION), "game_id"), model, shapes), model)
+    d = with_probability(with_market(q.join(preds.select(*PREDICTION), "game_id"), model, shapes))
     d = d.withColumn("ev", prices.expected_value(c("p_win"), c("p_push"), c("price")))
     best = Window.partitionBy(*side).orderBy(F.desc("ev"), "ord", "book")
     d = d.withColumn("_rn", F.row_number().over(best)).filter("_rn = 1").drop("_rn")
-    d = with_scenarios(d, model, shapes).drop("o", "s").join(seen, side).join(contexts, "game_id", "left")
+    d = model.detach(with_scenarios(d, shapes)).drop("o", "s", "cal").join(seen, side).join(contexts, "game_id", "left")
     return finish_decisions(d, settings)
 
 

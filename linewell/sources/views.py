@@ -4,7 +4,7 @@ Every view reads whole tables; nothing is filtered away to keep a check cheap.
 Spark and on DuckDB: the few functions the two engines spell differently go through :class:`Dialect`.
 
 Calendar arithmetic (all by key, so the number of games and leagues grows with ``orders``):
-one game = 8 consecutive order keys, 16 teams play 8 games a week for 12 weeks, a season has 96 games,
+one game = 8 consecutive order keys, 16 teams in two halves play 8 games a week for 12 weeks, a season has 96 games,
 a league has 16 seasons (2010-2025) = 1536 games.
 """
 from __future__ import annotations
@@ -47,18 +47,21 @@ def _div(a: str, b: int) -> str:
     return f"CAST(floor(({a}) / {b}e0) AS BIGINT)"
 
 
-def _calendar(game: str) -> str:
-    """league, season, week, home_no, away_no of a game key, by arithmetic alone."""
-    i = f"(({game}) % 1536)"
-    wk = f"CAST(floor(({i} % 96) / 8e0) AS BIGINT)"
-    slot = f"({i} % 8)"
-    one = f"(CASE WHEN {slot} = 0 THEN 15 ELSE ({wk} + {slot}) % 15 END)"
-    two = f"(CASE WHEN {slot} = 0 THEN {wk} % 15 ELSE ({wk} - {slot} + 15) % 15 END)"
-    even = f"(({wk} + {slot} + {_div(i, 96)}) % 2 = 0)"
-    return f"""{_div(game, 1536)} AS league, CAST(2010 + {_div(i, 96)} AS INT) AS season,
-       CAST({wk} + 1 AS INT) AS week,
-       CAST(CASE WHEN {even} THEN {one} ELSE {two} END AS INT) AS home_no,
-       CAST(CASE WHEN {even} THEN {two} ELSE {one} END AS INT) AS away_no"""
+def _calendar(source: str) -> str:
+    """``source`` (with game_id) plus league, season, week, home_no, away_no, by arithmetic alone.
+
+    One small step per subquery: each intermediate is used several times, so it is computed once
+    instead of being expanded into every expression above it.
+    """
+    steps = [
+        f"{_div('game_id', 1536)} AS league, game_id % 1536 AS nth",
+        "nth / 96e0 AS yr, nth % 96 AS in_season",
+        f"CAST(2010 + floor(yr) AS INT) AS season, {_div('in_season', 8)} AS wk, in_season % 8 AS slot",
+        "CAST(wk + 1 AS INT) AS week, 8 + (slot + wk) % 8 AS other, (wk + season) % 2 AS flip",
+        "CAST(CASE WHEN flip = 0 THEN slot ELSE other END AS INT) AS home_no, CAST(CASE WHEN flip = 0 THEN other ELSE slot END AS INT) AS away_no"]
+    for n, step in enumerate(steps):
+        source = f"(SELECT *, {step} FROM {source} cal{n})"
+    return source
 
 
 def _code(no: str, names: str = TEAM_CODES) -> str:
@@ -125,11 +128,14 @@ FROM (
     FROM (
       SELECT *, 2e0 + 0.9e0 * (((home_no * 5) % 16) + ((home_no + season) % 3) - ((away_no * 5) % 16) - ((away_no + season) % 3)) AS lean,
         DATE '2010-09-05' + CAST((season - 2010) * 364 + (week - 1) * 7 + (game_id % 3) AS INT) AS gameday
-      FROM (SELECT *, {_calendar('game_id')} FROM game_keys) k0) k1) k2) k3"""
+      FROM {_calendar('game_keys')} k0) k1) k2) k3"""
 
 
 def _plays(d):
-    g = _div("l_orderkey", 8)
+    rows = f"""(SELECT *, {_div('l_orderkey', 8)} AS game_id, l_suppkey % 2 = 0 AS at_home,
+      concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING),
+        CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING)) AS play_id
+    FROM lineitem)"""
     return f"""SELECT game_id, league, season, week, play_id,
   CASE WHEN at_home THEN home_raw ELSE away_raw END AS posteam,
   CASE WHEN at_home THEN away_raw ELSE home_raw END AS defteam,
@@ -148,11 +154,7 @@ def _plays(d):
   (CAST(l_quantity AS BIGINT) % 21) - 10e0 AS score_differential
 FROM (SELECT *, {_raw_code('home_no')} AS home_raw, {_raw_code('away_no')} AS away_raw,
         1 + (3599 - (l_partkey * 7 + l_suppkey * 13 + l_linenumber * 411) % 3600) AS clock
-  FROM (SELECT *, {_calendar('game_id')} FROM (
-    SELECT *, {g} AS game_id, l_suppkey % 2 = 0 AS at_home,
-      concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING),
-        CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING)) AS play_id
-    FROM lineitem) p0) p1) p2"""
+  FROM {_calendar(rows)} p1) p2"""
 
 
 def _quote_parts(d):
@@ -230,16 +232,18 @@ FROM (SELECT *, CASE no % 3 WHEN 0 THEN 'spread' WHEN 1 THEN 'ml' ELSE 'total' E
 
 
 def _snaps(d):
+    rows = f"(SELECT *, {_div('l_orderkey', 8)} AS game_id FROM lineitem)"
     return f"""SELECT league, season, game_id, week, team, pfr_player_id, position,
   sum(l_quantity) AS offense_snaps, least(1e0, sum(l_quantity) / 100) AS offense_pct, least(1e0, sum(l_tax * 100) / 16) AS defense_pct
 FROM (SELECT *, {_code('team_no')} AS team, concat({_code('team_no')}, '-p', CAST(l_partkey % 9 AS STRING)) AS pfr_player_id,
     split_part('T,G,C,OT,OG,WR,CB,OL,QB', ',', CAST(l_partkey % 9 + 1 AS INT)) AS position
   FROM (SELECT *, CASE WHEN l_suppkey % 2 = 0 THEN home_no ELSE away_no END AS team_no
-    FROM (SELECT *, {_calendar('game_id')} FROM (SELECT *, {_div('l_orderkey', 8)} AS game_id FROM lineitem) n0) n1) n2) n3
+    FROM {_calendar(rows)} n1) n2) n3
 GROUP BY league, season, game_id, week, team, pfr_player_id, position"""
 
 
 def _injuries(d):
+    rows = f"(SELECT *, {_div('o_orderkey', 8)} AS game_id FROM orders)"
     return f"""SELECT o_orderkey AS row_no, league, season,
   CASE WHEN (week + team_no) % 7 = 0 THEN week - 1 ELSE week END AS week, {_code('team_no')} AS team,
   concat({_code('team_no')}, '-g', CAST(o_custkey % 9 AS STRING)) AS gsis_id,
@@ -251,7 +255,7 @@ def _injuries(d):
   CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE 'Knee' END AS report_primary_injury,
   CASE WHEN o_custkey % 4 = 1 THEN NULL ELSE 'Ankle' END AS practice_primary_injury
 FROM (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN home_no ELSE away_no END AS team_no
-  FROM (SELECT *, {_calendar('game_id')} FROM (SELECT *, {_div('o_orderkey', 8)} AS game_id FROM orders) j0) j1) j2"""
+  FROM {_calendar(rows)} j1) j2"""
 
 
 def _crosswalk(d):
@@ -269,7 +273,7 @@ def _starter_inputs(d):
   CASE WHEN event_id % 29 = 0 THEN ' ' ELSE concat('Starter ', book) END AS qb_name,
   CASE WHEN event_id % 31 = 0 THEN NULL ELSE book END AS source,
   {d.iso(f"({AS_OF_EPOCH} - (event_id * 613) % 200000 + (CASE WHEN event_id % 53 = 0 THEN 100000 ELSE 300 END))")} AS confirmed_utc
-FROM (SELECT *, {_calendar('game_id')} FROM quote_parts) u0"""
+FROM {_calendar('quote_parts')} u0"""
 
 
 def _weather_inputs(d):
@@ -297,7 +301,7 @@ def _feed(d):
   '}}]}},{{"key":"', CASE event_id % 4 WHEN 0 THEN 'spreads' WHEN 1 THEN 'totals' WHEN 2 THEN 'totals' ELSE 'outrights' END,
   '","outcomes":[{{"name":"', CASE event_id % 4 WHEN 0 THEN {home} ELSE 'Over' END, '","price":-110,"point":', CAST(event_id % 9 AS STRING),
   '.5}},{{"name":"', CASE event_id % 4 WHEN 0 THEN {away} ELSE 'Under' END, '","price":-108,"point":', CASE event_id % 4 WHEN 0 THEN '-' ELSE '' END, CAST(event_id % 9 AS STRING), '.5}}]}}]}}]}}') AS payload
-FROM (SELECT *, {_calendar('game_id')} FROM quote_parts) e0"""
+FROM {_calendar('quote_parts')} e0"""
 
 
 def _scored(d):
