@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from linewell.catalog import base as b
 from linewell.functions import times
+from linewell.functions.joins import materialise
 from linewell.operators import quotes, references, validity
 from linewell.sources import feed
 
@@ -37,9 +38,9 @@ def quotes_pairs_novig(spark, sf):
                     "first_price", "second_price")
 
 
-def _references(spark, sf, **kw):
-    v = b.valid_quotes(spark, sf)
-    return references.build_references(quotes.quote_pairs(v), S.min_reference_books, quoted=v)
+def _references(spark, sf):
+    cells = materialise(quotes.quote_cells(b.valid_quotes(spark, sf)), "cells")
+    return references.build_references(quotes.pairs_of(cells), S.min_reference_books, quoted=cells)
 
 
 def reference_ml_loo(spark, sf):
@@ -55,9 +56,9 @@ def reference_lines_loo(spark, sf):
 
 
 def reference_mu(spark, sf):
-    v = b.valid_quotes(spark, sf)
-    pairs = references.with_implied_mean(references.flat_distributions(quotes.quote_pairs(v)))
-    refs = references.build_references(pairs.drop("sd", "weights"), S.min_reference_books, quoted=v)
+    cells = materialise(quotes.quote_cells(b.valid_quotes(spark, sf)), "cells")
+    pairs = references.with_implied_mean(references.flat_distributions(quotes.pairs_of(cells)))
+    refs = references.build_references(pairs.drop("sd", "weights"), S.min_reference_books, quoted=cells)
     refs = references.with_line_probability(references.flat_distributions(refs))
     return refs.select("game_id", "market", F.coalesce("excluded", F.lit("-")).alias("excluded"), "n_books", "line",
                        b.r6("mu").alias("mu"), b.r6("p").alias("p"), b.r6("spread_of_books").alias("spread_of_books"))
@@ -72,7 +73,8 @@ def reference_provenance(spark, sf):
 def reference_per_offer(spark, sf):
     """Each latest quote with its own leave-one-book-out line; the schedule line where there is none."""
     v = b.valid_quotes(spark, sf)
-    refs = references.build_references(quotes.quote_pairs(v), S.min_reference_books, quoted=v)
+    cells = materialise(quotes.quote_cells(v), "cells")
+    refs = references.build_references(quotes.pairs_of(cells), S.min_reference_books, quoted=cells)
     games = b.table(spark, sf, "games").select("game_id", "spread_line", "total_line")
     o = references.attach_reference(quotes.latest_quotes(v), refs)
     o = o.join(games, "game_id")
@@ -112,14 +114,14 @@ def collection_run(spark, sf):
 
 
 def feed_flatten(spark, sf):
-    f = feed.flatten_feed(b.table(spark, sf, "feed"))
+    f = feed.flatten_feed(feed.parse_feed(b.table(spark, sf, "feed")))
     return f.select("event_id", "home_team", "away_team", times.iso(F.col("commence")).alias("commence_utc"),
                     "book", "market", "side", "point", "price", "odds_time")
 
 
 def feed_match_kickoff(spark, sf):
     g = b.slate_games(spark, sf).filter(F.col("kickoff").isNotNull())
-    m = feed.match_games(feed.flatten_feed(b.table(spark, sf, "feed")), g)
+    m = feed.flatten_feed(feed.match_games(feed.parse_feed(b.table(spark, sf, "feed")), g)).withColumn("source", F.lit("odds_api"))
     return m.select("event_id", "game_id", "book", "market", "side", "point", "price", "source", "odds_time")
 
 

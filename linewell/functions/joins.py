@@ -4,7 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -48,6 +48,15 @@ def lookup(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "left", sa
     return fact.join(dim, on, how)
 
 
+def once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Adds columns that are computed exactly once per row.
+
+    Catalyst copies the definition of a plain column into every filter and field access above it, which
+    repeats regular expressions and JSON parsing many times. A generator of one row stops that.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names; a local one only where none is named (tests)."""
     global _fallback_dir

@@ -23,29 +23,39 @@ def latest_quotes(valid: DataFrame) -> DataFrame:
             .select("game_id", "book", "market", "side", "point", "q.price", "q.odds_time_utc", "q.event_id"))
 
 
-def quote_pairs(valid: DataFrame, gap_minutes: float = PAIR_GAP_MINUTES) -> DataFrame:
-    """Two-sided no-vig quotes per (game, book, market, line).
+def quote_cells(valid: DataFrame) -> DataFrame:
+    """Latest quote of both sides per (game, market, book, line): structs a (home / over) and b, null if unseen.
 
-    The latest quote of each side and the pairing of the sides are one grouped aggregation over the
+    The latest quote of each side and the matching of the sides are one grouped aggregation over the
     home/over line of the quote: no self join, and a hot game is combined on the map side.
-    Output: line (null for ml), p (first side, no vig), overround, newest, oldest, both sides' facts.
     """
     first = F.col("side").isin(*FIRST_SIDES)
     line = (F.when(F.col("market") == "ml", F.lit(None))
             .when((F.col("market") == "spread") & first, 0.0 - F.col("point"))
             .otherwise(0.0 + F.col("point")))
-    g = (valid.withColumn("line", line).groupBy("game_id", "market", "book", "line")
-         .agg(F.max(F.when(first, _rank())).alias("a"), F.max(F.when(~first, _rank())).alias("b")))
+    return (valid.withColumn("line", line).groupBy("game_id", "market", "book", "line")
+            .agg(F.max(F.when(first, _rank())).alias("a"), F.max(F.when(~first, _rank())).alias("b")))
+
+
+def pairs_of(cells: DataFrame, gap_minutes: float = PAIR_GAP_MINUTES) -> DataFrame:
+    """Two-sided no-vig quotes of cells whose sides are at most ``gap_minutes`` apart.
+
+    Output: line (null for ml), p (first side, no vig), overround, newest, oldest, both sides' facts.
+    """
     ta, tb = F.col("a.odds_time_utc"), F.col("b.odds_time_utc")
     ia, ib = prices.implied(F.col("a.price")), prices.implied(F.col("b.price"))
     near = F.abs(F.unix_micros(ta) - F.unix_micros(tb)) <= int(gap_minutes * MICROS_PER_MINUTE)
-    return (g.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & near)
+    return (cells.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & near)
             .select("game_id", "market", "book", "line", (ia / (ia + ib)).alias("p"), (ia + ib - 1).alias("overround"),
                     F.greatest(ta, tb).alias("newest"), F.least(ta, tb).alias("oldest"),
                     F.col("a.price").alias("first_price"), F.col("b.price").alias("second_price"),
                     ta.alias("first_time"), tb.alias("second_time")))
 
 
+def quote_pairs(valid: DataFrame, gap_minutes: float = PAIR_GAP_MINUTES) -> DataFrame:
+    return pairs_of(quote_cells(valid), gap_minutes)
+
+
 def reference_ready(valid: DataFrame, min_books: int) -> DataFrame:
     """Games per market where every book has ``min_books`` other books with a pair."""
     books = quote_pairs(valid).groupBy("game_id", "market").agg(F.count_distinct("book").alias("books"))

@@ -59,15 +59,17 @@ def exclusions(pairs: DataFrame, quoted: DataFrame | None = None) -> DataFrame:
               .withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(*GROUP))))
     own = (ranked.groupBy(*GROUP, "book").agg(F.max("total").alias("total"), F.count("*").alias("k"),
                                                F.collect_list(F.col("pos") - F.col("idx")).alias("shift")))
-    own = (own.withColumn("all_books", F.array_sort(F.collect_set("book").over(Window.partitionBy(*GROUP))))
-           .withColumn("own", F.lit(True)))
-    whole = own.groupBy(*GROUP).agg(F.max("total").alias("total"), F.first("all_books").alias("all_books"))
-    whole = whole.select(*GROUP, F.lit(None).cast("string").alias("book"), "total", F.lit(0).cast("bigint").alias("k"),
-                         F.array().cast("array<int>").alias("shift"), "all_books", F.lit(False).alias("own"))
-    ex = own.unionByName(whole)
-    if quoted is not None:      # books that quote the market but have no pair: nothing of theirs to leave out
-        bare = quoted.select(*GROUP, "book").distinct().join(own.select(*GROUP, "book"), [*GROUP, "book"], "left_anti")
-        ex = ex.unionByName(bare.join(whole.drop("book"), GROUP).select(ex.columns))
+    # books that quote the market but have no pair have nothing of theirs to leave out
+    d = own if quoted is None else quoted.select(*GROUP, "book").distinct().join(own, [*GROUP, "book"], "left")
+    group = Window.partitionBy(*GROUP)
+    none = F.array().cast("array<int>")
+    d = d.select(*GROUP, "book", F.max("total").over(group).alias("total"), F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("shift", none).alias("shift"),
+                 F.array_sort(F.collect_set(F.when(F.col("k") > 0, F.col("book"))).over(group)).alias("all_books"),
+                 (F.row_number().over(group.orderBy("book")) == 1).alias("_first")).filter("total is not null")
+    # every book answers for its own exclusion, the first book of a group also for the full reference
+    mine = F.struct(F.col("book"), F.col("k"), F.col("shift"), (F.col("k") > 0).alias("own"))
+    full = F.struct(F.lit(None).cast("string").alias("book"), F.lit(0).cast("bigint").alias("k"), none.alias("shift"), F.lit(False).alias("own"))
+    ex = d.select(*GROUP, "total", "all_books", F.inline(F.when(F.col("_first"), F.array(mine, full)).otherwise(F.array(mine))))
     lo, hi = F.floor((F.col("total") - F.col("k") - 1) / 2), F.floor((F.col("total") - F.col("k")) / 2)
     ex = ex.withColumn("lo", lo).withColumn("hi", hi)
     moved = [(F.col(c) + F.size(F.filter("shift", lambda s: s <= F.col(c)))).cast("int") for c in ("lo", "hi")]

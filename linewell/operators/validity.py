@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewell.functions import prices, times
-from linewell.functions.joins import lookup
+from linewell.functions.joins import lookup, once
 
 # Markets and the sides each one has.
 MARKETS = ("spread", "ml", "total")
@@ -39,7 +39,7 @@ def check_quotes(offers: DataFrame, kickoffs: DataFrame, now: Column, settings)
     """
     t, k = F.col("odds_time_utc"), F.col("kickoff")
     d = lookup(offers, kickoffs.select("game_id", "kickoff"), ["game_id"])
-    d = d.withColumn("odds_time_utc", times.parse_utc(F.col("odds_time")))
+    d = once(d, odds_time_utc=times.parse_utc(F.col("odds_time")))
     text = F.trim(F.col("odds_time"))
     reason = (
         F.when(k.isNull(), "game not in slate or kickoff unknown")
@@ -54,7 +54,7 @@ def check_quotes(offers: DataFrame, kickoffs: DataFrame, now: Column, settings)
               F.concat(F.lit("stale: quoted "), times.iso(t), F.lit(f", older than {settings.max_odds_age_minutes:g} min")))
         .when((t >= k) | (now >= k), F.concat(F.lit("at/after kickoff "), times.iso(k)))
         .otherwise(""))
-    return d.withColumn("reject_reason", reason)
+    return once(d, reject_reason=reason)
 
 
 def valid_quotes(checked: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def check_starter_inputs(rows: DataFrame, slate: DataFrame, decision: Column, se
         F.when(_blank(F.col("source")), "source is blank").otherwise(""),
         time_reason("confirmed_utc", F.col("confirmed_utc"), decision, F.col("kickoff"),
                     settings.clock_skew_minutes, settings.qb_confirm_max_age_minutes))
-    return _keep_first(d.withColumn("reason", reason), ["game_id", "team"], "row_no", "duplicate override for this game and team")
+    return _keep_first(once(d, reason=reason), ["game_id", "team"], "row_no", "duplicate override for this game and team")
 
 
 # Plausible weather ranges.
@@ -163,7 +163,7 @@ def check_weather_inputs(rows: DataFrame, kickoffs: DataFrame, decision: Column,
         F.when(got < issued, "retrieved_utc is before forecast_utc").otherwise(""),
         F.when(valid.isNull(), "valid_for_utc: unusable timestamp").otherwise(""),
         F.when(F.abs(F.unix_micros(valid) - F.unix_micros(k)) > window, "valid_for_utc is too far from kickoff").otherwise(""))
-    d = d.withColumn("reason", reason).withColumn("wind", wind).withColumn("temp", temp)
+    d = once(d, reason=reason).withColumn("wind", wind).withColumn("temp", temp)
     return _keep_first(d, ["game_id"], "row_no", "duplicate forecast for this game")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from linewell.functions import prices, stats
 from linewell.functions.joins import materialise
 from linewell.operators import references
-from linewell.operators.quotes import expired_quotes, quote_pairs
+from linewell.operators.quotes import expired_quotes, pairs_of, quote_cells
 from linewell.plans.model import FittedModel
 
 TIMED_SOURCES = ("odds_api", "manual")      # fixed values
@@ -290,9 +290,10 @@ def gap_contexts(preds: DataFrame, settings) -> DataFrame:
 def slate_references(valid: DataFrame, games: DataFrame, model: FittedModel, settings) -> DataFrame:
     """Leave-one-book-out references with implied means from the season's own outcome distribution."""
     implied_mean = outcome_udfs(model).implied_mean
-    pairs = quote_pairs(valid).join(games.select("game_id", "season"), "game_id")
+    cells = materialise(quote_cells(valid), "cells")
+    pairs = pairs_of(cells).join(games.select("game_id", "season"), "game_id")
     pairs = pairs.withColumn("mu", implied_mean("season", F.col("market") == "total", "line", "p")).drop("season")
-    return references.build_references(pairs, settings.min_reference_books, quoted=valid)
+    return references.build_references(pairs, settings.min_reference_books, quoted=cells)
 
 
 def price_slate(model: FittedModel, games: DataFrame, valid: DataFrame, consensus: DataFrame, settings,

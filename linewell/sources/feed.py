@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewell.functions import prices, times
+from linewell.functions.joins import lookup, once
 from linewell.sources.views import FULL_NAMES, TEAM_CODES
 
 # Feed message layout and market names.
@@ -19,40 +20,45 @@ def _map(pairs: dict):
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
-def flatten_feed(messages: DataFrame, codes: dict[str, str] = CODES) -> DataFrame:
-    """One row per outcome of a feed message (``payload`` JSON text; other columns are kept)."""
+def parse_feed(messages: DataFrame, codes: dict[str, str] = CODES) -> DataFrame:
+    """One row per usable feed message (``payload`` JSON text): team codes, start time, nested bookmakers."""
     keep = [c for c in messages.columns if c != "payload"]
-    team, market = _map(codes), _map(FEED_MARKETS)
-    d = messages.select(*keep, F.from_json("payload", FEED_SCHEMA).alias("j"))
-    d = d.select(*keep, F.col("j.home_team").alias("home_full"), F.col("j.away_team").alias("away_full"),
-                 times.parse_utc(F.col("j.commence_time")).alias("commence"), F.explode("j.bookmakers").alias("bk"))
-    d = d.filter(F.col("commence").isNotNull()).select("*", F.explode("bk.markets").alias("mk"))
-    d = d.withColumn("market", F.try_element_at(market, F.col("mk.key"))).filter(F.col("market").isNotNull())
+    team = _map(codes)
+    d = once(messages, j=F.from_json("payload", FEED_SCHEMA)).select(*keep, "j.*")
+    return (once(d, commence=times.parse_utc(F.col("commence_time"))).filter(F.col("commence").isNotNull())
+            .select(*keep, F.col("home_team").alias("home_full"),
+                    F.try_element_at(team, F.col("home_team")).alias("home_team"), F.try_element_at(team, F.col("away_team")).alias("away_team"), "commence", "bookmakers"))
+
+
+def flatten_feed(parsed: DataFrame) -> DataFrame:
+    """One row per outcome of a known market; other columns of the message are kept."""
+    keep = [c for c in parsed.columns if c not in ("home_full", "bookmakers")]
+    d = parsed.select(*keep, "home_full", F.explode("bookmakers").alias("bk"))
+    d = d.select(*keep, "home_full", "bk.key", "bk.last_update", F.explode("bk.markets").alias("mk"))
+    d = d.withColumn("market", F.try_element_at(_map(FEED_MARKETS), F.col("mk.key"))).filter(F.col("market").isNotNull())
     d = d.select("*", F.explode("mk.outcomes").alias("oc"))
     side = (F.when(F.col("market") == "total", F.lower("oc.name"))
             .when(F.col("oc.name") == F.col("home_full"), "home").otherwise("away"))
-    return d.select(*keep, F.try_element_at(team, F.col("home_full")).alias("home_team"),
-                    F.try_element_at(team, F.col("away_full")).alias("away_team"), "commence", F.col("bk.key").alias("book"),
-                    "market", side.alias("side"), F.col("oc.point").alias("point"), F.col("oc.price").alias("price"),
-                    F.coalesce("mk.last_update", "bk.last_update").alias("odds_time"))
+    return d.select(*keep, F.col("key").alias("book"), "market", side.alias("side"), F.col("oc.point").alias("point"), F.col("oc.price").alias("price"),
+                    F.coalesce("mk.last_update", "last_update").alias("odds_time"))
 
 
-def match_games(flat: DataFrame, games: DataFrame, minutes: float = MATCH_MINUTES) -> DataFrame:
-    """Feed rows with the game of the same league and teams that starts within ``minutes``.
+def match_games(parsed: DataFrame, games: DataFrame, minutes: float = MATCH_MINUTES) -> DataFrame:
+    """Messages with the game of the same league and teams that starts within ``minutes`` (the last match wins).
 
-    The time condition becomes part of the join key: games are placed in buckets as wide as the
-    tolerance and each message looks into its own and both neighbouring buckets, so a pairing that
-    meets many times never compares all its messages with all its games.  The last match wins.
+    The time condition becomes part of the join key: games are entered under their own and both
+    neighbouring time buckets, as wide as the tolerance, and a message looks into one bucket. A pairing
+    that meets many times never compares all its messages with all its games, and a message meets its
+    candidates (games of one pairing within hours of each other) as one row.
     """
     width = int(minutes * 60)
     keys = ["league", "home_team", "away_team", "bucket"]
-    msgs = flat.select("event_id", "league", "home_team", "away_team", "commence").distinct()
-    own = F.floor(F.unix_seconds("commence") / width)
-    msgs = msgs.withColumn("bucket", F.explode(F.array(own - 1, own, own + 1)))
-    g = games.select("game_id", "league", "home_team", "away_team", "kickoff", F.floor(F.unix_seconds("kickoff") / width).alias("bucket"))
-    near = F.abs(F.unix_micros("commence") - F.unix_micros("kickoff")) <= width * 1_000_000
-    hit = msgs.join(g, keys).filter(near).groupBy("event_id").agg(F.max("game_id").alias("game_id"))
-    return flat.join(hit, "event_id").withColumn("source", F.lit("odds_api"))
+    own = F.floor(F.unix_seconds("kickoff") / width)
+    g = games.withColumn("bucket", F.explode(F.array(own - 1, own, own + 1)))
+    g = g.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("game_id", "kickoff")), False).alias("games"))
+    d = lookup(parsed.withColumn("bucket", F.floor(F.unix_seconds("commence") / width)), g, keys, "inner")
+    near = F.filter("games", lambda x: F.abs(F.unix_micros(F.col("commence")) - F.unix_micros(x["kickoff"])) <= width * 1_000_000)
+    return d.withColumn("game_id", F.get(near, 0)["game_id"]).filter("game_id is not null").drop("bucket", "games")
 
 
 def consensus_quotes(games: DataFrame) -> DataFrame:

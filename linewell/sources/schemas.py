@@ -35,13 +35,11 @@ QUOTES = struct(game_id="s", book="s", market="s", side="s", point="d", price="d
 FORECAST = struct(game_id="s", kickoff_utc="s", season="i", week="i", away_team="s", home_team="s", market="s", side="s", team="s", book="s",
                   point="d", price="d", price_source="s", odds_time="s", reference="s", reference_live="b", reference_books="s", reference_excluded="s",
                   reference_oldest_utc="s", reference_provenance="s", p_win="d", p_push="d", model_prob="d", implied="d", market_prob="d", ev="d")
-for _n, _k in (("ev[fair 0.5 worse]", "d"), ("ev[market only]", "d"), ("min_price", "d"), ("decision", "s"), ("stake_units", "d"), ("reasons", "s"), ("is_best_side", "b")):
-    FORECAST = FORECAST.add(_n, _T[_k])
+FORECAST = T.StructType(FORECAST.fields + [T.StructField(n, _T[k]) for n, k in (
+    ("ev[fair 0.5 worse]", "d"), ("ev[market only]", "d"), ("min_price", "d"), ("decision", "s"), ("stake_units", "d"), ("reasons", "s"), ("is_best_side", "b"))])
 FORECAST_FIELDS = list(FORECAST.names)
-# run columns and columns of older records (permissive superset)
-FORECAST_DATA = FORECAST
-for _n, _k in (("tier", "s"), ("run_id", "s"), ("run_utc", "s"), ("prediction_completed_utc", "s"), ("model_version", "s"), ("legacy", "b")):
-    FORECAST_DATA = FORECAST_DATA.add(_n, _T[_k])
+# with run columns and columns of older records (permissive superset)
+FORECAST_DATA = T.StructType(FORECAST.fields + struct(tier="s", run_id="s", run_utc="s", prediction_completed_utc="s", model_version="s", legacy="b").fields)
 
 
 def log_record(data: T.StructType) -> T.StructType:
