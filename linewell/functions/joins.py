@@ -20,6 +20,8 @@ def configure(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # split hot join partitions even where that costs one more shuffle
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # the JVM never compiles methods above 8000 bytes of bytecode; let Spark split those stages instead
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }.items():
         spark.conf.set(key, value)

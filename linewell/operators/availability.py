@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linewell.functions.joins import materialise
+
 LINE_POSITIONS = ("T", "G", "C", "OL", "OT", "OG")     # fixed values
 OUT = ("Out", "Doubtful")
 UNSURE = ("Out", "Doubtful", "Questionable")
@@ -47,18 +49,17 @@ def listed_out(injuries: DataFrame, crosswalk: DataFrame) -> DataFrame:
     return (i.join(crosswalk_map(crosswalk), "gsis_id").select(*TEAM, "week", F.col("pfr_id").alias("pfr_player_id")))
 
 
-def missing_shares(snaps: DataFrame, injuries: DataFrame, crosswalk: DataFrame) -> DataFrame:
-    """Expected snap shares of listed players per team game: avail_off, avail_def."""
-    e = expected_shares(snaps)
+def missing_shares(e: DataFrame, injuries: DataFrame, crosswalk: DataFrame) -> DataFrame:
+    """Expected snap shares of listed players per team game: avail_off, avail_def (e: ``expected_shares``)."""
     out = listed_out(injuries, crosswalk).groupBy(*TEAM, "week", "pfr_player_id").agg(F.count("*").alias("times"))
     hit = e.join(out, [*TEAM, "week", "pfr_player_id"])
     return hit.groupBy(*TEAM, "game_id").agg(F.sum(F.col("exp_off") * F.col("times")).alias("avail_off"),
                                              F.sum(F.col("exp_def") * F.col("times")).alias("avail_def"))
 
 
-def line_continuity(snaps: DataFrame) -> DataFrame:
+def line_continuity(snaps: DataFrame, shares: DataFrame | None = None) -> DataFrame:
     """Share of the last game's line snaps taken by the 5 linemen with most snaps over the window."""
-    e = expected_shares(snaps).filter(F.col("line_snaps").isNotNull())
+    e = (expected_shares(snaps) if shares is None else shares).filter(F.col("line_snaps").isNotNull())
     w = Window.partitionBy(*TEAM, "game_no").orderBy(F.desc("line_snaps"), "pfr_player_id")
     top = e.withColumn("rk", F.row_number().over(w)).filter("rk <= 5").select(*TEAM, "game_no", "pfr_player_id", F.lit(True).alias("top"))
     games = numbered_games(snaps)
@@ -71,9 +72,11 @@ def line_continuity(snaps: DataFrame) -> DataFrame:
 
 def team_game_availability(snaps: DataFrame, injuries: DataFrame, crosswalk: DataFrame) -> DataFrame:
     """One row per (game, team): avail_off, avail_def (0 without history), olc (null without history)."""
+    snaps = materialise(snaps, "snaps")
+    shares = materialise(expected_shares(snaps), "shares")
     games = numbered_games(snaps).select(*TEAM, "game_id")
-    return (games.join(missing_shares(snaps, injuries, crosswalk), [*TEAM, "game_id"], "left")
-            .join(line_continuity(snaps), [*TEAM, "game_id"], "left")
+    return (games.join(missing_shares(shares, injuries, crosswalk), [*TEAM, "game_id"], "left")
+            .join(line_continuity(snaps, shares), [*TEAM, "game_id"], "left")
             .select("game_id", "team", F.coalesce("avail_off", F.lit(0.0)).alias("avail_off"),
                     F.coalesce("avail_def", F.lit(0.0)).alias("avail_def"), "olc"))
 

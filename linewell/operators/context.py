@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linewell.functions.joins import lookup, materialise
 from linewell.operators import availability
 
 TEAM = availability.TEAM
@@ -58,6 +59,9 @@ def build_contexts(preds: DataFrame, injuries: DataFrame, weather: DataFrame, se
         if s not in preds.columns:
             preds = preds.withColumn(s, F.lit(False))
     c = F.col
+    # only the reports of teams on the slate matter; they are read three times below
+    teams = preds.select("league", "season", F.explode(F.array("away_team", "home_team")).alias("team")).distinct()
+    injuries = materialise(lookup(injuries, teams, TEAM, "left_semi"), "reports")
     st = availability.starter_availability(starter_rows(preds).withColumn("qb_id", starter_id(c("qb_id"))), injuries)
     st = st.join(preds.select("game_id", "home_confirmed", "away_confirmed"), "game_id")
     confirmed = F.when(c("side") == "home", c("home_confirmed")).otherwise(c("away_confirmed"))
