@@ -317,7 +317,7 @@ LEFT JOIN (SELECT * FROM bets WHERE result IS NOT NULL AND market = 'ml' AND pri
     "horizon_coverage": b.oracle(["forecasts"], "SELECT game_id, kickoff_utc, status, runs_considered, selected_run, round(lead_minutes, 6) AS lead_minutes, reason FROM cov", HOR),
     "slate_coverage": b.oracle(HV, f"""SELECT game_id, week, {iso('k')} AS kickoff_utc, status, CASE status WHEN 'unknown kickoff' THEN 'kickoff time not listed in the schedule'
   WHEN 'window not closed' THEN concat('evaluation window closes ', {iso('(k - 3600)')}) WHEN 'forecasts exist, none qualify' THEN why ELSE '' END AS reason, played, CASE WHEN status = 'eligible' THEN round(lm, 6) END AS lead_minutes FROM sc""", HOR + ",\n" + _SL),
-    "coverage_summary": b.oracle(HV, """SELECT ord, d.status, count(sc.game_id) AS games, CASE WHEN ord < 3 THEN round(count(sc.game_id) / (SELECT count(*) FROM sc WHERE status IN ('eligible', 'forecasts exist, none qualify', 'no forecast recorded')), 6) END AS pct
+    "coverage_summary": b.oracle(HV, """SELECT ord, d.status, count(sc.game_id) AS games, CASE WHEN ord < 3 THEN round(count(sc.game_id) / nullif((SELECT count(*) FROM sc WHERE status IN ('eligible', 'forecasts exist, none qualify', 'no forecast recorded')), 0), 6) END AS pct
 FROM (VALUES (0, 'eligible'), (1, 'forecasts exist, none qualify'), (2, 'no forecast recorded'), (3, 'window not closed'), (4, 'unknown kickoff')) d(ord, status) LEFT JOIN sc ON sc.status = d.status GROUP BY 1, 2""", HOR + ",\n" + _SL),
     "market_coverage": b.oracle(HV, """SELECT m AS market, count(*) AS eligible_games, count(h.n) AS with_forecast, count(*) FILTER (h.ref) AS with_market_reference, count(*) FILTER (h.n IS NULL) AS missing,
   coalesce(string_agg(CAST(e.game_id AS VARCHAR), ',' ORDER BY e.game_id) FILTER (h.n IS NULL), '') AS missing_games FROM (SELECT game_id FROM sc WHERE status = 'eligible') e CROSS JOIN (VALUES ('spread'), ('ml'), ('total')) v(m)
