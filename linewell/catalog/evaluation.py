@@ -289,7 +289,7 @@ _REQ = f"""rq AS (SELECT event_id AS request_id, CASE WHEN event_id % 71 = 0 THE
 hit AS (SELECT r.request_id, count(f.hash) AS matches, min(f.hash) AS hash FROM rq r LEFT JOIN forecasts f ON starts_with(f.hash, r.fid) GROUP BY 1)"""
 
 ORACLES = {
-    "targets_identical_rows": b.oracle(["preds"], "SELECT game_id, season, target, round(pm, 6) AS pm, round(pk, 6) AS pk, y FROM tg", T),
+    "targets_identical_rows": b.oracle(["preds"], "SELECT game_id, season, target, round(pm, 6) AS pm, round(pk, 6) AS pk, CAST(y AS DOUBLE) AS y FROM tg", T),
     "prob_table": b.oracle(["preds"], f"""SELECT s.target, s.predictor, s.n, round(brier, 6) AS brier, round(log_loss, 6) AS log_loss, CASE WHEN s.predictor <> 'coin flip' THEN round(e.ece, 6) END AS ece FROM
  (SELECT target, predictor, count(*) AS n, avg((p - y) * (p - y)) AS brier, -avg(y * ln(p) + (1 - y) * ln(1 - p)) AS log_loss FROM un GROUP BY ALL) s
  JOIN ({_ece('un', ['target', 'predictor'], 'p')}) e ON e.target = s.target AND e.predictor = s.predictor""", T + ",\n" + UNP),
@@ -338,7 +338,7 @@ FROM best WHERE best AND decision <> 'NO BET' AND gameday IS NOT NULL GROUP BY 1
     "recheck": b.oracle(["forecasts"], f"""SELECT hash, CASE WHEN late THEN 'NO BET' WHEN qold OR rold THEN 'BET IF PRICE AVAILABLE' ELSE decision END AS decision,
   concat_ws(' | ', CASE WHEN price > 0 THEN 'ref quoted' END, CASE WHEN late THEN concat('kickoff passed before the run completed at ', {iso(str(_DONE))}) WHEN qold THEN concat('quote from ', recorded_utc, ' was stale by completion (', {iso(str(_DONE))}, '); reconfirm the price')
     WHEN rold THEN concat('market reference quotes expired by completion (', {iso(str(_DONE))}, '; oldest ', coalesce(prediction_completed_utc, 'None'), '); EV is not current, reconfirm the market') END) AS reasons,
-  CASE WHEN late OR decision = 'NO BET' THEN 0.0 ELSE 1.0 END AS stake_units, late AS post_kickoff
+  CAST(CASE WHEN late OR decision = 'NO BET' THEN 0.0 ELSE 1.0 END AS DOUBLE) AS stake_units, late AS post_kickoff
 FROM (SELECT *, ob AND NOT qold AND market <> 'ml' AND coalesce({_DONE} - {b.epoch('prediction_completed_utc')} > 1800, true) AS rold FROM
   (SELECT *, {_DONE} >= {b.epoch('kickoff_utc')} AS late, decision IN ('BET', 'BET IF CONFIRMED') AS ob, decision IN ('BET', 'BET IF CONFIRMED') AND {_DONE} - {b.epoch('recorded_utc')} > 1800 AS qold FROM forecasts) y) z"""),
     "wager_intake_prefix": b.oracle(["forecasts"], f"""SELECT r.request_id, h.matches, coalesce(r.pr, f.price) AS price, coalesce(r.pt, f.point) AS point,

@@ -95,7 +95,7 @@ def key_number_weights(spark, sf):
     rows = p.select(F.col("season").alias("fold"), F.inline(F.array(
         F.struct(F.lit("margin").alias("kind"), F.col("fair_margin").alias("mu"), F.lit(13.0).alias("sd"), F.col("result").alias("actual")),
         F.struct(F.lit("total").alias("kind"), F.col("total_line").alias("mu"), F.lit(13.5).alias("sd"), F.col("total").alias("actual")))))
-    return model.key_number_weights(rows).select("fold", "kind", "k", b.r6("weight").alias("weight"))
+    return model.key_number_weights(rows).select("fold", "kind", F.col("k").cast("bigint").alias("k"), b.r6("weight").alias("weight"))
 
 
 def ridge_coefficients(spark, sf):
@@ -316,8 +316,8 @@ ORACLES = {
     "ewma_ratings": _recursive(b.oracle(["games"], "SELECT league, game_id, team, round(pf + 1e-9, 6) AS pf, round(pa + 1e-9, 6) AS pa FROM ew", _EWMA)),
     "qb_decayed_sums": b.oracle(["games", "plays"], """SELECT a.league, a.game_id, a.qb_id, round(sum(b.n * pow(0.97, a.no - b.no)), 6) AS n_decayed, round(sum(b.n * b.epa * pow(0.97, a.no - b.no)), 6) AS s_decayed
 FROM qs a JOIN qs b ON b.league = a.league AND b.qb_id = a.qb_id AND b.no <= a.no GROUP BY 1, 2, 3""", _QB),
-    "feature_extremes": b.oracle(["games"], """SELECT game_id, CASE WHEN location = 'Neutral' THEN 0.0 ELSE 1.0 END AS f_hfa, least(greatest(coalesce(home_rest, 7) - coalesce(away_rest, 7), -7), 7) AS f_rest, coalesce(div_game, 0.0) AS f_div,
-  CASE WHEN roof IN ('dome', 'closed') THEN 1.0 ELSE 0.0 END AS t_dome, CASE WHEN roof IN ('dome', 'closed') THEN 0.0 ELSE coalesce(wind, 0.0) END AS t_wind FROM games"""),
+    "feature_extremes": b.oracle(["games"], """SELECT game_id, CASE WHEN location = 'Neutral' THEN 0e0 ELSE 1e0 END AS f_hfa, least(greatest(coalesce(home_rest, 7) - coalesce(away_rest, 7), -7), 7) AS f_rest, coalesce(div_game, 0.0) AS f_div,
+  CASE WHEN roof IN ('dome', 'closed') THEN 1e0 ELSE 0e0 END AS t_dome, CASE WHEN roof IN ('dome', 'closed') THEN 0.0 ELSE coalesce(wind, 0.0) END AS t_wind FROM games"""),
     "gram_walk_forward": b.oracle(["games"], _GRAM),
     "shrink_slope": b.oracle(["preds"], """SELECT season, market, n, round(k, 6) AS k, round(sqrt(vd - 2 * k * ced + k * k * ve), 6) AS sd FROM (
   SELECT *, CASE WHEN n < 200 OR ve * n <= 1e-12 THEN 0.0 ELSE least(greatest(ced / ve, 0), 1) END AS k FROM (
@@ -332,7 +332,7 @@ FROM ke a LEFT JOIN ke m ON m.fold = a.fold AND m.kind = a.kind AND m.k = -a.k""
 FROM (SELECT *, (abs(coalesce(point, 0) * 2) % 7) * 0.01 AS p_push FROM forecasts) z"""),
     "line_labels": b.oracle(["games"], "SELECT game_id, CASE WHEN spread_line IS NULL THEN 'n/a' WHEN abs(spread_line) < 0.25 THEN 'PK' ELSE concat(CASE WHEN spread_line > 0 THEN home_team ELSE away_team END, ' -', printf('%.1f', abs(spread_line))) END AS label FROM games"),
     "gap_rule": b.oracle(["preds"], "SELECT game_id, CASE WHEN abs(model_margin - spread_line) >= 4 THEN 1 ELSE 0 END AS spread_blocked, CASE WHEN abs(model_total - total_line) >= 4 THEN 1 ELSE 0 END AS total_blocked FROM preds"),
-    "ablation_compare": b.oracle(["preds"], """SELECT target, sum(n) AS n, round(sum(lb) / sum(n), 6) AS logloss_base, round(sum(le) / sum(n), 6) AS logloss_exp, round(sum(le - lb) / sum(n), 6) AS d_logloss, round(sum(db) / sum(n), 6) AS d_brier,
+    "ablation_compare": b.oracle(["preds"], """SELECT target, CAST(sum(n) AS BIGINT) AS n, round(sum(lb) / sum(n), 6) AS logloss_base, round(sum(le) / sum(n), 6) AS logloss_exp, round(sum(le - lb) / sum(n), 6) AS d_logloss, round(sum(db) / sum(n), 6) AS d_brier,
   count(*) FILTER (le - lb < 0) AS seasons_improved, count(*) AS seasons FROM (SELECT target, season, count(*) AS n, sum(-(y * ln(pk) + (1 - y) * ln(1 - pk))) AS lb, sum(-(y * ln(pm) + (1 - y) * ln(1 - pm))) AS le, sum(pow(pm - y, 2) - pow(pk - y, 2)) AS db FROM tg GROUP BY 1, 2) z GROUP BY 1""", T),
     "experiment_gate": b.oracle(["scored"], """SELECT grp0 AS "group", NOT worse AND n > 0 AS passed, CASE WHEN worse THEN 'significantly worse on a target' WHEN n = 0 THEN 'no target improved enough' ELSE 'passes' END AS verdict,
   CASE WHEN NOT worse AND n > 0 THEN ok ELSE '' END AS passed_targets FROM (SELECT grp0, bool_or(m - 0.05 > 0) AS worse, count(*) FILTER (m + 0.02 < 0 AND c >= 5) AS n, string_agg(grp, ',' ORDER BY grp) FILTER (m + 0.02 < 0 AND c >= 5) AS ok

@@ -107,7 +107,7 @@ def quote_windows(valid: DataFrame, kind: str = "tumbling", late_minutes: float
     w = {"tumbling": F.window("odds_time_utc", "5 minutes"), "sliding": F.window("odds_time_utc", "10 minutes", "5 minutes"),
          "session": F.session_window("odds_time_utc", "5 seconds")}[kind]
     d = valid.withWatermark("odds_time_utc", f"{late_minutes:g} minutes")
-    g = d.groupBy(w.alias("w"), "market").agg(F.count("*").alias("quotes"), F.size(F.collect_set("book")).alias("books"),
+    g = d.groupBy(w.alias("w"), "market").agg(F.count("*").alias("quotes"), F.size(F.collect_set("book")).cast("bigint").alias("books"),
                                               F.min("price").alias("low"), F.max("price").alias("high"))
     return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "market", F.col("quotes"), "books", "low", "high")
 
