@@ -26,3 +26,10 @@ def test_oracle(spark, con, sf, name):
 @pytest.mark.parametrize("name", sorted(set(Q) - set(O) - SLOW))
 def test_runs(spark, sf, name):
     Q[name](spark, sf).collect()
+
+
+def test_streamed_ratings_equal_batch_ratings(spark, sf):
+    cols = ["game_id", "f_mrtg", "f_epa", "f_pass", "f_qb", "t_pts"]
+    a = sorted(map(tuple, Q["stream_ratings"](spark, sf).select(*cols).collect()))
+    b = sorted(map(tuple, Q["coupled_ratings"](spark, sf).select(*cols).collect()))
+    assert a == b
