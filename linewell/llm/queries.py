@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from linewell.functions.joins import configure
-from linewell.llm import exact_dedup, language_id, mixing, quality, simhash, url_filter
+from linewell.llm import decontaminate, exact_dedup, language_id, mixing, quality, simhash, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_mixing": op3_mixing,
@@ -42,6 +46,7 @@ QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLES = {
