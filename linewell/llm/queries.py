@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from linewell.functions.joins import configure
-from linewell.llm import decontaminate, exact_dedup, language_id, mixing, quality, simhash, url_filter
+from linewell.llm import decontaminate, exact_dedup, html_extract, language_id, mixing, quality, simhash, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_mixing": op3_mixing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_html_extraction": op5_html_extraction,
     "op6_url_filter": op6_url_filter,
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
