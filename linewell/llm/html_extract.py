@@ -92,9 +92,8 @@ class Page:
         _, inside, furniture = self._stack[-1]
         names = [(k.lower(), v.strip("\"'").lower()) for k, v in NAMES.findall(attributes)] if attributes else []
         words = {w for k, v in names if k != "hidden" for w in re.findall(r"[a-z]+", v)}
-        in_article = any(t in ("article", "main") for t, *_ in self._stack)
         if tag not in ("html", "body", "article", "main"):
-            furniture = furniture or tag in FURNITURE or tag == "header" and not in_article or bool(words & FURNITURE_WORDS) or any(k == "hidden" for k, _ in names)
+            furniture = furniture or tag in FURNITURE or tag == "header" and not any(t in ("article", "main") for t, *_ in self._stack) or bool(words & FURNITURE_WORDS) or any(k == "hidden" for k, _ in names)
         if tag in CONTAINERS:
             classes = "".join("." + re.sub(r"\d+", "", c) for k, v in names if k == "class" for c in sorted(v.split()))
             self.parent.append(inside)

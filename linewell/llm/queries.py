@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from linewell.functions.joins import configure
-from linewell.llm import decontaminate, exact_dedup, html_extract, language_id, mixing, quality, simhash, url_filter
+from linewell.llm import decontaminate, exact_dedup, html_extract, language_id, lm_scoring, mixing, quality, simhash, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_mixing": op3_mixing,
@@ -52,6 +56,7 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLES = {
