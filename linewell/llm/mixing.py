@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linewell.functions.joins import materialise
+from linewell.functions.joins import BROADCAST_BYTES, materialise, planned_bytes
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -76,6 +76,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return ranked.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """Every document as often as the mix takes it, with all its columns and the number of the copy in ``copy`` (``copy_`` where
+    that name is taken). Rows that share an id, or have none, each take the largest number of copies among them."""
+    taken = materialise(mix(docs, id_col, text_col, source_col, **options).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies")), "mix")
+    name = "copy"
+    while name in docs.columns:
+        name += "_"
+    left, right = docs.select(F.struct("*").alias("row")), taken.select(F.col("doc_id").alias("mix_id"), "copies")
+    if planned_bytes(taken) <= BROADCAST_BYTES:
+        right = F.broadcast(right)
+    return left.join(right, F.col("row")[id_col].eqNullSafe(F.col("mix_id"))).select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(name))
+
+
 ORACLE_SQL = rf"""
 WITH t AS (SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 nb AS (SELECT greatest(1, (count(*) + {BLOCK_ROWS - 1}) // {BLOCK_ROWS}) AS blocks FROM t),

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewell.llm.common import held_out, mix64, slices, without, words
+from linewell.llm.common import held_out, mix64, slices, words
 
 BITS = 18
 PER_CLASS = 2500
@@ -166,9 +166,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(feature.astype(np.int32)))], ["y", "f"])
 
     found = rows.mapInArrow(run, "y int, f array<int>").toPandas()
+    lists = [np.asarray(f, np.int64) for f in found["f"]]
     # order by content, so that the fit doesn't depend on the order of partitions
-    order = sorted(range(len(found)), key=lambda i: (found["y"][i], len(found["f"][i]), found["f"][i].tobytes()))
-    sets = [found["f"][i].astype(np.int64) for i in order]
+    order = sorted(range(len(found)), key=lambda i: (found["y"][i], len(lists[i]), lists[i].tobytes()))
+    sets = [lists[i] for i in order]
     y = np.where(found["y"].to_numpy(int)[order] > 0, 1, -1) if order else np.zeros(0, int)
     weight = np.where(y > 0, max(1, sizes.get(1, 1)) / max(1, (y > 0).sum()), max(1, sizes.get(0, 1)) / max(1, (y < 0).sum()))
     return train(sets, y, weight / max(weight.mean(), 1e-9) if len(weight) else weight)
@@ -198,6 +199,14 @@ def quality(docs: DataFrame, labels: DataFrame, modulus: int = 4) -> DataFrame:
     return score(docs, fit(docs, labels, ~held_out("doc_id", modulus)), modulus=modulus)
 
 
-def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents with a score of ``THRESHOLD`` or more, with all their columns; documents without an id stay."""
-    return without(docs, quality(docs, labels).filter("predicted = 0 AND doc_id IS NOT NULL"))
+def passing(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, modulus: int = 4) -> DataFrame:
+    """The documents with a score of ``threshold`` or more, with all their columns and in one pass; rows without an id are scored like others."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, ~held_out("doc_id", modulus), text_col=text_col))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict = {}
+        for batch in slices(batches, at):
+            yield batch.filter(pa.array(shared.value.scores(*features(batch.column(at), cache), batch.num_rows) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -233,4 +233,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = fingerprints(rows, id_col, text_col, 2, parts).select(F.col("doc_id").cast("long").alias("node"), *[f"f{k}" for k in range(parts)]).dropDuplicates(["node"])
     found = materialise(links(marked, layout(parts, 3, [1, 1, 1]), parts, radius, spare=3), "candidates")
     linked = components(similar(found, docs, id_col, text_col, size, least))
-    return without(docs, linked.filter("node <> root").select(F.col("node").cast(docs.schema[id_col].dataType).alias(id_col)), id_col)
+    return without(docs, materialise(linked.filter("node <> root").select(F.col("node").cast(docs.schema[id_col].dataType).alias(id_col)), "copies"), id_col)
