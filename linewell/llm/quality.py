@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     sizes = dict(marked.groupBy("y").count().collect())
     share = F.when(F.col("y") == 1, min(1.0, 1.4 * per_class / sizes.get(1, 1))).otherwise(min(1.0, 1.4 * per_class / sizes.get(0, 1)))  # about 3 of 4 rows are usable
     picked = marked.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = docs.filter(usable).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id").select("y", "text")
+    rows = docs.filter(usable).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("y", "text")  # the sample is bounded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
