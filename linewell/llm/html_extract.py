@@ -128,7 +128,8 @@ class Page:
                 return
 
     def _pop(self, k: int) -> None:
-        self._flush()
+        if any(t in BLOCKS for t, *_ in self._stack[k:]):
+            self._flush()
         self._links -= sum(t == "a" for t, *_ in self._stack[k:])
         del self._stack[k:]
 

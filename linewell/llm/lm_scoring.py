@@ -258,7 +258,8 @@ def score(docs: DataFrame, usable: Column, mark: Column, id_col: str = "doc_id",
             s = Sequence.of(batch.column(3))
             rank, y = v.known(s)
             doc = np.repeat(np.arange(batch.num_rows), np.diff(s.offsets))
-            of_token, rare = rank[s.code], y[s.code] // WIDTH == CLASSES - 1
+            of_token = rank[s.code]
+            rare = (of_token >= 0) & (y[s.code] // WIDTH == CLASSES - 1)  # rare tokens beyond the table get their share in the join below
             base = np.where(of_token >= 0, v.logs[of_token], 0.0)
             model = log_probabilities(v, w, history(s, cache), y[s.code]) / math.log(10) + np.where(rare, base + v.rare_shift, 0.0)
             seen = (of_token >= 0) & (v.counts[of_token] > 0)

@@ -149,8 +149,9 @@ def bucket_links(bucket: np.ndarray, own: np.ndarray, f: np.ndarray, radius: int
     group = np.repeat(np.arange(len(start)), size)
     left = np.flatnonzero(own & ((size > 1) & (owned * size <= SMALL))[group])
     ends = np.cumsum(size[group[left]])
-    for a in range(0, len(left), max(1, CELLS // SMALL)):
-        some = left[a:a + max(1, CELLS // SMALL)]
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(ends // CELLS)) + 1, [len(left)]))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        some = left[a:b]
         n = size[group[some]]
         i = np.repeat(some, n)
         j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[group[some]], n)
