@@ -6,14 +6,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewell.functions.joins import lookup
+from linewell.functions.joins import configure, lookup
 
 SLICE_BYTES = 8 << 20  # text that a Python worker handles at a time; a longer document is a slice of its own
 
 
+def session(spark: SparkSession) -> SparkSession:
+    """The library's session settings, and Arrow batches whose bytes are bounded however long the texts are."""
+    configure(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
+    return spark
+
+
 def bucket_of(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     return F.crc32(F.col(id_col).cast("string")) % F.lit(modulus)

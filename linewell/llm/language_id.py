@@ -4,8 +4,8 @@ A word that the model knows scores by its log frequency per language. An unseen
 4-grams, then 3-, 2- and 1-grams: the longest length of which at least half of its n-grams are known decides, by
 their mean log frequency. A text's score per language is the sum over its words.
 
-The tables come from a sample of labelled documents that is bounded per language, and are cut at ``max_words`` and
-``max_grams`` entries per language and length: the model that goes to the executors is bounded by parameters.
+The tables come from a sample of labelled documents that is bounded per language, and are cut at a number
+of entries: the model that goes to the executors is bounded by parameters.
 """
 from __future__ import annotations
 
@@ -75,8 +75,11 @@ def counted(sample: DataFrame) -> DataFrame:
     return sample.select("lang", "text").mapInArrow(run, "lang string, n int, gram string, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
 
 
-def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 2000, max_langs: int = 200, max_words: int = 20_000, max_grams: int = 20_000) -> Model:
-    """Learns from whole texts of about ``per_lang`` usable labelled documents of each language, picked by a hash of the id."""
+def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 2000, max_langs: int = 200, max_entries: int = 20_000, all_entries: int = 400_000) -> Model:
+    """Learns from whole texts of about ``per_lang`` usable labelled documents of each language, picked by a hash of the id.
+
+    Each language keeps ``max_entries`` words and as many n-grams of each length, less if all would exceed ``all_entries`` a length.
+    """
     labelled = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     langs = sorted(sizes)
@@ -85,7 +88,7 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_lang / sizes[k]))]), F.col("lang"))
     sample = labelled.filter(F.col("lang").isin(langs)).filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
     best = Window.partitionBy("lang", "n").orderBy(F.desc("count"), "gram")
-    kept = counted(sample).filter((F.col("n") > 0) | (F.col("count") > 1)).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams))
+    kept = counted(sample).filter((F.col("n") > 0) | (F.col("count") > 1)).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= min(max_entries, all_entries // len(langs)))
     found = kept.select("lang", "n", "gram", "count").toPandas()
     tables = []
     for n in range(LONGEST + 1):

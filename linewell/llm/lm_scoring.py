@@ -9,8 +9,8 @@ Training reads every training document once, in rounds over disjoint parts. In a
 steps from the shared weights and returns its change; changes are averaged per weight row by how often the row was
 used. What a task returns and what the driver holds is bounded by the table size.
 
-Counts are exact at any vocabulary size: the ``HOT`` most frequent tokens are broadcast (a fixed bound), the others of each
-document meet their counts in a shuffle join.
+Counts are exact at any vocabulary size: tokens with more than 1 / ``HOT`` of all occurrences, fewer than ``HOT`` by that, are
+broadcast; the others of each document meet their counts in a shuffle join.
 """
 from __future__ import annotations
 
@@ -28,7 +28,7 @@ from linewell.functions.joins import materialise
 from linewell.llm.common import held_out, mix64, slices, words
 
 END = "\n"       # no word has white space
-HOT = 1 << 18
+HOT = 1 << 20
 CLASSES = 32     # the last one holds the tokens outside the model's vocabulary
 WIDTH = 32
 BITS = 15
@@ -246,7 +246,8 @@ def score(docs: DataFrame, usable: Column, mark: Column, id_col: str = "doc_id",
     training = rows.filter("usable")
     counts = materialise(token_counts(training), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy((F.col("token") == END).desc(), F.desc("c"), "token").limit(hot).toPandas()
+    top = counts.filter((F.col("token") == END) | (F.col("c") * F.lit(hot) > F.lit(int(total)))).toPandas()
+    top = top.assign(later=top["token"] != END, less=-top["c"]).sort_values(["later", "less", "token"])
     v = Vocabulary(top["token"].tolist() or [END], top["c"].to_numpy(np.int64) if len(top) else np.zeros(1, np.int64), int(total), int(distinct))
     sc = docs.sparkSession.sparkContext
     vocabulary, weights = sc.broadcast(v), sc.broadcast(trained(training, v, F.xxhash64("doc_id")))

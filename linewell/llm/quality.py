@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors.
 
-Features are indicators of hashed n-grams: words and word pairs, and shapes of words (letters as a or A, digits as 9,
-runs shortened) and pairs of them. Each indicator is scaled by the log ratio of its smoothed shares in the two
+Features are indicators of hashed n-grams: words and word pairs, shapes of words (letters as a or A, digits as 9,
+runs shortened) and pairs of them, and words that follow themselves once or twice. Each indicator is scaled by the log ratio of its smoothed shares in the two
 classes, a text's scaled vector is brought to length 1, and a linear hinge-loss model is fitted by dual coordinate
 descent. A logistic curve, fitted to margins of held-back folds, turns margins into probabilities.
 
@@ -56,6 +56,8 @@ def features(text: pa.Array, cache: dict[str, tuple[int, int]]) -> tuple[np.ndar
         found.append((doc << BITS) | (mix64(h) >> np.uint64(64 - BITS)).astype(np.int64))
         two = mix64(h[:-1] * np.uint64(0x2545F4914F6CDD1D) + h[1:])
         found.append(((doc[1:] << BITS) | (two >> np.uint64(64 - BITS)).astype(np.int64))[pair])
+    same = (codes[1:] == codes[:-1]) & pair
+    found += [doc[1:][same] << BITS, (doc[2:][same[1:] & same[:-1]] << BITS) | 1]
     both = np.unique(np.concatenate(found))
     return both >> BITS, both & ((1 << BITS) - 1)
 

@@ -3,12 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linewell.functions.joins import configure
 from linewell.llm import decontaminate, exact_dedup, html_extract, language_id, lm_scoring, mixing, quality, simhash, suffix_dedup, url_filter
+from linewell.llm.common import session
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,9 @@ from linewell.llm.suffix_array import common_prefixes, suffix_array
 LENGTH = 50
 PART = 16
 ARRAY_BYTES = 3 << 20        # of one suffix array
-BUCKET_BYTES = 16 << 20      # of text for each bucket of anchors
+BUCKET_BYTES = 64 << 20      # of text for each bucket of anchors
+SHARD_BYTES = 6 << 20        # of text for each shard; runs under shared anchors are about as large
+TEXT_BYTES = 2 << 20         # of text that is hashed at a time
 HOT_SHARE, HOT_LEAST = 200_000, 2000  # an anchor is hot above this share of all anchors: the list is bounded
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 NOBODY = np.uint32(0xFFFFFFFF)
@@ -94,10 +96,10 @@ def buckets_of(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]
 
 
 def shared_anchors(rows: DataFrame, buckets: int, hot: int) -> DataFrame:
-    """(doc_id, anchor) of anchors that other documents have as well, and (null, anchor) of hot ones."""
+    """(doc_id, anchors) that other documents have as well, in several rows; and hot ones under a null id."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "base", "own", "tag", "doc", "n"]
-        for turn, batch in enumerate(slices(batches)):
+        for turn, batch in enumerate(slices(batches, limit=TEXT_BYTES)):
             ids = batch.column(0).to_numpy()
             runs = Runs(*buffer_of(batch.column(1)))
             anchor, doc = anchor_ids(runs.anchor, buckets), ids[runs.doc]
@@ -112,16 +114,19 @@ def shared_anchors(rows: DataFrame, buckets: int, hot: int) -> DataFrame:
             n = np.diff(np.append(start, len(anchor)))
             ref = np.where(n > 1, nobody, (doc[start] - base).astype(wide)).astype(wide)
             bucket, tag = (anchor[start] >> np.uint64(32)).astype(np.int64), (anchor[start] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            some = [k for k in range(buckets) if cut[k] < cut[k + 1]]
+            some, cut = np.unique(bucket, return_index=True)
+            spans = list(zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)]))
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([base] * len(some), pa.int64()), pa.array([False] * len(some), pa.bool_()), *[
-                pa.array([x[cut[k]:cut[k + 1]].tobytes() for k in some], pa.binary()) for x in (tag, ref, n.astype(np.uint32))]], names)
+                pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (tag, ref, n.astype(np.uint32))]], names)
             known = np.repeat(n > 1, n)  # shared inside the slice
             yield pa.RecordBatch.from_arrays([pa.array([turn % buckets], pa.int64()), pa.array([0], pa.int64()), pa.array([True]), pa.array([anchor[known].tobytes()], pa.binary()), pa.array([doc[known].tobytes()], pa.binary()), pa.array([b""], pa.binary())], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(doc: np.ndarray, anchor: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(anchor.astype(np.uint64).view(np.int64))], ["doc_id", "anchor"])
+            order = np.argsort(doc, kind="stable")
+            ids, start = np.unique(doc[order], return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(doc)).astype(np.int32)), pa.array(anchor[order].astype(np.uint64).view(np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["doc_id", "anchors"])
 
         for bucket, held in buckets_of(batches):
             for r in held:
@@ -142,11 +147,12 @@ def shared_anchors(rows: DataFrame, buckets: int, hot: int) -> DataFrame:
             keep = alone & np.repeat(total > 1, size)
             high = np.uint64(bucket << 32)
             yield out(doc[keep], high | tag[keep].astype(np.uint64))
-            often = tag[start[total > hot]].astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(often), pa.int64()), pa.array((high | often).view(np.int64))], ["doc_id", "anchor"])
+            often = (high | tag[start[total > hot]].astype(np.uint64)).view(np.int64)
+            if len(often):
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([often.tolist()], pa.list_(pa.int64()))], ["doc_id", "anchors"])
 
     sent = rows.mapInArrow(send, "bucket long, base long, own boolean, tag binary, doc binary, n binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "doc_id long, anchor long")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "doc_id long, anchors array<long>")
 
 
 def representatives(data: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -179,13 +185,13 @@ def ranges(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], ["doc_id", "begin", "end"])
 
 
-def pieces(rows: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
-    """Runs under shared anchors by bucket: documents, places, sizes and bytes; and ranges that the slice itself decides (own)."""
+def pieces(rows: DataFrame, buckets: int, shards: int, hot: np.ndarray) -> DataFrame:
+    """Runs under shared anchors by shard (bucket): documents, places, sizes, tags of anchors and bytes; and ranges that the slice itself decides (own)."""
     shared = rows.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "own", "doc", "place", "size", "bytes"]
-        for turn, batch in enumerate(slices(batches, 1)):
+        names = ["bucket", "own", "doc", "place", "size", "tag", "bytes"]
+        for turn, batch in enumerate(slices(batches, 1, TEXT_BYTES)):
             ids = batch.column(0).to_numpy()
             data, offsets = buffer_of(batch.column(1))
             runs = Runs(data, offsets)
@@ -199,25 +205,24 @@ def pieces(rows: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
             # strings of hot anchors go one by one
             n = (last - begin + 1)[often]
             single = np.repeat(begin[often], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            bucket = np.concatenate([(anchor[~often] >> np.uint64(32)).astype(np.int64), (runs.string_hash(single) % np.uint64(buckets)).astype(np.int64)])
+            tag = mix64(np.concatenate([anchor[~often], runs.string_hash(single)]))
+            bucket, tag = (tag % np.uint64(shards)).astype(np.int64), (tag >> np.uint64(32)).astype(np.uint32)
             size = np.concatenate([(last - begin)[~often] + LENGTH, np.full(len(single), LENGTH)])
             doc = np.concatenate([doc[~often], np.repeat(doc[often], n)])
             begin = np.concatenate([begin[~often], single])
             place, owner = begin - offsets[doc], ids[doc]
             rep = representatives(data, begin, size, owner)
             later = owner > owner[rep]
-            yield pa.RecordBatch.from_arrays([pa.array([turn % buckets], pa.int64()), pa.array([True]), *[pa.array([x.tobytes()], pa.binary()) for x in (owner[later], place[later], size[later])], pa.array([b""], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([turn % shards], pa.int64()), pa.array([True]), *[pa.array([x.tobytes()], pa.binary()) for x in (owner[later], place[later], size[later])], *[pa.array([b""], pa.binary())] * 2], names)
             order = np.argsort(bucket[~later], kind="stable")
-            bucket, owner, place, size, begin = (x[~later][order] for x in (bucket, owner, place, size, begin))
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
+            bucket, owner, place, size, begin, tag = (x[~later][order] for x in (bucket, owner, place, size, begin, tag))
+            some, cut = np.unique(bucket, return_index=True)
             picked = data[np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
             to = np.concatenate(([0], np.cumsum(size)))
-            for k in range(buckets):
-                a, b = cut[k], cut[k + 1]
-                if a < b:
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([False]), *[pa.array([x[a:b].tobytes()], pa.binary()) for x in (owner, place, size)], pa.array([picked[to[a]:to[b]].tobytes()], pa.binary())], names)
+            for k, a, b in zip(some.tolist(), cut.tolist(), [*cut[1:].tolist(), len(bucket)]):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([False]), *[pa.array([x[a:b].tobytes()], pa.binary()) for x in (owner, place, size, tag)], pa.array([picked[to[a]:to[b]].tobytes()], pa.binary())], names)
 
-    return rows.mapInArrow(run, "bucket long, own boolean, doc binary, place binary, size binary, bytes binary")
+    return rows.mapInArrow(run, "bucket long, own boolean, doc binary, place binary, size binary, tag binary, bytes binary")
 
 
 def shard_groups(data: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -285,13 +290,17 @@ def removed(sent: DataFrame, array_bytes: int) -> DataFrame:
             if not held:
                 continue
             doc, place, size = (np.concatenate([np.frombuffer(r[c], np.int64) for r in held]) for c in ("doc", "place", "size"))
-            data = np.concatenate([np.frombuffer(r["bytes"], np.uint8) for r in held])
+            data, tag = np.concatenate([np.frombuffer(r["bytes"], np.uint8) for r in held]), np.concatenate([np.frombuffer(r["tag"], np.uint32) for r in held])
             held.clear()
             begin = np.cumsum(size) - size
             rep = representatives(data, begin, size, doc)
             later = doc > doc[rep]
             yield ranges(doc[later], place[later], (place + size)[later])
             own = np.flatnonzero(~later)  # distinct contents, but for repeats inside a document
+            _, kind, times = np.unique(tag[own], return_inverse=True, return_counts=True)
+            own = own[times[kind] > 1]  # the only content of its anchor shares nothing
+            if not len(own):
+                continue
             n = size[own]
             picked = data[np.repeat(begin[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
             covered = repeated(picked, n, doc[own], array_bytes)
@@ -305,7 +314,7 @@ def removed(sent: DataFrame, array_bytes: int) -> DataFrame:
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, begin long, end long")
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", array_bytes: int = ARRAY_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_least: int = HOT_LEAST, keep_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", array_bytes: int = ARRAY_BYTES, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES, hot_least: int = HOT_LEAST, keep_text: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep_text`` the bytes that stay.
 
     Texts are UTF-8 bytes, null is empty. Rows without an id, and texts under 50 bytes, neither lose nor take anything.
@@ -315,11 +324,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     long_rows = rows.filter("doc_id IS NOT NULL").filter(F.octet_length("text") >= LENGTH)
     volume = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(4, -(-volume // bucket_bytes))
+    buckets, shards = max(4, -(-volume // bucket_bytes)), max(4, -(-volume // shard_bytes))
     told = materialise(shared_anchors(long_rows, buckets, max(hot_least, volume // 18 // HOT_SHARE)), "anchors")
-    hot = told.filter("doc_id IS NULL").select("anchor").toPandas()["anchor"].to_numpy(np.int64).view(np.uint64)  # HOT_SHARE at most
-    of_doc = told.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    found = materialise(removed(pieces(long_rows.join(of_doc, "doc_id").select("doc_id", "text", "anchors"), buckets, hot), array_bytes), "ranges")
+    hot = told.filter("doc_id IS NULL").select(F.explode("anchors").alias("a")).toPandas()["a"].to_numpy(np.int64).view(np.uint64)  # about HOT_SHARE at most
+    of_doc = told.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
+    found = materialise(removed(pieces(long_rows.join(of_doc, "doc_id").select("doc_id", "text", "anchors"), buckets, shards, hot), array_bytes), "ranges")
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ def check(rows, out, hot):
 def test_base_scores(spark, table_of):
     rows = [(k, f"The cat {k % 5} sat on the mat" if k % 3 else f"Ein hund {k} lief \x0b weg") for k in range(60)]
     rows += [(100, None), (101, ""), (102, "unseen words only"), (None, "the cat"), (None, "other text"), (7, rows[7][1]), (7, rows[7][1]), (103, "the rare " * 20_000), (104, "NEW \u00c4"), (100, "again")]
-    for hot in (4, 1 << 18):
+    for hot in (4, 1 << 20):
         out = lm.held_out("doc_id", 7)
         check(rows, lm.score(table_of(rows), ~out, out, hot=hot).collect(), hot)
     assert lm.lm_scores(table_of([])).collect() == []
@@ -34,9 +34,9 @@ def test_base_scores(spark, table_of):
 
 
 def test_hot_limit_changes_nothing(table_of):
-    rows = [(k, f"w{k % 7} w{k % 11} x{k} y{k} z{k}") for k in range(700)]
+    rows = [(k, " ".join(f"w{x}" for x in range(1100) if (x * 7919 + k) % (3 + x) < 3)) for k in range(60)]
     out = lm.held_out("doc_id", 7)
-    scores = [{r.doc_id: r.score for r in lm.score(table_of(rows), ~out, out, hot=h).collect()} for h in (1200, 1 << 18)]  # both above the model's vocabulary
+    scores = [{r.doc_id: r.score for r in lm.score(table_of(rows), ~out, out, hot=h).collect()} for h in (2500, 1 << 20)]
     assert all(math.isclose(scores[0][k], scores[1][k], rel_tol=1e-6) for k in scores[0])
 
 

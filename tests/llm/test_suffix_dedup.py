@@ -56,7 +56,7 @@ def corpus(n):
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"array_bytes": 500, "bucket_bytes": 1 << 30}, {"array_bytes": 2000, "hot_least": 3, "bucket_bytes": 3000}])
+@pytest.mark.parametrize("options", [{}, {"array_bytes": 500}, {"array_bytes": 2000, "hot_least": 3, "bucket_bytes": 3000, "shard_bytes": 3000}])
 def test_against_brute_force(table_of, options):
     """With small arrays shards merge by binary search; with a low limit for hot anchors most strings go one by one."""
     rows = corpus(80)
