@@ -213,7 +213,7 @@ def similar(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size:
             for x, y in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist()):
                 p, q = np.unique(shingle_hashes(x, size)), np.unique(shingle_hashes(y, size))
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(bool(len(p)) and both >= least * (len(p) + len(q) - both))
+                keep.append(bool(len(p)) and both >= least * (len(p) + len(q) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
