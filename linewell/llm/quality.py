@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewell.llm.common import held_out, mix64, slices, words
@@ -152,13 +152,14 @@ def train(sets: list[np.ndarray], y: np.ndarray, weight: np.ndarray, folds: int
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Model:
-    """Learns from about ``per_class`` usable labelled documents of each class. A document with several labels counts as the highest."""
-    marked = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Model:
+    """Learns from about ``per_class`` labelled documents of each class that aren't held out. A document with several labels counts as the highest."""
+    marked = (labels.filter(~held_out(id_col, modulus)).filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
+              .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y")))
     sizes = dict(marked.groupBy("y").count().collect())
-    share = F.when(F.col("y") == 1, min(1.0, 1.4 * per_class / sizes.get(1, 1))).otherwise(min(1.0, 1.4 * per_class / sizes.get(0, 1)))  # about 3 of 4 rows are usable
+    share = F.when(F.col("y") == 1, min(1.0, per_class / sizes.get(1, 1))).otherwise(min(1.0, per_class / sizes.get(0, 1)))
     picked = marked.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = docs.filter(usable).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("y", "text")  # the sample is bounded
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("y", "text")  # the sample is bounded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
@@ -198,12 +199,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def quality(docs: DataFrame, labels: DataFrame, modulus: int = 4) -> DataFrame:
     """Learns from labelled documents that aren't held out and scores every document; see ``fit`` and ``score``."""
-    return score(docs, fit(docs, labels, ~held_out("doc_id", modulus)), modulus=modulus)
+    return score(docs, fit(docs, labels, modulus), modulus=modulus)
 
 
 def passing(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, modulus: int = 4) -> DataFrame:
     """The documents with a score of ``threshold`` or more, with all their columns and in one pass; rows without an id are scored like others."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, ~held_out("doc_id", modulus), text_col=text_col))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, modulus, text_col=text_col))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

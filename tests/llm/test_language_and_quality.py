@@ -81,7 +81,7 @@ def test_quality_cases(spark, table_of):
     s = dict(own)
     assert s[1] == s[2] and s[3] > s[4] and s[None] > s[4]
     kept = quality.passing(docs, labels)
-    assert kept.columns == docs.columns and sorted(map(repr, kept.collect())) == sorted(repr(d) for d, r in zip(docs.collect(), quality.score(docs, quality.fit(docs, labels, ~held_out("doc_id", 4))).collect()) if r.predicted)
+    assert kept.columns == docs.columns and sorted(map(repr, kept.collect())) == sorted(repr(d) for d, r in zip(docs.collect(), quality.score(docs, quality.fit(docs, labels)).collect()) if r.predicted)
     assert {r.score for r in quality.quality(docs, labels.limit(0)).collect()} == {0.5}
     assert len({r.score for r in quality.quality(docs, labels.filter("quality = 1")).collect()}) == 1
     assert quality.quality(table_of([]), labels).collect() == []
