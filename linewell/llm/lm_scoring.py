@@ -30,7 +30,7 @@ from linewell.llm.common import held_out, mix64, slices, words
 END = "\n"       # no word has white space
 HOT = 1 << 20
 CLASSES = 32     # the last one holds the tokens outside the model's vocabulary
-WIDTH = 32
+WIDTH = CLASSES
 BITS = 15
 ROUNDS = 2
 RATE = 0.15
@@ -38,6 +38,7 @@ BATCH = 1 << 14
 BLOCK = 512      # weight rows that travel together
 FEATURES = 4
 CACHE = 300_000
+LARGEST = 15.0    # of a weight
 MASK = (1 << BITS) - 1
 
 
@@ -89,8 +90,9 @@ class Vocabulary:
         present = table >= 0
         sums = np.where(present, table + 0.5, 0).sum(axis=1)
         sums[-1] = self.rare_total + 1
-        self.class_bias = np.where(sums > 0, np.log(np.maximum(sums, 1e-9)), -1e4).astype(np.float32)
-        self.slot_bias = np.where(present, np.log(np.where(present, table + 0.5, 1)), -1e4).astype(np.float32)
+        share = np.where(present, table + 0.5, 1) / np.maximum(sums, 1)[:, None]
+        self.class_bias = np.where(sums > 0, np.log(np.maximum(sums, 1e-9) / sums.sum()), -1e4).astype(np.float32)
+        self.slot_bias = np.where(present, np.log(share), -1e4).astype(np.float32)
 
     def known(self, s: Sequence) -> tuple[np.ndarray, np.ndarray]:
         """Rank of every name, -1 outside the table; and its number in the model, the last class standing for all others."""
@@ -126,9 +128,31 @@ def within(rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return rows ^ ((cls * 1013) & MASK).astype(np.uint16)[:, None]
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+ONES = np.ones(CLASSES, np.float32)  # as wide as a class
+
+
+def exponents(table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Sums of the weight rows of every history and the bias. Biases are at most 0 and rows within ``LARGEST``, so exp() stays in range."""
+    x = np.take(table, rows[:, 0], axis=0, mode="clip")
+    x += bias
+    for k in range(1, FEATURES):
+        x += np.take(table, rows[:, k], axis=0, mode="clip")
+    return x
+
+
+def log_at(x: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Log softmax of one column of each row; uses up x."""
+    at = x[np.arange(len(column)), column]
+    np.exp(x, out=x)
+    return at - np.log(x @ ONES)
+
+
+def residual(x: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Gradient of the loss: softmax less one in the given column of each row; in place of x."""
+    np.exp(x, out=x)
+    x /= (x @ ONES)[:, None]
+    x[np.arange(len(column)), column] -= 1
+    return x
 
 
 @dataclass
@@ -147,9 +171,9 @@ def log_probabilities(v: Vocabulary, w: Weights, rows: np.ndarray, y: np.ndarray
     cls, slot = y // WIDTH, y % WIDTH
     for a in range(0, len(y), BATCH):
         b = slice(a, a + BATCH)
-        out[b] = log_softmax(v.class_bias + w.classes[rows[b]].sum(axis=1))[np.arange(len(cls[b])), cls[b]]
+        out[b] = log_at(exponents(w.classes, rows[b], v.class_bias), cls[b])
         some = a + np.flatnonzero(cls[b] < CLASSES - 1)
-        out[some] += log_softmax(v.slot_bias[cls[some]] + w.slots[within(rows[some], cls[some])].sum(axis=1))[np.arange(len(some)), slot[some]]
+        out[some] += log_at(exponents(w.slots, within(rows[some], cls[some]), v.slot_bias[cls[some]]), slot[some])
     return out
 
 
@@ -167,10 +191,10 @@ class Trainer:
         sorted_rows = flat[order]
         first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
         touched, n = sorted_rows[first], np.diff(np.append(first, len(order)))
-        total = np.add.reduceat(grad[order // FEATURES], first, axis=0)
-        mean = total / np.sqrt(n)[:, None].astype(np.float32)
-        self.square[kind, touched] += (mean * mean).mean(axis=1)
-        table[touched] -= np.float32(RATE) * mean / np.sqrt(self.square[kind, touched])[:, None]
+        total = np.add.reduceat(np.take(grad, order // FEATURES, axis=0), first, axis=0)
+        self.square[kind, touched] += np.einsum("ij,ij->i", total, total) / (n * total.shape[1])
+        total *= (RATE / np.sqrt(n * self.square[kind, touched])).astype(np.float32)[:, None]
+        table[touched] -= total
         self.used[kind, touched] += n
 
     def learn(self, rows: np.ndarray, y: np.ndarray) -> None:
@@ -178,15 +202,11 @@ class Trainer:
         for a in range(0, len(y), BATCH):
             b = slice(a, a + BATCH)
             r, c = rows[b], cls[b]
-            grad = np.exp(log_softmax(self.v.class_bias + self.w.classes[r].sum(axis=1)))
-            grad[np.arange(len(c)), c] -= 1
-            self._step(0, self.w.classes, r, grad)
+            self._step(0, self.w.classes, r, residual(exponents(self.w.classes, r, self.v.class_bias), c))
             some = np.flatnonzero(c < CLASSES - 1)
             if len(some):
                 r2 = within(r[some], c[some])
-                grad = np.exp(log_softmax(self.v.slot_bias[c[some]] + self.w.slots[r2].sum(axis=1)))
-                grad[np.arange(len(some)), slot[b][some]] -= 1
-                self._step(1, self.w.slots, r2, grad)
+                self._step(1, self.w.slots, r2, residual(exponents(self.w.slots, r2, self.v.slot_bias[c[some]]), slot[b][some]))
 
     def changes(self, start: Weights) -> Iterator[tuple[int, bytes, bytes]]:
         """(block, uses per row, change per row) of the blocks that were used."""
@@ -228,7 +248,8 @@ def trained(docs: DataFrame, v: Vocabulary, part: Column) -> Weights:
         for block, change in changes.repartition("block").mapInArrow(average, "block long, change binary").collect():  # a row per block of the table
             kind, k = divmod(block, (1 << BITS) // BLOCK)
             table = (w.classes, w.slots)[kind]
-            table[k * BLOCK:(k + 1) * BLOCK] += np.frombuffer(change, np.float32).reshape(BLOCK, -1)
+            own = table[k * BLOCK:(k + 1) * BLOCK]
+            np.clip(own + np.frombuffer(change, np.float32).reshape(BLOCK, -1), -LARGEST, LARGEST, out=own)
     return w
 
 
