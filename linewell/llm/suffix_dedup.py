@@ -192,6 +192,9 @@ def pieces(rows: DataFrame, buckets: int, shards: int, hot: np.ndarray) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "own", "doc", "place", "size", "tag", "bytes"]
         for turn, batch in enumerate(slices(batches, 1, TEXT_BYTES)):
+            batch = batch.filter(pc.is_valid(batch.column(2)))
+            if not batch.num_rows:
+                continue
             ids = batch.column(0).to_numpy()
             data, offsets = buffer_of(batch.column(1))
             runs = Runs(data, offsets)
@@ -213,14 +216,15 @@ def pieces(rows: DataFrame, buckets: int, shards: int, hot: np.ndarray) -> DataF
             place, owner = begin - offsets[doc], ids[doc]
             rep = representatives(data, begin, size, owner)
             later = owner > owner[rep]
-            yield pa.RecordBatch.from_arrays([pa.array([turn % shards], pa.int64()), pa.array([True]), *[pa.array([x.tobytes()], pa.binary()) for x in (owner[later], place[later], size[later])], *[pa.array([b""], pa.binary())] * 2], names)
+            yield pa.RecordBatch.from_arrays([pa.array([turn % shards], pa.int64()), pa.array([True]), *[pa.array([x.tobytes()], pa.binary()) for x in (owner[later], place[later].astype(np.uint32), size[later].astype(np.uint32))], *[pa.array([b""], pa.binary())] * 2], names)
             order = np.argsort(bucket[~later], kind="stable")
             bucket, owner, place, size, begin, tag = (x[~later][order] for x in (bucket, owner, place, size, begin, tag))
             some, cut = np.unique(bucket, return_index=True)
             picked = data[np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
             to = np.concatenate(([0], np.cumsum(size)))
             for k, a, b in zip(some.tolist(), cut.tolist(), [*cut[1:].tolist(), len(bucket)]):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([False]), *[pa.array([x[a:b].tobytes()], pa.binary()) for x in (owner, place, size, tag)], pa.array([picked[to[a]:to[b]].tobytes()], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([False]), *[pa.array([x[a:b].tobytes()], pa.binary()) for x in (owner, place.astype(np.uint32), size.astype(np.uint32), tag)],
+                                                  pa.array([pa.compress(picked[to[a]:to[b]].tobytes(), "zstd", asbytes=True)], pa.binary())], names)
 
     return rows.mapInArrow(run, "bucket long, own boolean, doc binary, place binary, size binary, tag binary, bytes binary")
 
@@ -280,17 +284,22 @@ def repeated(data: np.ndarray, size: np.ndarray, doc: np.ndarray, array_bytes: i
 
 def removed(sent: DataFrame, array_bytes: int) -> DataFrame:
     """(doc_id, begin, end) of byte ranges to remove; ranges of a document may touch or overlap."""
+    def numbers(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.frombuffer(r["doc"], np.int64), np.frombuffer(r["place"], np.uint32).astype(np.int64), np.frombuffer(r["size"], np.uint32).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in buckets_of(batches):
             for r in held:
                 if r["own"]:
-                    doc, place, size = (np.frombuffer(r[c], np.int64) for c in ("doc", "place", "size"))
+                    doc, place, size = numbers(r)
                     yield ranges(doc, place, place + size)
             held = [r for r in held if not r["own"]]
             if not held:
                 continue
-            doc, place, size = (np.concatenate([np.frombuffer(r[c], np.int64) for r in held]) for c in ("doc", "place", "size"))
-            data, tag = np.concatenate([np.frombuffer(r["bytes"], np.uint8) for r in held]), np.concatenate([np.frombuffer(r["tag"], np.uint32) for r in held])
+            sent = [numbers(r) for r in held]
+            data = np.concatenate([np.frombuffer(pa.decompress(r["bytes"], int(size.sum()), "zstd"), np.uint8) for r, (_, _, size) in zip(held, sent)])
+            doc, place, size = (np.concatenate(x) for x in zip(*sent))
+            tag = np.concatenate([np.frombuffer(r["tag"], np.uint32) for r in held])
             held.clear()
             begin = np.cumsum(size) - size
             rep = representatives(data, begin, size, doc)
@@ -328,7 +337,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     told = materialise(shared_anchors(long_rows, buckets, max(hot_least, volume // 18 // HOT_SHARE)), "anchors")
     hot = told.filter("doc_id IS NULL").select(F.explode("anchors").alias("a")).toPandas()["a"].to_numpy(np.int64).view(np.uint64)  # about HOT_SHARE at most
     of_doc = told.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
-    found = materialise(removed(pieces(long_rows.join(of_doc, "doc_id").select("doc_id", "text", "anchors"), buckets, shards, hot), array_bytes), "ranges")
+    # both joins take all rows by id, so that the texts are shuffled once and the exchange is used again
+    found = removed(pieces(rows.join(of_doc, "doc_id", "left").select("doc_id", "text", "anchors"), buckets, shards, hot), array_bytes)
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
