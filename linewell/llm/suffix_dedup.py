@@ -96,7 +96,7 @@ def buckets_of(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]
 
 
 def shared_anchors(rows: DataFrame, buckets: int, hot: int) -> DataFrame:
-    """(doc_id, anchors) that other documents have as well, in several rows; and hot ones under a null id."""
+    """(doc_id, anchor) of anchors that other documents have as well, and (null, anchor) of hot ones."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "base", "own", "tag", "doc", "n"]
         for turn, batch in enumerate(slices(batches, limit=TEXT_BYTES)):
@@ -123,10 +123,7 @@ def shared_anchors(rows: DataFrame, buckets: int, hot: int) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(doc: np.ndarray, anchor: np.ndarray) -> pa.RecordBatch:
-            order = np.argsort(doc, kind="stable")
-            ids, start = np.unique(doc[order], return_index=True)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(doc)).astype(np.int32)), pa.array(anchor[order].astype(np.uint64).view(np.int64)))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["doc_id", "anchors"])
+            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(anchor.astype(np.uint64).view(np.int64))], ["doc_id", "anchor"])
 
         for bucket, held in buckets_of(batches):
             for r in held:
@@ -147,12 +144,11 @@ def shared_anchors(rows: DataFrame, buckets: int, hot: int) -> DataFrame:
             keep = alone & np.repeat(total > 1, size)
             high = np.uint64(bucket << 32)
             yield out(doc[keep], high | tag[keep].astype(np.uint64))
-            often = (high | tag[start[total > hot]].astype(np.uint64)).view(np.int64)
-            if len(often):
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([often.tolist()], pa.list_(pa.int64()))], ["doc_id", "anchors"])
+            often = tag[start[total > hot]].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(often), pa.int64()), pa.array((high | often).view(np.int64))], ["doc_id", "anchor"])
 
     sent = rows.mapInArrow(send, "bucket long, base long, own boolean, tag binary, doc binary, n binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "doc_id long, anchors array<long>")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "doc_id long, anchor long")
 
 
 def representatives(data: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -335,8 +331,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     volume = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets, shards = max(4, -(-volume // bucket_bytes)), max(4, -(-volume // shard_bytes))
     told = materialise(shared_anchors(long_rows, buckets, max(hot_least, volume // 18 // HOT_SHARE)), "anchors")
-    hot = told.filter("doc_id IS NULL").select(F.explode("anchors").alias("a")).toPandas()["a"].to_numpy(np.int64).view(np.uint64)  # about HOT_SHARE at most
-    of_doc = told.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
+    hot = told.filter("doc_id IS NULL").select("anchor").toPandas()["anchor"].to_numpy(np.int64).view(np.uint64)  # about HOT_SHARE at most
+    of_doc = told.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
     # both joins take all rows by id, so that the texts are shuffled once and the exchange is used again
     found = removed(pieces(rows.join(of_doc, "doc_id", "left").select("doc_id", "text", "anchors"), buckets, shards, hot), array_bytes)
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
