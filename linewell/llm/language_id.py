@@ -37,18 +37,35 @@ def grams(word: str, n: int) -> list[str]:
 @dataclass
 class Model:
     langs: list[str]
-    tables: list[dict[str, np.ndarray]]  # of words, then of n-grams of length 1 to LONGEST: log frequency per language
+    tables: list[dict[str, int]]  # of words, then of n-grams of length 1 to LONGEST: rows of ``logs``
+    logs: np.ndarray              # log frequency per language
 
-    def of_word(self, word: str) -> np.ndarray:
+    @staticmethod
+    def of(langs: list[str], tables: list[dict[str, np.ndarray]]) -> Model:
+        rows = [v for t in tables for v in t.values()]
+        starts = np.cumsum([0, *map(len, tables)])
+        return Model(langs, [dict(zip(t, range(a, a + len(t)))) for t, a in zip(tables, starts.tolist())], np.array(rows, np.float64).reshape(len(rows), max(1, len(langs))))
+
+    def rows(self, word: str) -> list[int]:
+        """Rows whose mean is the word's score."""
         known = self.tables[0].get(word)
         if known is not None:
-            return known
+            return [known]
         for n in range(LONGEST, 0, -1):
             parts = grams(word, n)
-            found = [v for v in map(self.tables[n].get, parts) if v is not None]
+            found = [r for r in map(self.tables[n].get, parts) if r is not None]
             if parts and 2 * len(found) >= len(parts):
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs), np.float32)
+                return found
+        return []
+
+    def of_token(self, token: str) -> tuple[bool, list[int], list[float]]:
+        """Whether the token has a letter; rows of all its words and their weights."""
+        found = [w for w in LETTERS.findall(token.lower()) if w.isalpha() or any(map(str.isalpha, w))]
+        if len(found) == 1:
+            rows = self.rows(found[0])
+            return True, rows, [1 / len(rows)] * len(rows) if rows else rows
+        each = [self.rows(w) for w in found]
+        return bool(found), [r for x in each for r in x], [1 / len(x) for x in each for _ in x]
 
 
 def counted(sample: DataFrame) -> DataFrame:
@@ -84,7 +101,7 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], [{} for _ in range(LONGEST + 1)])
+        return Model.of([], [{} for _ in range(LONGEST + 1)])
     share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_lang / sizes[k]))]), F.col("lang"))
     sample = labelled.filter(F.col("lang").isin(langs)).filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
     best = Window.partitionBy("lang", "n").orderBy(F.desc("count"), "gram")
@@ -96,7 +113,7 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
         counts = wide.to_numpy(np.float64) + 0.5
         logs = np.log(counts / counts.sum(axis=0, keepdims=True)).astype(np.float32) if len(counts) else counts
         tables.append(dict(zip(wide.index, logs)))
-    return Model(langs, tables)
+    return Model.of(langs, tables)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", modulus: int = 4) -> DataFrame:
@@ -110,26 +127,26 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        cache: dict[str, tuple[bool, np.ndarray]] = {}
-        none = np.zeros(max(1, len(m.langs)), np.float32)
-
-        def of_token(token: str) -> tuple[bool, np.ndarray]:
-            known = cache.get(token)
-            if known is None:
-                found = [w for w in LETTERS.findall(token.lower()) if any(map(str.isalpha, w))]
-                known = (bool(found), sum(map(m.of_word, found), none)) if m.langs else (False, none)
-                if len(cache) >= CACHE:
-                    cache.clear()
-                cache[token] = known
-            return known
-
+        cache: dict[str, tuple[bool, list[int], list[float]]] = {}
         for batch in slices(batches):
             offsets, codes, names = words(batch.column(2), lower=False)
-            each = [of_token(t) for t in names.to_pylist()]
-            letters = np.array([e[0] for e in each], bool)[codes] if len(codes) else np.zeros(0, bool)
-            vectors = np.array([e[1] for e in each], np.float64).reshape(len(each), len(none))
+            has, rows, weights, counts = [], [], [], []
+            for token in names.to_pylist():
+                known = cache.get(token)
+                if known is None:
+                    known = m.of_token(token)
+                    if len(cache) >= CACHE:
+                        cache.clear()
+                    cache[token] = known
+                has.append(known[0] and bool(m.langs))
+                rows += known[1]
+                weights += known[2]
+                counts.append(len(known[1]))
+            letters = np.array(has, bool)[codes]
+            part, weight, token_of = m.logs[np.array(rows, np.int64)], np.array(weights, np.float64), np.repeat(np.arange(len(counts)), counts)
+            vectors = np.stack([np.bincount(token_of, part[:, k] * weight, minlength=len(counts)) for k in range(m.logs.shape[1])], axis=1)
             doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            sums = np.stack([np.bincount(doc, vectors[codes, k], minlength=len(offsets) - 1) for k in range(len(none))], axis=1)
+            sums = np.stack([np.bincount(doc, vectors[codes, k], minlength=len(offsets) - 1) for k in range(m.logs.shape[1])], axis=1)
             some = np.bincount(doc, letters, minlength=len(offsets) - 1) > 0
             best = sums.argmax(axis=1)
             score = np.where(some, 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1), 0.0)

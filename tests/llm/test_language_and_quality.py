@@ -41,10 +41,15 @@ def test_language_cases(spark, table_of):
 
 def test_word_first_then_shorter_ngrams():
     v = lambda *x: np.array(x, np.float32)
-    m = language_id.Model(["a", "b"], [{"word": v(-1, -2)}, {"q": v(-5, -6)}, {}, {" ab": v(-3, -4), "abc": v(-5, -4)}, {"abcd": v(-9, -9)}])
-    assert m.of_word("word").tolist() == [-1, -2]
-    assert m.of_word("abc").tolist() == [-4, -4]   # half of its 3-grams are known, none of its 4-grams
-    assert m.of_word("qx").tolist() == [-5, -6] and m.of_word("zz").tolist() == [0, 0]
+    m = language_id.Model.of(["a", "b"], [{"word": v(-1, -2)}, {"q": v(-5, -6)}, {}, {" ab": v(-3, -4), "abc": v(-5, -4)}, {"abcd": v(-9, -9)}])
+
+    def of_token(token):
+        has, rows, weights = m.of_token(token)
+        return has, (m.logs[rows] * np.array(weights)[:, None]).sum(axis=0).tolist() if rows else [0, 0]
+    assert of_token("word") == (True, [-1, -2])
+    assert of_token("abc") == (True, [-4, -4])   # half of its 3-grams are known, none of its 4-grams
+    assert of_token("qx") == (True, [-5, -6]) and of_token("zz") == (True, [0, 0]) and of_token("12.") == (False, [0, 0])
+    assert of_token("word-ABC") == (True, [-5, -6])
 
 
 def test_dual_descent_reaches_the_optimum():
