@@ -18,11 +18,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewell.functions.joins import materialise
+from linewell.functions.joins import lookup, materialise
 from linewell.llm.common import mix64, slices, without
 from linewell.llm.components import components
 
-SMALL = 4096    # pairs of a bucket up to which all its links are listed
+SMALL = 256     # pairs of a bucket up to which all its links are listed
 CELLS = 1 << 21  # distances computed at once
 
 
@@ -111,9 +111,10 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def tree(own: np.ndarray, other: np.ndarray, f: np.ndarray, radius: int, spare: int) -> list[np.ndarray]:
     """Links (2 x n row numbers) of one large bucket: a spanning tree over its own rows, for each other row one link to
-    every component within the radius, and links to ``spare`` neighbours in fingerprint order."""
+    every component within the radius, and links to ``spare`` neighbours in fingerprint order.
+
+    Rows are in order of nodes and links go to the first one in reach, so that buckets agree on the links of a dense group."""
     found = []
-    own = own[np.lexsort(f[:, own])]
     left, label, comps = own, np.zeros(f.shape[1], np.int64), 0
     while len(left):
         front, left = left[:1], left[1:]
@@ -126,9 +127,10 @@ def tree(own: np.ndarray, other: np.ndarray, f: np.ndarray, radius: int, spare:
             label[left[hit]] = comps
             front, left = np.concatenate([front, left[hit]]), left[~hit]
         comps += 1
+    line = own[np.lexsort(f[:, own])]
     for gap in range(1, min(spare, len(own) - 1) + 1):
-        near = distances(f[:, own[:-gap]], f[:, own[gap:]]) <= radius
-        found.append(np.stack([own[:-gap][near], own[gap:][near]]))
+        near = distances(f[:, line[:-gap]], f[:, line[gap:]]) <= radius
+        found.append(np.stack([line[:-gap][near], line[gap:][near]]))
     block = max(1, CELLS // len(own))
     for at in range(0, len(other), block):
         some = other[at:at + block]
@@ -139,7 +141,7 @@ def tree(own: np.ndarray, other: np.ndarray, f: np.ndarray, radius: int, spare:
 
 
 def bucket_links(bucket: np.ndarray, own: np.ndarray, f: np.ndarray, radius: int, spare: int = 0) -> Iterator[np.ndarray]:
-    """Row numbers (2 x n) of linked rows; rows are sorted by bucket."""
+    """Row numbers (2 x n) of linked rows; rows are sorted by bucket and node."""
     start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     size = np.diff(np.append(start, len(bucket)))
     owned = np.add.reduceat(own.astype(np.int64), start)
@@ -187,7 +189,7 @@ def links(nodes: DataFrame, plan: list[tuple[int, int, int, int]], parts: int, r
         if pieces:
             yield from done(pieces)
 
-    return (probes(nodes, plan, parts).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").filter("a <> b").distinct())
+    return (probes(nodes, plan, parts).repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "a long, b long").filter("a <> b").distinct())
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4, segments: int = 3) -> DataFrame:
@@ -216,8 +218,8 @@ def similar(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size:
                 keep.append(bool(len(p)) and both >= least * (len(p) + len(q) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = materialise(docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(named, "node"), "texts")
+    named = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "named")
+    texts = materialise(lookup(docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")), named, ["node"], "left_semi").dropDuplicates(["node"]), "texts")
     return (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
             .select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
