@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from linewell.functions.joins import lookup, materialise
 from linewell.llm.common import mix64, slices, without
 from linewell.llm.components import components
+from linewell.llm.set_join import linked
 
 SMALL = 256     # pairs of a bucket up to which all its links are listed
 CELLS = 1 << 21  # distances computed at once
@@ -202,8 +203,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     marked = materialise(fingerprints(docs, id_col, text_col, size, 1).withColumn("doc_id", F.col("doc_id").cast("long")), "fingerprints")
     nodes = materialise(marked.groupBy("f0").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"), "nodes")
-    linked = components(links(nodes, layout(1, segments, exact_radii(segments, radius)), 1, radius))
-    of_print = nodes.join(linked, "node", "left").select("f0", F.coalesce("root", "node").alias("component_id"))
+    roots = components(links(nodes, layout(1, segments, exact_radii(segments, radius)), 1, radius))
+    of_print = nodes.join(roots, "node", "left").select("f0", F.coalesce("root", "node").alias("component_id"))
     return marked.join(of_print, "f0", "left").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -211,9 +212,12 @@ def similar(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size:
     """The pairs (a, b) whose sets of ``size``-word shingles have a Jaccard similarity of ``least`` or more."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
-            keep = []
-            for x, y in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist()):
-                p, q = np.unique(shingle_hashes(x, size)), np.unique(shingle_hashes(y, size))
+            keep, sets = [], {}
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist()):
+                for node, text in ((a, x), (b, y)):
+                    if node not in sets:
+                        sets[node] = np.unique(shingle_hashes(text, size))
+                p, q = sets[a], sets[b]
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(bool(len(p)) and both >= least * (len(p) + len(q) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -224,16 +228,13 @@ def similar(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size:
             .select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, parts: int = 3, radius: int = 32) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
     """The documents without near-copies: of each group linked by similarity ``least`` the smallest id stays, all columns kept.
 
-    Similarity is Jaccard over sets of five-word shingles, checked on the texts. Candidates come from 192-bit
-    fingerprints of word pairs, which an edited word disturbs less than long shingles: at 0.8 about 18 bits differ, so
-    nine segments of 21 bits with radius 1 find a pair with a chance of 0.99, closer ones surely. Documents without words
+    Similarity is Jaccard over sets of five-word shingles, checked on the texts. Candidates come from an exact
+    prefix filter (``set_join``), so every pair at ``least`` or more is linked. Documents without words
     or id stay; rows that repeat an id stay or go together.
     """
-    rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
-    marked = fingerprints(rows, id_col, text_col, 2, parts).select(F.col("doc_id").cast("long").alias("node"), *[f"f{k}" for k in range(parts)]).dropDuplicates(["node"])
-    found = materialise(links(marked, layout(parts, 3, [1, 1, 1]), parts, radius, spare=3), "candidates")
-    linked = components(similar(found, docs, id_col, text_col, size, least))
-    return without(docs, materialise(linked.filter("node <> root").select(F.col("node").cast(docs.schema[id_col].dataType).alias(id_col)), "copies"), id_col)
+    rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    found = linked(rows, lambda text: shingle_hashes(text, size), least, lambda pairs: similar(pairs, docs, id_col, text_col, size, least))
+    return without(docs, materialise(found.filter("node <> root").select(F.col("node").cast(docs.schema[id_col].dataType).alias(id_col)), "copies"), id_col)

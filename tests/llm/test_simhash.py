@@ -120,3 +120,39 @@ def test_one_of_each(table_of):
     assert out.columns == docs.columns
     assert sorted(map(repr, kept)) == sorted(map(repr, [g[0] for g in groups] + [900, 901, 902, None, 903, 903]))
     assert simhash.one_of_each(table_of([])).collect() == []
+
+
+def brute_kept(rows, size=5, least=0.8):
+    """Ids that stay when every pair of texts is compared."""
+    sets = [set(simhash.shingle_hashes(t.encode(), size).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [rows[i][0] for i in range(len(rows)) if find(i) == i]
+
+
+def test_one_of_each_in_a_dense_group_of_template_variants(table_of):
+    """Variants of one template, under 0.8 to each other, with a near-copy each: pivots link none of the pairs."""
+    rng = random.Random(21)
+    template = [f"t{rng.randrange(2000)}" for _ in range(300)]
+    rows = []
+    for v in range(300):
+        own = list(template)
+        for k in range(8):
+            own[36 * k + rng.randrange(30)] = f"v{v}x{k}"
+        copy = list(own)
+        for k in range(5):
+            copy[60 * k + rng.randrange(50)] = f"edit{v}x{k}"
+        rows += [(2 * v, " ".join(own)), (2 * v + 1, " ".join(copy))]
+    want = brute_kept(rows)
+    assert 250 < len(want) <= 310
+    assert sorted(r.doc_id for r in simhash.one_of_each(table_of(rows)).collect()) == want
