@@ -156,3 +156,28 @@ def test_one_of_each_in_a_dense_group_of_template_variants(table_of):
     want = brute_kept(rows)
     assert 250 < len(want) <= 310
     assert sorted(r.doc_id for r in simhash.one_of_each(table_of(rows)).collect()) == want
+
+
+def test_one_of_each_finds_block_and_scattered_edits_near_the_threshold(table_of):
+    """Appended and replaced blocks and scattered edits at 0.80 to 0.85: candidates are complete, not likely."""
+    rng = random.Random(22)
+    rows, k = [], 0
+    for n in (100, 300, 1000):
+        for kind in ("append", "replace", "scatter"):
+            for share in (0.8, 0.82, 0.85) * 5:
+                base = [f"b{k}w{rng.randrange(5000)}" for _ in range(n)]
+                copy = list(base)
+                if kind == "append":
+                    copy += [f"c{k}x{x}" for x in range(int(n * (1 / share - 1)) - 1)]
+                elif kind == "replace":
+                    m = int(n * (1 - share) / (1 + share)) - 5
+                    at = rng.randrange(n - m)
+                    copy[at:at + m] = [f"c{k}x{x}" for x in range(m)]
+                else:
+                    for x in range(int(n * (1 - share) / (1 + share) / 5)):
+                        copy[(5 * x + 2) * n // max(n, 1)] = f"c{k}x{x}"
+                rows += [(k, " ".join(base)), (k + 1, " ".join(copy))]
+                k += 2
+    want = brute_kept(rows)
+    assert len(want) < 0.6 * len(rows)
+    assert sorted(r.doc_id for r in simhash.one_of_each(table_of(rows)).collect()) == want
