@@ -25,6 +25,7 @@ from linewell.llm.common import held_out, slices, words
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 4
 CACHE = 300_000
+CELLS = 80_000_000  # weights of a table: 200 languages with 400,000 entries
 UNKNOWN = "und"
 
 
@@ -92,20 +93,22 @@ def counted(sample: DataFrame) -> DataFrame:
     return sample.select("lang", "text").mapInArrow(run, "lang string, n int, gram string, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
 
 
-def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 2000, max_langs: int = 200, max_entries: int = 20_000, all_entries: int = 400_000) -> Model:
+def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 2000, max_entries: int = 20_000, all_entries: int = 400_000) -> Model:
     """Learns from whole texts of about ``per_lang`` usable labelled documents of each language, picked by a hash of the id.
 
-    Each language keeps ``max_entries`` words and as many n-grams of each length, less if all would exceed ``all_entries`` a length.
+    Each language keeps ``max_entries`` words and as many n-grams of each length, less if all would exceed ``all_entries`` a length
+    or the table of a length ``CELLS`` weights. Every language of the labels is learned, however rare.
     """
     labelled = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
         return Model.of([], [{} for _ in range(LONGEST + 1)])
     share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_lang / sizes[k]))]), F.col("lang"))
-    sample = labelled.filter(F.col("lang").isin(langs)).filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
+    sample = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
+    entries = max(1, min(max_entries, all_entries // len(langs), CELLS // len(langs) ** 2))
     best = Window.partitionBy("lang", "n").orderBy(F.desc("count"), "gram")
-    kept = counted(sample).filter((F.col("n") > 0) | (F.col("count") > 1)).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= min(max_entries, all_entries // len(langs)))
+    kept = counted(sample).filter((F.col("n") > 0) | (F.col("count") > 1)).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= entries)
     found = kept.select("lang", "n", "gram", "count").toPandas()
     tables = []
     for n in range(LONGEST + 1):

@@ -90,3 +90,14 @@ def test_quality_cases(spark, table_of):
     assert {r.score for r in quality.quality(docs, labels.limit(0)).collect()} == {0.5}
     assert len({r.score for r in quality.quality(docs, labels.filter("quality = 1")).collect()}) == 1
     assert quality.quality(table_of([]), labels).collect() == []
+
+
+def test_every_language_is_learned(table_of):
+    """230 languages with a word of their own, the last ones with one document each."""
+    word = ["".join(chr(97 + k // 26 ** e % 26) for e in range(3)) * 2 for k in range(230)]
+    rows = [(2 * k + c, f"{word[k]} {word[k]} {word[k]}", f"l{k:03d}", None) for k in range(230) for c in range(2 if k < 115 else 1)]
+    docs = table_of(rows)
+    model = language_id.fit(docs, F.lit(True))
+    assert model.langs == [f"l{k:03d}" for k in range(230)]
+    want = {r[0]: r[2] for r in rows}
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()} == want
