@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linewell.llm import decontaminate, exact_dedup, html_extract, language_id, lm_scoring, mixing, quality, simhash, suffix_dedup, url_filter
+from linewell.llm import conversation_repair, decontaminate, exact_dedup, html_extract, language_id, lm_scoring, mixing, quality, simhash, suffix_dedup, url_filter
 from linewell.llm.common import session
 
 
@@ -51,6 +51,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -62,10 +66,12 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLES = {
     "op3_mixing": mixing.ORACLE_SQL,
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op6_url_filter": url_filter.ORACLE_SQL,
+    "op11_conversation_repair": conversation_repair.ORACLE_SQL,
 }
