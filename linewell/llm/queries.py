@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linewell.llm import conversation_repair, decontaminate, exact_dedup, html_extract, language_id, lm_scoring, mixing, quality, simhash, suffix_dedup, url_filter
+from linewell.llm import conversation_repair, decontaminate, embedding_whitening, exact_dedup, html_extract, language_id, license_scan, lm_scoring, mixing, quality, simhash, suffix_dedup, url_filter
 from linewell.llm.common import session
 
 
@@ -55,6 +55,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.whitening(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -67,6 +75,8 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_license_scan": op12_license_scan,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLES = {
@@ -74,4 +84,5 @@ ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op6_url_filter": url_filter.ORACLE_SQL,
     "op11_conversation_repair": conversation_repair.ORACLE_SQL,
+    "op12_license_scan": license_scan.ORACLE_SQL,
 }
