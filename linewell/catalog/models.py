@@ -28,17 +28,16 @@ def _r(*names):
     return [b.r6(n).alias(n) for n in names]
 
 
-def _records(spark, sf):
+def _ratings(spark, sf):
     def make():
-        g, p = b.table(spark, sf, "games"), b.table(spark, sf, "plays")
-        qb = plays.passer_games(p)
-        return ratings.fold_ratings(g, plays.team_games(p), qb)
+        p = b.table(spark, sf, "plays")
+        return ratings.rate(b.table(spark, sf, "games"), plays.team_games(p), plays.passer_games(p))
     return _once(spark, sf, "ratings", make)
 
 
 def _features(spark, sf):
     def make():
-        g = ratings.game_features(b.table(spark, sf, "games"), _records(spark, sf))
+        g = ratings.game_features(b.table(spark, sf, "games"), _ratings(spark, sf).games)
         av = availability.team_game_availability(b.table(spark, sf, "snaps"), b.table(spark, sf, "injuries"), b.table(spark, sf, "crosswalk"))
         return materialise(availability.availability_features(g, av), "features")
     return _once(spark, sf, "features", make)
@@ -52,12 +51,17 @@ def _predictions(spark, sf):
     return _once(spark, sf, "predictions", lambda: materialise(evaluate.walk_forward_predictions(_model(spark, sf), _features(spark, sf)), "walk"))
 
 
+def _nudged(*names):
+    """Six digits with ties moved off the edge: early ratings are short decimals that end in a five."""
+    return [F.round(F.col(n) + 1e-9, 6).alias(n) for n in names]
+
+
 def coupled_ratings(spark, sf):
-    return _features(spark, sf).select("game_id", *_r(*ratings.MARGIN_FEATURES, *ratings.TOTAL_FEATURES, "f_rush", "t_npace"))
+    return _features(spark, sf).select("game_id", *_nudged(*ratings.MARGIN_FEATURES, *ratings.TOTAL_FEATURES, "f_rush", "t_npace"))
 
 
 def team_ratings(spark, sf):
-    return ratings.team_ratings(_records(spark, sf)).select("league", "team", *_r(*ratings.TEAM_COLUMNS))
+    return _ratings(spark, sf).teams.select("league", "team", *_nudged(*ratings.TEAM_COLUMNS))
 
 
 def ewma_ratings(spark, sf):
@@ -147,7 +151,7 @@ def starter_overrides(spark, sf):
     names = g.select("league", F.inline(F.array(F.struct(F.col("home_qb_name").alias("qb_name"), F.col("home_qb_id").alias("qb_id"), F.col("game_id").alias("o")),
                                                 F.struct(F.col("away_qb_name").alias("qb_name"), F.col("away_qb_id").alias("qb_id"), F.col("game_id").alias("o")))))
     names = names.filter("qb_id is not null").groupBy("league", "qb_name").agg(F.max_by("qb_id", "o").alias("qb_id"))
-    d = context.apply_overrides(_slate(spark, sf), ok.select("game_id", "team", "qb_name"), names, ratings.passer_ratings(_records(spark, sf)))
+    d = context.apply_overrides(_slate(spark, sf), ok.select("game_id", "team", "qb_name"), names, _ratings(spark, sf).passers)
     return d.select("game_id", "home_qb_id", "away_qb_id", "home_confirmed", "away_confirmed", *_r("home_qb_delta", "away_qb_delta", "f_qb"))
 
 
@@ -272,13 +276,10 @@ QUERIES = {f.__name__: f for f in (
 
 # ---------------------------------------------------------------- oracles
 
+from linewell.catalog import rating_oracle as ro  # noqa: E402
 from linewell.catalog.evaluation import T  # noqa: E402
 
 
-def _recursive(sql):
-    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
-
-
 _EWMA = """pg AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY gameday, game_id) AS no FROM games WHERE result IS NOT NULL),
 lgr AS (SELECT league, no, game_id, 22e0 AS before, 22 + 0.01 * ((home_score + away_score) / 2 - 22) AS after FROM pg WHERE no = 1
   UNION ALL SELECT g.league, g.no, g.game_id, r.after, r.after + 0.01 * ((g.home_score + g.away_score) / 2 - r.after) FROM lgr r JOIN pg g ON g.league = r.league AND g.no = r.no + 1),
@@ -313,7 +314,12 @@ _DR = "top AS (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY abs(po
 _PT = "regexp_replace(CAST(point AS VARCHAR), '\\.0$', '')"
 
 ORACLES = {
-    "ewma_ratings": _recursive(b.oracle(["games"], "SELECT league, game_id, team, round(pf + 1e-9, 6) AS pf, round(pa + 1e-9, 6) AS pa FROM ew", _EWMA)),
+    "coupled_ratings": ro.recursive(b.oracle(["games", "plays"], """SELECT g.game_id, round(f_mrtg + 1e-9, 6) AS f_mrtg, round(f_epa + 1e-9, 6) AS f_epa, round(f_sr + 1e-9, 6) AS f_sr, round(f_pass + 1e-9, 6) AS f_pass, round(coalesce(f_qb, 0) + 1e-9, 6) AS f_qb,
+  CASE WHEN location = 'Neutral' THEN 0e0 ELSE 1e0 END AS f_hfa, least(greatest(coalesce(home_rest, 7) - coalesce(away_rest, 7), -7), 7) AS f_rest, coalesce(div_game, 0.0) AS f_div,
+  round(t_off + 1e-9, 6) AS t_off, round(t_def + 1e-9, 6) AS t_def, round(t_pace + 1e-9, 6) AS t_pace, round(t_pts + 1e-9, 6) AS t_pts, CASE WHEN roof IN ('dome', 'closed') THEN 1e0 ELSE 0e0 END AS t_dome, round(f_rush + 1e-9, 6) AS f_rush, round(t_npace + 1e-9, 6) AS t_npace
+FROM games g JOIN ftr ON ftr.game_id = g.game_id LEFT JOIN dl ON dl.game_id = g.game_id""", ro.TEAMS + ",\n" + ro.PASSERS)),
+    "team_ratings": ro.recursive(b.oracle(["games", "plays"], ro.FINAL_TEAMS, ro.TEAMS)),
+    "ewma_ratings": ro.recursive(b.oracle(["games"], "SELECT league, game_id, team, round(pf + 1e-9, 6) AS pf, round(pa + 1e-9, 6) AS pa FROM ew", _EWMA)),
     "qb_decayed_sums": b.oracle(["games", "plays"], """SELECT a.league, a.game_id, a.qb_id, round(sum(b.n * pow(0.97, a.no - b.no)), 6) AS n_decayed, round(sum(b.n * b.epa * pow(0.97, a.no - b.no)), 6) AS s_decayed
 FROM qs a JOIN qs b ON b.league = a.league AND b.qb_id = a.qb_id AND b.no <= a.no GROUP BY 1, 2, 3""", _QB),
     "feature_extremes": b.oracle(["games"], """SELECT game_id, CASE WHEN location = 'Neutral' THEN 0e0 ELSE 1e0 END AS f_hfa, least(greatest(coalesce(home_rest, 7) - coalesce(away_rest, 7), -7), 7) AS f_rest, coalesce(div_game, 0.0) AS f_div,

@@ -4,10 +4,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linewell.catalog import base as b
+from linewell.catalog import rating_oracle as ro
 from linewell.catalog.quotes import C, Q, iso
 from linewell.functions import prices, times
 from linewell.operators import plays
-from linewell.plans import ratings
 from linewell.streaming import quotes as sq
 from linewell.streaming import stateful
 from linewell.streaming.sinks import drain, new_folder
@@ -69,20 +69,26 @@ def stream_state(spark, sf):
 
 def stream_ratings(spark, sf):
     p = b.table(spark, sf, "plays")
-    d = ratings.rating_input(b.table(spark, sf, "games"), plays.team_games(p), plays.passer_games(p))
+    d = stateful.rating_rows(b.table(spark, sf, "games"), plays.team_games(p), plays.passer_games(p))
     s = stateful.file_stream(spark, d, new_folder(spark, "rating-input"))
-    return drain(stateful.rating_updates(s), "rating-updates").select("game_id", *[b.r6(n).alias(n) for n in ("f_mrtg", "f_epa", "f_pass", "f_qb", "t_pts")])
+    return drain(stateful.rating_updates(s), "rating-updates").select("game_id", *[F.round(F.col(n) + 1e-9, 6).alias(n) for n in ("f_mrtg", "f_epa", "f_pass", "f_qb", "t_pts")])
 
 
 QUERIES = {f.__name__: f for f in (stream_validate, stream_pairs, stream_windows, stream_sliding_windows, stream_sessions, stream_dedup, stream_state, stream_ratings)}
 
 
+def _stream_ratings_sql():
+    return ro.recursive(b.oracle(["games", "plays"], """SELECT g.game_id, round(f_mrtg + 1e-9, 6) AS f_mrtg, round(f_epa + 1e-9, 6) AS f_epa, round(f_pass + 1e-9, 6) AS f_pass, round(coalesce(f_qb, 0) + 1e-9, 6) AS f_qb, round(t_pts + 1e-9, 6) AS t_pts
+FROM games g JOIN ftr ON ftr.game_id = g.game_id LEFT JOIN dl ON dl.game_id = g.game_id""", ro.TEAMS + ",\n" + ro.PASSERS))
+
+
 def _win(width, shift_count):
     return f"""SELECT {iso('s')} AS start_utc, {iso(f's + {width}')} AS end_utc, market, count(*) AS quotes, count(DISTINCT book) AS books, min(price) AS low, max(price) AS high
 FROM (SELECT *, CAST(floor(t / 300e0) AS BIGINT) * 300 - 300 * o AS s FROM valid, (SELECT unnest(range({shift_count})) AS o) r) z GROUP BY s, market"""
 
 
 ORACLES = {
+    "stream_ratings": _stream_ratings_sql(),
     "stream_validate": b.oracle(Q, "SELECT event_id, reject_reason AS reason FROM checked", C),
     "stream_pairs": b.oracle(Q, f"SELECT game_id, market, book, line, round(p, 6) AS p, {iso('newest')} AS newest_utc FROM pairs", C),
     "stream_windows": b.oracle(Q, _win(300, 1), C),

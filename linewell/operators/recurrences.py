@@ -13,8 +13,8 @@ def affine_scan(d: DataFrame, keys: list[str], block: str, order: list[str], sca
 
     Rows of a key are cut into consecutive blocks (``block`` must not contradict ``order``). A block is
     itself an affine map, so blocks are solved independently and then chained by the same formula:
-    a long or hot key is spread over its blocks, and products of scales stay far from underflow.
-    ``scale`` must be positive.
+    a long or hot key is spread over its blocks. ``scale`` must be positive, and the product of the scales of
+    a block above 1e-130; the history of a key may be of any length.
     """
     inner = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumns({"_la": F.log(scale), **{f"_b_{n}": c for n, c in shifts.items()}})
@@ -22,16 +22,39 @@ def affine_scan(d: DataFrame, keys: list[str], block: str, order: list[str], sca
     d = d.withColumns({f"_l_{n}": F.col("_p") * F.sum(F.col(f"_b_{n}") / F.col("_p")).over(inner) for n in shifts})
     last = F.struct(*order)
     ends = d.groupBy(*keys, block).agg(F.max_by(F.struct("_p", *[f"_l_{n}" for n in shifts]), last).alias("e")).select(*keys, block, "e.*")
-    chain = Window.partitionBy(*keys).orderBy(block)
-    before = chain.rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("_upto", F.exp(F.sum(F.log("_p")).over(chain.rowsBetween(Window.unboundedPreceding, 0))))
-    ends = ends.withColumns({"_q": F.col("_upto") / F.col("_p"), **{f"_r_{n}": F.col(f"_l_{n}") / F.col("_upto") for n in shifts}})
-    ends = ends.select(*keys, block, *[(F.col("_q") * (F.lit(float(start)) + F.coalesce(F.sum(f"_r_{n}").over(before), F.lit(0.0)))).alias(f"_x_{n}") for n in shifts])
-    d = d.join(ends, [*keys, block])
+    d = d.join(chained(ends, keys, block, list(shifts), start), [*keys, block])
     d = d.withColumns({n: F.col("_p") * F.col(f"_x_{n}") + F.col(f"_l_{n}") for n in shifts})
     return d.drop("_la", "_p", *[f"_{t}_{n}" for t in "blx" for n in shifts])
 
 
+EPOCH = 300.0
+
+
+def chained(ends: DataFrame, keys: list[str], block: str, names: list[str], start: float) -> DataFrame:
+    """(keys, block, _x_name): the state ahead of each block x <- _p x + _l_name of a key, one row per block.
+
+    Products over a long history underflow, so blocks are gathered into epochs that shrink the state by e^-300 at most
+    (and one block). An epoch starts from the two before it; what came earlier has shrunk below 1e-260 of itself.
+    """
+    chain = Window.partitionBy(*keys).orderBy(block)
+    d = ends.withColumn("_upto", F.sum(F.log("_p")).over(chain.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("_ahead", F.col("_upto") - F.log("_p")).withColumn("_epoch", F.floor(F.greatest(-F.col("_ahead"), F.lit(0.0)) / EPOCH))
+    own = Window.partitionBy(*keys, "_epoch")
+    d = d.withColumn("_from", F.max("_ahead").over(own))
+    d = d.withColumns({f"_r_{n}": F.col(f"_l_{n}") * F.exp(F.col("_from") - F.col("_upto")) for n in names})
+    epochs = d.groupBy(*keys, "_epoch").agg(F.exp(F.min("_upto") - F.max("_from")).alias("_p"), *[(F.exp(F.min("_upto") - F.max("_from")) * F.sum(f"_r_{n}")).alias(f"_l_{n}") for n in names])
+    line = Window.partitionBy(*keys).orderBy("_epoch")
+
+    def ago(col: str, back: int) -> Column:
+        return F.lag(col, back).over(line)
+    first = F.lit(float(start))
+    epochs = epochs.select(*keys, "_epoch", *[F.coalesce(ago(f"_l_{n}", 1) + ago("_p", 1) * F.coalesce(ago(f"_l_{n}", 2) + ago("_p", 2) * F.when(F.row_number().over(line) == 3, first).otherwise(0.0), first), first).alias(f"_s_{n}")
+                                              for n in names])
+    before = own.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.join(epochs, [*keys, "_epoch"])
+    return d.select(*keys, block, *[(F.exp(F.col("_ahead") - F.col("_from")) * (F.col(f"_s_{n}") + F.coalesce(F.sum(f"_r_{n}").over(before), F.lit(0.0)))).alias(f"_x_{n}") for n in names])
+
+
 def points_ewma(games: DataFrame, weight: float = 0.10, league_weight: float = 0.01, carry: float = 0.60, start: float = 22.0) -> DataFrame:
     """Smoothed points for / against per team, drawn towards the league mean at each season start.
 

@@ -6,52 +6,156 @@ from pyspark.sql import functions as F
 
 from linewell import Settings
 from linewell.operators import chain, history, ledger, metrics, recurrences
-from linewell.plans import evaluate, model, ratings
+from linewell.plans import evaluate, league_state, model, ratings
 
 S = Settings()
 
 
-def test_rating_fold_by_hand():
-    """Three games, three teams, a season change and a game without team rows."""
-    class G:
-        def __init__(self, **k):
-            self.__dict__.update(k)
-
-    def side(team, epa, sr, pas, rush, plays, pace, passers):
-        return {"team": team, "epa": epa, "sr": sr, "pass_epa": pas, "rush_epa": rush, "plays": plays, "neutral_spp": pace, "passers": passers}
-
-    def game(season, h, a, hs, as_, sides):
-        return G(season=season, home_team=h, away_team=a, result=float(hs - as_), home_score=float(hs), away_score=float(as_), neutral_site=False,
-                 home_qb_id="q1", away_qb_id=None, sides=sides)
-    f = ratings.LeagueFold(ratings.PARAMS)
-    sides = [side("A", 0.2, 0.5, 0.3, None, 60, 30.0, [{"qb_id": "q1", "dropbacks": 40, "epa": 0.3}]), side("B", -0.1, 0.4, None, 0.0, 66, None, None)]
-    vals, _ = f.step(game(2020, "A", "B", 30, 0, sides))
-    assert vals[0] == 0 and vals[11] == 44.0
-    A, B = f.teams["A"], f.teams["B"]
-    assert A.margin == pytest.approx(0.07 * (24 - 1.7)) and B.margin == pytest.approx(-A.margin)
-    assert A.off["epa"] == pytest.approx(0.02) and B.dfn["epa"] == pytest.approx(0.02)
-    assert B.off["epa"] == pytest.approx(0.1 * -0.1) and f.league["epa"] == pytest.approx(0.01 * 0.05)
-    assert f.league["points"] == pytest.approx(22 + 0.01 * (15 - 22)) and A.points_for == pytest.approx(22.8)
-    assert f.league["pass_epa"] == 0.05 and A.off["pass_epa"] == pytest.approx(0.025) and A.neutral == pytest.approx(32.5 + 0.1 * -2.5)
-    assert A.passer_base == pytest.approx(-0.05) and A.last_passer == "q1"
-    assert f.passers.value["q1"] == pytest.approx(40 * (0.3 - 0.05 - 0.025)) and f.passers.pool_weight == 40
-    f.step(game(2021, "A", "C", 10, 20, None))          # season change for A, no team rows: only points and margin move
-    assert A.off["epa"] == pytest.approx(0.02 * 0.6) and A.season == 2021 and B.season == 2020
-    lg = 22 + 0.01 * (15 - 22)
-    assert A.points_for == pytest.approx((lg + 0.6 * (22.8 - lg)) * 0.9 + 1.0)
-    assert f.teams["C"].points_against == pytest.approx(lg * 0.9 + 1.0)
-    assert f.passers.weight["q1"] == 40
-
-
-def test_fold_is_split_independent(spark, sf):
-    """Batches of the iterator do not change the fold; streamed groups keep date order."""
-    import pandas as pd
-    rows = [(0, dt.date(2020, 9, 1) + dt.timedelta(days=i), i, 2020, f"T{i % 4}", f"T{(i + 1) % 4}", float(i % 9 - 4), 20.0 + i % 9 - 4, 20.0, False, None, None, None) for i in range(40)]
-    cols = ["league", "gameday", "game_id", "season", "home_team", "away_team", "result", "home_score", "away_score", "neutral_site", "home_qb_id", "away_qb_id", "sides"]
-    pdf = pd.DataFrame(rows, columns=cols)
-    whole = pd.concat(ratings.fold_league(iter([pdf]), ratings.PARAMS))
-    parts = pd.concat(ratings.fold_league(iter([pdf[:7], pdf[7:8], pdf[8:]]), ratings.PARAMS))
-    assert [list(map(str, v)) for v in whole["vals"]] == [list(map(str, v)) for v in parts["vals"]]
+def _frames(spark, games, sides, passers):
+    """games: (league, game_id, season, day, home, away, home score, away score, neutral); sides: (game_id, team, epa, sr, pass, rush, plays, pace); passers: (game_id, team, qb, dropbacks, epa)."""
+    g = [(lg, i, s, dt.date(2020, 1, 1) + dt.timedelta(days=d), h, a, None if hs is None else float(hs - as_), hs, as_, "Neutral" if n else "Home", f"q-{h}", f"q-{a}" if i % 3 else None) for lg, i, s, d, h, a, hs, as_, n in games]
+    return (spark.createDataFrame(g, "league long, game_id long, season int, gameday date, home_team string, away_team string, result double, home_score double, away_score double, location string, home_qb_id string, away_qb_id string"),
+            spark.createDataFrame(sides, "game_id long, team string, epa double, sr double, pass_epa double, rush_epa double, plays long, neutral_spp double"),
+            spark.createDataFrame(passers, "game_id long, team string, qb_id string, dropbacks long, epa double"))
+
+
+def _scalar_ratings(games, sides, passers):
+    """All ratings one game after the other, one number at a time."""
+    from collections import defaultdict
+    p = league_state.PARAMS
+    x = {(s[0], s[1]): s[2:] for s in sides}
+    thrown = defaultdict(list)
+    for g, t, *r in passers:
+        thrown[g, t].append(r)
+    lg = defaultdict(lambda: list(league_state.STARTS))
+    v, season, base, last_qb = {}, {}, {}, {}
+    qb, pool = defaultdict(lambda: [0.0, 0.0, 0.0]), defaultdict(lambda: [0.0, 0.0])
+    out = {}
+    for league, i, s, d, h, a, hs, as_, neutral in sorted(games, key=lambda g: (g[0], g[3], g[1])):
+        L = lg[league]
+
+        def rating(q):
+            prior = pool[league][0] / pool[league][1] if pool[league][1] > 300 else -0.05
+            return (qb[league, q][0] + 150 * prior) / (qb[league, q][1] + 150)
+        for t in (h, a):
+            k = league, t
+            if k not in season:
+                v[k] = [0.0] * 9 + [L[4], L[5], L[5], 32.5]
+            elif season[k] != s:
+                v[k] = [0.6 * z for z in v[k][:9]] + [L[j] + 0.6 * (v[k][n] - L[j]) for n, j in ((9, 4), (10, 5), (11, 5))] + v[k][12:]
+            season[k] = s
+        H, A = v[league, h], v[league, a]
+        row = {"f_mrtg": H[0] - A[0], "f_pass": H[3] - H[7] - A[3] + A[7], "t_rush": H[4] + H[8] + A[4] + A[8], "t_pace": H[9] + A[9], "t_pts": (H[10] + H[11] + A[10] + A[11]) / 2, "t_npace": H[12] + A[12],
+               "home_qb_base": base.get((league, h)), "away_qb_base": base.get((league, a)), "home_last_qb": last_qb.get((league, h)), "home_qb_rating": rating(f"q-{h}"), "away_qb_rating": rating(f"q-{a}") if i % 3 else None}
+        row["f_qb"] = sum(sign * (row[f"{n}_qb_rating"] - row[f"{n}_qb_base"]) for n, sign in (("home", 1), ("away", -1)) if row[f"{n}_qb_rating"] is not None and row[f"{n}_qb_base"] is not None)
+        out[i] = row
+        if hs is None:
+            continue
+        miss = 0.07 * (min(max(hs - as_, -24), 24) - (H[0] - A[0] + (0 if neutral else 1.7)))
+        H[0], A[0] = H[0] + miss, A[0] - miss
+        for t, f, g in ((H, hs, as_), (A, as_, hs)):
+            t[10] += 0.1 * (f - t[10])
+            t[11] += 0.1 * (g - t[11])
+        L[5] += 0.01 * ((hs + as_) / 2 - L[5])
+        if (i, h) not in x or (i, a) not in x:
+            continue
+        xh, xa = x[i, h], x[i, a]
+        for j in range(4):
+            old = L[j]
+            for own, other, z in ((H, A, xh[j]), (A, H, xa[j])):
+                if z is not None:
+                    r = 0.1 * (z - old - own[1 + j] - other[5 + j])
+                    own[1 + j] += r
+                    other[5 + j] += r
+            if xh[j] is not None and xa[j] is not None:
+                L[j] += 0.01 * ((xh[j] + xa[j]) / 2 - L[j])
+        for t, z in ((H, xh), (A, xa)):
+            t[9] += 0.1 * (z[4] - t[9])
+            t[12] += 0.1 * (z[5] - t[12]) if z[5] is not None else 0
+        L[4] += 0.01 * ((xh[4] + xa[4]) / 2 - L[4])
+        for name, other in ((h, A), (a, H)):
+            rows = thrown[i, name]
+            if rows:
+                k = league, name
+                seen = sum(n * rating(q) for q, n, e in rows) / sum(n for q, n, e in rows)
+                base[k] = base[k] + 0.2 * (seen - base[k]) if k in base else seen
+                last_qb[k] = min(rows, key=lambda r: (-r[1], r[0]))[0]
+                for q, n, e in rows:
+                    if e is not None:
+                        s0, w0, c0 = qb[league, q]
+                        value = n * (e - L[2] - other[7])
+                        if c0 < 150:
+                            pool[league][0] += value
+                            pool[league][1] += n
+                        qb[league, q] = [0.97 * s0 + value, 0.97 * w0 + n, c0 + n]
+    return out, v, {k: rating_of for k, rating_of in ((k, (s[0] + 150 * (pool[k[0]][0] / pool[k[0]][1] if pool[k[0]][1] > 300 else -0.05)) / (s[1] + 150)) for k, s in qb.items() if s[2])}
+
+
+def _season(n=400, seed=4):
+    """Two leagues, the first with most games; unplayed games, missing sides and values, a passer for both teams, gaps of seasons."""
+    rng = np.random.default_rng(seed)
+    games, sides, passers = [], [], []
+    for i in range(n):
+        league, k = (0 if i % 10 else 1), 9 if i % 10 else 3
+        h, a = rng.choice(k, 2, replace=False)
+        h, a = f"T{h}", f"T{a}"
+        played = rng.random() > 0.05
+        games.append((league, i, 2010 + i // 60 + (i > 200), i // 3, h, a, float(rng.integers(0, 50)) if played else None, float(rng.integers(0, 50)) if played else None, bool(rng.random() < 0.1)))
+        for t in (h, a):
+            if rng.random() > 0.04:
+                maybe = [None if rng.random() < 0.1 else float(rng.normal()) for _ in range(4)]
+                sides.append((i, t, maybe[0], maybe[1], maybe[2], maybe[3], int(rng.integers(40, 80)), None if rng.random() < 0.2 else float(rng.normal() + 32)))
+            for q in [q for q in (f"q-{t}", "q-both", f"r-{t}") if rng.random() < 0.6]:
+                passers.append((i, t, q, int(rng.integers(1, 40)), None if rng.random() < 0.1 else float(rng.normal() * 0.3)))
+    return games, sides, passers
+
+
+@pytest.mark.parametrize("block", [7, 256])
+def test_ratings_equal_one_game_after_the_other(spark, block):
+    games, sides, passers = _season()
+    want, teams, rated = _scalar_ratings(games, sides, passers)
+    got = ratings.rate(*_frames(spark, games, sides, passers), block=block)
+    rows = {r["game_id"]: r.asDict() for r in got.games.collect()}
+    assert rows.keys() == want.keys()
+    for i, row in want.items():
+        for name, value in row.items():
+            assert rows[i][name] == (value if value is None or isinstance(value, str) else pytest.approx(value, abs=1e-9)), (i, name)
+    final = {(r["league"], r["team"]): r for r in got.teams.collect()}
+    assert final.keys() == teams.keys()
+    for k, v in teams.items():
+        assert [final[k][c] for c in ("points_rating", "off_epa", "def_epa_allowed", "pass_off", "pass_def", "pace", "pts_for", "pts_against")] == pytest.approx([v[0], v[1], v[5], v[3], v[7], v[9], v[10], v[11]], abs=1e-9)
+    of_passers = {(r["league"], r["qb_id"]): r["rating"] for r in got.passers.collect()}
+    assert of_passers.keys() == rated.keys() and all(of_passers[k] == pytest.approx(v, abs=1e-9) for k, v in rated.items())
+
+
+def test_ratings_of_no_games(spark):
+    got = ratings.rate(*_frames(spark, [], [], []))
+    assert got.games.count() == got.teams.count() == got.passers.count() == 0
+
+
+def test_composed_maps_are_sparse_and_equal_the_replay():
+    rng = np.random.default_rng(2)
+    t, n = 40, 30
+    home = rng.integers(0, t // 2, n) * 2
+    facts = np.column_stack([rng.normal(size=n), np.zeros(n), rng.normal(size=(n, 2)) + 20, np.ones(n), rng.normal(size=(n, 12))])
+    run = league_state.Run(t, home, home + 1, np.zeros((n, 2), int), facts)      # pairs that never meet
+    maps = run.compose(league_state.PARAMS)
+    at, v = league_state.pack(maps)
+    assert len(v) < sum(m.size for m in maps) * 8 / 20
+    state = league_state.gather(rng.normal(size=(t, 13)), rng.normal(size=6))
+    want = league_state.scatter(league_state.apply_map(league_state.unpack(t, at, v), state))
+    run.replay(state, league_state.PARAMS)
+    assert all(np.allclose(a, b, atol=1e-12) for a, b in zip(league_state.scatter(state), want))
+
+
+def test_affine_scan_over_a_history_that_underflows(spark):
+    rows = [("k", i // 50, i, 0.8, float(i % 7)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k string, blk int, i int, s double, x double")
+    got = {r["i"]: r["y"] for r in recurrences.affine_scan(df, ["k"], "blk", ["i"], F.col("s"), {"y": F.col("x")}, 3.0).collect()}
+    y = 3.0
+    for _, _, i, s, x in rows:
+        y = s * y + x
+        assert got[i] == pytest.approx(y, rel=1e-12)
 
 
 def _games(spark, n=1200, seed=1):
