@@ -10,7 +10,7 @@ from linewell.functions import prices, times
 from linewell.operators import plays
 from linewell.streaming import quotes as sq
 from linewell.streaming import stateful
-from linewell.streaming.sinks import drain, new_folder
+from linewell.streaming.sinks import drain, new_folder, replay, split_late
 
 S = b.SETTINGS
 
@@ -29,8 +29,15 @@ def stream_validate(spark, sf):
     return (good.select("event_id", F.lit("").alias("reason")).unionByName(bad.select("event_id", F.col("reject_reason").alias("reason"))))
 
 
+def _replayed(spark, sf, ahead_minutes=None):
+    """Valid quotes in four micro-batches by arrival, then the clock ``ahead_minutes`` after now."""
+    clock = None if ahead_minutes is None else ("odds_time_utc", F.timestamp_millis(F.lit((b.NOW_EPOCH + ahead_minutes * 60) * 1000 + 500)))
+    return replay(b.valid_quotes(spark, sf), F.col("event_id").asc(), 4, "arrivals", clock)
+
+
 def stream_pairs(spark, sf):
-    p = sq.current_pairs(drain(sq.pair_updates(_valid(spark, sf)), "pairs", "update"))
+    """Matches while quotes come in; the clock moves on until sides without a match have come out too."""
+    p = sq.current_pairs(drain(sq.pair_matches(_replayed(spark, sf, 60)), "pairs"))
     return p.select("game_id", "market", "book", "line", b.r6(prices.no_vig(F.col("first_price"), F.col("second_price"))).alias("p"),
                     times.iso(F.greatest("first_time", "second_time")).alias("newest_utc"))
 
@@ -63,8 +70,20 @@ def stream_dedup(spark, sf):
 def stream_state(spark, sf):
     """Latest live quote per key from keyed state."""
     u = drain(stateful.latest_with_expiry(_valid(spark, sf), S.max_odds_age_minutes), "latest", "update")
-    last = u.groupBy(*stateful.KEY).agg(F.max_by(F.struct("event_id", "price"), F.struct("quoted_us", "price", "event_id")).alias("q"))
-    return last.select("game_id", "book", "market", "side", "q.event_id", "q.price")
+    return stateful.standing(u).filter("live").select("game_id", "book", "market", "side", "event_id", "price")
+
+
+def stream_expiry(spark, sf):
+    """Live and withdrawn quotes once the clock has moved 40 minutes on: the watermark, 32 minutes behind it, fires the timers of quotes older than 30 minutes."""
+    u = drain(stateful.latest_with_expiry(_replayed(spark, sf, 40), S.max_odds_age_minutes), "expiry", "update")
+    return stateful.standing(u).select("game_id", "book", "market", "side", "event_id", "price", "live")
+
+
+def stream_late_rows(spark, sf):
+    """Quotes that arrive more than ten minutes behind the newest of the batches ahead of theirs, beside those in time."""
+    good, late = split_late(_replayed(spark, sf), "odds_time_utc", 10)
+    good = good.select("event_id", F.lit(False).alias("late"), F.lit(None).cast("string").alias("watermark_utc"))
+    return good.unionByName(late.select("event_id", F.lit(True).alias("late"), times.iso(F.col("watermark")).alias("watermark_utc")))
 
 
 def stream_ratings(spark, sf):
@@ -74,7 +93,7 @@ def stream_ratings(spark, sf):
     return drain(stateful.rating_updates(s), "rating-updates").select("game_id", *[F.round(F.col(n) + 1e-9, 6).alias(n) for n in ("f_mrtg", "f_epa", "f_pass", "f_qb", "t_pts")])
 
 
-QUERIES = {f.__name__: f for f in (stream_validate, stream_pairs, stream_windows, stream_sliding_windows, stream_sessions, stream_dedup, stream_state, stream_ratings)}
+QUERIES = {f.__name__: f for f in (stream_validate, stream_pairs, stream_windows, stream_sliding_windows, stream_sessions, stream_dedup, stream_state, stream_expiry, stream_late_rows, stream_ratings)}
 
 
 def _stream_ratings_sql():
@@ -97,4 +116,8 @@ ORACLES = {
 FROM (SELECT *, sum(brk) OVER (PARTITION BY market ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY market ORDER BY t, event_id) < 5 THEN 0 ELSE 1 END AS brk FROM valid) x) z GROUP BY market, sid""", C),
     "stream_dedup": b.oracle(["forecasts"], "SELECT hash, game_id, recorded_utc FROM forecasts"),
     "stream_state": b.oracle(Q, "SELECT game_id, book, market, side, event_id, price FROM latest", C),
+    "stream_expiry": b.oracle(Q, f"SELECT game_id, book, market, side, event_id, price, t + 1800 >= {b.NOW_EPOCH} + 2400.5 - 1920 AS live FROM latest", C),
+    "stream_late_rows": b.oracle(Q, f"""SELECT event_id, coalesce(t < mark, false) AS late, CASE WHEN t < mark THEN {iso('mark')} END AS watermark_utc
+FROM (SELECT a.event_id, a.t, CAST((SELECT max(z.t) FROM arr z WHERE z.part < a.part) - 600 AS BIGINT) AS mark FROM arr a) y""",
+                                 C + ",\narr AS (SELECT event_id, t, CAST(floor((row_number() OVER (ORDER BY event_id) - 1) * 4 / (SELECT count(*) FROM valid)) AS INTEGER) AS part FROM valid)"),
 }

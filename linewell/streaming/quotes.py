@@ -1,13 +1,9 @@
-"""Quote streams: validation on arrival, latest quote with expiry, pairing, window statistics, archive."""
+"""Quote streams: validation on arrival, pairing, window statistics, archive."""
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from linewell.functions import times
 from linewell.operators import quotes, validity
@@ -49,52 +45,34 @@ def split_sinks(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # ---------------------------------------------------------------- two-sided pairs
 
-SIDE = "t timestamp, price double, id long"
-PAIR_STATE = T.StructType([T.StructField(f"{s}_{n}", t) for s in ("a", "b") for n, t in (("t", T.LongType()), ("price", T.DoubleType()), ("id", T.LongType()))]
-                          + [T.StructField("version", T.LongType())])
-PAIR_OUT = T.StructType([T.StructField(n, t) for n, t in (
-    ("game_id", T.LongType()), ("market", T.StringType()), ("book", T.StringType()), ("line_key", T.StringType()), ("version", T.LongType()),
-    ("a_t", T.LongType()), ("a_price", T.DoubleType()), ("b_t", T.LongType()), ("b_price", T.DoubleType()), ("paired", T.BooleanType()))])
+PAIR_KEY = ["game_id", "market", "book", "line_key"]
 
 
-def pair_updates(valid: DataFrame, gap_minutes: float = quotes.PAIR_GAP_MINUTES) -> DataFrame:
-    """Current pair of each (game, market, book, line) after every micro-batch that touches it.
+def pair_matches(valid: DataFrame, gap_minutes: float = quotes.PAIR_GAP_MINUTES, late_minutes: float = 32.0) -> DataFrame:
+    """First and second sides of a line that were quoted within the gap, and sides without a match, as a stream joined with itself.
 
-    State is the newest quote of each side, two quotes per key; a new quote replaces its side and the
-    pair is emitted (or withdrawn) with a rising version. Joining the stream with itself would instead
-    emit every combination of quotes inside the gap.
+    Both inputs have a watermark and the join an interval, so a quote leaves the state once the watermark is a gap past it; a side without a
+    match comes out then. Quotes older than ``late_minutes`` at their arrival are dropped: valid quotes never are, their age is checked.
     """
     first = F.col("side").isin(*quotes.FIRST_SIDES)
     line = (F.when(F.col("market") == "ml", F.lit("-")).when((F.col("market") == "spread") & first, (0.0 - F.col("point")).cast("string"))
             .otherwise((0.0 + F.col("point")).cast("string")))
-    d = valid.select("game_id", "market", "book", line.alias("line_key"), first.alias("is_first"), F.unix_micros("odds_time_utc").alias("t"), "price", "event_id")
-    gap = int(gap_minutes * validity.MICROS_PER_MINUTE)
-
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = list(state.get) if state.exists else [None] * 6 + [0]
-        sides = [tuple(s[0:3]) if s[0] is not None else None, tuple(s[3:6]) if s[3] is not None else None]
-        for b in batches:
-            for is_first, t, price, i in zip(b["is_first"], b["t"], b["price"], b["event_id"]):
-                k = 0 if is_first else 1
-                new = (int(t), float(price), int(i))
-                if sides[k] is None or new > sides[k]:
-                    sides[k] = new
-        a, c = (x if x is not None else (None, None, None) for x in sides)
-        version = int(s[6]) + 1
-        state.update((*a, *c, version))
-        ok = sides[0] is not None and sides[1] is not None and abs(sides[0][0] - sides[1][0]) <= gap
-        yield pd.DataFrame([(*key, version, a[0], a[1], c[0], c[1], ok)], columns=PAIR_OUT.names)
-    return d.groupBy("game_id", "market", "book", "line_key").applyInPandasWithState(update, PAIR_OUT, PAIR_STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-def current_pairs(updates: DataFrame) -> DataFrame:
-    """The last word on each key: pairs that stand after all updates."""
-    key = ["game_id", "market", "book", "line_key"]
-    body = F.struct("paired", "a_t", "a_price", "b_t", "b_price")
-    d = updates.groupBy(*key).agg(F.max_by(body, "version").alias("u")).select(*key, "u.*").filter("paired")
-    return d.select("game_id", "market", "book", F.when(F.col("line_key") != "-", F.col("line_key").cast("double")).alias("line"),
-                    F.timestamp_micros("a_t").alias("first_time"), F.col("a_price").alias("first_price"),
-                    F.timestamp_micros("b_t").alias("second_time"), F.col("b_price").alias("second_price"))
+    d = valid.select("game_id", "market", "book", line.alias("line_key"), "side", "odds_time_utc", "price", "event_id").withWatermark("odds_time_utc", f"{late_minutes:g} minutes")
+    quote = F.struct(F.col("odds_time_utc").alias("t"), "price", F.col("event_id").alias("id"))
+    # rows without a side only move the watermark; they have no key, so they match nothing
+    a, b = (d.filter(F.coalesce(own, F.lit(True))).select(*[F.col(k).alias(f"{s}_{k}") for k in PAIR_KEY], F.col("odds_time_utc").alias(f"{s}_time"), quote.alias(s)) for s, own in (("a", first), ("b", ~first)))
+    gap = F.expr(f"INTERVAL '{gap_minutes * 60:.6f}' SECOND")
+    on = [F.col(f"a_{k}") == F.col(f"b_{k}") for k in PAIR_KEY] + [F.col("a_time") >= F.col("b_time") - gap, F.col("a_time") <= F.col("b_time") + gap]
+    j = a.join(b, on, "full_outer")
+    return j.select(*[F.coalesce(f"a_{k}", f"b_{k}").alias(k) for k in PAIR_KEY], "a", "b")
+
+
+def current_pairs(matches: DataFrame, gap_minutes: float = quotes.PAIR_GAP_MINUTES) -> DataFrame:
+    """Pairs that stand after all matches: the newest quotes of both sides, if they lie within the gap."""
+    d = matches.filter(F.col("game_id").isNotNull()).groupBy(*PAIR_KEY).agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    d = d.filter(F.abs(F.unix_micros("a.t") - F.unix_micros("b.t")) <= int(gap_minutes * validity.MICROS_PER_MINUTE))
+    return d.select("game_id", "market", "book", F.when(F.col("line_key") != "-", F.col("line_key").cast("double")).alias("line"), F.col("a.t").alias("first_time"), F.col("a.price").alias("first_price"),
+                    F.col("b.t").alias("second_time"), F.col("b.price").alias("second_price"))
 
 
 # ---------------------------------------------------------------- windows and archive

@@ -34,6 +34,7 @@ class LatestQuote(StatefulProcessor):
         best = tuple(self.quote.get()) if self.quote.exists() else None
         before = best
         for b in rows:
+            b = b[b["event_id"].notna()]   # the others only move the clock
             for t, price, i in zip(b["quoted_us"], b["price"], b["event_id"]):
                 new = (int(t), float(price), int(i))
                 best = new if best is None or new > best else best
@@ -53,10 +54,21 @@ class LatestQuote(StatefulProcessor):
         pass
 
 
-def latest_with_expiry(valid: DataFrame, max_age_minutes: float) -> DataFrame:
-    """Changes of the latest live quote per key: new quotes (live) and withdrawals (not live)."""
+def standing(updates: DataFrame) -> DataFrame:
+    """The last change of each key; ``live`` tells whether its quote still stands. Changes without a game only moved the clock."""
+    order = F.struct("quoted_us", "price", "event_id", ~F.col("live"))
+    last = updates.filter(F.col("game_id").isNotNull()).groupBy(*KEY).agg(F.max_by(F.struct("event_id", "price", "quoted_us", "live"), order).alias("q"))
+    return last.select(*KEY, "q.*")
+
+
+def latest_with_expiry(valid: DataFrame, max_age_minutes: float, skew_minutes: float = 2.0) -> DataFrame:
+    """Changes of the latest live quote per key: new quotes (live) and withdrawals (not live).
+
+    A valid quote may be ``max_age_minutes`` old and the newest one ``skew_minutes`` ahead of the clock: the watermark stays both behind, so
+    that none counts as late.
+    """
     valid.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    d = valid.withWatermark("odds_time_utc", f"{max_age_minutes:g} minutes").select(
+    d = valid.withWatermark("odds_time_utc", f"{max_age_minutes + skew_minutes:g} minutes").select(
         "game_id", "book", "market", "side", F.coalesce(F.col("point").cast("string"), F.lit("-")).alias("point_key"), "event_id", "price",
         F.unix_micros("odds_time_utc").alias("quoted_us"), "odds_time_utc")
     return d.groupBy(*KEY).transformWithStateInPandas(LatestQuote(max_age_minutes), LATEST, "Update", "eventTime")
