@@ -26,6 +26,7 @@ BITS = 18
 PER_CLASS = 2500
 THRESHOLD = 0.7
 CACHE = 300_000
+FEATURE_BYTES = 2 << 20  # text whose features a worker lists at once; they take some 20 times its bytes
 SHAPES = ((re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[^\W\d_A]+"), "a"), (re.compile(r"\d+"), "9"), (re.compile(r"([^\w\s])\1+"), r"\1\1"))
 
 
@@ -163,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
-        for batch in slices(batches):
+        for batch in slices(batches, limit=FEATURE_BYTES):
             row, feature = features(batch.column(1), cache)
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(feature.astype(np.int32)))], ["y", "f"])
@@ -189,7 +190,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
-        for batch in slices(batches):
+        for batch in slices(batches, limit=FEATURE_BYTES):
             p = shared.value.scores(*features(batch.column(2), cache), batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -209,7 +210,7 @@ def passing(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshol
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
-        for batch in slices(batches, at):
+        for batch in slices(batches, at, FEATURE_BYTES):
             yield batch.filter(pa.array(shared.value.scores(*features(batch.column(at), cache), batch.num_rows) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
