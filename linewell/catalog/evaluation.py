@@ -8,6 +8,9 @@ from linewell.catalog.fields import GRADE, duck_clv, duck_profit
 from linewell.functions import times
 from linewell.functions.joins import materialise
 from linewell.operators import chain, history, ledger, metrics
+from linewell.operators.order import with_positions
+from linewell.sources import log_files, writers
+from linewell.streaming.sinks import new_folder
 
 S = b.SETTINGS
 BOOT = 200
@@ -191,6 +194,33 @@ def wager_intake_prefix(spark, sf):
     return ledger.wager_intake(r, _fc(spark, sf), seen).select("request_id", "matches", "price", "point", "reason")
 
 
+def prefix_matches(spark, sf):
+    """Id prefixes of 1 to 64 characters, some unknown, some of no character."""
+    e = b.table(spark, sf, "quote_parts")
+    fid = F.when(F.col("event_id") % 53 == 0, "zz").when(F.col("event_id") % 59 == 0, "").otherwise(F.expr("left(sha2(cast(event_id as string), 256), cast(event_id % 64 + 1 as int))"))
+    r = e.select(F.col("event_id").alias("request_id"), fid.alias("forecast_id"))
+    return ledger.match_prefixes(r, _fc(spark, sf)).select("request_id", "matches", "hash")
+
+
+def wager_intake_recorded(spark, sf):
+    """Wagers against a ledger that holds the bets of every fifth request, each request sent twice."""
+    f, r = _fc(spark, sf), _requests(spark, sf)
+    none = spark.createDataFrame([], "bet_id string")
+    seen = materialise(ledger.wager_intake(r.filter("request_id % 5 = 0"), f, none).filter("reason = ''").select("bet_id"), "ledger")
+    twice = r.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1000000000)))).withColumn("request_id", F.col("request_id") + F.col("copy")).drop("copy")
+    return ledger.wager_intake(twice, f, seen).groupBy("reason").agg(F.count(F.lit(1)).alias("requests"), F.min("request_id").alias("first"), F.max("request_id").alias("last"))
+
+
+def forecast_order(spark, sf):
+    """Place of every forecast in the history: by recording time, then hash."""
+    return with_positions(_fc(spark, sf).select("hash", "recorded_utc"), [F.col("recorded_utc").asc_nulls_last(), F.col("hash").asc()], "place")
+
+
+def ledger_order(spark, sf):
+    """Place of every wager in the ledger report: largest stake first, then bet id."""
+    return with_positions(b.table(spark, sf, "wagers").select("bet_id", "stake_units"), [F.col("stake_units").desc_nulls_last(), F.col("bet_id").asc()], "place")
+
+
 def ledger_voids(spark, sf):
     w = b.table(spark, sf, "wagers").withColumn("row", F.xxhash64("bet_id")).drop("voided")
     v = b.table(spark, sf, "wagers").filter("voided is not null").select(F.concat(F.lit("v-"), "bet_id").alias("request_id"), "bet_id", F.col("voided").alias("note"))
@@ -227,11 +257,47 @@ def chain_audit(spark, sf):
     return chain.audit(t)
 
 
+def _stored_log(spark, sf):
+    """Document logs on files, appended in two goes."""
+    root = new_folder(spark, "logs")
+    rows = _log_rows(spark, sf)
+    for part in (0, 1):
+        log_files.append_records(rows.filter(F.col("ord") % 2 == 0) if part == 0 else rows.filter(F.col("ord") % 2 == 1), root)
+    return root
+
+
+def log_positions(spark, sf):
+    """Records of stored logs with their places, read in ranges of 20,000 bytes."""
+    return log_files.read_records(spark, _stored_log(spark, sf), 20_000).select("log_id", "pos", "seq", F.col("kind").alias("lang"), "prev", "hash")
+
+
+def log_file_audit(spark, sf):
+    """Audit of stored logs after lines were taken out of some files and swapped in others."""
+    d = log_files.read_lines(spark, _stored_log(spark, sf))
+    kept = d.filter(~((F.col("log_id") < "src3") & (F.col("pos") == 7)))
+    moved = kept.withColumn("to", F.when((F.col("log_id") > "src6") & F.col("pos").isin(4, 5), 9 - F.col("pos")).otherwise(F.col("pos")))
+    root = new_folder(spark, "logs-tampered")
+    (moved.repartition("log_id").sortWithinPartitions("log_id", "to").select("log_id", F.col("line").alias("value")).write.partitionBy("log_id").text(root))
+    return chain.audit(log_files.read_records(spark, root))
+
+
+def run_tables(spark, sf):
+    """Forecasts recorded run by run, one of them twice with other rows; what readers see."""
+    f = _fc(spark, sf).select("hash", "game_id", "market", "price", "recorded_utc", "prediction_completed_utc")
+    root = new_folder(spark, "runs")
+    part = F.pmod(F.conv(F.substring("hash", 1, 6), 16, 10).cast("bigint"), F.lit(3))
+    for k in (0, 1, 2):
+        writers.append_forecasts(f.filter(part == k), root, f"run{k}")
+    writers.append_forecasts(f, root, "run1")   # the run is there: adds nothing
+    return writers.read_forecasts(spark, root, f.schema).groupBy("run_id", "market").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("first"), b.r6(F.sum("price")).alias("prices"))
+
+
 QUERIES = {f.__name__: f for f in (
     targets_identical_rows, prob_table, prob_table_with_interval, season_diffs_pivot, calibration_bins, calibration_documents, ece, mae_by_season,
     bet_table_grouping_sets, bet_table, bet_seasons_right_join, max_drawdown, cluster_bootstrap, cluster_bootstrap_blocks, horizon_select,
     horizon_coverage, slate_coverage, coverage_summary, market_coverage, score_table, settlement_by_tier, best_side, ledger_settled,
-    lead_times, forecast_tiers, graded_days, recheck, wager_intake_prefix, ledger_voids, archive_new_rows, chain_seal, chain_audit)}
+    lead_times, forecast_tiers, graded_days, recheck, wager_intake_prefix, wager_intake_recorded,
+    prefix_matches, forecast_order, ledger_order, ledger_voids, archive_new_rows, chain_seal, chain_audit, log_positions, log_file_audit, run_tables)}
 
 # ---------------------------------------------------------------- oracles
 
@@ -283,6 +349,11 @@ sealed AS (SELECT l.source, l.lang, l.text, l.seq, repeat('0', 64) AS prev, {dig
 {body}"""
 
 
+def _stored(body):
+    """The same logs in the order of two appends: even document ids first."""
+    return _sealed(body).replace("ORDER BY doc_id) - 1 AS seq", "ORDER BY doc_id % 2, doc_id) - 1 AS seq", 1)
+
+
 _REQ = f"""rq AS (SELECT event_id AS request_id, CASE WHEN event_id % 71 = 0 THEN 'zzzzzzzz' ELSE left(sha256(CAST(event_id AS VARCHAR)), CASE event_id % 9 WHEN 0 THEN 6 WHEN 1 THEN 8 ELSE 16 END) END AS fid,
   CASE WHEN event_id % 37 = 0 THEN 0.0 ELSE (event_id % 4 + 1) / 2 END AS stake, {b.NOW_EPOCH} + (game_id % 7) * 2700 - 10000 - (event_id % 5 - 1) * 2000 AS at,
   CASE WHEN event_id % 29 = 0 THEN 50.0 END AS pr, CASE WHEN event_id % 33 = 0 THEN 7.25 END AS pt FROM quote_parts),
@@ -346,6 +417,22 @@ FROM (SELECT *, ob AND NOT qold AND market <> 'ml' AND coalesce({_DONE} - {b.epo
     WHEN r.stake <= 0 THEN 'stake must be a positive number of units' WHEN abs(coalesce(r.pr, f.price)) < 100 THEN 'invalid price'
     WHEN f.market <> 'ml' AND NOT (abs(coalesce(r.pt, f.point) * 2 - round_even(coalesce(r.pt, f.point) * 2, 0)) <= 1e-9) THEN 'invalid point' ELSE '' END AS reason
 FROM rq r JOIN hit h ON h.request_id = r.request_id LEFT JOIN forecasts f ON h.matches = 1 AND f.hash = h.hash""", _REQ),
+    "prefix_matches": b.oracle(["forecasts"], """SELECT r.request_id, count(f.hash) AS matches, CASE WHEN count(f.hash) = 1 THEN min(f.hash) END AS hash
+FROM rq r LEFT JOIN (SELECT DISTINCT hash FROM forecasts) f ON starts_with(f.hash, r.fid) GROUP BY 1""",
+                               "rq AS (SELECT event_id AS request_id, CASE WHEN event_id % 53 = 0 THEN 'zz' WHEN event_id % 59 = 0 THEN '' ELSE left(sha256(CAST(event_id AS VARCHAR)), event_id % 64 + 1) END AS fid FROM quote_parts)"),
+    "wager_intake_recorded": b.oracle(["forecasts"], f"""SELECT CASE WHEN reason = '' AND (held OR no <> request_id OR request_id > first_of_bet) THEN 'bet already recorded' ELSE reason END AS reason, count(*) AS requests, min(request_id) AS first, max(request_id) AS last
+FROM (SELECT d.*, z.no, min(z.no) OVER (PARTITION BY d.bet) AS first_of_bet, bool_or(z.no % 5 = 0) OVER (PARTITION BY d.bet) AS held, z.request_id FROM (SELECT event_id AS no, unnest([event_id, event_id + 1000000000]) AS request_id FROM quote_parts) z JOIN ({{_DECIDED}}) d ON d.rid = z.no) y GROUP BY 1""".replace("{_DECIDED}", f"""SELECT r.request_id AS rid, coalesce(CASE WHEN h.matches = 1 THEN concat(f.hash, r.at, r.stake, coalesce(r.pr, f.price), coalesce(r.pt, f.point)) END, CAST(r.request_id AS VARCHAR)) AS bet,
+  CASE WHEN h.matches <> 1 THEN concat('forecast id matches ', h.matches, ' records') WHEN r.at >= {b.epoch('f.kickoff_utc')} THEN 'placed time is not before kickoff' WHEN {b.epoch('f.recorded_utc')} > r.at THEN 'placed time is before the forecast was recorded'
+    WHEN r.stake <= 0 THEN 'stake must be a positive number of units' WHEN abs(coalesce(r.pr, f.price)) < 100 THEN 'invalid price'
+    WHEN f.market <> 'ml' AND NOT (abs(coalesce(r.pt, f.point) * 2 - round_even(coalesce(r.pt, f.point) * 2, 0)) <= 1e-9) THEN 'invalid point' ELSE '' END AS reason
+FROM rq r JOIN hit h ON h.request_id = r.request_id LEFT JOIN forecasts f ON h.matches = 1 AND f.hash = h.hash"""), _REQ),
+    "forecast_order": b.oracle(["forecasts"], "SELECT hash, recorded_utc, row_number() OVER (ORDER BY recorded_utc NULLS LAST, hash) - 1 AS place FROM forecasts"),
+    "ledger_order": b.oracle(["wagers"], "SELECT bet_id, stake_units, row_number() OVER (ORDER BY stake_units DESC NULLS LAST, bet_id) - 1 AS place FROM wagers"),
+    "log_positions": _stored("SELECT source AS log_id, seq AS pos, seq, lang, prev, hash FROM sealed"),
+    "log_file_audit": _stored("""SELECT log_id, count(*) AS records, count(problem) = 0 AS intact, min(pos) FILTER (problem IS NOT NULL) AS first_bad, min_by(problem, pos) FILTER (problem IS NOT NULL) AS problem FROM (
+  SELECT *, CASE WHEN seq <> pos THEN 'sequence out of order' WHEN prev <> coalesce(lag(hash) OVER (PARTITION BY log_id ORDER BY pos), repeat('0', 64)) THEN 'previous-hash link broken' END AS problem
+  FROM (SELECT source AS log_id, seq, prev, hash, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN source > 'src6' AND seq IN (4, 5) THEN 9 - seq ELSE seq END) - 1 AS pos FROM sealed WHERE NOT (source < 'src3' AND seq = 7)) y) z GROUP BY 1"""),
+    "run_tables": b.oracle(["forecasts"], """SELECT concat('run', CAST(concat('0x', substr(hash, 1, 6)) AS BIGINT) % 3) AS run_id, market, count(*) AS n, min(hash) AS first, round(sum(price), 6) AS prices FROM forecasts GROUP BY 1, 2"""),
     "ledger_voids": b.oracle(["wagers"], "SELECT market, voided, count(*) AS bets, round(sum(stake_units), 6) AS staked FROM wagers GROUP BY 1, 2"),
     "archive_new_rows": b.oracle(["weather_inputs"], f"SELECT DISTINCT {', '.join(WEATHER_KEY)} FROM weather_inputs WHERE NOT (wind_mph <= '3')"),
     "chain_seal": _sealed("SELECT source AS log_id, seq, prev, hash FROM sealed"),

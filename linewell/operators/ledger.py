@@ -8,20 +8,26 @@ from linewell.functions import prices, times
 from linewell.functions.joins import lookup
 from linewell.operators.validity import known_point, known_side
 
-PREFIX = 6      # shortest forecast-id prefix that is looked up
+PREFIX = 6      # prefixes below this length are counted ahead, longer ones are looked up by their first characters
 
 
 def match_prefixes(requests: DataFrame, forecasts: DataFrame) -> DataFrame:
     """Per request: how many forecasts its id prefix names, and the hash if exactly one.
 
-    The prefix condition is an equi join on the first six characters plus a residual check, and both
-    sides are folded first, so no request is compared with the whole history.
+    A short prefix may name a large part of the history, of which only the number counts: short prefixes of the hashes are
+    aggregated once, length by length. A longer one meets the hashes with its first six characters. Both are equi joins on folded sides, so
+    no request is compared with the whole history. An empty prefix names all forecasts, a null one none.
     """
-    r = requests.select("request_id", "forecast_id", F.substring("forecast_id", 1, PREFIX).alias("_p"))
-    f = forecasts.select("hash", F.substring("hash", 1, PREFIX).alias("_p")).distinct()
-    hit = r.join(f, "_p").filter(F.col("hash").startswith(F.col("forecast_id")))
-    n = hit.groupBy("request_id").agg(F.count("*").alias("matches"), F.min("hash").alias("hash"))
-    return requests.join(n, "request_id", "left").withColumns(
+    size = F.length("forecast_id")
+    asked = requests.select("forecast_id").filter("forecast_id is not null").distinct()
+    hashes = forecasts.select("hash").filter("hash is not null").distinct()
+    short = (hashes.select("hash", F.explode(F.sequence(F.lit(0), F.least(F.lit(PREFIX - 1), F.length("hash")))).alias("_n")).select("hash", F.expr("left(hash, _n)").alias("forecast_id"))
+             .groupBy("forecast_id").agg(F.count(F.lit(1)).alias("matches"), F.min("hash").alias("hash")))
+    by_count = lookup(asked.filter(size < PREFIX), short, ["forecast_id"], "inner")
+    long = asked.filter(size >= PREFIX).withColumn("_p", F.substring("forecast_id", 1, PREFIX))
+    hit = long.join(hashes.withColumn("_p", F.substring("hash", 1, PREFIX)), "_p").filter(F.col("hash").startswith(F.col("forecast_id")))
+    found = by_count.unionByName(hit.groupBy("forecast_id").agg(F.count(F.lit(1)).alias("matches"), F.min("hash").alias("hash")))
+    return lookup(requests, found, ["forecast_id"]).withColumns(
         {"matches": F.coalesce("matches", F.lit(0)), "hash": F.when(F.col("matches") == 1, F.col("hash"))})
 
 

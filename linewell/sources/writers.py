@@ -1,20 +1,22 @@
 """Sinks: run snapshots, forecast history, graded tables, cached aggregates."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linewell.functions import times
 from linewell.operators.history import tier_of
 from linewell.sources import schemas
+from linewell.sources.run_store import RunStore
 
 
 def save_snapshot(frames: dict[str, DataFrame], root: str, run_id: str) -> str:
-    """Writes every input table of a run under its run id; an existing run is refused."""
-    path = f"{root}/run_id={run_id}"
-    for name, df in frames.items():
-        df.write.mode("errorifexists").parquet(f"{path}/{name}")
-    return path
+    """Writes all input tables of a run as one unit; returns the snapshot id, a hash of their contents. An existing run is refused."""
+    store = RunStore(next(iter(frames.values())).sparkSession, root)
+    if not store.write(frames, run_id):
+        raise FileExistsError(f"run {run_id} has a snapshot")
+    return store.manifest(run_id)["snapshot_id"]
 
 
 def forecast_rows(decisions: DataFrame, games: DataFrame, run_id: str, completed: Column, recorded: Column, model_version: str) -> DataFrame:
@@ -33,12 +35,18 @@ def forecast_rows(decisions: DataFrame, games: DataFrame, run_id: str, completed
                                         "model_version": F.lit(model_version), "recorded_utc": times.iso(recorded)})
 
 
-def append_forecasts(rows: DataFrame, path: str) -> None:
-    """Appends forecasts; refused as a whole when any row would be recorded before it was completed."""
+def append_forecasts(rows: DataFrame, root: str, run_id: str) -> bool:
+    """Records the forecasts of a run; refused as a whole when any row would be recorded before it was completed. A run that is
+    recorded already adds nothing (False), so an append may be repeated."""
     early = rows.filter(times.parse_utc(F.col("recorded_utc")) < times.parse_utc(F.col("prediction_completed_utc")))
     if not early.isEmpty():
         raise ValueError("prediction completion is in the future; refusing to record")
-    rows.write.mode("append").parquet(path)
+    return RunStore(rows.sparkSession, root).write({"forecasts": rows}, run_id)
+
+
+def read_forecasts(spark: SparkSession, root: str, schema: T.StructType = schemas.FORECAST_DATA) -> DataFrame:
+    """The forecasts of all recorded runs."""
+    return RunStore(spark, root).read("forecasts", schema)
 
 
 def write_graded(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -37,7 +37,7 @@ def test_snapshot_refuses_existing_run_and_late_completion(spark, tmp_path):
         writers.save_snapshot({"x": df}, str(tmp_path), "r1")
     rows = spark.createDataFrame([("2026-10-11T15:00:00Z", "2026-10-11T15:00:01Z")], "recorded_utc string, prediction_completed_utc string")
     with pytest.raises(ValueError):
-        writers.append_forecasts(rows, str(tmp_path / "h"))
+        writers.append_forecasts(rows, str(tmp_path / "h"), "r1")
 
 
 def test_season_refresh_and_partition_pruning(spark, tmp_path):
