@@ -10,6 +10,7 @@ from linewell.functions.joins import materialise
 from linewell.operators import chain, history, ledger, metrics
 from linewell.operators.order import with_positions
 from linewell.sources import log_files, writers
+from linewell.sources.archive import Archive
 from linewell.streaming.sinks import new_folder
 
 S = b.SETTINGS
@@ -239,6 +240,15 @@ def archive_new_rows(spark, sf):
     return ledger.unseen_rows(batch, w.filter("wind_mph <= '3'"), WEATHER_KEY)
 
 
+def archive_batches(spark, sf):
+    """Weather inputs archived in three overlapping batches, the second one sent twice: rows by the batch that brought their key."""
+    w = b.table(spark, sf, "weather_inputs").select(*WEATHER_KEY)
+    store = Archive(spark, new_folder(spark, "archive"), w.schema, WEATHER_KEY)
+    for name, rows in (("b1", w.filter("wind_mph <= '2'")), ("b2", w.filter("wind_mph <= '3'")), ("b2", w), ("b3", w)):
+        store.add(rows, name)
+    return store.rows().select(F.col("run_id").alias("batch"), *WEATHER_KEY)
+
+
 def _log_rows(spark, sf):
     d = b.table(spark, sf, "documents")
     return d.select(F.col("source").alias("log_id"), F.col("doc_id").alias("ord"), F.lit("2024-02-01T12:00:00Z").alias("recorded_utc"), F.col("lang").alias("kind"), F.col("text").alias("body"))
@@ -297,7 +307,7 @@ QUERIES = {f.__name__: f for f in (
     bet_table_grouping_sets, bet_table, bet_seasons_right_join, max_drawdown, cluster_bootstrap, cluster_bootstrap_blocks, horizon_select,
     horizon_coverage, slate_coverage, coverage_summary, market_coverage, score_table, settlement_by_tier, best_side, ledger_settled,
     lead_times, forecast_tiers, graded_days, recheck, wager_intake_prefix, wager_intake_recorded,
-    prefix_matches, forecast_order, ledger_order, ledger_voids, archive_new_rows, chain_seal, chain_audit, log_positions, log_file_audit, run_tables)}
+    prefix_matches, forecast_order, ledger_order, ledger_voids, archive_new_rows, archive_batches, chain_seal, chain_audit, log_positions, log_file_audit, run_tables)}
 
 # ---------------------------------------------------------------- oracles
 
@@ -435,6 +445,7 @@ FROM rq r JOIN hit h ON h.request_id = r.request_id LEFT JOIN forecasts f ON h.m
     "run_tables": b.oracle(["forecasts"], """SELECT concat('run', CAST(concat('0x', substr(hash, 1, 6)) AS BIGINT) % 3) AS run_id, market, count(*) AS n, min(hash) AS first, round(sum(price), 6) AS prices FROM forecasts GROUP BY 1, 2"""),
     "ledger_voids": b.oracle(["wagers"], "SELECT market, voided, count(*) AS bets, round(sum(stake_units), 6) AS staked FROM wagers GROUP BY 1, 2"),
     "archive_new_rows": b.oracle(["weather_inputs"], f"SELECT DISTINCT {', '.join(WEATHER_KEY)} FROM weather_inputs WHERE NOT (wind_mph <= '3')"),
+    "archive_batches": b.oracle(["weather_inputs"], f"SELECT DISTINCT CASE WHEN wind_mph <= '2' THEN 'b1' WHEN wind_mph <= '3' THEN 'b2' ELSE 'b3' END AS batch, {', '.join(WEATHER_KEY)} FROM weather_inputs"),
     "chain_seal": _sealed("SELECT source AS log_id, seq, prev, hash FROM sealed"),
     "chain_audit": _sealed("""SELECT log_id, count(*) AS records, count(problem) = 0 AS intact, min(pos) FILTER (problem IS NOT NULL) AS first_bad, min_by(problem, pos) FILTER (problem IS NOT NULL) AS problem FROM (
   SELECT *, CASE WHEN seq <> pos THEN 'sequence out of order' WHEN prev <> coalesce(lag(hash) OVER (PARTITION BY log_id ORDER BY pos), repeat('0', 64)) THEN 'previous-hash link broken' WHEN edited THEN 'content does not match its hash' END AS problem

@@ -38,19 +38,19 @@ def quotes_pairs_novig(spark, sf):
                     "first_price", "second_price")
 
 
-def _references(spark, sf):
-    cells = materialise(quotes.quote_cells(b.valid_quotes(spark, sf)), "cells")
+def _references(spark, sf, markets):
+    cells = materialise(quotes.quote_cells(b.valid_quotes(spark, sf).filter(F.col("market").isin(*markets))), "cells")
     return references.build_references(quotes.pairs_of(cells), S.min_reference_books, quoted=cells)
 
 
 def reference_ml_loo(spark, sf):
-    r = _references(spark, sf).filter("market = 'ml'")
+    r = _references(spark, sf, ["ml"])
     return r.select("game_id", F.coalesce("excluded", F.lit("-")).alias("excluded"), "n_books", "books", b.r6("p").alias("p"),
                     b.r6("spread_of_books").alias("spread_of_books"), times.iso(F.col("oldest")).alias("oldest_utc"), times.iso(F.col("newest")).alias("newest_utc"))
 
 
 def reference_lines_loo(spark, sf):
-    r = _references(spark, sf).filter("market <> 'ml'")
+    r = _references(spark, sf, ["spread", "total"])
     return r.select("game_id", "market", F.coalesce("excluded", F.lit("-")).alias("excluded"), "n_books", "books", "line",
                     times.iso(F.col("oldest")).alias("oldest_utc"), times.iso(F.col("newest")).alias("newest_utc"))
 

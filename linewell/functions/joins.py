@@ -60,11 +60,13 @@ def once(df: DataFrame, **cols: Column) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a local one only where none is named (tests)."""
+    """The shared checkpoint folder the cluster names; a local one only where none is named and there is no cluster (tests)."""
     global _fallback_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder: intermediate tables need one that all executors share")
     if _fallback_dir is None:
         _fallback_dir = tempfile.mkdtemp(prefix="spark-")
     return _fallback_dir

@@ -25,13 +25,13 @@ def numbered_games(snaps: DataFrame) -> DataFrame:
     return snaps.select(*TEAM, "game_id", "week").distinct().withColumn("game_no", F.row_number().over(w))
 
 
-def expected_shares(snaps: DataFrame) -> DataFrame:
+def expected_shares(snaps: DataFrame, games: DataFrame | None = None) -> DataFrame:
     """Per team game and player: snap shares summed over the previous (up to 4) team games, per game.
 
     Instead of a range self join, each snap row is sent forward to the (at most 4) later team games it
-    counts for, so the work is linear and joins are equi joins.
+    counts for, so the work is linear and joins are equi joins. (games: ``numbered_games``)
     """
-    games = numbered_games(snaps)
+    games = numbered_games(snaps) if games is None else games
     rows = snaps.join(games.select(*TEAM, "game_id", "game_no"), [*TEAM, "game_id"])
     ahead = rows.withColumn("for_no", F.explode(F.sequence(F.col("game_no") + 1, F.col("game_no") + PREVIOUS)))
     s = (ahead.groupBy(*TEAM, F.col("for_no").alias("game_no"), "pfr_player_id")
@@ -57,12 +57,12 @@ def missing_shares(e: DataFrame, injuries: DataFrame, crosswalk: DataFrame) -> D
                                              F.sum(F.col("exp_def") * F.col("times")).alias("avail_def"))
 
 
-def line_continuity(snaps: DataFrame, shares: DataFrame | None = None) -> DataFrame:
+def line_continuity(snaps: DataFrame, shares: DataFrame | None = None, games: DataFrame | None = None) -> DataFrame:
     """Share of the last game's line snaps taken by the 5 linemen with most snaps over the window."""
     e = (expected_shares(snaps) if shares is None else shares).filter(F.col("line_snaps").isNotNull())
     w = Window.partitionBy(*TEAM, "game_no").orderBy(F.desc("line_snaps"), "pfr_player_id")
     top = e.withColumn("rk", F.row_number().over(w)).filter("rk <= 5").select(*TEAM, "game_no", "pfr_player_id", F.lit(True).alias("top"))
-    games = numbered_games(snaps)
+    games = numbered_games(snaps) if games is None else games
     last = (snaps.filter(F.col("position").isin(*LINE_POSITIONS)).join(games.select(*TEAM, "game_id", "game_no"), [*TEAM, "game_id"])
             .withColumn("game_no", F.col("game_no") + 1))
     share = (last.join(top, [*TEAM, "game_no", "pfr_player_id"], "left").groupBy(*TEAM, "game_no")
@@ -73,10 +73,10 @@ def line_continuity(snaps: DataFrame, shares: DataFrame | None = None) -> DataFr
 def team_game_availability(snaps: DataFrame, injuries: DataFrame, crosswalk: DataFrame) -> DataFrame:
     """One row per (game, team): avail_off, avail_def (0 without history), olc (null without history)."""
     snaps = materialise(snaps, "snaps")
-    shares = materialise(expected_shares(snaps), "shares")
-    games = numbered_games(snaps).select(*TEAM, "game_id")
-    return (games.join(missing_shares(shares, injuries, crosswalk), [*TEAM, "game_id"], "left")
-            .join(line_continuity(snaps, shares), [*TEAM, "game_id"], "left")
+    games = materialise(numbered_games(snaps), "team-games")
+    shares = materialise(expected_shares(snaps, games), "shares")
+    return (games.select(*TEAM, "game_id").join(missing_shares(shares, injuries, crosswalk), [*TEAM, "game_id"], "left")
+            .join(line_continuity(snaps, shares, games), [*TEAM, "game_id"], "left")
             .select("game_id", "team", F.coalesce("avail_off", F.lit(0.0)).alias("avail_off"),
                     F.coalesce("avail_def", F.lit(0.0)).alias("avail_def"), "olc"))
 

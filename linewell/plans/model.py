@@ -325,14 +325,27 @@ def baseline_rows(train: DataFrame, cols: list[str]) -> DataFrame:
 def key_number_weights(rows: DataFrame) -> DataFrame:
     """Observed / expected frequency of every integer outcome (fold, kind, k, weight).
 
-    rows: fold, kind ('margin' | 'total'), mu, sd, actual.  The expected count of k is a difference of
-    summed normal CDFs at k -/+ 0.5, so each row adds one CDF value per edge to map-side sums.
+    rows: fold, kind ('margin' | 'total'), mu, sd, actual.  The expected count of k is a difference of summed normal
+    CDFs at k -/+ 0.5. A task adds them up over its rows, batch by batch, and returns one number per edge, fold and kind.
     """
-    lo = F.when(F.col("kind") == "margin", stats.MARGIN_LO).otherwise(stats.TOTAL_LO)
-    hi = F.when(F.col("kind") == "margin", stats.MARGIN_HI).otherwise(stats.TOTAL_HI)
-    d = rows.withColumns({"_lo": lo, "_hi": hi})
-    edges = (d.withColumn("k", F.explode(F.sequence(F.col("_lo"), F.col("_hi") + 1)))
-             .groupBy("fold", "kind", "k").agg(F.sum(stats.normal_cdf((F.col("k") - 0.5 - F.col("mu")) / F.col("sd"))).alias("c")))
+    bounds = {"margin": (stats.MARGIN_LO, stats.MARGIN_HI), "total": (stats.TOTAL_LO, stats.TOTAL_HI)}
+
+    def at_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for (fold, kind), d in batch.groupby(["fold", "kind"]):
+                lo, hi = bounds[kind]
+                edges = np.arange(lo, hi + 2) - 0.5
+                mu, sd = d["mu"].to_numpy(float), d["sd"].to_numpy(float)
+                total = sums.setdefault((fold, kind), np.zeros(len(edges)))
+                for i in range(0, len(mu), 4096):
+                    total += stats.np_normal_cdf((edges[:, None] - mu[i:i + 4096]) / sd[i:i + 4096]).sum(1)
+        yield pd.DataFrame([(fold, kind, k, v) for (fold, kind), t in sums.items() for k, v in enumerate(t, bounds[kind][0])], columns=["fold", "kind", "k", "c"])
+
+    is_margin = F.col("kind") == "margin"
+    d = rows.withColumns({"_lo": F.when(is_margin, stats.MARGIN_LO).otherwise(stats.TOTAL_LO), "_hi": F.when(is_margin, stats.MARGIN_HI).otherwise(stats.TOTAL_HI)})
+    edges = (rows.select("fold", "kind", "mu", "sd").mapInPandas(at_edges, f"fold {rows.schema['fold'].dataType.simpleString()}, kind string, k int, c double")
+             .groupBy("fold", "kind", "k").agg(F.sum("c").alias("c")))
     w = Window.partitionBy("fold", "kind").orderBy("k")         # 132 or 162 rows
     expected = edges.withColumn("e", F.lead("c").over(w) - F.col("c")).filter("e is not null")
     inside = F.least(F.greatest(F.col("actual").cast("int"), F.col("_lo")), F.col("_hi"))

@@ -123,3 +123,31 @@ def test_prefixes_of_any_length(spark):
         hit = [h for h in distinct if p is not None and h.startswith(p)]
         assert got[k] == (len(hit), hit[0] if len(hit) == 1 else None), p
     assert len(got) == len(asked)
+
+
+def test_archive_adds_each_key_once(spark, tmp_path):
+    from linewell.sources.archive import Archive
+    schema = "k int, v string, note string"
+    df = spark.createDataFrame([(i % 30 if i % 30 else None, "ab"[i % 2], str(i)) for i in range(90)], schema)
+    a = Archive(spark, str(tmp_path), df.schema, ["k", "v"], keys=100)
+    keys = {(r["k"], r["v"]) for r in df.collect()}
+    part = df.filter("k < 10 OR k IS NULL")
+    first = {(r["k"], r["v"]) for r in part.collect()}
+    assert a.add(part, "b1") == len(first) and a.add(df, "b1") == 0
+    new, asked = a.split(df)
+    assert {(r["k"], r["v"]) for r in asked.collect()} >= first and new.count() + asked.count() == len(keys)
+    assert a.add(df, "b2") == len(keys) - len(first) and a.add(df, "b3") == 0 and a.add(df.limit(0), "b4") == 0
+    got = [(r["k"], r["v"]) for r in a.rows().collect()]
+    assert len(got) == len(keys) and set(got) == keys
+    with pytest.raises(ValueError):
+        a.add(df, "b0")
+
+
+def test_an_overfull_filter_stays_exact(spark, tmp_path):
+    from linewell.sources.archive import Archive
+    df = spark.range(60_000).withColumnRenamed("id", "k")
+    a = Archive(spark, str(tmp_path), df.schema, ["k"], keys=10)      # one bucket of 65,536 bits, nearly all of them set
+    assert a.add(df.filter("k % 2 = 0"), "b1") == 30_000
+    new, asked = a.split(df)
+    assert new.count() < 20_000
+    assert a.add(df, "b2") == 30_000 and a.rows().distinct().count() == 60_000
