@@ -68,6 +68,13 @@ def duck_decimal(p: str) -> str:
     return f"(CASE WHEN {p} > 0 THEN 1 + {p} / 100 WHEN {p} < 0 THEN 1 + 100 / abs({p}) END)"
 
 
+def duck_cdf(x: str) -> str:
+    """The normal distribution with the error function's fixed approximation."""
+    t = f"(1 / (1 + 0.3275911 * abs({x}) / sqrt(2)))"
+    poly = f"(((((1.061405429 * {t} - 1.453152027) * {t}) + 1.421413741) * {t} - 0.284496736) * {t} + 0.254829592) * {t}"
+    return f"(0.5 * (1 + sign({x}) * (1 - {poly} * exp(-({x}) * ({x}) / 2))))"
+
+
 CHECKED = f"""checked AS (
   SELECT *, CASE WHEN k IS NULL THEN 'game not in slate or kickoff unknown'
     WHEN NOT ((market IN ('spread', 'ml') AND side IN ('home', 'away')) OR (market = 'total' AND side IN ('over', 'under')))

@@ -298,12 +298,7 @@ _MOM = """mo AS (SELECT season, 'spread' AS market, model_margin - spread_line A
   UNION ALL SELECT season, 'total', model_total - total_line, total - total_line FROM preds WHERE total IS NOT NULL AND total_line IS NOT NULL)"""
 
 
-def _cdf(x):
-    t = f"(1 / (1 + 0.3275911 * abs({x}) / sqrt(2)))"
-    poly = f"(((((1.061405429 * {t} - 1.453152027) * {t}) + 1.421413741) * {t} - 0.284496736) * {t} + 0.254829592) * {t}"
-    return f"(0.5 * (1 + sign({x}) * (1 - {poly} * exp(-({x}) * ({x}) / 2))))"
-
-
+_cdf = b.duck_cdf
 _KEYN = f"""kr AS (SELECT season AS fold, 'margin' AS kind, fair_margin AS mu, 13e0 AS sd, result AS actual, -80 AS lo, 80 AS hi FROM preds WHERE result IS NOT NULL AND spread_line IS NOT NULL AND total_line IS NOT NULL
   UNION ALL SELECT season, 'total', total_line, 13.5e0, total, 0, 130 FROM preds WHERE result IS NOT NULL AND spread_line IS NOT NULL AND total_line IS NOT NULL),
 ke AS (SELECT fold, kind, k, sum({_cdf('((k + 0.5 - mu) / sd)')} - {_cdf('((k - 0.5 - mu) / sd)')}) AS e, CAST(sum(CASE WHEN k = least(greatest(actual, lo), hi) THEN 1 ELSE 0 END) AS DOUBLE) AS o FROM (SELECT *, unnest(range(lo, hi + 1)) AS k FROM kr) z GROUP BY 1, 2, 3)"""
@@ -319,6 +314,11 @@ ORACLES = {
   round(t_off + 1e-9, 6) AS t_off, round(t_def + 1e-9, 6) AS t_def, round(t_pace + 1e-9, 6) AS t_pace, round(t_pts + 1e-9, 6) AS t_pts, CASE WHEN roof IN ('dome', 'closed') THEN 1e0 ELSE 0e0 END AS t_dome, round(f_rush + 1e-9, 6) AS f_rush, round(t_npace + 1e-9, 6) AS t_npace
 FROM games g JOIN ftr ON ftr.game_id = g.game_id LEFT JOIN dl ON dl.game_id = g.game_id""", ro.TEAMS + ",\n" + ro.PASSERS)),
     "team_ratings": ro.recursive(b.oracle(["games", "plays"], ro.FINAL_TEAMS, ro.TEAMS)),
+    "ridge_coefficients": ro.recursive(b.oracle(["games", "plays"], "SELECT season, model, n, seasons AS n_seasons, round(intercept, 6) AS intercept, unnest(range(len(coefs))) AS i, round(unnest(coefs), 6) AS coef FROM core", ro.RIDGE)),
+    "ridge_predictions": ro.recursive(b.oracle(["games", "plays"], """SELECT g.game_id, g.season, round(model_margin, 6) AS model_margin, round(blend_margin, 6) AS blend_margin, round(model_total, 6) AS model_total, round(blend_total, 6) AS blend_total,
+  round(CASE WHEN spread_line IS NULL THEN model_margin ELSE spread_line + s.k * (blend_margin - spread_line) END, 6) AS fair_margin, round(CASE WHEN total_line IS NULL THEN model_total ELSE total_line + t.k * (blend_total - total_line) END, 6) AS fair_total
+FROM fea g LEFT JOIN fitted f ON f.game_id = g.game_id LEFT JOIN slope s ON s.season = g.season AND s.market = 'spread' LEFT JOIN slope t ON t.season = g.season AND t.market = 'total'
+WHERE g.season IN (SELECT season FROM core WHERE model = 'model_margin' AND seasons > 3)""", ro.FAIR)),
     "ewma_ratings": ro.recursive(b.oracle(["games"], "SELECT league, game_id, team, round(pf + 1e-9, 6) AS pf, round(pa + 1e-9, 6) AS pa FROM ew", _EWMA)),
     "qb_decayed_sums": b.oracle(["games", "plays"], """SELECT a.league, a.game_id, a.qb_id, round(sum(b.n * pow(0.97, a.no - b.no)), 6) AS n_decayed, round(sum(b.n * b.epa * pow(0.97, a.no - b.no)), 6) AS s_decayed
 FROM qs a JOIN qs b ON b.league = a.league AND b.qb_id = a.qb_id AND b.no <= a.no GROUP BY 1, 2, 3""", _QB),

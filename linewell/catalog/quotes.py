@@ -177,6 +177,23 @@ REFS = f"""refs AS (
     max(p) - min(p) AS spread_of_books, min(oldest) AS oldest, max(newest) AS newest
   FROM chosen GROUP BY game_id, market, excluded)"""
 
+
+
+def _over(mu: str, line: str) -> str:
+    """P(above the line | not on it) of a normal on the integers: sums over outcomes telescope to four values of its distribution."""
+    def upto(edge: str) -> str:
+        return b.duck_cdf(f"(({edge} - {mu}) / sd)")
+    above, below = f"({upto('hi + 0.5')} - {upto(f'floor({line}) + 0.5')})", f"({upto(f'ceil({line}) - 0.5')} - {upto('lo - 0.5')})"
+    return f"({above} / ({above} + {below}))"
+
+
+MEANS = f"""shape(market, lo, hi, sd, a, b) AS (VALUES ('spread', -80, 80, 13e0, -60e0, 60e0), ('total', 0, 130, 13.5e0, 5e0, 125e0)),
+halved AS (SELECT c.market, c.line, c.p, 0 AS step, s.a, s.b FROM (SELECT DISTINCT market, line, p FROM chosen WHERE market <> 'ml') c JOIN shape s ON s.market = c.market
+  UNION ALL SELECT market, line, p, step + 1, CASE WHEN low THEN mid ELSE a END, CASE WHEN low THEN b ELSE mid END
+  FROM (SELECT h.market, line, p, step, h.a, h.b, (h.a + h.b) / 2 AS mid, {_over('((h.a + h.b) / 2)', 'line')} < least(greatest(p, 1e-4), 1 - 1e-4) AS low FROM halved h JOIN shape s ON s.market = h.market WHERE step < 50) z),
+means AS (SELECT c.game_id, c.market, c.excluded, quantile_cont((h.a + h.b) / 2, 0.5) AS mu, max((h.a + h.b) / 2) - min((h.a + h.b) / 2) AS apart
+  FROM chosen c JOIN halved h ON h.market = c.market AND h.line = c.line AND h.p = c.p AND h.step = 50 GROUP BY c.game_id, c.market, c.excluded)"""
+
 # feed: names to codes as a value list
 from linewell.sources.views import FULL_NAMES, TEAM_CODES  # noqa: E402
 
@@ -248,6 +265,10 @@ ORACLES = {
   {iso('oldest')} AS oldest_utc, {iso('newest')} AS newest_utc FROM refs WHERE market = 'ml'""", ",\n".join((C, LOO, REFS))),
     "reference_lines_loo": b.oracle(Q, f"""SELECT game_id, market, coalesce(excluded, '-') AS excluded, n_books, books, line,
   {iso('oldest')} AS oldest_utc, {iso('newest')} AS newest_utc FROM refs WHERE market <> 'ml'""", ",\n".join((C, LOO, REFS))),
+    "reference_mu": b.oracle(Q, f"""SELECT r.game_id, r.market, coalesce(r.excluded, '-') AS excluded, n_books, line, round(mu, 6) AS mu,
+  round(CASE WHEN r.market = 'ml' THEN p ELSE {_over('mu', 'line')} END, 6) AS p, round(CASE WHEN r.market = 'ml' THEN spread_of_books ELSE apart END, 6) AS spread_of_books
+FROM refs r LEFT JOIN means m ON m.game_id = r.game_id AND m.market = r.market AND m.excluded IS NOT DISTINCT FROM r.excluded LEFT JOIN shape s ON s.market = r.market""",
+                             ",\n".join((C, LOO, REFS, MEANS))).replace("WITH ", "WITH RECURSIVE ", 1),
     "reference_per_offer": b.oracle([*Q, "games"], """SELECT o.game_id, o.book, o.market, o.side, o.point,
   coalesce(r.line, CASE o.market WHEN 'spread' THEN g.spread_line WHEN 'total' THEN g.total_line END) AS line, r.n_books IS NOT NULL AS live
 FROM latest o JOIN games g ON o.game_id = g.game_id LEFT JOIN refs r ON r.game_id = o.game_id AND r.market = o.market AND r.excluded = o.book""",

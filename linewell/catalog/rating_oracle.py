@@ -91,3 +91,40 @@ as2 AS (SELECT league, no, h AS team, home_qb_id AS q, 1 AS sign, game_id FROM g
 rated AS (SELECT z.*, (coalesce(s, 0) + 150 * prior) / (coalesce(w, 0) + 150) AS rating FROM (SELECT *, no * 3 AS key FROM as2) z JOIN pr ON pr.league = z.league AND pr.key = z.key
   ASOF LEFT JOIN sm ON sm.league = z.league AND sm.q = z.q AND sm.key < z.key),
 dl AS (SELECT game_id, sum(sign * coalesce(rating - base, 0)) AS f_qb FROM (SELECT x.*, b.base FROM rated x ASOF LEFT JOIN ba b ON b.league = x.league AND b.team = x.team AND b.no < x.no) z GROUP BY 1)"""
+
+# ---------------------------------------------------------------- walk-forward ridge regressions
+
+_MARGIN = ["f_mrtg", "f_epa", "f_sr", "f_pass", "f_qb", "f_hfa", "f_rest", "f_div"]
+_TOTAL = ["t_off", "t_def", "t_pace", "t_pts", "t_dome"]
+_MODELS = {"model_margin": (_MARGIN, "result"), "blend_margin": ([*_MARGIN, "spread_line"], "result"), "model_total": (_TOTAL, "total"), "blend_total": ([*_TOTAL, "total_line"], "total")}
+_LONG = " UNION ALL ".join(f"SELECT game_id, season, '{m}' AS model, {len(cols)} AS d, [1e0, {', '.join(f'{c}::DOUBLE' for c in cols)}, {y}::DOUBLE] AS v, {y} IS NOT NULL AS done FROM fea WHERE {' AND '.join(f'{c} IS NOT NULL' for c in cols)}"
+                           for m, (cols, y) in _MODELS.items())
+
+# v = (1, features, target): sums of its products by season hold all that a fit needs; the equations are solved by elimination, one unknown a step
+RIDGE = TEAMS + ",\n" + PASSERS + f""",
+fea AS MATERIALIZED (SELECT g.game_id, g.season, result, total, spread_line, total_line, f_mrtg, f_epa, f_sr, f_pass, coalesce(f_qb, 0) AS f_qb, CASE WHEN location = 'Neutral' THEN 0e0 ELSE 1e0 END AS f_hfa,
+    least(greatest(coalesce(home_rest, 7) - coalesce(away_rest, 7), -7), 7) AS f_rest, coalesce(div_game, 0.0) AS f_div, t_off, t_def, t_pace, t_pts, CASE WHEN roof IN ('dome', 'closed') THEN 1e0 ELSE 0e0 END AS t_dome
+  FROM games g JOIN ftr ON ftr.game_id = g.game_id LEFT JOIN dl ON dl.game_id = g.game_id),
+rowv AS MATERIALIZED ({_LONG}),
+gram AS (SELECT model, d, season, i, j, sum(v[i] * v[j]) AS s FROM (SELECT *, unnest(range(1, d + 3)) AS i FROM rowv WHERE done AND season > (SELECT min(season) FROM games WHERE result IS NOT NULL)) z, (SELECT unnest(range(1, 12)) AS j) r WHERE j <= d + 2 GROUP BY ALL),
+acc AS MATERIALIZED (SELECT t.season, g.model, g.d, i, j, sum(s) AS s, count(*) AS seasons FROM (SELECT DISTINCT season FROM games) t JOIN gram g ON g.season < t.season GROUP BY ALL),
+head AS (SELECT season, model, d, s AS n, seasons FROM acc WHERE i = 1 AND j = 1),
+cov AS (SELECT a.season, a.model, a.d, a.i, a.j, a.s - x.s * y.s / h.n AS c, h.n FROM acc a JOIN head h ON h.season = a.season AND h.model = a.model JOIN acc x ON x.season = a.season AND x.model = a.model AND x.i = 1 AND x.j = a.i
+    JOIN acc y ON y.season = a.season AND y.model = a.model AND y.i = 1 AND y.j = a.j WHERE a.i BETWEEN 2 AND a.d + 1 AND a.j > 1),
+sds AS (SELECT season, model, i, CASE WHEN sqrt(greatest(c, 0) / n) < 1e-9 THEN 1e0 ELSE sqrt(greatest(c, 0) / n) END AS sd FROM cov WHERE i = j),
+eqs AS (SELECT season, model, d, list(r ORDER BY i) AS m FROM (SELECT c.season, c.model, c.d, c.i, list(c.c / s.sd / coalesce(t.sd, 1) + CASE WHEN c.i = c.j THEN 5 ELSE 0 END ORDER BY c.j) AS r
+  FROM cov c JOIN sds s ON s.season = c.season AND s.model = c.model AND s.i = c.i LEFT JOIN sds t ON t.season = c.season AND t.model = c.model AND t.i = c.j GROUP BY ALL) z GROUP BY ALL),
+el AS (SELECT season, model, d, 0::BIGINT AS k, m FROM eqs UNION ALL SELECT season, model, d, k + 1, list_transform(range(1, d + 1), lambda i: list_transform(range(1, d + 2), lambda j:
+    CASE WHEN i = k + 1 THEN m[i][j] / m[i][i] ELSE m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] END)) FROM el WHERE k < d),
+beta AS (SELECT e.season, e.model, s.i - 2 AS i, e.m[s.i - 1][e.d + 1] / s.sd AS coef FROM el e JOIN sds s ON s.season = e.season AND s.model = e.model WHERE e.k = e.d),
+core AS MATERIALIZED (SELECT h.season, h.model, h.n, h.seasons, (y.s - sum(b.coef * x.s)) / h.n AS intercept, list(b.coef ORDER BY b.i) AS coefs FROM head h JOIN beta b ON b.season = h.season AND b.model = h.model
+  JOIN acc x ON x.season = h.season AND x.model = h.model AND x.i = 1 AND x.j = b.i + 2 JOIN acc y ON y.season = h.season AND y.model = h.model AND y.i = 1 AND y.j = h.d + 2 GROUP BY h.season, h.model, h.n, h.seasons, y.s),
+fitted AS MATERIALIZED (SELECT r.game_id, r.season, {', '.join(f"max(p) FILTER (r.model = '{m}') AS {m}" for m in _MODELS)}, max(seasons) FILTER (r.model = 'model_margin') AS seasons
+  FROM (SELECT r.*, c.seasons, c.intercept + list_sum(list_transform(range(1, r.d + 1), lambda i: c.coefs[i] * r.v[i + 1])) AS p FROM rowv r LEFT JOIN core c ON c.season = r.season AND c.model = r.model) r GROUP BY r.game_id, r.season)"""
+
+_MARKETS = " UNION ALL ".join(f"SELECT g.season, '{m}' AS market, f.{b} - g.{line} AS e, g.{y} - g.{line} AS d FROM fea g JOIN fitted f ON f.game_id = g.game_id WHERE f.seasons >= 3 AND g.result IS NOT NULL"
+                              for m, b, line, y in (("spread", "blend_margin", "spread_line", "result"), ("total", "blend_total", "total_line", "total")))
+FAIR = RIDGE + f""",
+edge AS (SELECT * FROM ({_MARKETS}) z WHERE e IS NOT NULL AND d IS NOT NULL),
+slope AS (SELECT season, market, CASE WHEN n < 200 OR ve * n <= 1e-12 THEN 0e0 ELSE least(greatest(ced / ve, 0), 1) END AS k FROM (
+  SELECT t.season, x.market, count(*) AS n, var_pop(x.e) AS ve, covar_pop(x.e, x.d) AS ced FROM (SELECT DISTINCT season FROM core WHERE model = 'model_margin' AND seasons > 3) t JOIN edge x ON x.season < t.season GROUP BY 1, 2) z)"""
