@@ -32,7 +32,7 @@ BLOCKED_WORDS = ("ads", "adserver", "doubleclick", "adult", "porn", "xxx", "casi
 
 @dataclass(frozen=True)
 class Rule:
-    """``regex`` is searched in "host path" for host rules, in the folded URL for others."""
+    """``regex`` is searched in host and path for host rules, in the folded URL for others."""
     name: str
     verdict: str
     regex: str
@@ -43,7 +43,8 @@ class Rule:
 def host_rule(host: str, path: str, verdict: str) -> Rule:
     whole = host + path
     tokens = [m for m in re.finditer(TOKEN, whole.translate(FOLD)) if m.end() < len(whole)]  # a token at the end may go on in the url
-    return Rule(whole, verdict, r"^(?:[^ ]*\.)?" + re.escape(host) + " " + re.escape(path), tuple(m[0] for m in tokens), True)
+    # the path starts with a slash, and a host has none: no other place can match
+    return Rule(whole, verdict, r"^(?:[^/]*\.)?" + re.escape(whole), tuple(m[0] for m in tokens), True)
 
 
 def word_regex(word: str) -> str:
@@ -99,7 +100,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
             for url in batch.column(1).to_pylist():
                 host, path = split(url)
                 folded = (url or "").translate(FOLD)
-                spot = f"{host} {path}"
+                spot = host + path
                 rule = pattern = None
                 for k in sorted({k for t in set(token.findall(folded)) for k in index.get(t, ())}.union(always)):
                     r = rules[k]

@@ -18,7 +18,7 @@ def brute(url):
 
 
 URLS = [None, "", "no scheme", "http://", "http://A.Example.COM/en/x", "https://www.example.com/en/1?q", "http://xwww.example.com/en/", "http://example.com/en", "http://notexample.com/EN/", "http://com/", "http://com", "x://a.net/es/1#f",
-        "x://net/fr/", "x://b.net/esp/", "x://b.net?/es/", "http://free-bets.org/", "http://m.casino.example.org/a", "http://casinos.org/", "http://a.org/casino.html", "a://b://c.net/es/", "http://ex\u00c4mple.net/es/", "http://user@h.net:80/es/", "http://a.org/" + "x" * 100_000]
+        "x://net/fr/", "x://b.net/esp/", "x://b.net?/es/", "http://free-bets.org/", "http://m.casino.example.org/a", "http://casinos.org/", "http://a.org/casino.html", "a://b://c.net/es/", "http://ex\u00c4mple.net/es/", "http://user@h.net:80/es/", "http://a.org/" + "x" * 100_000, "http://a b.com/x", "http:// com/", "http://a\nb.net/es/", "http://" + "a." * 50_000 + "net/fr/", "http://net /es/", "http://x.com /y", "http://com?/", "http://a.net\t/es/"]
 
 
 def test_urls(spark):
