@@ -33,7 +33,7 @@ SHAPES = ((re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[^\W\d_A]+"), "a
 def shape(token: str) -> str:
     for pattern, to in SHAPES:
         token = pattern.sub(to, token)
-    return token[:24]
+    return token
 
 
 def features(text: pa.Array, cache: dict[str, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
