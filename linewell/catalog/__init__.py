@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quotes", "fields", "evaluation", "models", "streams")
+MODULES = ("quotes", "fields", "evaluation", "files", "models", "streams")
 
 
 def _collect(attr: str) -> dict:

@@ -33,9 +33,10 @@ def day_range(games: DataFrame, start: str, days: int) -> DataFrame:
 
 
 def not_started(games: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(games still ahead, games dropped because the kickoff is unknown or has passed)."""
+    """(games still ahead, games dropped because the kickoff is unknown or has passed, with a note that says which)."""
     gone = F.col("kickoff").isNull() | (F.col("kickoff") <= now)
-    return games.filter(~gone), games.filter(gone)
+    note = F.when(F.col("kickoff").isNull(), "kickoff unknown").otherwise(F.concat(F.lit("kickoff passed at "), times.iso(F.col("kickoff"))))
+    return games.filter(~gone), games.filter(gone).withColumn("note", note)
 
 
 def training_rows(games: DataFrame, cutoff: str) -> DataFrame:
