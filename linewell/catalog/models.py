@@ -9,6 +9,7 @@ from linewell.functions.joins import configure, materialise
 from linewell.operators import availability, context, metrics, plays, recurrences, validity
 from linewell.plans import evaluate, model, pricing, ratings
 from linewell.sources import feed
+from linewell.texts import TEXTS
 
 S = b.SETTINGS
 BOOT = 200
@@ -306,6 +307,12 @@ _DR = "top AS (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY abs(po
     f"SELECT game_id, '{n}' AS driver, {x} AS points FROM preds" for n, x in (
         ("rest", "(model_margin - spread_line) * 0.5"), ("site", "fair_margin - spread_line"), ("total", "(model_total - total_line) * 0.25"),
         ("cover", "p_cover - 0.5"), ("market", "p_market - p_model"), ("line", "spread_line * 0.1"))) + ") z WHERE points IS NOT NULL)"
+
+
+def _said(code):
+    return "'" + TEXTS[code].replace("'", "''") + "'"
+
+
 _PT = "regexp_replace(CAST(point AS VARCHAR), '\\.0$', '')"
 
 ORACLES = {
@@ -331,9 +338,9 @@ FROM qs a JOIN qs b ON b.league = a.league AND b.qb_id = a.qb_id AND b.no <= a.n
     "key_number_weights": b.oracle(["preds"], """SELECT a.fold, a.kind, a.k, round((CASE WHEN a.kind = 'margin' THEN a.o + m.o ELSE a.o END + 20) / (CASE WHEN a.kind = 'margin' THEN a.e + m.e ELSE a.e END + 20), 6) AS weight
 FROM ke a LEFT JOIN ke m ON m.fold = a.fold AND m.kind = a.kind AND m.k = -a.k""", _KEYN),
     "top_drivers": b.oracle(["preds"], "SELECT game_id, driver, round(points, 6) AS points FROM top WHERE rk <= 4 AND abs(points) >= 0.1", _DR),
-    "risk_flags": b.oracle(["forecasts"], f"""SELECT hash, concat_ws(' | ', CASE WHEN market = 'spread' AND (p_push > 0.04 OR abs(point) IN (2.5, 3.5, 6.5, 7.5)) THEN 'EV leans on how often games land exactly on 3/7 (key-number model)' END,
-  CASE WHEN abs(model_prob - 0.45 - ev) < 0.005 THEN 'the edge is from price/line shopping, not from the model disagreeing with the market' END,
-  CASE WHEN model_prob - 0.45 <= 0 THEN 'using the market''s probability alone the bet is not +EV' END, CASE WHEN ev - 0.01 <= 0 THEN 'not +EV without the key-number outcome model' END) AS risks,
+    "risk_flags": b.oracle(["forecasts"], f"""SELECT hash, concat_ws(' | ', CASE WHEN market = 'spread' AND (p_push > 0.04 OR abs(point) IN (2.5, 3.5, 6.5, 7.5)) THEN {_said('risk_key_numbers')} END,
+  CASE WHEN abs(model_prob - 0.45 - ev) < 0.005 THEN {_said('risk_price')} END,
+  CASE WHEN model_prob - 0.45 <= 0 THEN {_said('risk_market')} END, CASE WHEN ev - 0.01 <= 0 THEN {_said('risk_plain')} END) AS risks,
   concat(upper(left(side, 1)), substr(side, 2), CASE market WHEN 'ml' THEN ' ML' WHEN 'spread' THEN concat(' ', CASE WHEN point >= 0 THEN '+' ELSE '' END, {_PT}) ELSE concat(' ', {_PT}) END) AS label
 FROM (SELECT *, (abs(coalesce(point, 0) * 2) % 7) * 0.01 AS p_push FROM forecasts) z"""),
     "line_labels": b.oracle(["games"], "SELECT game_id, CASE WHEN spread_line IS NULL THEN 'n/a' WHEN abs(spread_line) < 0.25 THEN 'PK' ELSE concat(CASE WHEN spread_line > 0 THEN home_team ELSE away_team END, ' -', printf('%.1f', abs(spread_line))) END AS label FROM games"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from linewell.functions.joins import lookup, materialise
 from linewell.operators import availability
+from linewell.texts import text
 
 TEAM = availability.TEAM
 
@@ -67,25 +68,25 @@ def build_contexts(preds: DataFrame, injuries: DataFrame, weather: DataFrame, se
     confirmed = F.when(c("side") == "home", c("home_confirmed")).otherwise(c("away_confirmed"))
     nobody = c("qb_id").isNull() & ~confirmed
     out = c("state").isin("ruled_out", "questionable")
-    blocks = F.when(nobody, _cat(c("team"), " starting QB unknown")).when(~confirmed & out, _cat(
-        c("team"), " projected starter ", c("qb_name"), " is ", F.replace("detail", F.lit("listed "), F.lit(""))))
-    conds = F.when(~nobody & ~confirmed & (c("state") == "unknown"), _cat(c("qb_name"), " confirmed as ", c("team"), "'s starter"))
-    missing = F.when(nobody, _cat(c("team"), " projected starting QB not listed")).when(c("state") == "unknown", _cat(c("qb_name"), " (", c("team"), ") availability unknown: ", c("detail")))
-    facts = F.when(~nobody & (c("state") != "unknown"), _cat(c("qb_name"), " availability: ", c("detail")))
+    blocks = F.when(nobody, text("starter_unnamed", c("team"))).when(~confirmed & out, text(
+        "starter_doubtful", c("team"), c("qb_name"), F.replace("detail", F.lit("listed "), F.lit(""))))
+    conds = F.when(~nobody & ~confirmed & (c("state") == "unknown"), text("starter_condition", c("qb_name"), c("team")))
+    missing = F.when(nobody, text("starter_missing", c("team"))).when(c("state") == "unknown", text("starter_unclear", c("qb_name"), c("team"), c("detail")))
+    facts = F.when(~nobody & (c("state") != "unknown"), text("starter_fact", c("qb_name"), c("detail")))
     same = F.abs("delta") < 0.02
-    assume = F.when(~nobody, F.when(F.coalesce(same, F.lit(True)), _cat(c("qb_name"), " starts for ", c("team"), " (same QB the team ratings reflect)"))
-                    .otherwise(_cat(c("qb_name"), " starts for ", c("team"), "; rating differs from the team's usual QB play")))
+    assume = F.when(~nobody, F.when(F.coalesce(same, F.lit(True)), text("starter_usual", c("team"), c("qb_name")))
+                    .otherwise(text("starter_other", c("team"), c("qb_name"))))
 
     def two(x):      # two starters per game, away first
         return F.transform(F.array_sort(F.collect_list(F.when(x.isNotNull(), F.struct("side", x.alias("t"))))), lambda r: r["t"])
     per_game = st.groupBy("game_id").agg(two(blocks).alias("_block"), two(conds).alias("conditions"), two(missing).alias("_missing"), two(facts).alias("_facts"), two(assume).alias("_assume"))
     weeks = preds.select("league", "season", "week", "game_id", F.explode(F.array("away_team", "home_team")).alias("team"))
     inj = weeks.join(availability.injury_lines(weeks, injuries), [*TEAM, "week"], "left")
-    body = F.when(c("issued"), F.when(F.coalesce("lines", F.lit("")) == "", "no players listed Out/Doubtful/Questionable").otherwise(c("lines"))).otherwise(
-        _cat("practice report only, game statuses not yet issued", F.when(F.coalesce("lines", F.lit("")) != "", _cat(". Did not practice: ", c("lines"))).otherwise("")))
-    fact = F.when(c("report_week").isNotNull(), _cat(c("team"), " injury report week ", c("report_week").cast("string"), F.when(c("stale"), " (STALE)").otherwise(""), ": ", body))
-    lack = (F.when(c("report_week").isNull(), _cat("No injury report found for ", c("team"))).when(c("stale"), _cat(c("team"), " week ", c("week").cast("string"), " injury report not yet in data"))
-            .when(~c("issued"), _cat(c("team"), " week ", c("week").cast("string"), " game statuses not yet issued")))
+    body = F.when(c("issued"), F.when(F.coalesce("lines", F.lit("")) == "", text("report_clear")).otherwise(c("lines"))).otherwise(
+        F.concat(text("report_practice"), F.when(F.coalesce("lines", F.lit("")) != "", text("report_absent", c("lines"))).otherwise("")))
+    fact = F.when(c("report_week").isNotNull(), text("report", c("team"), c("report_week").cast("string"), F.when(c("stale"), text("report_old")).otherwise(""), body))
+    lack = (F.when(c("report_week").isNull(), text("report_none", c("team"))).when(c("stale"), text("report_late", c("team"), c("week").cast("string")))
+            .when(~c("issued"), text("report_unissued", c("team"), c("week").cast("string"))))
     inj = inj.groupBy("game_id").agg(F.array_sort(F.collect_list(fact)).alias("_ifacts"), F.array_sort(F.collect_list(lack)).alias("_imissing"))
     w = weather.select("game_id", F.col("wind").alias("_wind"), F.col("temp").alias("_temp"), F.col("source").alias("_wsrc"))
     d = preds.join(per_game, "game_id", "left").join(inj, "game_id", "left").join(w, "game_id", "left")
@@ -93,21 +94,21 @@ def build_contexts(preds: DataFrame, injuries: DataFrame, weather: DataFrame, se
     has_w = c("_wind").isNotNull()
     gap, tgap = F.abs(c("model_margin") - c("spread_line")), F.abs(c("model_total") - c("total_line"))
     g = settings.gap_points
-    m_gap = F.when(gap >= g, F.format_string(f"model's own line differs from market by %.1f pts (>= gap_points {g:g}; unexplained news?)", gap))
-    t_gap = F.when(tgap >= g, F.format_string(f"model's own total differs from market by %.1f pts (>= gap_points {g:g})", tgap))
-    dry = F.when(~has_w & ~roof_ok, F.lit("no valid weather forecast for an outdoor/unknown-roof game"))
+    m_gap = F.when(gap >= g, text("margin_gap", F.format_string("%.1f", gap), F.lit(f"{g:g}")))
+    t_gap = F.when(tgap >= g, text("total_gap", F.format_string("%.1f", tgap), F.lit(f"{g:g}")))
+    dry = F.when(~has_w & ~roof_ok, text("no_weather"))
     none = F.array().cast("array<string>")
     qb = F.coalesce("_block", none)
     return d.select(
-        "game_id", F.concat(_list(_cat("Roof: ", F.coalesce("roof", F.lit("not listed")), "; rest days ", c("away_team"), F.format_string(" %.0f", "away_rest"), ", ", c("home_team"), F.format_string(" %.0f", "home_rest"))),
+        "game_id", F.concat(_list(text("venue", F.coalesce("roof", text("venue_unknown")), c("away_team"), F.format_string("%.0f", "away_rest"), c("home_team"), F.format_string("%.0f", "home_rest"))),
                             F.coalesce("_facts", none), F.coalesce("_ifacts", none),
-                            _list(F.when(has_w, F.format_string("Forecast wind %.0f mph, temp %.0f F [%s]", "_wind", "_temp", "_wsrc")))).alias("facts"),
-        F.concat(F.coalesce("_assume", none), _list(F.lit("Non-QB injuries are not modeled; the market line is assumed to price them"),
-                                                    F.when(has_w, "Weather is not a model input: this forecast only permits betting the total"))).alias("assumptions"),
-        F.concat(F.coalesce("_missing", none), F.coalesce("_imissing", none), _list(F.when(~has_w & ~roof_ok, F.when(c("roof").isNull(), "Weather forecast (roof status not listed)").otherwise("Weather forecast (outdoor stadium)")))).alias("missing"),
+                            _list(F.when(has_w, text("weather", F.format_string("%.0f", "_wind"), F.format_string("%.0f", "_temp"), F.coalesce("_wsrc", F.lit("")))))).alias("facts"),
+        F.concat(F.coalesce("_assume", none), _list(text("assume_market"),
+                                                    F.when(has_w, text("assume_weather")))).alias("assumptions"),
+        F.concat(F.coalesce("_missing", none), F.coalesce("_imissing", none), _list(F.when(~has_w & ~roof_ok, F.when(c("roof").isNull(), text("missing_roof")).otherwise(text("missing_weather"))))).alias("missing"),
         F.coalesce("conditions", none).alias("conditions"), F.concat(qb, _list(m_gap)).alias("block_spread"), F.concat(qb, _list(m_gap)).alias("block_ml"),
         F.concat(qb, _list(dry, t_gap)).alias("block_total"),
-        _list(F.when(c("week") <= 4, _cat("Week ", c("week").cast("string"), ": current-season ratings rest on few games"))).alias("risks"))
+        _list(F.when(c("week") <= 4, text("risk_early", c("week").cast("string")))).alias("risks"))
 
 
 def top_drivers(preds: DataFrame, contributions: dict[str, Column], k: int = 4, least: float = 0.1) -> DataFrame:
@@ -120,8 +121,8 @@ def top_drivers(preds: DataFrame, contributions: dict[str, Column], k: int = 4,
 
 
 def bet_label(team: Column, market: Column, point: Column) -> Column:
-    text = F.regexp_replace(point.cast("string"), r"\.0$", "")
-    return (F.when(market == "spread", _cat(team, " ", F.when(point >= 0, "+").otherwise(""), text)).when(market == "ml", _cat(team, " ML")).otherwise(_cat(team, " ", text)))
+    number = F.regexp_replace(point.cast("string"), r"\.0$", "")
+    return (F.when(market == "spread", _cat(team, " ", F.when(point >= 0, "+").otherwise(""), number)).when(market == "ml", _cat(team, " ML")).otherwise(_cat(team, " ", number)))
 
 
 def line_label(home: Column, away: Column, margin: Column) -> Column:

@@ -15,6 +15,7 @@ from linewell.functions.joins import materialise
 from linewell.operators import references
 from linewell.operators.quotes import expired_quotes, pairs_of, quote_cells
 from linewell.plans.model import FittedModel
+from linewell.texts import text
 
 TIMED_SOURCES = ("odds_api", "manual")      # fixed values
 KEY_SPREADS = (2.5, 3.5, 6.5, 7.5)
@@ -208,9 +209,9 @@ def decide(model: FittedModel, preds: DataFrame, quotes: DataFrame, contexts: Da
     if refs is not None:        # live mode: untimed prices only where a side has no live quote
         live = q.groupBy(*side).agg(F.max(c("source") != "consensus").alias("_live"))
         q = q.join(live, side).filter(~c("_live") | (c("source") != "consensus")).drop("_live")
-    text = F.format_string("%s %s%+d", c("book"), F.when(c("point").isNull(), "").otherwise(
+    offer = F.format_string("%s %s%+d", c("book"), F.when(c("point").isNull(), "").otherwise(
         F.concat(F.when((c("market") == "spread") & (c("point") >= 0), "+").otherwise(""), F.regexp_replace(c("point").cast("string"), r"\.0$", ""), F.lit(" "))), c("price").cast("int"))
-    seen = q.groupBy(*side).agg(F.count_distinct("book").alias("n_books"), F.array_join(F.array_sort(F.collect_set(text)), "; ").alias("all_prices"))
+    seen = q.groupBy(*side).agg(F.count_distinct("book").alias("n_books"), F.array_join(F.array_sort(F.collect_set(offer)), "; ").alias("all_prices"))
     # same book, side and line: only the best price can be chosen, so price one row each
     better = F.max_by(F.struct("source", "odds_time", "ord", "price"), F.struct("price", -c("ord")))
     q = q.groupBy(*side, "book", "point").agg(better.alias("b")).select(*side, "book", "point", "b.*")
@@ -240,20 +241,19 @@ def finish_decisions(d: DataFrame, settings) -> DataFrame:
     d = d.withColumns({"min_price": prices.price_for_edge(c("p_win"), c("p_push"), settings.min_edge),
                        "kelly": prices.kelly(c("p_win"), c("p_push"), c("price")), "implied": prices.implied(c("price")),
                        "model_prob": c("p_win") / (1 - c("p_push")), "reference_live": c("ref_n_books").isNotNull()})
-    first = (F.when(c("ev") <= settings.min_edge, F.concat(F.lit("EV "), pct(c("ev")), F.lit(f" not above {edge}")))
-             .when(c("ev_worse05") <= 0, F.concat(F.lit("too sensitive: EV "), pct(c("ev_worse05")), F.lit(" if fair line 0.5 pt worse"))))
+    first = (F.when(c("ev") <= settings.min_edge, text("low_value", pct(c("ev")), F.lit(edge)))
+             .when(c("ev_worse05") <= 0, text("fragile", pct(c("ev_worse05")))))
     no = F.concat(F.array_compact(F.array(first)), block)
     timed = c("source").isin(*TIMED_SOURCES)
     sure = timed & c("reference_live")
     waits = F.size(cond) > 0
     decision = (F.when(F.size(no) > 0, "NO BET").when(sure & ~waits, "BET").when(sure, "BET IF CONFIRMED").otherwise("BET IF PRICE AVAILABLE"))
     listed = F.array_join(cond, "; ")
-    why = F.when(~timed, "only an untimed consensus price was seen").otherwise("no live market reference without this book")
+    why = F.when(~timed, text("untimed")).otherwise(text("no_reference"))
     at_least = F.coalesce(F.format_string("%+d", c("min_price").cast("int")), F.lit("n/a"))
     later = F.array_compact(F.array(
-        F.concat(why, F.lit(f"; confirm at your book (still +{edge} EV at "), at_least, F.lit(" or better at this line)")),
-        F.when(waits, F.concat(F.lit("and only if: "), listed))))
-    reasons = (F.when(F.size(no) > 0, no).when(sure & ~waits, none).when(sure, F.array(F.concat(F.lit("only if: "), listed))).otherwise(later))
+        text("take_at", why, at_least, F.lit(edge)), F.when(waits, text("also_condition", listed))))
+    reasons = (F.when(F.size(no) > 0, no).when(sure & ~waits, none).when(sure, F.array(text("condition", listed))).otherwise(later))
     d = d.withColumn("decision", decision).withColumn("reasons", F.array_join(reasons, " | "))
     return d.withColumns({
         "stake_units": F.when(c("decision") != "NO BET", prices.stake_units(c("kelly"), settings)).otherwise(0.0),
@@ -263,10 +263,10 @@ def finish_decisions(d: DataFrame, settings) -> DataFrame:
 def risk_flags() -> Column:
     c = F.col
     return F.array_compact(F.array(
-        F.when((c("market") == "spread") & ((c("p_push") > 0.04) | F.abs("point").isin(*KEY_SPREADS)), "EV leans on how often games land exactly on 3/7 (key-number model)"),
-        F.when(F.abs(c("ev_market_only") - c("ev")) < 0.005, "the edge is from price/line shopping, not from the model disagreeing with the market"),
-        F.when(c("ev_market_only") <= 0, "using the market's probability alone the bet is not +EV"),
-        F.when(c("ev_plain") <= 0, "not +EV without the key-number outcome model")))
+        F.when((c("market") == "spread") & ((c("p_push") > 0.04) | F.abs("point").isin(*KEY_SPREADS)), text("risk_key_numbers")),
+        F.when(F.abs(c("ev_market_only") - c("ev")) < 0.005, text("risk_price")),
+        F.when(c("ev_market_only") <= 0, text("risk_market")),
+        F.when(c("ev_plain") <= 0, text("risk_plain"))))
 
 
 def flag_best_side(rows: DataFrame) -> DataFrame:
