@@ -279,6 +279,7 @@ QUERIES = {f.__name__: f for f in (
 
 from linewell.catalog import rating_oracle as ro  # noqa: E402
 from linewell.catalog.evaluation import T  # noqa: E402
+from linewell.catalog.quotes import SLATE_GAMES, STARTERS  # noqa: E402
 
 
 _EWMA = """pg AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY gameday, game_id) AS no FROM games WHERE result IS NOT NULL),
@@ -313,6 +314,16 @@ def _said(code):
     return "'" + TEXTS[code].replace("'", "''") + "'"
 
 
+_OVERRIDES = """okq AS (SELECT game_id, team, qb_name FROM starters1 WHERE reason0 = '' QUALIFY row_number() OVER (PARTITION BY game_id, team ORDER BY row_no) = 1),
+nm AS (SELECT league, qb_name, max_by(q, game_id) AS q FROM (SELECT league, home_qb_name AS qb_name, home_qb_id AS q, game_id FROM games UNION ALL SELECT league, away_qb_name, away_qb_id, game_id FROM games) z WHERE q IS NOT NULL GROUP BY 1, 2),
+pf AS (SELECT league, CASE WHEN sum(pn) > 300 THEN sum(pv) / sum(pn) ELSE -0.05 END AS prior FROM pk GROUP BY 1),
+fr AS (SELECT sm.league, sm.q, (s + 150 * prior) / (w + 150) AS rating FROM sm JOIN pf ON pf.league = sm.league QUALIFY row_number() OVER (PARTITION BY sm.league, sm.q ORDER BY i DESC) = 1),
+sides AS (SELECT game_id, league, no, 'home' AS side, h AS k, home_team AS team, home_qb_id AS q, 1 AS sign FROM gm UNION ALL SELECT game_id, league, no, 'away', a, away_team, away_qb_id, -1 FROM gm),
+sb AS (SELECT x.*, z.base FROM sides x ASOF LEFT JOIN ba z ON z.league = x.league AND z.team = x.k AND z.no < x.no),
+ov AS (SELECT sb.game_id, sb.side, CASE WHEN o.qb_name IS NOT NULL THEN coalesce(nm.q, concat('unknown:', o.qb_name)) ELSE sb.q END AS q, o.qb_name IS NOT NULL AS confirmed,
+    CASE WHEN o.qb_name IS NOT NULL THEN coalesce(fr.rating, pf.prior) - coalesce(sb.base, fr.rating, pf.prior) ELSE coalesce(r.rating - sb.base, 0) END AS delta
+  FROM sb LEFT JOIN okq o ON o.game_id = sb.game_id AND o.team = sb.team LEFT JOIN nm ON nm.league = sb.league AND nm.qb_name = o.qb_name LEFT JOIN fr ON fr.league = sb.league AND fr.q = nm.q
+    LEFT JOIN pf ON pf.league = sb.league LEFT JOIN rated r ON r.game_id = sb.game_id AND r.sign = sb.sign)"""
 _PT = "regexp_replace(CAST(point AS VARCHAR), '\\.0$', '')"
 
 ORACLES = {
@@ -321,6 +332,9 @@ ORACLES = {
   round(t_off + 1e-9, 6) AS t_off, round(t_def + 1e-9, 6) AS t_def, round(t_pace + 1e-9, 6) AS t_pace, round(t_pts + 1e-9, 6) AS t_pts, CASE WHEN roof IN ('dome', 'closed') THEN 1e0 ELSE 0e0 END AS t_dome, round(f_rush + 1e-9, 6) AS f_rush, round(t_npace + 1e-9, 6) AS t_npace
 FROM games g JOIN ftr ON ftr.game_id = g.game_id LEFT JOIN dl ON dl.game_id = g.game_id""", ro.TEAMS + ",\n" + ro.PASSERS)),
     "team_ratings": ro.recursive(b.oracle(["games", "plays"], ro.FINAL_TEAMS, ro.TEAMS)),
+    "starter_overrides": ro.recursive(b.oracle(["games", "plays", "slate", "starter_inputs"], f"""SELECT h.game_id, h.q AS home_qb_id, a.q AS away_qb_id, h.confirmed AS home_confirmed, a.confirmed AS away_confirmed, round(h.delta, 6) AS home_qb_delta,
+  round(a.delta, 6) AS away_qb_delta, round(h.delta - a.delta, 6) AS f_qb FROM ov h JOIN ov a ON a.game_id = h.game_id AND a.side = 'away' JOIN slate s ON s.game_id = h.game_id WHERE h.side = 'home' AND s.kickoff_epoch > {b.NOW_EPOCH}""",
+                                               ",\n".join((ro.TEAMS, ro.PASSERS, SLATE_GAMES, STARTERS, _OVERRIDES)))),
     "ridge_coefficients": ro.recursive(b.oracle(["games", "plays"], "SELECT season, model, n, seasons AS n_seasons, round(intercept, 6) AS intercept, unnest(range(len(coefs))) AS i, round(unnest(coefs), 6) AS coef FROM core", ro.RIDGE)),
     "ridge_predictions": ro.recursive(b.oracle(["games", "plays"], """SELECT g.game_id, g.season, round(model_margin, 6) AS model_margin, round(blend_margin, 6) AS blend_margin, round(model_total, 6) AS model_total, round(blend_total, 6) AS blend_total,
   round(CASE WHEN spread_line IS NULL THEN model_margin ELSE spread_line + s.k * (blend_margin - spread_line) END, 6) AS fair_margin, round(CASE WHEN total_line IS NULL THEN model_total ELSE total_line + t.k * (blend_total - total_line) END, 6) AS fair_total
