@@ -194,6 +194,18 @@ halved AS (SELECT c.market, c.line, c.p, 0 AS step, s.a, s.b FROM (SELECT DISTIN
 means AS (SELECT c.game_id, c.market, c.excluded, quantile_cont((h.a + h.b) / 2, 0.5) AS mu, max((h.a + h.b) / 2) - min((h.a + h.b) / 2) AS apart
   FROM chosen c JOIN halved h ON h.market = c.market AND h.line = c.line AND h.p = c.p AND h.step = 50 GROUP BY c.game_id, c.market, c.excluded)"""
 
+
+def _side(point: str, price: str, names: tuple[str, str], time: str) -> str:
+    name = f"CASE c.market WHEN 'total' THEN '{names[1]}' ELSE '{names[0]}' END"
+    return f"""concat('{{', CASE WHEN c.line IS NOT NULL THEN concat('"point":', {point}, ',') ELSE '' END, '"price":', {price}, ',"side":"', {name}, '","time_utc":"', {iso(time)}, '"}}')"""
+
+
+PROVENANCE = f"""SELECT c.game_id, c.market, coalesce(c.excluded, '-') AS excluded, concat('{{"books":["', string_agg(c.book, '","' ORDER BY c.book), '"]', CASE WHEN c.excluded IS NOT NULL THEN concat(',"excluded_book":"', c.excluded, '"') ELSE '' END,
+  ',"market":"', c.market, '","quotes":[', string_agg(concat('{{"book":"', c.book, '"', CASE WHEN c.line IS NOT NULL THEN concat(',"line":', c.line) ELSE '' END, ',"sides":[',
+    {_side("CASE c.market WHEN 'spread' THEN -c.line ELSE c.line END", 'p.first_price', ('home', 'over'), 'p.first_time')}, ',', {_side('c.line', 'p.second_price', ('away', 'under'), 'p.second_time')}, ']}}'), ',' ORDER BY c.book), ']}}') AS provenance
+FROM chosen c JOIN pairs p ON p.game_id = c.game_id AND p.market = c.market AND p.book = c.book AND p.line IS NOT DISTINCT FROM c.line
+WHERE c.excluded IS NULL OR EXISTS (SELECT 1 FROM pairs x WHERE x.game_id = c.game_id AND x.market = c.market AND x.book = c.excluded) GROUP BY c.game_id, c.market, c.excluded"""
+
 # feed: names to codes as a value list
 from linewell.sources.views import FULL_NAMES, TEAM_CODES  # noqa: E402
 
@@ -269,6 +281,7 @@ ORACLES = {
   round(CASE WHEN r.market = 'ml' THEN p ELSE {_over('mu', 'line')} END, 6) AS p, round(CASE WHEN r.market = 'ml' THEN spread_of_books ELSE apart END, 6) AS spread_of_books
 FROM refs r LEFT JOIN means m ON m.game_id = r.game_id AND m.market = r.market AND m.excluded IS NOT DISTINCT FROM r.excluded LEFT JOIN shape s ON s.market = r.market""",
                              ",\n".join((C, LOO, REFS, MEANS))).replace("WITH ", "WITH RECURSIVE ", 1),
+    "reference_provenance": b.oracle(Q, PROVENANCE, C + ",\n" + LOO),
     "reference_per_offer": b.oracle([*Q, "games"], """SELECT o.game_id, o.book, o.market, o.side, o.point,
   coalesce(r.line, CASE o.market WHEN 'spread' THEN g.spread_line WHEN 'total' THEN g.total_line END) AS line, r.n_books IS NOT NULL AS live
 FROM latest o JOIN games g ON o.game_id = g.game_id LEFT JOIN refs r ON r.game_id = o.game_id AND r.market = o.market AND r.excluded = o.book""",
