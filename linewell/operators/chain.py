@@ -49,14 +49,18 @@ def seal(rows: DataFrame, tails: DataFrame | None = None) -> DataFrame:
     return ordered.groupBy("log_id").applyInPandas(fold, SEALED)
 
 
-def audit(log: DataFrame, position: str = "pos") -> DataFrame:
+def audit(log: DataFrame, position: str = "pos", verified: DataFrame | None = None) -> DataFrame:
     """One row per log: records, whether the chain is intact, first bad position and why.
 
     log: log_id, pos (stored order), seq, recorded_utc, kind, body, prev, hash. Each record is compared
     with its predecessor through an equi join on (log, position - 1), so a long log is spread over
-    many tasks instead of being sorted in one.
+    many tasks instead of being sorted in one. ``verified`` (log_id, pos, hash) holds the last record of what was
+    verified before and isn't among the rows.
     """
-    before = log.select("log_id", (F.col(position) + 1).alias(position), F.col("hash").alias("_before"))
+    before = log.select("log_id", position, "hash")
+    if verified is not None:
+        before = before.unionByName(verified.select("log_id", F.col("pos").alias(position), "hash"))
+    before = before.select("log_id", (F.col(position) + 1).alias(position), F.col("hash").alias("_before"))
     d = log.join(before, ["log_id", position], "left")
     expect = F.when(F.col(position) == 0, F.lit(GENESIS)).otherwise(F.col("_before"))
     digest = F.sha2(canonical(F.col("seq"), F.col("recorded_utc"), F.col("kind"), F.col("body"), F.col("prev")), 256)

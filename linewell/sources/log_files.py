@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from linewell.functions.joins import lookup
+from linewell.functions.joins import lookup, materialise
 from linewell.operators import chain
 
 RANGE_BYTES = 32 << 20
@@ -82,7 +82,7 @@ def batches(root: str, part: Range) -> Iterator[pa.RecordBatch]:
 
     def made() -> pa.RecordBatch:
         n = len(held)
-        log = part.file.rsplit("/", 2)[1].removeprefix("log_id=")   # as partitioned writes name folders
+        log = log_of(part.file)
         columns = [pa.array([log] * n), pa.array([part.file] * n), pa.array([part.start] * n, pa.int64()), pa.array(range(number - n, number), pa.int64()),
                    pa.array([h[0] for h in held], pa.int64()), pa.array([h[1].decode("utf-8", "replace") for h in held])]
         return pa.RecordBatch.from_arrays(columns, ["log_id", "file", "first_byte", "nth", "offset", "line"])
@@ -98,11 +98,11 @@ def batches(root: str, part: Range) -> Iterator[pa.RecordBatch]:
 
 
 class LogReader(DataSourceReader):
-    def __init__(self, root: str, size: int):
-        self.root, self.size = root, size
+    def __init__(self, root: str, size: int, skipped: frozenset[str] = frozenset()):
+        self.root, self.size, self.skipped = root, size, skipped
 
     def partitions(self) -> list[InputPartition]:
-        return [r for file, end in listed(self.root) for r in ranges(file, 0, end, self.size)]
+        return [r for file, end in listed(self.root) if file not in self.skipped for r in ranges(file, 0, end, self.size)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if partition is not None:
@@ -156,16 +156,17 @@ class LogSource(DataSource):
         return self.options["path"], int(self.options.get("rangebytes", RANGE_BYTES))
 
     def reader(self, schema) -> LogReader:
-        return LogReader(*self._args())
+        return LogReader(*self._args(), frozenset(json.loads(self.options.get("skipped", "[]"))))
 
     def streamReader(self, schema) -> LogStreamReader:
         return LogStreamReader(*self._args())
 
 
-def read_lines(spark: SparkSession, root: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(log_id, pos, file, offset, line) of all logs under a folder; blank lines are no records and have no place."""
+def read_lines(spark: SparkSession, root: str, range_bytes: int = RANGE_BYTES, skipped: list[str] | None = None) -> DataFrame:
+    """(log_id, pos, file, offset, line) of all logs under a folder; blank lines are no records and have no place. Places count from
+    the first line that isn't in a ``skipped`` file."""
     spark.dataSource.register(LogSource)
-    raw = spark.read.format("log_lines").option("rangebytes", range_bytes).load(root)
+    raw = spark.read.format("log_lines").option("rangebytes", range_bytes).option("skipped", json.dumps(skipped or [])).load(root)
     solid = raw.filter(F.trim("line") != "")
     own = Window.partitionBy("log_id", "file", "first_byte").orderBy("nth")   # one range of bounded bytes
     counts = solid.groupBy("log_id", "file", "first_byte").agg(F.count(F.lit(1)).alias("n"))
@@ -191,14 +192,73 @@ def read_records(spark: SparkSession, root: str, range_bytes: int = RANGE_BYTES)
     return records(read_lines(spark, root, range_bytes))
 
 
+MARKS = "_marks.json"
+VERDICT = "log_id string, records long, intact boolean, first_bad long, problem string"
+
+
+def stamps(root: str) -> dict[str, dict[str, list[int]]]:
+    """Per log its files in order, each with its bytes and time of change."""
+    fs, path = pafs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pafs.LocalFileSystem(), root)
+    out: dict[str, dict[str, list[int]]] = {}
+    for file, _ in listed(root):
+        info = fs.get_file_info(file)
+        out.setdefault(log_of(file), {})[file] = [info.size, info.mtime_ns]
+    return out
+
+
+def log_of(file: str) -> str:
+    return file.rsplit("/", 2)[1].removeprefix("log_id=")   # as partitioned writes name folders
+
+
+def marks_of(root: str, new: dict | None = None) -> dict:
+    """What was verified last: per log its files with their stamps, the number of records and the last hash. ``new`` replaces it."""
+    fs, path = pafs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pafs.LocalFileSystem(), root)
+    file = f"{path}/{MARKS}"
+    if new is not None:
+        fs.create_dir(path)
+        with fs.open_output_stream(f"{file}.new") as out:
+            out.write(json.dumps(new).encode())
+        fs.move(f"{file}.new", file)
+        return new
+    if fs.get_file_info(file).type == pafs.FileType.NotFound:
+        return {}
+    with fs.open_input_file(file) as f:
+        return json.loads(f.read())
+
+
+def audit_files(spark: SparkSession, root: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``chain.audit`` of the logs under a folder that reads what has changed since the last one.
+
+    Files of an intact log are marked with their size and time of change, and the log with its last hash. Where all marked files
+    are as they were, the audit goes on behind the mark; where one isn't, its log is read whole again. (A change that leaves
+    size and time as they were needs ``chain.audit`` of ``read_records``.)
+    """
+    now, marks = stamps(root), marks_of(root)
+    held = {log: m for log, m in marks.items() if list(now.get(log, {}).items())[:len(m["files"])] == list(m["files"].items())}
+    rest = records(read_lines(spark, root, range_bytes, [f for m in held.values() for f in m["files"]]))
+    ends = spark.createDataFrame([(log, m["records"] - 1, m["hash"]) for log, m in held.items()], "log_id string, pos long, hash string")
+    moved = rest.join(F.broadcast(ends.select("log_id", (F.col("pos") + 1).alias("ahead"))), "log_id", "left").withColumn("pos", F.col("pos") + F.coalesce("ahead", F.lit(0))).drop("ahead")
+    moved = materialise(moved, "new-records")
+    state = chain.audit(moved, verified=ends).join(moved.groupBy("log_id").agg(F.max_by("hash", "pos").alias("last")), "log_id")
+    found = {r["log_id"]: r for r in state.collect()}   # a row per log
+    rows, new = [], {}
+    for log in sorted({*found, *held}):
+        ahead, r = held[log]["records"] if log in held else 0, found.get(log)
+        rows.append((log, ahead, True, None, None) if r is None else (log, ahead + r["records"], r["intact"], r["first_bad"], r["problem"]))
+        if rows[-1][2]:
+            new[log] = {"files": now[log], "records": rows[-1][1], "hash": held[log]["hash"] if r is None else r["last"]}
+    marks_of(root, new)
+    return spark.createDataFrame(rows, VERDICT)
+
+
 def append_records(rows: DataFrame, root: str) -> dict[str, str]:
     """Seals rows (log_id, ord, recorded_utc, kind, body) onto the logs under ``root``, each as one new file; returns what was
-    refused: the problem of each log whose chain is broken. Rows of sound logs are added, those of the others aren't."""
+    refused: the problem of each log whose chain is broken. Rows of sound logs are added, those of the others aren't. Only what has
+    changed since the last audit is read (see ``audit_files``)."""
     spark = rows.sparkSession
-    log = read_records(spark, root)
-    state = chain.audit(log)
+    state = audit_files(spark, root)
     broken = {r["log_id"]: r["problem"] for r in state.filter("not intact").join(rows.select("log_id").distinct(), "log_id", "left_semi").collect()}   # logs of this append
-    tails = log.groupBy("log_id").agg(F.max("seq").alias("seq"), F.max_by("hash", "seq").alias("hash"))
+    tails = spark.createDataFrame([(log, m["records"] - 1, m["hash"]) for log, m in marks_of(root).items()], "log_id string, seq long, hash string")
     sealed = chain.seal(rows.join(state.filter("not intact").select("log_id"), "log_id", "left_anti"), tails)
     fields = ["seq", "recorded_utc", "kind", "body", "prev", "hash"]
 

@@ -92,6 +92,39 @@ def test_log_is_appended_to_and_tampering_is_found(spark, tmp_path):
     assert state(spark, root)["a"] == (9, True, None, None)
 
 
+def test_an_audit_goes_on_behind_its_mark(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    log_files.append_records(rows(spark, "a", 5).union(rows(spark, "b", 3)), root)
+    log_files.append_records(rows(spark, "a", 4, 5), root)
+
+    def verdicts():
+        return {r["log_id"]: tuple(r)[1:] for r in log_files.audit_files(spark, root).collect()}
+    assert verdicts() == {"a": (9, True, None, None), "b": (3, True, None, None)}
+    read = []
+    lines = log_files.read_lines
+
+    def counted(*args):
+        d = lines(*args)
+        read.append(d.count())
+        return d
+    monkeypatch.setattr(log_files, "read_lines", counted)
+    log_files.append_records(rows(spark, "a", 2, 9), root)
+    assert verdicts()["a"] == (11, True, None, None)
+    assert read == [0, 2]                       # nothing ahead of the append, its own two records after it
+    files = sorted((tmp_path / "a").glob("*.jsonl"))
+    for at, changed in ((0, (11, False, 1, "content does not match its hash")), (2, (11, False, 9, "content does not match its hash"))):
+        old = files[at].read_text()
+        k = 1 if at == 0 else 0
+        text = old.splitlines()
+        text[k] = text[k].replace('"kind":"k"', '"kind":"kk"')
+        files[at].write_text("\n".join(text) + "\n")
+        assert verdicts()["a"] == changed and verdicts()["b"] == (3, True, None, None)
+        files[at].write_text(old)
+        assert verdicts()["a"] == (11, True, None, None)
+    os.rename(files[2], tmp_path / "gone")      # what was verified is missing
+    assert verdicts()["a"] == (9, True, None, None)
+
+
 def test_stream_of_a_growing_log(spark, tmp_path):
     log = tmp_path / "logs" / "a"
     log.mkdir(parents=True)
