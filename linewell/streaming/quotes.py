@@ -52,12 +52,13 @@ def pair_matches(valid: DataFrame, gap_minutes: float = quotes.PAIR_GAP_MINUTES,
     """First and second sides of a line that were quoted within the gap, and sides without a match, as a stream joined with itself.
 
     Both inputs have a watermark and the join an interval, so a quote leaves the state once the watermark is a gap past it; a side without a
-    match comes out then. Quotes older than ``late_minutes`` at their arrival are dropped: valid quotes never are, their age is checked.
+    match comes out then. Quotes that are more than ``late_minutes`` behind the newest one at their arrival are dropped: valid quotes never are, their age is checked.
+    (A row at the watermark counts as late, so the watermark stays a millisecond more behind.)
     """
     first = F.col("side").isin(*quotes.FIRST_SIDES)
     line = (F.when(F.col("market") == "ml", F.lit("-")).when((F.col("market") == "spread") & first, (0.0 - F.col("point")).cast("string"))
             .otherwise((0.0 + F.col("point")).cast("string")))
-    d = valid.select("game_id", "market", "book", line.alias("line_key"), "side", "odds_time_utc", "price", "event_id").withWatermark("odds_time_utc", f"{late_minutes:g} minutes")
+    d = valid.select("game_id", "market", "book", line.alias("line_key"), "side", "odds_time_utc", "price", "event_id").withWatermark("odds_time_utc", f"{late_minutes:g} minutes 1 millisecond")
     quote = F.struct(F.col("odds_time_utc").alias("t"), "price", F.col("event_id").alias("id"))
     # rows without a side only move the watermark; they have no key, so they match nothing
     a, b = (d.filter(F.coalesce(own, F.lit(True))).select(*[F.col(k).alias(f"{s}_{k}") for k in PAIR_KEY], F.col("odds_time_utc").alias(f"{s}_time"), quote.alias(s)) for s, own in (("a", first), ("b", ~first)))

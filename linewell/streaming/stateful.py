@@ -64,11 +64,11 @@ def standing(updates: DataFrame) -> DataFrame:
 def latest_with_expiry(valid: DataFrame, max_age_minutes: float, skew_minutes: float = 2.0) -> DataFrame:
     """Changes of the latest live quote per key: new quotes (live) and withdrawals (not live).
 
-    A valid quote may be ``max_age_minutes`` old and the newest one ``skew_minutes`` ahead of the clock: the watermark stays both behind, so
-    that none counts as late.
+    A valid quote may be ``max_age_minutes`` old and the newest one ``skew_minutes`` ahead of the clock: the watermark stays more than both
+    behind, so that none counts as late (rows at the watermark do).
     """
     valid.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    d = valid.withWatermark("odds_time_utc", f"{max_age_minutes + skew_minutes:g} minutes").select(
+    d = valid.withWatermark("odds_time_utc", f"{max_age_minutes + skew_minutes:g} minutes 1 millisecond").select(
         "game_id", "book", "market", "side", F.coalesce(F.col("point").cast("string"), F.lit("-")).alias("point_key"), "event_id", "price",
         F.unix_micros("odds_time_utc").alias("quoted_us"), "odds_time_utc")
     return d.groupBy(*KEY).transformWithStateInPandas(LatestQuote(max_age_minutes), LATEST, "Update", "eventTime")

@@ -62,3 +62,12 @@ def test_an_empty_table_as_a_stream(spark):
     assert sq.current_pairs(drain(sq.pair_matches(replay(none, F.col("event_id").asc(), 2, "none", ("odds_time_utc", at(80)))), "none")).collect() == []
     good, late = split_late(replay(none, F.col("event_id").asc(), 2, "none"), "odds_time_utc", 10)
     assert good.count() == late.count() == 0
+
+
+def test_a_quote_as_old_as_may_be_isnt_late(spark):
+    """Two minutes ahead of the clock, then thirty behind it: 32 minutes, two batches later."""
+    rows = [(1, 1, "b", "ml", "home", None, -110.0, 2), (2, 2, "b", "ml", "home", None, -110.0, 0), (3, 3, "b", "ml", "home", None, -110.0, -30), (4, 3, "b", "ml", "away", None, 100.0, -30)]
+    updates = drain(stateful.latest_with_expiry(replay(frame(spark, rows), F.col("event_id").asc(), 4, "edge", ("odds_time_utc", at(3))), 30.0), "edge", "update")
+    assert {r["event_id"] for r in stateful.standing(updates).collect()} == {1, 2, 3, 4}
+    got = sq.current_pairs(drain(sq.pair_matches(replay(frame(spark, rows), F.col("event_id").asc(), 4, "edge", ("odds_time_utc", at(120)))), "edge"))
+    assert shown(got) == [(3, "ml", "b", None, -110.0, 100.0)]
