@@ -50,6 +50,14 @@ def lookup(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "left", sa
     return fact.join(dim, on, how)
 
 
+def matched(fact: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Keep ('left_semi') or drop ('left_anti') rows whose key is among ``keys``, a table that grows with the input.
+
+    Always shuffled: the planner's estimate counts the bytes of compressed files and can't keep such a table off the driver.
+    """
+    return fact.join(keys.hint("merge"), on, how)
+
+
 def once(df: DataFrame, **cols: Column) -> DataFrame:
     """Adds columns that are computed exactly once per row.
 

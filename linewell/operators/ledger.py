@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewell.functions import prices, times
-from linewell.functions.joins import lookup
+from linewell.functions.joins import lookup, matched
 from linewell.operators.validity import known_point, known_side
 
 PREFIX = 6      # prefixes below this length are counted ahead, longer ones are looked up by their first characters
@@ -80,4 +80,4 @@ def unseen_rows(batch: DataFrame, archive: DataFrame, key: list[str]) -> DataFra
     """Rows of a batch whose full key (nulls match) is not archived yet; repeats inside the batch are dropped."""
     tag = F.sha2(F.to_json(F.struct(*key), {"ignoreNullFields": "false"}), 256)
     fresh = batch.dropDuplicates(key).withColumn("_key", tag)
-    return lookup(fresh, archive.select(*key).distinct().select(tag.alias("_key")), ["_key"], "left_anti").drop("_key")
+    return matched(fresh, archive.select(*key).distinct().select(tag.alias("_key")), ["_key"], "left_anti").drop("_key")

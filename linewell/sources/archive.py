@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linewell.functions.joins import lookup, materialise
+from linewell.functions.joins import lookup, matched, materialise
 from linewell.sources.run_store import RunStore
 
 WORDS = 1024         # of 64 bits, in a bucket of the filter
@@ -70,8 +70,8 @@ class Archive:
         if runs and batch_id < runs[-1]:
             raise ValueError(f"batch {batch_id} comes after {runs[-1]}")
         new, asked = self.split(batch.select(*self.schema.names))
-        hits = lookup(self.rows().select(*self.key).withColumn("_tag", key_tag(self.key)).select("_tag"), asked.select("_tag"), ["_tag"], "left_semi")
-        added = materialise(new.unionByName(lookup(asked, hits.distinct(), ["_tag"], "left_anti")), "added")
+        hits = matched(self.rows().select(*self.key).withColumn("_tag", key_tag(self.key)).select("_tag"), asked.select("_tag"), ["_tag"], "left_semi")
+        added = materialise(new.unionByName(matched(asked, hits.distinct(), ["_tag"], "left_anti")), "added")
         both = self._filter().unionByName(self._filter_of(added))
         merged = both.groupBy("bucket").agg(F.collect_list("words").alias("w")).select("bucket", F.expr("aggregate(slice(w, 2, size(w)), w[0], (x, y) -> zip_with(x, y, (a, b) -> a | b))").alias("words"))   # two at most
         self.store.write({"rows": added.drop("_tag").select(*self.schema.names), "filter": merged}, batch_id)

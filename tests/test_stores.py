@@ -184,3 +184,18 @@ def test_an_overfull_filter_stays_exact(spark, tmp_path):
     new, asked = a.split(df)
     assert new.count() < 20_000
     assert a.add(df, "b2") == 30_000 and a.rows().distinct().count() == 60_000
+
+
+def test_keys_of_an_archive_stay_off_the_driver(spark, tmp_path):
+    """A batch whose keys the filter may know is compared with the archive in shuffles: a broadcast of eight megabytes fails here."""
+    from linewell.operators import ledger
+    from linewell.sources.archive import Archive
+    df = spark.range(400_000).withColumnRenamed("id", "k")
+    a = Archive(spark, str(tmp_path), df.schema, ["k"], keys=10)
+    before = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "8m")
+    try:
+        assert a.add(df.filter("k < 300000"), "b1") == 300_000 and a.add(df, "b2") == 100_000
+        assert ledger.unseen_rows(df, df.filter("k < 300000"), ["k"]).count() == 100_000
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", before)
