@@ -26,9 +26,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-copies the smallest id stays."""
+    """Of each group of near-copies, by SimHash links and an exact check behind them, the smallest id stays."""
     session(spark)
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each_group(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

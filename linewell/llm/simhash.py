@@ -235,6 +235,26 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prefix filter (``set_join``), so every pair at ``least`` or more is linked. Documents without words
     or id stay; rows that repeat an id stay or go together.
     """
+    return _without_copies(docs, _alike(docs, id_col, text_col, size, least).filter("node <> root").select("node"), id_col)
+
+
+def _alike(docs: DataFrame, id_col: str, text_col: str, size: int, least: float) -> DataFrame:
+    """(node, root) of documents that are linked by similarity ``least``."""
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    found = linked(rows, lambda text: shingle_hashes(text, size), least, lambda pairs: similar(pairs, docs, id_col, text_col, size, least))
-    return without(docs, materialise(found.filter("node <> root").select(F.col("node").cast(docs.schema[id_col].dataType).alias(id_col)), "copies"), id_col)
+    return linked(rows, lambda text: shingle_hashes(text, size), least, lambda pairs: similar(pairs, docs, id_col, text_col, size, least))
+
+
+def _without_copies(docs: DataFrame, copies: DataFrame, id_col: str) -> DataFrame:
+    return without(docs, materialise(copies.select(F.col("node").cast(docs.schema[id_col].dataType).alias(id_col)), "copies"), id_col)
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+    """The documents without near-copies, by SimHash: of each group the smallest id stays, all columns kept.
+
+    The links are those of ``near_dedup``; the exact check that follows adds the pairs of similarity ``least`` or more (see
+    ``one_of_each``) whose fingerprints lie further apart, so neither kind of link is lost. Rows without an id stay; rows that
+    repeat an id stay or go together. Texts without words are copies of each other.
+    """
+    by_print = near_dedup(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    by_text = _alike(docs, id_col, text_col, size, least).filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return _without_copies(docs, components(by_print.unionByName(by_text)).filter("node <> root").select("node"), id_col)
