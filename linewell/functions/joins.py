@@ -23,6 +23,8 @@ def configure(spark: SparkSession) -> SparkSession:
         # the JVM never compiles methods above 8000 bytes of bytecode; let Spark split those stages instead
         "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # a Python worker gets batches of bounded bytes, however long the rows are
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     }.items():
         spark.conf.set(key, value)
     return spark

@@ -4,7 +4,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,29 +24,30 @@ def seal(rows: DataFrame, tails: DataFrame | None = None) -> DataFrame:
     """Chains new records of each log in ``order`` onto that log's last hash.
 
     rows: log_id, ord, recorded_utc, kind, body. tails (optional): log_id, seq, hash of the last record.
-    A chain is serial by nature; a log is streamed through its task batch by batch with one hash as
-    state, so memory stays flat however long the log is, and logs run in parallel.
+    A chain is serial by nature; a log is streamed through its task in Arrow batches of bounded bytes with one hash as
+    state, so memory stays flat however long the log and its rows are, and logs run in parallel.
     """
     null = F.lit(None)
     if tails is None:
         rows = rows.withColumns({"tail_seq": null.cast("bigint"), "tail_hash": null.cast("string")})
     else:
         rows = rows.join(tails.select("log_id", F.col("seq").alias("tail_seq"), F.col("hash").alias("tail_hash")), "log_id", "left")
-    ordered = rows.repartition("log_id").sortWithinPartitions("log_id", "ord")
+    ordered = rows.repartition("log_id").sortWithinPartitions("log_id", "ord").select("log_id", "recorded_utc", "kind", "body", "tail_seq", "tail_hash")
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prev, seq = None, 0
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log, prev, seq = object(), GENESIS, 0
         for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                if prev is None:
-                    prev, seq = (r.tail_hash, int(r.tail_seq) + 1) if isinstance(r.tail_hash, str) else (GENESIS, 0)
-                text = "\x1f".join((str(seq), r.recorded_utc, r.kind, r.body or "", prev))
-                digest = hashlib.sha256(text.encode()).hexdigest()
-                out.append((r.log_id, seq, r.recorded_utc, r.kind, r.body, prev, digest))
+            chained = []
+            for own, recorded, kind, body, tail_seq, tail in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                if own != log:
+                    log, (prev, seq) = own, (GENESIS, 0) if tail is None else (tail, tail_seq + 1)
+                digest = hashlib.sha256("\x1f".join((str(seq), recorded, kind, body or "", prev)).encode()).hexdigest()
+                chained.append((seq, prev, digest))
                 prev, seq = digest, seq + 1
-            yield pd.DataFrame(out, columns=SEALED.names)
-    return ordered.groupBy("log_id").applyInPandas(fold, SEALED)
+            seqs, prevs, digests = zip(*chained) if chained else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seqs, pa.int64()), *(batch.column(k) for k in (1, 2, 3)),
+                                              pa.array(prevs, pa.string()), pa.array(digests, pa.string())], SEALED.names)
+    return ordered.mapInArrow(fold, SEALED)
 
 
 def audit(log: DataFrame, position: str = "pos", verified: DataFrame | None = None) -> DataFrame:

@@ -1,6 +1,8 @@
 import datetime as dt
+import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,3 +299,20 @@ def test_wager_intake_rules(spark):
     for i, w in enumerate(want):
         assert (w in got[i]["reason"]) if w else got[i]["reason"] == "", (i, got[i]["reason"])
     assert len(got[0]["bet_id"]) == 12
+
+
+def test_logs_are_sealed_in_batches_of_bounded_bytes(spark):
+    """A few thousand long rows of a log: a Python worker gets some megabytes of them at a time."""
+    rows = spark.range(6000).select((F.col("id") % 2).cast("string").alias("log_id"), F.col("id").alias("ord"), F.lit("t").alias("recorded_utc"), F.lit("k").alias("kind"),
+                                    F.repeat(F.lit("x"), 10_000).alias("body"))
+    sizes = chain.seal(rows).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long")
+    assert 0 < max(r["n"] for r in sizes.collect()) < 16 << 20
+    sealed = chain.seal(rows).select("log_id", "seq", "prev", "hash").orderBy("log_id", "seq").collect()
+    prev, want = None, []
+    for i in range(6000):
+        seq, log = i % 3000, i // 3000
+        prev = "0" * 64 if not seq else prev
+        digest = hashlib.sha256("\x1f".join((str(seq), "t", "k", "x" * 10_000, prev)).encode()).hexdigest()
+        want.append((str(log), seq, prev, digest))
+        prev = digest
+    assert [tuple(r) for r in sealed] == want
