@@ -21,6 +21,8 @@ from linewell.operators import chain
 
 RANGE_BYTES = 32 << 20
 CHUNK = 1 << 20
+EDGE = 1 << 14     # read at a time behind the end of a range
+TASKS = 256        # ranges of few bytes share tasks beyond that many
 LINES = "log_id string, file string, first_byte long, nth long, offset long, line string"
 RECORD = "seq long, recorded_utc string, kind string, body string, prev string, hash string"
 
@@ -32,6 +34,25 @@ class Range(InputPartition):
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Neighbouring ranges that one task reads."""
+    parts: list[Range]
+
+
+def dealt(parts: list[Range]) -> list[Ranges]:
+    """Ranges in order, dealt to about ``TASKS`` tasks; a task gets ``RANGE_BYTES`` at most, or one range."""
+    share = min(RANGE_BYTES, sum(r.end - r.start for r in parts) // TASKS)
+    out, held = [], 0
+    for r in parts:
+        if not out or held + r.end - r.start > share:
+            out.append(Ranges([]))
+            held = 0
+        out[-1].parts.append(r)
+        held += r.end - r.start
+    return out
+
+
 def listed(root: str) -> list[tuple[str, int]]:
     """(path, bytes) of the files of all logs under a folder, by name."""
     fs, path = pafs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pafs.LocalFileSystem(), root)
@@ -51,23 +72,23 @@ def ranges(file: str, start: int, end: int, size: int) -> list[Range]:
 def lines_of(root: str, part: Range) -> Iterator[tuple[int, bytes]]:
     """(offset, line) of the lines that start in a range; the last one may end behind it. A last line without an end counts."""
     with opened(root, part.file) as f:
-        size, at = f.size(), part.start
+        at = part.start
         if at > 0:   # a line that starts here has the end of another in front of it
             f.seek(at - 1)
             at -= 1
-        buffer, skip = b"", part.start > 0
+        buffer, used, skip = b"", 0, part.start > 0
         while True:
-            cut = buffer.find(b"\n")
+            cut = buffer.find(b"\n", used)
             if cut < 0:
-                more = f.read(CHUNK)
+                more = f.read(min(CHUNK, max(part.end - f.tell(), EDGE)))
                 if more:
-                    buffer += more
+                    buffer, used = buffer[used:] + more, 0
                     continue
-                if buffer and not skip and at < part.end and at < size:
-                    yield at, buffer
+                if used < len(buffer) and not skip and at < part.end:
+                    yield at, buffer[used:]
                 return
-            line, buffer = buffer[:cut], buffer[cut + 1:]
-            start, at = at, at + cut + 1
+            line = buffer[used:cut]
+            start, at, used = at, at + cut + 1 - used, cut + 1
             if skip:
                 skip = False
             elif start < part.end:
@@ -102,11 +123,11 @@ class LogReader(DataSourceReader):
         self.root, self.size, self.skipped = root, size, skipped
 
     def partitions(self) -> list[InputPartition]:
-        return [r for file, end in listed(self.root) if file not in self.skipped for r in ranges(file, 0, end, self.size)]
+        return dealt([r for file, end in listed(self.root) if file not in self.skipped for r in ranges(file, 0, end, self.size)])
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if partition is not None:
-            yield from batches(self.root, partition)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for part in partition.parts if partition is not None else ():
+            yield from batches(self.root, part)
 
 
 class LogStreamReader(DataSourceStreamReader):
@@ -133,10 +154,11 @@ class LogStreamReader(DataSourceStreamReader):
         return 0
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [r for file, to in sorted(end.items()) for r in ranges(file, start.get(file, 0), to, self.size)]
+        return dealt([r for file, to in sorted(end.items()) for r in ranges(file, start.get(file, 0), to, self.size)])
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        yield from batches(self.root, partition)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for part in partition.parts:
+            yield from batches(self.root, part)
 
     def commit(self, end: dict) -> None:
         pass

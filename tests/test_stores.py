@@ -199,3 +199,14 @@ def test_keys_of_an_archive_stay_off_the_driver(spark, tmp_path):
         assert ledger.unseen_rows(df, df.filter("k < 300000"), ["k"]).count() == 100_000
     finally:
         spark.conf.set("spark.sql.maxBroadcastTableSize", before)
+
+
+def test_many_ranges_are_few_tasks(spark, tmp_path):
+    os.makedirs(tmp_path / "a")
+    lines = [f"line {i}" for i in range(20_000)]
+    (tmp_path / "a" / "x.jsonl").write_text("\n".join(lines) + "\n")
+    for reader in (log_files.LogReader(str(tmp_path), 20), log_files.LogStreamReader(str(tmp_path), 20)):
+        parts = reader.partitions() if isinstance(reader, log_files.LogReader) else reader.partitions({}, reader.latestOffset())
+        assert len(parts) <= 2 * log_files.TASKS
+        assert [x for part in parts for batch in reader.read(part) for x in batch.column("line").to_pylist()] == lines
+    assert sorted((r["pos"], r["line"]) for r in log_files.read_lines(spark, str(tmp_path), 20).collect()) == list(enumerate(lines))
