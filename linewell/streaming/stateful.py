@@ -31,8 +31,8 @@ class LatestQuote(StatefulProcessor):
         self.quote = handle.getValueState("quote", T.StructType([T.StructField("t", T.LongType()), T.StructField("price", T.DoubleType()), T.StructField("id", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = tuple(self.quote.get()) if self.quote.exists() else None
-        before = best
+        held = self.quote.get()
+        before = best = None if held is None else tuple(held)
         for b in rows:
             b = b[b["event_id"].notna()]   # the others only move the clock
             for t, price, i in zip(b["quoted_us"], b["price"], b["event_id"]):
@@ -40,9 +40,10 @@ class LatestQuote(StatefulProcessor):
                 best = new if best is None or new > best else best
         if best != before:
             self.quote.update(best)
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer(best[0] // 1000 + self.max_age_ms)
+            if before is None or before[0] != best[0]:
+                if before is not None:
+                    self.handle.deleteTimer(before[0] // 1000 + self.max_age_ms)   # a key has one timer, at its quote's end
+                self.handle.registerTimer(best[0] // 1000 + self.max_age_ms)
             yield pd.DataFrame([(*key, best[2], best[1], best[0], True)], columns=LATEST.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
