@@ -5,7 +5,7 @@
    the slices' distinct anchors, so a frequent anchor is sent once per slice.
 2. The runs of strings under shared anchors are cut out and sent to the shard of their anchor. Equal runs of a slice are sent
    once, from the smallest document. Strings of anchors that very many documents share go by their own hash.
-3. Each shard builds suffix arrays of a bounded number of bytes, finds groups of equal strings by their common prefixes, and, if
+3. Each shard is taken in parts by tag, builds suffix arrays of a bounded number of bytes, finds groups of equal strings by their common prefixes, and, if
    it needs several arrays, merges their sorted strings by binary search. A string is removed where a smaller
    document has it; the byte ranges go back to their documents.
 """
@@ -29,6 +29,7 @@ PART = 16
 ARRAY_BYTES = 3 << 20        # of one suffix array
 BUCKET_BYTES = 64 << 20      # of text for each bucket of anchors
 SHARD_BYTES = 6 << 20        # of text for each shard; runs under shared anchors are about as large
+PART_BYTES = 3 << 20         # of a shard's runs that are compared at a time
 TEXT_BYTES = 2 << 20         # of text that is hashed at a time
 HOT_SHARE, HOT_LEAST = 200_000, 2000  # an anchor is hot above this share of all anchors: the list is bounded
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -177,7 +178,21 @@ def representatives(data: np.ndarray, begin: np.ndarray, size: np.ndarray, doc:
     return rep
 
 
+def bytes_of(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The pieces of ``data`` one after another."""
+    return data[np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+
+
 def ranges(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """The ranges as rows; those of a document that touch or overlap are one row, so strings that go one by one don't make a row each."""
+    if len(doc):
+        order = np.lexsort((begin, doc))
+        doc, begin, end = doc[order], begin[order], end[order]
+        other = np.concatenate(([True], doc[1:] != doc[:-1]))
+        lift = (np.cumsum(other) - 1) * (int(end.max()) + 1)
+        reach = np.maximum.accumulate(end + lift) - lift  # the farthest end so far of the document
+        first = np.flatnonzero(other | np.concatenate(([True], begin[1:] > reach[:-1])))
+        doc, begin, end = doc[first], begin[first], reach[np.append(first[1:], len(doc)) - 1]
     return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], ["doc_id", "begin", "end"])
 
 
@@ -212,11 +227,13 @@ def pieces(rows: DataFrame, buckets: int, shards: int, hot: np.ndarray) -> DataF
             place, owner = begin - offsets[doc], ids[doc]
             rep = representatives(data, begin, size, owner)
             later = owner > owner[rep]
-            yield pa.RecordBatch.from_arrays([pa.array([turn % shards], pa.int64()), pa.array([True]), *[pa.array([x.tobytes()], pa.binary()) for x in (owner[later], place[later].astype(np.uint32), size[later].astype(np.uint32))], *[pa.array([b""], pa.binary())] * 2], names)
+            decided = ranges(owner[later], place[later], (place + size)[later])
+            at, start, stop = (decided.column(k).to_numpy() for k in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array([turn % shards], pa.int64()), pa.array([True]), *[pa.array([x.tobytes()], pa.binary()) for x in (at, start.astype(np.uint32), (stop - start).astype(np.uint32))], *[pa.array([b""], pa.binary())] * 2], names)
             order = np.argsort(bucket[~later], kind="stable")
             bucket, owner, place, size, begin, tag = (x[~later][order] for x in (bucket, owner, place, size, begin, tag))
             some, cut = np.unique(bucket, return_index=True)
-            picked = data[np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+            picked = bytes_of(data, begin, size)
             to = np.concatenate(([0], np.cumsum(size)))
             for k, a, b in zip(some.tolist(), cut.tolist(), [*cut[1:].tolist(), len(bucket)]):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([False]), *[pa.array([x[a:b].tobytes()], pa.binary()) for x in (owner, place.astype(np.uint32), size.astype(np.uint32), tag)],
@@ -278,8 +295,8 @@ def repeated(data: np.ndarray, size: np.ndarray, doc: np.ndarray, array_bytes: i
     return covered
 
 
-def removed(sent: DataFrame, array_bytes: int) -> DataFrame:
-    """(doc_id, begin, end) of byte ranges to remove; ranges of a document may touch or overlap."""
+def removed(sent: DataFrame, array_bytes: int, part_bytes: int) -> DataFrame:
+    """(doc_id, begin, end) of byte ranges to remove; ranges of a document may touch or overlap. A shard is compared in parts of about ``part_bytes``."""
     def numbers(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.frombuffer(r["doc"], np.int64), np.frombuffer(r["place"], np.uint32).astype(np.int64), np.frombuffer(r["size"], np.uint32).astype(np.int64)
 
@@ -297,29 +314,35 @@ def removed(sent: DataFrame, array_bytes: int) -> DataFrame:
             doc, place, size = (np.concatenate(x) for x in zip(*sent))
             tag = np.concatenate([np.frombuffer(r["tag"], np.uint32) for r in held])
             held.clear()
-            begin = np.cumsum(size) - size
-            rep = representatives(data, begin, size, doc)
-            later = doc > doc[rep]
-            yield ranges(doc[later], place[later], (place + size)[later])
-            own = np.flatnonzero(~later)  # distinct contents, but for repeats inside a document
-            _, kind, times = np.unique(tag[own], return_inverse=True, return_counts=True)
-            own = own[times[kind] > 1]  # the only content of its anchor shares nothing
-            if not len(own):
-                continue
-            n = size[own]
-            picked = data[np.repeat(begin[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            covered = repeated(picked, n, doc[own], array_bytes)
-            piece = np.repeat(np.arange(len(own)), n)
-            edge = np.concatenate(([True], (covered[1:] != covered[:-1]) | (piece[1:] != piece[:-1]))) & covered
-            stop = np.concatenate(((covered[1:] != covered[:-1]) | (piece[1:] != piece[:-1]), [True])) & covered
-            a, b = np.flatnonzero(edge), np.flatnonzero(stop)
-            shift = place[own][piece[a]] - (np.cumsum(n) - n)[piece[a]]
-            yield ranges(doc[own][piece[a]], a + shift, b + LENGTH + shift)
+            begin, parts = np.cumsum(size) - size, -(-len(data) // part_bytes)
+            for k in range(parts):  # equal strings have equal tags
+                some = np.flatnonzero(tag % np.uint32(parts) == k)
+                if len(some):
+                    yield from found(bytes_of(data, begin[some], size[some]), doc[some], place[some], size[some], tag[some])
+
+    def found(data: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
+        begin = np.cumsum(size) - size
+        rep = representatives(data, begin, size, doc)
+        later = doc > doc[rep]
+        yield ranges(doc[later], place[later], (place + size)[later])
+        own = np.flatnonzero(~later)  # distinct contents, but for repeats inside a document
+        _, kind, times = np.unique(tag[own], return_inverse=True, return_counts=True)
+        own = own[times[kind] > 1]  # the only content of its anchor shares nothing
+        if not len(own):
+            return
+        n = size[own]
+        covered = repeated(bytes_of(data, begin[own], n), n, doc[own], array_bytes)
+        piece = np.repeat(np.arange(len(own)), n)
+        edge = np.concatenate(([True], (covered[1:] != covered[:-1]) | (piece[1:] != piece[:-1]))) & covered
+        stop = np.concatenate(((covered[1:] != covered[:-1]) | (piece[1:] != piece[:-1]), [True])) & covered
+        a, b = np.flatnonzero(edge), np.flatnonzero(stop)
+        shift = place[own][piece[a]] - (np.cumsum(n) - n)[piece[a]]
+        yield ranges(doc[own][piece[a]], a + shift, b + LENGTH + shift)
 
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, begin long, end long")
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", array_bytes: int = ARRAY_BYTES, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES, hot_least: int = HOT_LEAST, keep_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", array_bytes: int = ARRAY_BYTES, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES, hot_least: int = HOT_LEAST, keep_text: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep_text`` the bytes that stay.
 
     Texts are UTF-8 bytes, null is empty. Rows without an id, and texts under 50 bytes, neither lose nor take anything.
@@ -334,7 +357,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hot = told.filter("doc_id IS NULL").select("anchor").toPandas()["anchor"].to_numpy(np.int64).view(np.uint64)  # about HOT_SHARE at most
     of_doc = told.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
     # both joins take all rows by id, so that the texts are shuffled once and the exchange is used again
-    found = removed(pieces(rows.join(of_doc, "doc_id", "left").select("doc_id", "text", "anchors"), buckets, shards, hot), array_bytes)
+    found = removed(pieces(rows.join(of_doc, "doc_id", "left").select("doc_id", "text", "anchors"), buckets, shards, hot), array_bytes, part_bytes)
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

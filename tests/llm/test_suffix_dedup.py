@@ -88,3 +88,26 @@ def test_merge_by_binary_search():
             least[a] = min(b, least.get(a, b))
     for (k, _), m in zip(shards, sd.merged_least(shards)):
         assert m.tolist() == [least[a] for a in k.tolist()]
+
+
+def test_neighbouring_ranges_are_one_row():
+    """Strings of hot anchors go one by one; what they remove is still a row per removed run."""
+    rng = np.random.default_rng(5)
+    doc, begin = rng.integers(0, 4, 400), rng.integers(0, 9000, 400)
+    end = begin + rng.integers(50, 70, 400)
+    rows = sd.ranges(doc, begin, end).to_pylist()
+    covered = lambda found: sorted({(d, p) for d, a, b in found for p in range(a, b)})
+    assert covered([(r["doc_id"], r["begin"], r["end"]) for r in rows]) == covered(list(zip(doc.tolist(), begin.tolist(), end.tolist())))
+    ordered = sorted((r["doc_id"], r["begin"], r["end"]) for r in rows)
+    assert all(a[0] != b[0] or a[2] < b[1] for a, b in zip(ordered, ordered[1:]))
+    steps = np.arange(1000)
+    assert sd.ranges(np.full(1000, 7), steps, steps + 50).to_pylist() == [{"doc_id": 7, "begin": 0, "end": 1049}]
+    assert sd.ranges(steps[:0], steps[:0], steps[:0]).num_rows == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"hot_least": 3}])
+def test_shards_in_parts(table_of, options):
+    """A shard far above the bytes compared at a time never compares all of them at once."""
+    rows = corpus(60)
+    out = sd.dedup_substrings(table_of(rows), part_bytes=1500, **options)
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == brute(rows)
