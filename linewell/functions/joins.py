@@ -53,7 +53,7 @@ def lookup(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "left", sa
 
 
 def matched(fact: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Keep ('left_semi') or drop ('left_anti') rows whose key is among ``keys``, a table that grows with the input.
+    """Keep ('left_semi'), drop ('left_anti') or complete ('left', 'inner') rows whose key is among ``keys``, a table that grows with the input.
 
     Always shuffled: the planner's estimate counts the bytes of compressed files and can't keep such a table off the driver.
     """

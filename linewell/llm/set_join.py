@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewell.functions.joins import lookup, materialise, planned_bytes
+from linewell.functions.joins import matched, materialise, planned_bytes
 from linewell.llm.common import mix64, slices
 from linewell.llm.components import components
 
@@ -207,21 +207,24 @@ def across(members: DataFrame, shapes: DataFrame, least: float) -> DataFrame:
             yield from done(pa.concat_tables(pieces))
 
     mixed = members.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("token", F.ceil(F.col("m") / TILE).cast("int").alias("k"))
-    open_ = materialise(lookup(members, materialise(mixed, "mixed"), ["token"], "inner"), "open")
-    rows = lookup(open_, shapes.drop("elements"), ["node"], "inner").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    open_ = materialise(matched(members, materialise(mixed, "mixed"), ["token"], "inner"), "open")
+    rows = matched(open_, shapes.drop("elements"), ["node"], "inner").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     tiles = rows.select("token", "node", "n", "root", "sketch", "chunk", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).select(
         "token", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "n", "root", "sketch")
     return tiles.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(run, "a long, b long").distinct()
 
 
-def linked(docs: DataFrame, sets: Sets, least: float, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) of documents (node, text) that are linked by a similarity of ``least``; ``check`` keeps the true pairs."""
+def linked(docs: DataFrame, sets: Sets, least: float, check: Callable[[DataFrame], DataFrame], known: DataFrame | None = None) -> DataFrame:
+    """(node, root) of documents (node, text) that are linked by a similarity of ``least``; ``check`` keeps the true pairs.
+
+    ``known`` holds links (a, b) of another kind that count as well; what they join isn't compared again.
+    """
     found = materialise(buckets(docs, sets, least), "buckets")
     to_pivots = found.select("node", F.explode(F.array(*[F.col(f"p{k}") for k in range(PIVOTS)])).alias("pivot")).filter("node <> pivot")
     star = materialise(to_pivots.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "star")
     shapes = materialise(sketches(docs, sets).dropDuplicates(["node"]), "sketches")
-    true = materialise(check(materialise(possible(star, shapes, least), "possible")), "true")
-    roots = materialise(components(true), "roots")
-    members = lookup(found.select("token", "node", "n"), roots, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
-    rest = materialise(lookup(across(members, shapes, least), star, ["a", "b"], "left_anti"), "across")
-    return components(true.unionByName(check(rest)))
+    true = check(materialise(possible(star, shapes, least), "possible"))
+    roots = materialise(components(true if known is None else true.unionByName(known)), "roots")
+    members = matched(found.select("token", "node", "n"), roots, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
+    rest = materialise(matched(across(members, shapes, least), star, ["a", "b"], "left_anti"), "across")
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(check(rest)))

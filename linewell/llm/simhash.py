@@ -193,6 +193,19 @@ def links(nodes: DataFrame, plan: list[tuple[int, int, int, int]], parts: int, r
     return (probes(nodes, plan, parts).repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "a long, b long").filter("a <> b").distinct())
 
 
+def marked_nodes(docs: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, f0) per row and (f0, node) per fingerprint, the smallest id that has it."""
+    marked = materialise(fingerprints(docs, id_col, text_col, size, 1).withColumn("doc_id", F.col("doc_id").cast("long")), "fingerprints")
+    return marked, materialise(marked.groupBy("f0").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"), "nodes")
+
+
+def print_links(docs: DataFrame, id_col: str, text_col: str, size: int = 4, radius: int = 4, segments: int = 3) -> DataFrame:
+    """(a, b) of documents whose components are those of ``near_dedup``: equal fingerprints to the smallest id, those in reach to each other."""
+    marked, nodes = marked_nodes(docs, id_col, text_col, size)
+    equal = marked.join(nodes, "f0").filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    return equal.unionByName(links(nodes, layout(1, segments, exact_radii(segments, radius)), 1, radius))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4, segments: int = 3) -> DataFrame:
     """One row per input row: doc_id (integer), fingerprint (16 hex digits), component_id.
 
@@ -201,8 +214,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     get the component of their fingerprint if a row with an id has the same one, else null. Repeated
     rows share a component. An empty table gives no rows. Reads the id and text columns only.
     """
-    marked = materialise(fingerprints(docs, id_col, text_col, size, 1).withColumn("doc_id", F.col("doc_id").cast("long")), "fingerprints")
-    nodes = materialise(marked.groupBy("f0").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"), "nodes")
+    marked, nodes = marked_nodes(docs, id_col, text_col, size)
     roots = components(links(nodes, layout(1, segments, exact_radii(segments, radius)), 1, radius))
     of_print = nodes.join(roots, "node", "left").select("f0", F.coalesce("root", "node").alias("component_id"))
     return marked.join(of_print, "f0", "left").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
@@ -238,10 +250,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _without_copies(docs, _alike(docs, id_col, text_col, size, least).filter("node <> root").select("node"), id_col)
 
 
-def _alike(docs: DataFrame, id_col: str, text_col: str, size: int, least: float) -> DataFrame:
-    """(node, root) of documents that are linked by similarity ``least``."""
+def _alike(docs: DataFrame, id_col: str, text_col: str, size: int, least: float, known: DataFrame | None = None) -> DataFrame:
+    """(node, root) of documents that are linked by similarity ``least`` or the links ``known`` (a, b)."""
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    return linked(rows, lambda text: shingle_hashes(text, size), least, lambda pairs: similar(pairs, docs, id_col, text_col, size, least))
+    return linked(rows, lambda text: shingle_hashes(text, size), least, lambda pairs: similar(pairs, docs, id_col, text_col, size, least), known)
 
 
 def _without_copies(docs: DataFrame, copies: DataFrame, id_col: str) -> DataFrame:
@@ -255,6 +267,5 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ``one_of_each``) whose fingerprints lie further apart, so neither kind of link is lost. Rows without an id stay; rows that
     repeat an id stay or go together. Texts without words are copies of each other.
     """
-    by_print = near_dedup(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    by_text = _alike(docs, id_col, text_col, size, least).filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return _without_copies(docs, components(by_print.unionByName(by_text)).filter("node <> root").select("node"), id_col)
+    by_print = materialise(print_links(docs, id_col, text_col), "print-links")
+    return _without_copies(docs, _alike(docs, id_col, text_col, size, least, by_print).filter("node <> root").select("node"), id_col)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from linewell.llm import simhash
+from linewell.llm import set_join, simhash
 from linewell.llm.components import components
 
 
@@ -181,3 +181,33 @@ def test_one_of_each_finds_block_and_scattered_edits_near_the_threshold(table_of
     want = brute_kept(rows)
     assert len(want) < 0.6 * len(rows)
     assert sorted(r.doc_id for r in simhash.one_of_each(table_of(rows)).collect()) == want
+
+
+def test_near_stage_links_both_kinds_in_two_rounds_of_components(table_of, monkeypatch):
+    """SimHash links and checked pairs meet in the same components, and nothing that grows with the documents is broadcast to compare buckets."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [[word() for _ in range(120)] for _ in range(6)]
+    rows = []
+    for k, text in enumerate(base):
+        rows.append((10 * k, " ".join(text)))
+        rows.append((10 * k + 1, " ".join(text[:57] + [word()] + text[58:])))   # one word changed: Jaccard above 0.8
+        rows.append((10 * k + 2, " ".join(text) if k % 2 else " ".join(word() for _ in range(120))))
+    rows += [(1000, ""), (1001, " "), (1002, None), (None, " ".join(base[0]))]
+    docs, asked, plans = table_of(rows), [], []
+    for module in (simhash, set_join):
+        monkeypatch.setattr(module, "components", lambda links: (asked.append(1), components(links))[1])
+    real = set_join.matched
+    monkeypatch.setattr(set_join, "matched", lambda *a: (lambda d: (plans.append(d._jdf.queryExecution().executedPlan().toString()), d)[1])(real(*a)))
+    kept = sorted((r.doc_id for r in simhash.one_of_each_group(docs).collect()), key=str)
+    by_print = {r.doc_id: r.component_id for r in simhash.near_dedup(docs).collect() if r.doc_id is not None}
+    asked_of_stage = len(asked) - 1
+    roots = dict(by_print)
+    sets = {i: set(zip(*[t.split()[j:] for j in range(5)])) for i, t in rows if i is not None and t and t.strip()}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])] + list(by_print.items())
+    for _ in range(len(roots)):
+        for a, b in pairs:
+            low = min(roots[a], roots[b])
+            roots[a] = roots[b] = low
+    assert kept == sorted([i for i, r in roots.items() if i == r] + [None], key=str)
+    assert asked_of_stage == 2 and plans and not any("Broadcast" in p for p in plans)
