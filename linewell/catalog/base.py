@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewell.config import Settings
-from linewell.functions.joins import configure
+from linewell.functions.joins import bounded_tasks, configure
 from linewell.sources import views
 
 SETTINGS = Settings()
@@ -13,7 +13,7 @@ NOW_EPOCH = views.AS_OF_EPOCH
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    configure(spark)
+    bounded_tasks(configure(spark))
     return views.frame(spark, sf_dir, name)
 
 

@@ -30,6 +30,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bounded_tasks(spark: SparkSession) -> SparkSession:
+    """Settings that keep what one task of a shuffle holds from growing with the input.
+
+    A compressed megabyte of narrow rows takes twenty or more in a sort or an aggregate, so a task gets about 8 MB; there are
+    enough partitions for that, and adaptive execution joins them again where a table is small.
+    """
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(8 << 20))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "800")
+    return spark
+
+
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan (an upper bound for filters and aggregates)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -25,32 +25,47 @@ def competitive() -> Column:
 
 
 def with_snap_gap(plays: DataFrame) -> DataFrame:
-    """Seconds since the previous snap of the same game and drive (clock runs down)."""
-    w = Window.partitionBy("game_id", "drive").orderBy(F.desc("game_seconds_remaining"), "play_id")
-    return plays.withColumn("gap", F.lag("game_seconds_remaining").over(w) - F.col("game_seconds_remaining"))
+    """Seconds since the previous snap of the same game and drive (clock runs down).
+
+    The window spans the whole game, so that aggregates by game above it need no shuffle of their own.
+    """
+    w = Window.partitionBy("game_id").orderBy("drive", F.desc("game_seconds_remaining"), "play_id")
+    same = F.lag("drive").over(w).eqNullSafe(F.col("drive"))
+    return plays.withColumn("gap", F.when(same, F.lag("game_seconds_remaining").over(w) - F.col("game_seconds_remaining")))
+
+
+def neutral_state() -> Column:
+    """Quarters 1-3, within a touchdown, outside the last two minutes of a half."""
+    return (F.col("qtr") <= 3) & (F.abs("score_differential") <= 7) & (F.col("half_seconds_remaining") > 120)
 
 
 def neutral_snap() -> Column:
-    """Quarters 1-3, within a touchdown, outside the last two minutes of a half, plausible gap."""
-    return ((F.col("qtr") <= 3) & (F.abs("score_differential") <= 7) & (F.col("half_seconds_remaining") > 120)
-            & (F.col("gap") > 0) & (F.col("gap") <= 60))
+    """A snap in a neutral state (``neutral``) with a plausible gap."""
+    return F.col("neutral") & (F.col("gap") > 0) & (F.col("gap") <= 60)
+
+
+def timed_snaps(plays: DataFrame) -> DataFrame:
+    """Scrimmage plays with their gap; what is known ahead of the gap is shipped as flags."""
+    return with_snap_gap(scrimmage(plays).select(
+        *KEYS, "posteam", "defteam", "drive", "game_seconds_remaining", "play_id", "epa", "success", competitive().alias("comp"),
+        (F.col("qb_dropback") == 1).alias("dropback"), (F.col("play_type") == "run").alias("run"), neutral_state().alias("neutral")))
 
 
 def team_games(plays: DataFrame) -> DataFrame:
     """One row per (game, offense) in a single aggregation; it exists only with a competitive play."""
-    d = with_snap_gap(scrimmage(plays))
-    comp, neutral, epa = competitive(), neutral_snap(), F.col("epa")
+    d = timed_snaps(plays)
+    comp, neutral, epa = F.col("comp"), neutral_snap(), F.col("epa")
     return (d.groupBy(*KEYS, F.col("posteam").alias("team"), F.col("defteam").alias("opp"))
             .agg(F.avg(F.when(comp, epa)).alias("epa"), F.avg(F.when(comp, F.col("success"))).alias("sr"),
-                 F.avg(F.when(comp & (F.col("qb_dropback") == 1), epa)).alias("pass_epa"),
-                 F.avg(F.when(comp & (F.col("play_type") == "run"), epa)).alias("rush_epa"),
+                 F.avg(F.when(comp & F.col("dropback"), epa)).alias("pass_epa"),
+                 F.avg(F.when(comp & F.col("run"), epa)).alias("rush_epa"),
                  F.count("*").alias("plays"), F.avg(F.when(neutral, F.col("gap"))).alias("neutral_spp"),
                  F.count_if(neutral).alias("neutral_n"), F.count_if(comp).alias("_comp"))
             .filter("_comp > 0").drop("_comp"))
 
 
 def neutral_pace(plays: DataFrame) -> DataFrame:
-    d = with_snap_gap(scrimmage(plays)).filter(neutral_snap())
+    d = timed_snaps(plays).filter(neutral_snap())
     return (d.groupBy(*KEYS, F.col("posteam").alias("team"), F.col("defteam").alias("opp"))
             .agg(F.avg("gap").alias("neutral_spp"), F.count("*").alias("neutral_n")))
 
