@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from linewell.functions.joins import materialise
 
+
 LINE_POSITIONS = ("T", "G", "C", "OL", "OT", "OG")     # fixed values
 OUT = ("Out", "Doubtful")
 UNSURE = ("Out", "Doubtful", "Questionable")
@@ -19,28 +20,39 @@ def crosswalk_map(crosswalk: DataFrame) -> DataFrame:
     return crosswalk.dropna(subset=["gsis_id", "pfr_id"]).groupBy("gsis_id").agg(F.max_by("pfr_id", "row_no").alias("pfr_id"))
 
 
-def numbered_games(snaps: DataFrame) -> DataFrame:
-    """Team games in order: game_no counts a team's games of a season from 1."""
-    w = Window.partitionBy(*TEAM).orderBy("week", "game_id")
-    return snaps.select(*TEAM, "game_id", "week").distinct().withColumn("game_no", F.row_number().over(w))
-
-
-def expected_shares(snaps: DataFrame, games: DataFrame | None = None) -> DataFrame:
-    """Per team game and player: snap shares summed over the previous (up to 4) team games, per game.
+def player_games(snaps: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """Per team game and player: snap shares (``off``, ``dfn``) and line snaps summed over the previous (up to 4) team games.
 
-    Instead of a range self join, each snap row is sent forward to the (at most 4) later team games it
-    counts for, so the work is linear and joins are equi joins. (games: ``numbered_games``)
+    game_no counts a team's games of a season from 1; ``before`` counts the rows summed, ``last_line`` are the line snaps of the game
+    before. Each snap row is sent to its own and the next 4 games of its team; all keys start with the team's season, so one
+    shuffle serves every step. listed (TEAM, week, pfr_player_id, times) travels along and gives ``times`` of a player's week.
     """
-    games = numbered_games(snaps) if games is None else games
-    rows = snaps.join(games.select(*TEAM, "game_id", "game_no"), [*TEAM, "game_id"])
-    ahead = rows.withColumn("for_no", F.explode(F.sequence(F.col("game_no") + 1, F.col("game_no") + PREVIOUS)))
-    s = (ahead.groupBy(*TEAM, F.col("for_no").alias("game_no"), "pfr_player_id")
-         .agg(F.sum("offense_pct").alias("off"), F.sum("defense_pct").alias("dfn"),
-              F.sum(F.when(F.col("position").isin(*LINE_POSITIONS), F.col("offense_snaps"))).alias("line_snaps")))
-    n = F.least(F.col("game_no") - 1, F.lit(PREVIOUS))
-    return (s.join(games, [*TEAM, "game_no"])
-            .select(*TEAM, "game_id", "week", "game_no", "pfr_player_id", (F.col("off") / n).alias("exp_off"),
-                    (F.col("dfn") / n).alias("exp_def"), "line_snaps"))
+    c = F.col
+    rows = snaps.select(*TEAM, "week", "game_id", "pfr_player_id", "offense_pct", "defense_pct", F.when(c("position").isin(*LINE_POSITIONS), c("offense_snaps")).alias("line"),
+                        F.lit(None).cast("bigint").alias("times")).dropna(subset=[*TEAM, "game_id"])
+    if listed is not None:
+        rows = rows.unionByName(listed.dropna(subset=[*TEAM, "week", "pfr_player_id"]), allowMissingColumns=True)
+    is_game = c("game_id").isNotNull()
+    rows = rows.withColumn("no", F.dense_rank().over(Window.partitionBy(*TEAM).orderBy(~is_game, "week", "game_id")))
+    ahead = rows.withColumn("back", F.explode(F.when(is_game, F.sequence(F.lit(0), F.lit(PREVIOUS))).otherwise(F.array(F.lit(None).cast("int")))))
+    now, past = c("back") == 0, c("back") > 0
+    s = (ahead.groupBy(*TEAM, (c("no") + c("back")).alias("game_no"), F.when(~is_game, c("week")).alias("report"), "pfr_player_id")
+         .agg(F.max(F.when(now, F.struct("week", "game_id"))).alias("own"), F.count_if(past).alias("before"), F.sum(F.when(past, c("offense_pct"))).alias("off"),
+              F.sum(F.when(past, c("defense_pct"))).alias("dfn"), F.sum(F.when(past, c("line"))).alias("line_snaps"),
+              F.sum(F.when(c("back") == 1, c("line"))).alias("last_line"), F.sum("times").alias("times")))
+    game = Window.partitionBy(*TEAM, "game_no")
+    s = s.withColumn("rk", F.row_number().over(game.orderBy(F.desc_nulls_last("line_snaps"), "pfr_player_id"))).withColumn("game", F.max("own").over(game))
+    s = s.filter("game is not null or report is not null").withColumn("week", F.coalesce("report", "game.week"))
+    if listed is not None:
+        s = s.withColumn("times", F.max("times").over(Window.partitionBy(*TEAM, "week", "pfr_player_id"))).filter("report is null")
+    n = F.least(c("game_no") - 1, F.lit(PREVIOUS))
+    return s.select(*TEAM, c("game.game_id").alias("game_id"), "week", "game_no", "pfr_player_id", "before", (c("off") / n).alias("exp_off"),
+                    (c("dfn") / n).alias("exp_def"), "line_snaps", "last_line", "rk", "times")
+
+
+def expected_shares(snaps: DataFrame) -> DataFrame:
+    """Per team game and player: snap shares summed over the previous (up to 4) team games, per game."""
+    return player_games(snaps).filter("before > 0").select(*TEAM, "game_id", "week", "game_no", "pfr_player_id", "exp_off", "exp_def", "line_snaps")
 
 
 def listed_out(injuries: DataFrame, crosswalk: DataFrame) -> DataFrame:
@@ -49,36 +61,26 @@ def listed_out(injuries: DataFrame, crosswalk: DataFrame) -> DataFrame:
     return (i.join(crosswalk_map(crosswalk), "gsis_id").select(*TEAM, "week", F.col("pfr_id").alias("pfr_player_id")))
 
 
-def missing_shares(e: DataFrame, injuries: DataFrame, crosswalk: DataFrame) -> DataFrame:
-    """Expected snap shares of listed players per team game: avail_off, avail_def (e: ``expected_shares``)."""
-    out = listed_out(injuries, crosswalk).groupBy(*TEAM, "week", "pfr_player_id").agg(F.count("*").alias("times"))
-    hit = e.join(out, [*TEAM, "week", "pfr_player_id"])
-    return hit.groupBy(*TEAM, "game_id").agg(F.sum(F.col("exp_off") * F.col("times")).alias("avail_off"),
-                                             F.sum(F.col("exp_def") * F.col("times")).alias("avail_def"))
+def continuity() -> Column:
+    """Of a team game's players: share of the last game's line snaps taken by the 5 linemen with most snaps over the window; null without any."""
+    total = F.sum("last_line")
+    return F.when(total > 0, F.sum(F.when(F.col("rk") <= 5, F.col("last_line")).otherwise(0.0)) / total)
 
 
-def line_continuity(snaps: DataFrame, shares: DataFrame | None = None, games: DataFrame | None = None) -> DataFrame:
-    """Share of the last game's line snaps taken by the 5 linemen with most snaps over the window."""
-    e = (expected_shares(snaps) if shares is None else shares).filter(F.col("line_snaps").isNotNull())
-    w = Window.partitionBy(*TEAM, "game_no").orderBy(F.desc("line_snaps"), "pfr_player_id")
-    top = e.withColumn("rk", F.row_number().over(w)).filter("rk <= 5").select(*TEAM, "game_no", "pfr_player_id", F.lit(True).alias("top"))
-    games = numbered_games(snaps) if games is None else games
-    last = (snaps.filter(F.col("position").isin(*LINE_POSITIONS)).join(games.select(*TEAM, "game_id", "game_no"), [*TEAM, "game_id"])
-            .withColumn("game_no", F.col("game_no") + 1))
-    share = (last.join(top, [*TEAM, "game_no", "pfr_player_id"], "left").groupBy(*TEAM, "game_no")
-             .agg((F.sum(F.when(F.col("top"), F.col("offense_snaps")).otherwise(0.0)) / F.sum("offense_snaps")).alias("olc"), F.sum("offense_snaps").alias("tot")))
-    return (games.join(share.filter("tot > 0"), [*TEAM, "game_no"]).select(*TEAM, "game_id", "olc"))
+def line_continuity(snaps: DataFrame) -> DataFrame:
+    """Continuity of the line per team game with line snaps in the game before."""
+    return player_games(snaps).groupBy(*TEAM, "game_id").agg(continuity().alias("olc")).filter("olc is not null")
 
 
 def team_game_availability(snaps: DataFrame, injuries: DataFrame, crosswalk: DataFrame) -> DataFrame:
-    """One row per (game, team): avail_off, avail_def (0 without history), olc (null without history)."""
-    snaps = materialise(snaps, "snaps")
-    games = materialise(numbered_games(snaps), "team-games")
-    shares = materialise(expected_shares(snaps, games), "shares")
-    return (games.select(*TEAM, "game_id").join(missing_shares(shares, injuries, crosswalk), [*TEAM, "game_id"], "left")
-            .join(line_continuity(snaps, shares, games), [*TEAM, "game_id"], "left")
-            .select("game_id", "team", F.coalesce("avail_off", F.lit(0.0)).alias("avail_off"),
-                    F.coalesce("avail_def", F.lit(0.0)).alias("avail_def"), "olc"))
+    """One row per (game, team): avail_off, avail_def (expected shares of listed players, 0 without history), olc (null without history)."""
+    listed = listed_out(injuries, crosswalk).groupBy(*TEAM, "week", "pfr_player_id").agg(F.count("*").alias("times"))
+    hit, c = F.col("before") > 0, F.col
+    d = (player_games(snaps, listed).groupBy(*TEAM, "game_id")
+            .agg(F.coalesce(F.sum(F.when(hit, c("exp_off") * c("times"))), F.lit(0.0)).alias("avail_off"),
+                 F.coalesce(F.sum(F.when(hit, c("exp_def") * c("times"))), F.lit(0.0)).alias("avail_def"), continuity().alias("olc"))
+            .select("game_id", "team", "avail_off", "avail_def", "olc"))
+    return materialise(d, "availability")      # read once per side of a game
 
 
 def availability_features(games: DataFrame, table: DataFrame) -> DataFrame:
