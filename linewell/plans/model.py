@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -239,6 +240,27 @@ def fan_out(rows: DataFrame, folds: list[int]) -> DataFrame:
 LOGIT_ROW = ["season", "target", "a", "b", "x2", "y", "feats"]
 
 
+def by_target(batch: pa.RecordBatch) -> Iterator[tuple[str, dict[str, np.ndarray]]]:
+    """The rows of each target as arrays, by season."""
+    cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+    target, season = cols["target"], cols["season"]
+    for name in np.unique(target) if len(target) else ():
+        at = np.flatnonzero(target == name)
+        at = at[np.argsort(season[at], kind="stable")]
+        out = {c: cols[c][at] for c in ("season", "a", "b", "x2", "y")}
+        if name == "ratings":
+            out["feats"] = np.column_stack([v[at] for c, v in cols.items() if c not in LOGIT_ROW])
+        yield name, out
+
+
+def newton_sums(x1: np.ndarray, x2: np.ndarray, y: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Gradient (3) and upper Hessian (6) of a logistic fit on 1, x1 and x2."""
+    p = 1 / (1 + np.exp(-(beta[0] + beta[1] * x1 + beta[2] * x2)))
+    r, w = y - p, p * (1 - p)
+    w1, w2 = w * x1, w * x2
+    return np.array([r.sum(), r @ x1, r @ x2, w.sum(), w1.sum(), w2.sum(), w1 @ x1, w1 @ x2, w2 @ x2])
+
+
 def fit_logistics(rows: DataFrame, folds: list[int], k_of: dict[int, float], coefs: dict[int, tuple[float, list[float]]],
                   ridge: dict[str, tuple[float, float, float]], penalised: set[str],
                   steps: int = NEWTON_STEPS, tol: float = 1e-12) -> dict[tuple[int, str], np.ndarray]:
@@ -252,29 +274,26 @@ def fit_logistics(rows: DataFrame, folds: list[int], k_of: dict[int, float], coe
     beta: dict[tuple[int, str], np.ndarray] = {}
     names = ["g0", "g1", "g2", "h00", "h01", "h02", "h11", "h12", "h22"]
     schema = "fold int, target string, " + ", ".join(f"{n} double" for n in names)
+    # one column per feature: with batches of bounded bytes Spark measures an array column anew at every row
+    width = max((len(c) for _, c in coefs.values()), default=0)
+    flat = rows.select(*LOGIT_ROW[:-1], *[F.get("feats", F.lit(i)).alias(f"x_{i}") for i in range(width)])
     for _ in range(steps):
         now = dict(beta)
 
-        def sums(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
+        def sums(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            totals: dict[tuple[int, str], np.ndarray] = {}
             for batch in batches:
-                out = []
-                for target, d in batch.groupby("target"):
-                    season, y, x2 = d["season"].to_numpy(), d["y"].to_numpy(float), d["x2"].to_numpy(float)
-                    feats = np.stack(d["feats"]) if target == "ratings" else None
-                    for f in folds:
-                        m = season < f
-                        if not m.any():
-                            continue
-                        if feats is not None:
-                            x1 = coefs[f][0] + feats[m] @ np.asarray(coefs[f][1])
-                        else:
-                            x1 = d["a"].to_numpy(float)[m] + k_of[f] * d["b"].to_numpy(float)[m]
-                        x = np.column_stack([np.ones(len(x1)), x1, x2[m]])
-                        p = 1 / (1 + np.exp(-(x @ now.get((f, target), np.zeros(3)))))
-                        h = x.T @ (x * (p * (1 - p))[:, None])
-                        out.append((f, target, *(x.T @ (y[m] - p)), *h[np.triu_indices(3)]))
-                yield pd.DataFrame(out, columns=["fold", "target", *names])
-        total = rows.select(*LOGIT_ROW).mapInPandas(sums, schema).groupBy("fold", "target").agg(*[F.sum(n).alias(n) for n in names])
+                for target, d in by_target(batch):
+                    last = np.searchsorted(d["season"], folds)      # rows of earlier seasons come first
+                    for f, m in zip(folds, last):
+                        if m:
+                            x1 = coefs[f][0] + d["feats"][:m] @ np.asarray(coefs[f][1]) if target == "ratings" else d["a"][:m] + k_of[f] * d["b"][:m]
+                            part = newton_sums(x1, d["x2"][:m], d["y"][:m], now.get((f, target), np.zeros(3)))
+                            totals[f, target] = totals.get((f, target), 0.0) + part
+            keys, values = list(totals), np.array(list(totals.values())).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in keys], pa.int32()), pa.array([t for _, t in keys], pa.string()),
+                                              *[pa.array(v, pa.float64()) for v in values.T]], names=["fold", "target", *names])
+        total = flat.mapInArrow(sums, schema).groupBy("fold", "target").agg(*[F.sum(n).alias(n) for n in names])
         moved = 0.0
         for s in total.collect():      # folds x targets rows
             key = (s["fold"], s["target"])
