@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewell.functions.joins import matched, materialise, planned_bytes
+from linewell.functions.joins import lookup, matched, materialise, planned_bytes
 from linewell.llm.common import mix64, slices
 from linewell.llm.components import components
 
@@ -27,6 +27,7 @@ TILE = 2048         # members of a bucket that a task compares with as many othe
 CELLS = 1 << 18     # pairs compared at once
 PIVOTS = 3
 BITS = 512
+FINE_BITS = 8192    # sets of over a thousand elements fill 512 bits, whatever they hold
 ENTRY = np.dtype([("token", "<u4"), ("node", "<i8"), ("n", "<i4")])
 
 Sets = Callable[[bytes | None], np.ndarray]
@@ -123,15 +124,15 @@ def buckets(docs: DataFrame, sets: Sets, least: float) -> DataFrame:
     return packed.repartition("key").sortWithinPartitions("key").mapInArrow(unpack, "token long, node long, n int, " + ", ".join(f"p{k} long" for k in range(PIVOTS)))
 
 
-def sketches(docs: DataFrame, sets: Sets) -> DataFrame:
-    """(node, sketch, elements): parities of the elements that fall on each of 512 bits, and the size of the set. As many bits as differ,
+def sketches(docs: DataFrame, sets: Sets, width: int = BITS) -> DataFrame:
+    """(node, sketch, elements): parities of the elements that fall on each of ``width`` bits, and the size of the set. As many bits as differ,
     or more, are elements of one set alone."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out, sizes = [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 u = np.unique(sets(text))
-                out.append(np.packbits(np.bincount((mix64(u) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes())
+                out.append(np.packbits(np.bincount((mix64(u) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).tobytes())
                 sizes.append(len(u))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(sizes, pa.int32())], ["node", "sketch", "elements"])
 
@@ -161,6 +162,19 @@ def possible(pairs: DataFrame, shapes: DataFrame, least: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def refined(pairs: DataFrame, docs: DataFrame, sets: Sets, least: float) -> DataFrame:
+    """The pairs (a, b) that long sketches, made for the documents in them only, allow as well: two long texts always pass the short
+    ones, and their sketches take a fraction of the shuffle that the texts take."""
+    paired = materialise(named(pairs), "paired")
+    shapes = sketches(lookup(docs, paired, ["node"], "left_semi"), sets, FINE_BITS).dropDuplicates(["node"])
+    return materialise(possible(pairs, materialise(shapes, "fine-sketches"), least), "refined")
+
+
+def named(pairs: DataFrame) -> DataFrame:
+    """(node) of the documents in pairs (a, b)."""
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
 def across(members: DataFrame, shapes: DataFrame, least: float) -> DataFrame:
     """(a, b) of all pairs of a bucket in different components whose sizes and sketches allow the similarity; large buckets in tiles.
 
@@ -223,8 +237,8 @@ def linked(docs: DataFrame, sets: Sets, least: float, check: Callable[[DataFrame
     to_pivots = found.select("node", F.explode(F.array(*[F.col(f"p{k}") for k in range(PIVOTS)])).alias("pivot")).filter("node <> pivot")
     star = materialise(to_pivots.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "star")
     shapes = materialise(sketches(docs, sets).dropDuplicates(["node"]), "sketches")
-    true = check(materialise(possible(star, shapes, least), "possible"))
+    true = check(refined(materialise(possible(star, shapes, least), "possible"), docs, sets, least))
     roots = materialise(components(true if known is None else true.unionByName(known)), "roots")
     members = matched(found.select("token", "node", "n"), roots, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
     rest = materialise(matched(across(members, shapes, least), star, ["a", "b"], "left_anti"), "across")
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(check(rest)))
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(check(refined(rest, docs, sets, least))))

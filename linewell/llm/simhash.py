@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from linewell.functions.joins import lookup, materialise
 from linewell.llm.common import mix64, slices, without
 from linewell.llm.components import components
-from linewell.llm.set_join import linked
+from linewell.llm.set_join import linked, named
 
 SMALL = 256     # pairs of a bucket up to which all its links are listed
 CELLS = 1 << 21  # distances computed at once
@@ -234,8 +234,9 @@ def similar(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size:
                 keep.append(bool(len(p)) and both >= least * (len(p) + len(q) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    named = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "named")
-    texts = materialise(lookup(docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")), named, ["node"], "left_semi").dropDuplicates(["node"]), "texts")
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    # not written: both joins read the one shuffle by node that drops repeated ids
+    texts = lookup(texts, materialise(named(pairs), "named"), ["node"], "left_semi").dropDuplicates(["node"])
     return (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
             .select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 

@@ -211,3 +211,18 @@ def test_near_stage_links_both_kinds_in_two_rounds_of_components(table_of, monke
             roots[a] = roots[b] = low
     assert kept == sorted([i for i, r in roots.items() if i == r] + [None], key=str)
     assert asked_of_stage == 2 and plans and not any("Broadcast" in p for p in plans)
+
+
+def test_long_texts_that_share_a_line_only_are_told_apart_ahead_of_their_texts(table_of, monkeypatch):
+    """Sets of thousands of elements fill a short sketch, so every pair of them passed it and both texts were shuffled."""
+    rng = random.Random(31)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(1500)) for _ in range(6)]
+    texts = [f"{t} {' '.join(f'line{k // 2}x{j}' for j in range(60))}" for k, t in enumerate(texts)]
+    texts.append(texts[0].replace("x30", "other"))
+    checked = []
+    real = simhash.similar
+    monkeypatch.setattr(simhash, "similar", lambda pairs, *a: (checked.append({(r.a, r.b) for r in pairs.collect()}), real(pairs, *a))[1])
+    docs = table_of(list(enumerate(texts)))
+    kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    assert kept == set(range(6))
+    assert set().union(*checked) == {(0, 6)}
