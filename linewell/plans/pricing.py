@@ -50,18 +50,21 @@ def outcome_udfs(model: FittedModel) -> OutcomeShapes:
                     yield m, flag, ((d[2], d[3], stats.TOTAL_LO) if flag else (d[0], d[1], stats.MARGIN_LO))
 
     def over(mu, line, shape, plain=False):
+        """Each distinct (mean, line) is computed once: both sides of a market share most of theirs."""
         sd, w, lo = shape
         cond, push = np.full(len(mu), np.nan), np.full(len(mu), np.nan)
-        k = ~np.isnan(mu) & ~np.isnan(line)
-        if k.any():
-            ww = np.broadcast_to(np.ones_like(w) if plain else w, (int(k.sum()), len(w)))
-            cond[k], push[k] = stats.np_over_push(mu[k], np.full(int(k.sum()), sd), ww, line[k], lo)
+        k = np.flatnonzero(~np.isnan(mu) & ~np.isnan(line))
+        some, number = stats.distinct_rows(mu[k], line[k])
+        c, q = stats.over_push_of(mu[k][some], line[k][some], float(sd), np.ones_like(w) if plain else w, lo)
+        cond[k], push[k] = c[number], q[number]
         return cond, push
 
     def invert(line, p, shape, flag):
-        w = np.empty(len(line), object)
-        w[:] = [shape[1]] * len(line)
-        return stats.np_implied_mean(line, p, np.full(len(line), float(shape[0])), w, np.full(len(line), flag))
+        out = np.full(len(line), np.nan)
+        k = np.flatnonzero(~np.isnan(line) & ~np.isnan(p))
+        some, number = stats.distinct_rows(line[k], p[k])
+        out[k] = stats.implied_mean_of(line[k][some], p[k][some], float(shape[0]), shape[1], flag)[number]
+        return out
 
     @F.pandas_udf(T.DoubleType())
     def implied_mean(season: pd.Series, is_total: pd.Series, line: pd.Series, p: pd.Series) -> pd.Series:
@@ -76,9 +79,9 @@ def outcome_udfs(model: FittedModel) -> OutcomeShapes:
         cols = [x.to_numpy(float) for x in (fair, at, ref_line, ref_mu)]
         for m, _, shape in groups(season, is_total):
             f, t, ref, mu = (c[m] for c in cols)
-            out[0, m], out[1, m] = over(f, t, shape)
-            out[2, m] = over(f, ref, shape)[0]
-            out[3, m] = over(mu, ref, shape)[0]
+            n = len(m)
+            cond, push = over(np.concatenate([f, f, mu]), np.concatenate([t, ref, ref]), shape)
+            out[0, m], out[1, m], out[2, m], out[3, m] = cond[:n], push[:n], cond[n:2 * n], cond[2 * n:]
         return pd.DataFrame(dict(zip(("t", "push", "r", "live"), out)))
 
     names = [f"{n}_{x}" for n in SHIFTS for x in ("t", "push")] + ["plain_t", "plain_push", "plain_r", "market"]
@@ -90,12 +93,14 @@ def outcome_udfs(model: FittedModel) -> OutcomeShapes:
         cols = [x.to_numpy(float) for x in (fair, at, ref_line, ref_mu, p_mkt, toward)]
         for m, flag, shape in groups(season, is_total):
             f, t, ref, mu, p, d = (c[m] for c in cols)
-            for n, by in SHIFTS.items():
-                out[f"{n}_t"][m], out[f"{n}_push"][m] = over(f + d * by, t, shape)
-            out["plain_t"][m], out["plain_push"][m] = over(f, t, shape, plain=True)
-            out["plain_r"][m] = over(f, ref, shape, plain=True)[0]
             own = np.where(np.isnan(mu), invert(np.where(np.isnan(mu), ref, np.nan), p, shape, flag), mu)
-            out["market"][m] = over(own, t, shape)[0]
+            cond, push = over(np.concatenate([*(f + d * by for by in SHIFTS.values()), own]), np.tile(t, len(SHIFTS) + 1), shape)
+            cond, push = cond.reshape(-1, len(m)), push.reshape(-1, len(m))
+            for k, n in enumerate(SHIFTS):
+                out[f"{n}_t"][m], out[f"{n}_push"][m] = cond[k], push[k]
+            out["market"][m] = cond[-1]
+            cond, push = over(np.tile(f, 2), np.concatenate([t, ref]), shape, plain=True)
+            out["plain_t"][m], out["plain_push"][m], out["plain_r"][m] = cond[:len(m)], push[:len(m)], cond[len(m):]
         return pd.DataFrame(out)
     return OutcomeShapes(implied_mean, at_line, scenarios)
 

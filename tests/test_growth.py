@@ -1,9 +1,12 @@
 """What keeps shared steps from growing faster than their input: few shuffles, bounded tasks, flat rows to Python."""
 import numpy as np
+import pandas as pd
+import pytest
 
 from linewell.catalog import base as b
+from linewell.functions import stats
 from linewell.operators import availability, plays
-from linewell.plans import model
+from linewell.plans import model, pricing
 
 
 def shuffles(df):
@@ -52,3 +55,61 @@ def test_newton_rows_reach_python_without_arrays(spark, monkeypatch):
         now = beta[2012, target]
         gradient = z.T @ (y[m] - 1 / (1 + np.exp(-z @ now))) - (pen @ now if target == "ml" else 0.0)
         assert np.abs(gradient).max() < 1e-8
+
+
+class TwoSeasons:
+    def dists(self):
+        rng = np.random.default_rng(3)
+        return {s: (13.0 + 0.2 * k, rng.uniform(0.4, 1.6, 161), 13.5 - 0.2 * k, rng.uniform(0.4, 1.6, 131)) for k, s in enumerate((2020, 2021))}
+
+
+def test_scenarios_take_few_evaluations_and_agree_with_halving(monkeypatch):
+    """Rows as the pricing gives them: both sides of each market, quoted at the reference line or beside it."""
+    seen = []
+    for name in ("np_normal_cdf", "_cdf_in_place"):
+        inner = getattr(stats, name, None)
+        monkeypatch.setattr(stats, name, lambda x, f=inner: (seen.append(x.size), f(x))[1], raising=False)
+    model, rng, n = TwoSeasons(), np.random.default_rng(4), 400
+    total = rng.random(n) < 0.5
+    line = np.where(total, 44.0, 0.0) + np.round(2 * rng.normal(0, 6, n)) / 2
+    market = pd.DataFrame({"season": rng.choice([2020, 2021, 1999], n), "is_total": total, "fair": line + rng.normal(0, 3, n), "at": line + rng.choice([0.0, 0.0, 0.5, -1.0], n),
+                           "ref": line, "mu": np.where(rng.random(n) < 0.7, np.nan, line + 1.0), "p": rng.choice([0.5, 0.48, 0.52, 0.00001, np.nan], n)})
+    d = pd.concat([market.assign(toward=t) for t in (1.0, -1.0)], ignore_index=True)
+    shapes = pricing.outcome_udfs(model)
+    got = shapes.scenarios.func(*[d[c] for c in d.columns])
+    first = shapes.at_line.func(*[d[c] for c in ("season", "is_total", "fair", "at", "ref", "mu")])
+    assert sum(seen) < 12 * 162 * len(d)        # 60 with halving
+
+    want = {c: np.full(len(d), np.nan) for c in [*got.columns, "t", "push", "r", "live"]}
+    for i, r in enumerate(d.itertuples()):
+        if r.season not in model.dists():
+            continue
+        m_sd, m_w, t_sd, t_w = model.dists()[r.season]
+        sd, w, lo = (t_sd, t_w, stats.TOTAL_LO) if r.is_total else (m_sd, m_w, stats.MARGIN_LO)
+
+        def over(mu, at, weights=w):
+            return [x[0] for x in stats.np_over_push(np.array([mu]), np.array([sd]), weights[None, :], np.array([at]), lo)]
+        for name, by in pricing.SHIFTS.items():
+            want[f"{name}_t"][i], want[f"{name}_push"][i] = over(r.fair + r.toward * by, r.at)
+        want["plain_t"][i], want["plain_push"][i] = over(r.fair, r.at, np.ones_like(w))
+        want["plain_r"][i] = over(r.fair, r.ref, np.ones_like(w))[0]
+        want["t"][i], want["push"][i] = over(r.fair, r.at)
+        want["r"][i] = over(r.fair, r.ref)[0]
+        one = np.empty(1, object)
+        one[0] = w
+        own = r.mu if r.mu == r.mu else stats.np_implied_mean(np.array([r.ref]), np.array([r.p]), np.array([sd]), one, np.array([r.is_total]))[0]
+        want["market"][i] = over(own, r.at)[0] if own == own else np.nan
+        want["live"][i] = over(r.mu, r.ref)[0] if r.mu == r.mu else np.nan
+    for c in want:
+        np.testing.assert_allclose((got if c in got else first)[c].to_numpy(), want[c], rtol=0, atol=1e-9)
+
+
+@pytest.mark.parametrize("is_total,lo,n", [(False, stats.MARGIN_LO, 161), (True, stats.TOTAL_LO, 131)])
+def test_implied_means_at_the_edges(is_total, lo, n):
+    """Lines beyond all outcomes, quarter lines, and probabilities that no mean of the bracket gives."""
+    line = np.array([lo - 300.0, lo, lo + n - 1, lo + 500.0, 30.0, 30.25, 30.5, np.nan, 30.0])
+    w, k = np.random.default_rng(5).uniform(0.3, 1.7, n), len(line)
+    ws = np.empty(5 * k, object)
+    ws[:] = [w] * (5 * k)
+    at, p = np.tile(line, 5), np.repeat([0.0, 0.3, 0.5, 0.99995, np.nan], k)
+    np.testing.assert_allclose(stats.implied_mean_of(at, p, 13.0, w, is_total), stats.np_implied_mean(at, p, np.full(5 * k, 13.0), ws, np.full(5 * k, is_total)), rtol=0, atol=1e-8)
