@@ -14,21 +14,26 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def replay(table: DataFrame, order: Column, parts: int, label: str, clock: tuple[str, Column] | None = None, files: int = 1) -> DataFrame:
+FILE_ROWS = 200_000     # of a replayed part: one task writes and one reads them
+
+
+def replay(table: DataFrame, order: Column, parts: int, label: str, clock: tuple[str, Column] | None = None, file_rows: int = FILE_ROWS) -> DataFrame:
     """A table as a stream of ``parts`` micro-batches in order of arrival.
 
-    With ``clock`` (column, time) two more batches follow, of one row each that holds the time alone: a heartbeat, which moves watermarks on
-    when no more data comes. Each part is written as ``files`` files and read as one trigger.
+    With ``clock`` (column, time) two more batches follow, of rows that hold the time alone: a heartbeat, which moves watermarks on
+    when no more data comes. Every part and beat is the same number of files, of about ``file_rows`` rows, and read as one trigger.
     """
     spark, path = table.sparkSession, new_folder(table.sparkSession, label)
     placed = with_positions(table, [order], "arrival", spread_ties=False)
-    part = F.floor(F.col("arrival") * parts / F.lit(max(1, table.count())))
+    rows = placed.count()
+    part = F.floor(F.col("arrival") * parts / F.lit(max(1, rows)))
+    files = max(1, rows // parts // file_rows)     # fewer than a part has rows, so none is empty
     for k in range(parts):
-        placed.filter(part == k).drop("arrival").repartition(files).write.mode("append").parquet(path)
+        placed.filter(part == k).repartitionById(files, F.pmod("arrival", F.lit(files)).cast("int")).drop("arrival").write.mode("append").parquet(path)
     if clock is not None:
-        beat = spark.range(1).select(*[(clock[1] if f.name == clock[0] else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema])
+        beat = spark.range(0, files, 1, files).select(*[(clock[1] if f.name == clock[0] else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema])
         for _ in range(2):
-            beat.repartition(files).write.mode("append").parquet(path)
+            beat.write.mode("append").parquet(path)
     return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 

@@ -20,36 +20,72 @@ LATEST = T.StructType([T.StructField(n, t) for n, t in (
 KEY = ["game_id", "book", "market", "side", "point_key"]
 
 
+QUOTE = KEY[1:]     # what tells a game's quotes apart
+HELD = T.StructType([T.StructField(n, T.ArrayType(T.StringType())) for n in QUOTE]
+                    + [T.StructField("quoted_us", T.ArrayType(T.LongType())), T.StructField("price", T.ArrayType(T.DoubleType())),
+                       T.StructField("event_id", T.ArrayType(T.LongType())), T.StructField("timer_ms", T.LongType())])
+
+
 class LatestQuote(StatefulProcessor):
-    """Keeps the newest quote of a key; a timer withdraws it once it is older than the allowed age."""
+    """Keeps the newest quote of each key of a game; a timer withdraws those that are older than the allowed age.
+
+    A game's quotes (books by markets by lines, some dozens) are one state value with one timer, at the first end of its quotes: calls
+    of the state store are counted in games and triggers, not in quotes.
+    """
 
     def __init__(self, max_age_minutes: float):
         self.max_age_ms = int(max_age_minutes * 60_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.quote = handle.getValueState("quote", T.StructType([T.StructField("t", T.LongType()), T.StructField("price", T.DoubleType()), T.StructField("id", T.LongType())]))
+        self.game = handle.getValueState("game", HELD)
+
+    def held(self) -> tuple[dict, int | None]:
+        """(newest quotes by key, time of the timer)"""
+        now = self.game.get()
+        if now is None:
+            return {}, None
+        *columns, timer = tuple(now)
+        n = len(QUOTE)
+        return dict(zip(zip(*columns[:n]), zip(*columns[n:]))), timer
+
+    def keep(self, quotes: dict, timer: int | None) -> None:
+        end = min((t // 1000 for t, _, _ in quotes.values()), default=None)
+        end = None if end is None else end + self.max_age_ms
+        if end != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if end is not None:
+                self.handle.registerTimer(end)
+        if quotes:
+            self.game.update((*(list(c) for c in zip(*quotes)), *(list(c) for c in zip(*quotes.values())), end))
+        else:
+            self.game.clear()
+
+    def changes(self, game, quotes: dict, live: bool) -> pd.DataFrame:
+        out = [(game, *k, i, price, t, live) for k, (t, price, i) in quotes.items()]
+        return pd.DataFrame(out, columns=LATEST.names)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.quote.get()
-        before = best = None if held is None else tuple(held)
+        quotes, timer = self.held()
+        new = {}
         for b in rows:
             b = b[b["event_id"].notna()]   # the others only move the clock
-            for t, price, i in zip(b["quoted_us"], b["price"], b["event_id"]):
-                new = (int(t), float(price), int(i))
-                best = new if best is None or new > best else best
-        if best != before:
-            self.quote.update(best)
-            if before is None or before[0] != best[0]:
-                if before is not None:
-                    self.handle.deleteTimer(before[0] // 1000 + self.max_age_ms)   # a key has one timer, at its quote's end
-                self.handle.registerTimer(best[0] // 1000 + self.max_age_ms)
-            yield pd.DataFrame([(*key, best[2], best[1], best[0], True)], columns=LATEST.names)
+            names = zip(*(b[n].tolist() for n in QUOTE))
+            for k, q in zip(names, zip(b["quoted_us"].astype("int64").tolist(), b["price"].astype("float64").tolist(), b["event_id"].astype("int64").tolist())):
+                if k not in quotes or q > quotes[k]:
+                    quotes[k] = new[k] = q
+        if new:
+            self.keep(quotes, timer)
+            yield self.changes(key[0], new, True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        t, price, i = tuple(self.quote.get())
-        self.quote.clear()
-        yield pd.DataFrame([(*key, i, price, t, False)], columns=LATEST.names)
+        quotes, _ = self.held()
+        clock = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())   # timers at the watermark fire
+        old = {k: q for k, q in quotes.items() if q[0] // 1000 + self.max_age_ms <= clock}
+        # the timer that fires is removed by the store
+        self.keep({k: q for k, q in quotes.items() if k not in old}, None)
+        yield self.changes(key[0], old, False)
 
     def close(self) -> None:
         pass
@@ -72,7 +108,7 @@ def latest_with_expiry(valid: DataFrame, max_age_minutes: float, skew_minutes: f
     d = valid.withWatermark("odds_time_utc", f"{max_age_minutes + skew_minutes:g} minutes 1 millisecond").select(
         "game_id", "book", "market", "side", F.coalesce(F.col("point").cast("string"), F.lit("-")).alias("point_key"), "event_id", "price",
         F.unix_micros("odds_time_utc").alias("quoted_us"), "odds_time_utc")
-    return d.groupBy(*KEY).transformWithStateInPandas(LatestQuote(max_age_minutes), LATEST, "Update", "eventTime")
+    return d.groupBy("game_id").transformWithStateInPandas(LatestQuote(max_age_minutes), LATEST, "Update", "eventTime")
 
 
 # ---------------------------------------------------------------- ratings

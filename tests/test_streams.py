@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,85 @@ def test_a_quote_as_old_as_may_be_isnt_late(spark):
     assert {r["event_id"] for r in stateful.standing(updates).collect()} == {1, 2, 3, 4}
     got = sq.current_pairs(drain(sq.pair_matches(replay(frame(spark, rows), F.col("event_id").asc(), 4, "edge", ("odds_time_utc", at(120)))), "edge"))
     assert shown(got) == [(3, "ml", "b", None, -110.0, 100.0)]
+
+
+class Store:
+    """One game's state and timers in memory; counts the calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class Clock:
+    def __init__(self, at):
+        self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: at
+
+
+def test_a_trigger_takes_few_calls_of_the_state_store():
+    """Forty keys of a game, three quotes each, in two triggers: a call for each key would be eighty at least."""
+    store, p = Store(), stateful.LatestQuote(30.0)
+    p.init(store)
+
+    def trigger(ids):
+        d = pd.DataFrame({"game_id": 7, "book": [f"b{i % 5}" for i in ids], "market": "total", "side": ["over" if i % 2 else "under" for i in ids], "point_key": [str(i % 4) for i in ids],
+                          "event_id": ids, "price": [-100.0 - i for i in ids], "quoted_us": [i % 50 * 1_000_000 for i in ids]})
+        return pd.concat(p.handleInputRows((7,), iter([d[:30], d[30:]]), None))
+    first, second = trigger(list(range(60))), trigger(list(range(60, 120)))
+    assert store.calls <= 8 and len(store.timers) == 1
+    newest = {}
+    for i in range(120):
+        k = (f"b{i % 5}", "over" if i % 2 else "under", str(i % 4))
+        newest[k] = max(newest.get(k, (-1,)), (i % 50 * 1_000_000, -100.0 - i, i))
+    last = pd.concat([first, second]).drop_duplicates(["book", "side", "point_key"], keep="last")
+    assert {(r.book, r.side, r.point_key): (r.quoted_us, r.price, r.event_id) for r in last.itertuples()} == newest
+    # the timer is that of the oldest quote; at its end it withdraws those alone that are as old
+    ends = sorted({q[0] // 1000 + 1_800_000 for q in newest.values()})
+    for end in ends:
+        assert store.timers == {end}
+        gone = pd.concat(p.handleExpiredTimer((7,), Clock(end), Clock(end)))
+        store.timers.remove(end)
+        assert not gone["live"].any() and set(gone["event_id"]) == {q[2] for q in newest.values() if q[0] // 1000 + 1_800_000 == end}
+    assert store.value is None and not store.timers
+
+
+def test_quotes_end_at_the_watermark(spark):
+    """The watermark stops at 30 minutes and 1 ms: a quote of 1 ms is withdrawn, one of 2 ms stands, in the same game and in another."""
+    ms = 1 / 60_000
+    rows = [(1, 1, "b", "ml", "home", None, -110.0, 0), (2, 1, "c", "ml", "home", None, -110.0, ms), (3, 1, "d", "ml", "home", None, -110.0, 2 * ms), (4, 2, "b", "ml", "home", None, -110.0, ms)]
+    updates = drain(stateful.latest_with_expiry(replay(frame(spark, rows), F.col("event_id").asc(), 1, "edge", ("odds_time_utc", at(62 + 2 * ms))), 30.0), "edge", "update")
+    assert {r["event_id"]: r["live"] for r in stateful.standing(updates).collect()} == {1: False, 2: False, 3: True, 4: False}
+
+
+def test_parts_of_a_replay_are_several_files_and_one_trigger(spark):
+    rows = [(i, i % 7, "b", "ml", "home", None, -110.0, i / 10) for i in range(400)]
+    stream, seen = replay(frame(spark, rows), F.col("event_id").asc(), 4, "files", ("odds_time_utc", at(80)), file_rows=30), {}
+
+    def look(batch, n):
+        got = batch.select("event_id", "file").collect()
+        seen[n] = (sorted(r[0] for r in got if r[0] is not None), len({r[1] for r in got}))
+    stream.withColumn("file", F.input_file_name()).writeStream.trigger(availableNow=True).foreachBatch(look).start().awaitTermination()
+    assert [seen[k][0] for k in sorted(seen)] == [list(range(k, k + 100)) for k in (0, 100, 200, 300)] + [[], []]
+    assert all(files == 3 for _, files in seen.values())
