@@ -1,4 +1,4 @@
-"""Suffix arrays in numpy by Larsson-Sadakane refinement, and Kasai common prefixes."""
+"""Suffix arrays in numpy: of a bounded depth by packed sorts; in full by Larsson-Sadakane refinement, with Kasai common prefixes."""
 from __future__ import annotations
 
 import numpy as np
@@ -80,3 +80,55 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
         shared[at] = length
         carry[:len(at)] = np.maximum(length - 1, 0)
     return shared[order]
+
+
+START = 5  # bytes that the first sort compares
+
+
+def _sorted(pos: np.ndarray, key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """``pos`` (rising) in the order of ``key``, numbers of so many bits, and marks of the first position of each group of equal keys. Overwrites ``key``.
+
+    Key and position are packed into one number where they fit: numbers are sorted several times faster than an order is found.
+    """
+    low = int(pos[-1]).bit_length()
+    if bits + low <= 64:
+        key <<= np.uint64(low)
+        key |= pos.view(np.uint64)
+        key.sort()
+        at = (key & np.uint64((1 << low) - 1)).view(np.int64)
+        key >>= np.uint64(low)
+    else:
+        by = np.argsort(key, kind="stable")
+        at, key = pos[by], key[by]
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    return at, new
+
+
+def string_groups(data: np.ndarray, size: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of ``data`` to ``depth`` bytes (5 or more): the positions that have as many ahead of their piece's end, in the order of those
+    bytes, and each one's group of equal strings. ``data`` is pieces of ``size`` bytes one after another, one of which has ``depth`` bytes.
+
+    Strings of a length are ranked by a sort of pairs of ranks of half that length; the last pair overlaps. A position takes part
+    as long as its piece has that many bytes ahead of it.
+    """
+    n = len(data)
+    left = np.repeat(np.cumsum(size), size) - np.arange(n)
+    key = np.zeros(n - START + 1, np.uint64)
+    for k in range(START):
+        key <<= np.uint64(8)
+        key |= data[k:n - START + 1 + k]
+    pos = np.flatnonzero(left >= START)
+    at, new = _sorted(pos, key[pos], 8 * START)
+    rank, done = np.zeros(n, np.uint64), START
+    while done < depth:
+        group = np.cumsum(new)
+        rank[at] = group
+        bits, ahead = int(group[-1]).bit_length(), min(done, depth - done)
+        done += ahead
+        pos = np.flatnonzero(left >= done)
+        key = rank[pos]
+        key <<= np.uint64(bits)
+        key |= rank[pos + ahead]
+        at, new = _sorted(pos, key, 2 * bits)
+    return at, np.cumsum(new) - 1

@@ -5,7 +5,7 @@
    the slices' distinct anchors, so a frequent anchor is sent once per slice.
 2. The runs of strings under shared anchors are cut out and sent to the shard of their anchor. Equal runs of a slice are sent
    once, from the smallest document. Strings of anchors that very many documents share go by their own hash.
-3. Each shard is taken in parts by tag, builds suffix arrays of a bounded number of bytes, finds groups of equal strings by their common prefixes, and, if
+3. Each shard is taken in parts by tag, builds suffix arrays of a bounded number of bytes, as deep as the strings are long, finds groups of equal strings, and, if
    it needs several arrays, merges their sorted strings by binary search. A string is removed where a smaller
    document has it; the byte ranges go back to their documents.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from linewell.functions.joins import materialise
 from linewell.llm.common import mix64, slices
-from linewell.llm.suffix_array import common_prefixes, suffix_array
+from linewell.llm.suffix_array import string_groups
 
 LENGTH = 50
 PART = 16
@@ -31,6 +31,7 @@ BUCKET_BYTES = 64 << 20      # of text for each bucket of anchors
 SHARD_BYTES = 6 << 20        # of text for each shard; runs under shared anchors are about as large
 PART_BYTES = 3 << 20         # of a shard's runs that are compared at a time
 TEXT_BYTES = 2 << 20         # of text that is hashed at a time
+BLOCK = 1 << 14              # strings whose hashes are computed at a time
 HOT_SHARE, HOT_LEAST = 200_000, 2000  # an anchor is hot above this share of all anchors: the list is bounded
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 NOBODY = np.uint32(0xFFFFFFFF)
@@ -54,21 +55,28 @@ class Runs:
             self.doc = self.first = self.last = np.zeros(0, np.int64)
             self.anchor, self.part = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
             return
-        h = data.astype(np.uint64) + np.uint64(1)
-        for k, step in enumerate((1, 2, 4, 8)):
-            h = h[:-step] * ODD[k] + h[step:]
-        self.part = mix64(h)  # of the 16 bytes from each position
-        low = self.part
-        for step in (1, 2, 4, 8, 16):
-            low = np.minimum(low[:-step], low[step:])
-        low = np.minimum(low[:n], low[LENGTH - PART + 1 - 32:][:n])
-        doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))[:n]
-        valid = np.arange(n) + LENGTH <= offsets[1:][doc]
-        new = np.concatenate(([True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])))
+        self.part = np.empty(len(data) - PART + 1, np.uint64)  # of the 16 bytes from each position
+        low = np.empty(n, np.uint64)
+        for a in range(0, n, BLOCK):  # of so many strings, that stay in a processor's cache
+            h = data[a:a + BLOCK + LENGTH - 1].astype(np.uint64)
+            h += np.uint64(1)
+            for k, step in enumerate((1, 2, 4, 8)):
+                ahead = h[step:]
+                h = h[:-step] * ODD[k]
+                h += ahead
+            part = mix64(h)
+            self.part[a:a + len(part)] = part
+            for step in (1, 2, 4, 8, 16):
+                part = np.minimum(part[:-step], part[step:])
+            np.minimum(part[:-(LENGTH - PART + 1 - 32)], part[LENGTH - PART + 1 - 32:], out=low[a:a + BLOCK])
+        short = (offsets[1:, None] - np.arange(1, LENGTH)).ravel()  # a string from here goes beyond its text
+        valid, new = np.ones(n, bool), np.ones(n, bool)
+        valid[short[(short >= 0) & (short < n)]] = False
+        np.not_equal(low[1:], low[:-1], out=new[1:])
+        new[offsets[offsets < n]] = True
         self.first = np.flatnonzero(new & valid)
-        ends = np.flatnonzero(np.append(new[1:] | ~valid[1:], True) & valid)
-        self.last = ends
-        self.doc, self.anchor = doc[self.first].astype(np.int64), mix64(low[self.first] ^ ODD[4])
+        self.last = np.flatnonzero(np.append(new[1:] | ~valid[1:], True) & valid)
+        self.doc, self.anchor = np.searchsorted(offsets, self.first, side="right") - 1, mix64(low[self.first] ^ ODD[4])
 
     def string_hash(self, at: np.ndarray) -> np.ndarray:
         h = self.part[at]
@@ -158,9 +166,7 @@ def representatives(data: np.ndarray, begin: np.ndarray, size: np.ndarray, doc:
         return np.zeros(0, np.int64)
     powers = np.cumprod(np.full(len(data), ODD[0])) if len(data) else np.zeros(0, np.uint64)
     prefix = np.concatenate(([np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers)))
-    back = np.uint64(pow(int(ODD[0]), -1, 1 << 64))
-    undo = np.cumprod(np.full(len(data), back))
-    h = mix64((prefix[begin + size] - prefix[begin]) * undo[begin] + size.astype(np.uint64))
+    h = mix64((prefix[begin + size] - prefix[begin]) * powers[len(data) - 1 - begin] + size.astype(np.uint64))   # the same power for all, wherever they begin
     order = np.lexsort((np.arange(len(h)), doc, h))
     new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
     rep = np.empty(len(h), np.int64)
@@ -229,34 +235,27 @@ def pieces(rows: DataFrame, buckets: int, shards: int, hot: np.ndarray) -> DataF
             later = owner > owner[rep]
             decided = ranges(owner[later], place[later], (place + size)[later])
             at, start, stop = (decided.column(k).to_numpy() for k in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array([turn % shards], pa.int64()), pa.array([True]), *[pa.array([x.tobytes()], pa.binary()) for x in (at, start.astype(np.uint32), (stop - start).astype(np.uint32))], *[pa.array([b""], pa.binary())] * 2], names)
+            own = [turn % shards, True, *(x.tobytes() for x in (at, start.astype(np.uint32), (stop - start).astype(np.uint32))), b"", b""]
             order = np.argsort(bucket[~later], kind="stable")
             bucket, owner, place, size, begin, tag = (x[~later][order] for x in (bucket, owner, place, size, begin, tag))
             some, cut = np.unique(bucket, return_index=True)
             picked = bytes_of(data, begin, size)
             to = np.concatenate(([0], np.cumsum(size)))
-            for k, a, b in zip(some.tolist(), cut.tolist(), [*cut[1:].tolist(), len(bucket)]):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([False]), *[pa.array([x[a:b].tobytes()], pa.binary()) for x in (owner, place.astype(np.uint32), size.astype(np.uint32), tag)],
-                                                  pa.array([pa.compress(picked[to[a]:to[b]].tobytes(), "zstd", asbytes=True)], pa.binary())], names)
+            spans = list(zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)]))
+            found = [[x[a:b].tobytes() for a, b in spans] for x in (owner, place.astype(np.uint32), size.astype(np.uint32), tag)]
+            packed = [pa.compress(picked[to[a]:to[b]], "zstd", asbytes=True) for a, b in spans]
+            # one batch a slice: the rows grow with slices times shards, the batches must not
+            columns = [some.tolist(), [False] * len(some), *found, packed]
+            yield pa.RecordBatch.from_arrays([pa.array([x, *c], t) for x, c, t in zip(own, columns, (pa.int64(), pa.bool_(), *[pa.binary()] * 5))], names)
 
     return rows.mapInArrow(run, "bucket long, own boolean, doc binary, place binary, size binary, tag binary, bytes binary")
 
 
-def shard_groups(data: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def shard_groups(data: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of one suffix array: starts of whole strings in order, each one's group, and per group a start and the least document."""
-    order = suffix_array(data)
-    group = np.cumsum(common_prefixes(data, order, LENGTH) < LENGTH) - 1
-    inside = np.zeros(len(data), bool)
-    step = np.zeros(len(data) + 1, np.int32)
-    np.add.at(step, begin, 1)
-    np.add.at(step, begin + size - LENGTH + 1, -1)
-    inside = np.cumsum(step[:-1]) > 0
-    owner = np.repeat(doc, size)
-    whole = inside[order]
-    at, group = order[whole].astype(np.int64), group[whole]
+    at, group = string_groups(data, size, LENGTH)
     first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    least = np.minimum.reduceat(owner[at], first)
-    return at, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(at)))), at[first], least
+    return at, group, at[first], np.minimum.reduceat(np.repeat(doc, size)[at], first)
 
 
 def merged_least(shards: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
@@ -281,7 +280,7 @@ def repeated(data: np.ndarray, size: np.ndarray, doc: np.ndarray, array_bytes: i
     for a, b in zip(cuts[:-1], cuts[1:]):
         if a < b:
             low, high = begin[a], begin[b - 1] + size[b - 1]
-            done.append((low, *shard_groups(data[low:high], begin[a:b] - low, size[a:b], doc[a:b])))
+            done.append((low, *shard_groups(data[low:high], size[a:b], doc[a:b])))
     owner = np.repeat(doc, size)
     if len(done) > 1:
         keyed = []
@@ -363,16 +362,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             out: list[list] = [[], [], [], [], []]
-            for text, found in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-                text, kept, at, n = text or b"", [], 0, 0
-                for s in sorted((s["begin"], s["end"]) for s in found or ()):
-                    if s[0] > at or not n:
-                        kept.append(text[at:s[0]])
-                        n += 1
-                    at = max(at, s[1])
-                kept.append(text[at:])
-                left = b"".join(kept)
-                for column, value in zip(out, (len(text), len(text) - len(left), n, hashlib.sha256(left).hexdigest(), left)):
+            lists = batch.column(2)
+            doc = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            doc, begin, end = (c.to_numpy() for c in ranges(doc, *(x.to_numpy() for x in lists.flatten().flatten())).columns)
+            cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1)).tolist()
+            begin, end = begin.tolist(), end.tolist()
+            for text, a, b in zip(batch.column(1).cast(pa.binary()).to_pylist(), cuts, cuts[1:]):
+                text = text or b""
+                left = b"".join([text[x:y] for x, y in zip([0, *end[a:b]], [*begin[a:b], len(text)])]) if b > a else text
+                for column, value in zip(out, (len(text), len(text) - len(left), b - a, hashlib.sha256(left).hexdigest(), left)):
                     column.append(value)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             columns = [pa.array(c, k) for c, k in zip(out, kinds)][:5 if keep_text else 4]

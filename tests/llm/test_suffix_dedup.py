@@ -2,10 +2,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from linewell.llm import suffix_dedup as sd
-from linewell.llm.suffix_array import common_prefixes, suffix_array
+from linewell.llm.suffix_array import _sorted, common_prefixes, string_groups, suffix_array
 
 
 def test_arrays():
@@ -111,3 +112,59 @@ def test_shards_in_parts(table_of, options):
     rows = corpus(60)
     out = sd.dedup_substrings(table_of(rows), part_bytes=1500, **options)
     assert sorted((tuple(r) for r in out.collect()), key=repr) == brute(rows)
+
+
+@pytest.mark.parametrize("depth", [5, 8, 50, 64])
+def test_string_groups_equal_the_whole_array(depth):
+    """Pieces that share long strings, with zeros and with pieces shorter than the depth."""
+    rng = np.random.default_rng(6)
+    for _ in range(25):
+        pool = rng.integers(0, rng.integers(1, 4), 300).astype(np.uint8) * np.uint8(rng.choice([1, 90, 255]))
+        cuts = [(int(a), int(rng.integers(1, 150))) for a in rng.integers(0, 220, 12)] + [(0, 70)]
+        parts = [pool[a:a + n] for a, n in cuts]
+        data, size = np.concatenate(parts), np.array([len(x) for x in parts])
+        at, group = string_groups(data, size, depth)
+        order = suffix_array(data)
+        whole = np.repeat(np.cumsum(size), size) - np.arange(len(data)) >= depth
+        want = (np.cumsum(common_prefixes(data, order, depth) < depth) - 1)[whole[order]]
+        want = np.unique(want, return_inverse=True)[1]
+        kept = order[whole[order]]
+        assert sorted(at.tolist()) == sorted(kept.tolist())
+        number = np.empty(len(data), np.int64)
+        number[kept] = want
+        assert group.tolist() == number[at].tolist()     # the same groups in the same order
+
+
+def test_keys_too_wide_to_pack():
+    rng = np.random.default_rng(7)
+    key, pos = rng.integers(0, 1 << 62, 500).astype(np.uint64) >> np.uint64(1), np.arange(0, 5000, 10)
+    key[100:200] = key[:100]
+    at, new = _sorted(pos, key.copy(), 62)
+    sorted_key = key[at // 10]
+    assert (np.diff(sorted_key.astype(np.int64)) >= 0).all() and sorted(at.tolist()) == pos.tolist()
+    assert new.tolist() == [True, *(sorted_key[1:] != sorted_key[:-1])]
+
+
+class Caught:
+    """Takes the place of a table: keeps the function that would run on it."""
+
+    sparkSession = sparkContext = property(lambda self: self)
+
+    def broadcast(self, value):
+        return type("Value", (), {"value": value})
+
+    def mapInArrow(self, function, schema):
+        return function
+
+
+def test_a_slice_is_one_batch_whatever_the_shards():
+    """Rows of pieces grow with slices times shards; a batch for each of them made the work of a large input grow with its square."""
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcdefgh"), 700)) for _ in range(40)]
+    rows, anchors = [], []
+    for t in texts:
+        runs = sd.Runs(*sd.buffer_of(pa.array([t])))
+        anchors.append(np.unique(sd.anchor_ids(runs.anchor, 4)).view(np.int64).tolist())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(texts), pa.array(anchors, pa.list_(pa.int64()))], ["doc_id", "text", "anchors"])
+    out = list(sd.pieces(Caught(), 4, 1000, np.zeros(0, np.uint64))(iter([batch, batch])))
+    assert len(out) == 2 and sum(b.num_rows for b in out) > 1000
