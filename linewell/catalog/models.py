@@ -228,7 +228,8 @@ def walk_forward_scores(spark, sf):
 
 
 def replay_bet_table(spark, sf):
-    bets = materialise(evaluate.placed(evaluate.replay_bets(_model(spark, sf), _features(spark, sf), S)), "bets")
+    bets = evaluate.placed(evaluate.replay_bets(_model(spark, sf), _features(spark, sf), S))
+    bets = materialise(bets.select(*metrics.BET_COLUMNS), "bets")   # texts and sensitivities that no table shows are never made
     return metrics.bet_table(bets, BOOT).select("market", "bets", "games", "won", "lost", "pushed", *_r("flat_roi", "roi_lo", "roi_hi", "flat_drawdown"))
 
 

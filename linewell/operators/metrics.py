@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewell.functions import stats
+from linewell.functions.joins import lookup
 
 # Bin edges of the calibration table, and evenly spaced edges as floating point yields them.
 TABLE_EDGES = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 EVEN_EDGES = (0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0)
 TARGETS = ("winner", "home covers", "over hits")
 CLUSTERS_PER_BLOCK = 4096
+BETS_PER_BLOCK = 1024       # of a drawdown
+BET_COLUMNS = ("market", "side", "game_id", "gameday", "result", "flat", "kelly_units", "kelly_stake")     # what ``bet_table`` reads
 
 
 def bin_of(p: Column, edges=TABLE_EDGES) -> Column:
@@ -149,10 +152,22 @@ def bet_totals(bets: DataFrame) -> DataFrame:
     return g.withColumn("market", F.coalesce("market", F.lit("all")))
 
 
+def day_blocks(bets: DataFrame) -> DataFrame:
+    """Adds ``block``: ranges of a day's games of about ``BETS_PER_BLOCK`` bets each.
+
+    Games of a day are spread over all leagues, so ranges of a fixed width hold hardly more than a bet each where there are many leagues,
+    and the chain of blocks is as long as the table.
+    """
+    first, count = F.min("game_id"), F.ceil(F.count("*") / BETS_PER_BLOCK)
+    days = bets.groupBy("gameday").agg(first.alias("_first"), F.ceil((F.max("game_id") - first + 1) / count).alias("_width"))
+    block = F.floor((F.col("game_id") - F.col("_first")) / F.col("_width"))
+    return lookup(bets, days, ["gameday"]).withColumn("block", block).drop("_first", "_width")     # one row per day
+
+
 def bet_table(bets: DataFrame, n_boot: int = 1000) -> DataFrame:
     """``bet_totals`` with game-clustered intervals of the flat return and both drawdowns."""
-    both = with_grand_total(bets)
-    block = F.floor(F.col("game_id") / 1024)
+    both = with_grand_total(day_blocks(bets))
+    block = F.col("block")
     order = ["game_id", "side"]
     flat = max_drawdown(both, ["market"], "flat", "gameday", order, block).withColumnRenamed("drawdown", "flat_drawdown")
     kelly = max_drawdown(both, ["market"], "kelly_units", "gameday", order, block).withColumnRenamed("drawdown", "kelly_drawdown")

@@ -2,10 +2,12 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from linewell.catalog import base as b
+from linewell.catalog import models
 from linewell.functions import stats
-from linewell.operators import availability, plays
+from linewell.operators import availability, metrics, plays
 from linewell.plans import model, pricing
 
 
@@ -113,3 +115,33 @@ def test_implied_means_at_the_edges(is_total, lo, n):
     ws[:] = [w] * (5 * k)
     at, p = np.tile(line, 5), np.repeat([0.0, 0.3, 0.5, 0.99995, np.nan], k)
     np.testing.assert_allclose(stats.implied_mean_of(at, p, 13.0, w, is_total), stats.np_implied_mean(at, p, np.full(5 * k, 13.0), ws, np.full(5 * k, is_total)), rtol=0, atol=1e-8)
+
+
+def test_a_bet_table_makes_no_texts(spark, sf, monkeypatch):
+    """What is written for the table holds its columns alone, so that lists of prices and risks aren't made for every side."""
+    written, inner = {}, models.materialise
+    monkeypatch.setattr(models, "materialise", lambda d, label: (written.update({label: d}), inner(d, label))[1])
+    got = models.replay_bet_table(spark, sf)
+    assert written["bets"].columns == list(metrics.BET_COLUMNS)
+    plan = written["bets"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan
+    bets = {r["market"]: r["bets"] for r in got.collect()}
+    assert bets.pop("all", 0) == sum(bets.values()) == written["bets"].count()
+
+
+def test_drawdowns_chain_few_blocks(spark):
+    """Games of a day lie far apart, as with many leagues and one has most of the bets; a bet without a day stays."""
+    rng, n = np.random.default_rng(9), 12_000
+    d = pd.DataFrame({"market": rng.choice(["spread", "total"], n), "side": "over", "game_id": rng.permutation(n) * 1500, "flat": np.round(rng.normal(0, 1, n), 3)})
+    d["gameday"] = np.where(rng.random(n) < 0.7, "2020-01-02", np.where(rng.random(n) < 0.5, "2020-01-01", "2020-01-03"))
+    d["result"], d["kelly_units"], d["kelly_stake"] = np.where(d["flat"] > 0, "W", "L"), d["flat"] / 2, 0.5
+    bets = spark.createDataFrame(d).withColumn("gameday", F.col("gameday").cast("date"))
+    sizes = [r["count"] for r in metrics.day_blocks(bets).groupBy("gameday", "block").count().collect()]
+    assert sum(sizes) == n and max(sizes) < 2 * 1024 and len(sizes) <= 3 + n // 1024 + 3
+    got = {r["market"]: (r["flat_drawdown"], r["kelly_drawdown"]) for r in metrics.bet_table(bets, 20).collect()}
+    for market in ("spread", "total", "all"):
+        run = (d if market == "all" else d[d["market"] == market]).sort_values(["gameday", "game_id"])["flat"].cumsum().to_numpy()
+        want = (np.maximum(np.maximum.accumulate(run), 0) - run).max()
+        assert got[market] == (pytest.approx(want), pytest.approx(want / 2))
+    undated = bets.withColumn("gameday", F.when(F.col("game_id") % 2 == 0, F.col("gameday")))
+    assert metrics.day_blocks(undated).count() == n
